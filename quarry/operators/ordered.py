@@ -7,8 +7,9 @@ primitives below instead:
 * ``row_index``: dense 0-based position of each row inside its entity (or in
   the whole table).  Rows are range-partitioned on (entity, order, tie-break),
   so a key holding a third of the data is split over many tasks; each task
-  numbers its rows, and a table with one row per (partition, entity) carries
-  the counts of earlier partitions forward.
+  numbers its rows, the numbered rows are checkpointed (reliable checkpoint in
+  ``spark.checkpoint.dir``), and a table with one row per (partition, entity)
+  carries the counts of earlier partitions forward.
 * ``running``: cumulative sum/min/max/count/last-non-null.  Rows are cut into
   buckets of ``bucket_rows`` consecutive positions; the window runs inside a
   bucket and a per-bucket summary supplies the prefix of earlier buckets.
@@ -30,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import cut_lineage
+
 DEFAULT_BUCKET_ROWS = 1 << 20
 _UNB = Window.unboundedPreceding
 
@@ -89,6 +92,11 @@ def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    # The range bounds are sampled with a seed tied to the RDD id, so two plan
+    # branches over the same input could partition differently.  A reliable
+    # checkpoint fixes (_pid, _pos) once for both branches and survives the
+    # loss of executors.
+    ranged = cut_lineage(ranged)
     if not partition_by:
         # one row per range partition: a proven bound for the broadcast
         counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
