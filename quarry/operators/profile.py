@@ -82,7 +82,9 @@ def _pass_a(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         kind = _kind(dt)
         nr = F.avg(F.when(nn, x.isNotNull().cast("double")))
         if kind == "string":
-            dr = F.avg(F.when(nn, to_timestamp_safe(s).isNotNull().cast("double")))
+            # a date needs a '-' or '/' (bare numbers parse as years in Spark)
+            dr = F.avg(F.when(nn, (to_timestamp_safe(s).isNotNull()
+                                   & (s.contains("-") | s.contains("/"))).cast("double")))
             sl = F.avg(F.when(nn, (s.contains("-") | s.contains("/")).cast("double")))
             pr = F.avg(F.when(nn, s.rlike(PATH_PATTERN).cast("double")))
         else:

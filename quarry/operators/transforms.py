@@ -47,14 +47,19 @@ def fill_mean(df: DataFrame, column: str) -> DataFrame:
 
 
 def fill_median(df: DataFrame, column: str) -> DataFrame:
-    """T3 numeric-coerce, null -> exact median (linear interpolation)."""
-    return _fill_with(df, column, F.median(to_number(_q(column))))
+    """T3 numeric-coerce, null -> exact median (linear interpolation), from
+    the distributed quantile sort rather than a single-task percentile buffer."""
+    from quarry.operators.stats import exact_quantiles
+    v = exact_quantiles(df, [column], [0.5])[column][0]
+    x = to_number(_q(column))
+    return df.withColumn(column, F.coalesce(x, F.lit(v).cast("double")) if v is not None else x)
 
 
 def fill_mode(df: DataFrame, column: str) -> DataFrame:
     """T4 null -> most frequent value, smallest on ties; all-null string -> ''."""
+    from quarry.operators.stats import mode_value
     c = _q(column)
-    v = df.agg(F.mode(c, deterministic=True).alias("v")).first()["v"]
+    v = mode_value(df, column)
     if v is None:
         if isinstance(df.schema[column].dataType, T.StringType):
             return df.withColumn(column, F.coalesce(c, F.lit("")))
@@ -129,10 +134,10 @@ def standardize(df: DataFrame, column: str) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int = 5) -> list[float]:
-    x = to_number(_q(column))
+    from quarry.operators.stats import exact_quantiles
     ps = [i / bins for i in range(bins + 1)]
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(p) for p in ps])).alias("e")).first()["e"]
-    return sorted(set(edges)) if edges else []
+    edges = [e for e in exact_quantiles(df, [column], ps)[column] if e is not None]
+    return sorted(set(edges))
 
 
 def bin_column(df: DataFrame, column: str, bins: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from quarry.plans.registry import ORACLE, QUERIES
 
-MODULES = ("q_clean",)
+MODULES = ("q_clean", "q_profile")
 
 
 def load() -> None:
