@@ -163,8 +163,9 @@ RUNS = """runs AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'guest-' ELSE 'usr-'
 def daily_orders(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders")
     return o.groupBy(F.to_date("o_orderdate").alias("day")).agg(
-        F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).alias("n_orders"))
+        F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).alias("n_orders"),
+        F.avg("o_totalprice").alias("avg_price"), F.max("o_totalprice").alias("max_price"))
 
 
 DAILY = """daily AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS revenue,
-  count(*) AS n_orders FROM orders GROUP BY 1)"""
+  count(*) AS n_orders, avg(o_totalprice) AS avg_price, max(o_totalprice) AS max_price FROM orders GROUP BY 1)"""
