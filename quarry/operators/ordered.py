@@ -89,8 +89,8 @@ def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (
         keys += _tie_break(df, list(partition_by) + _names(order_by))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()
+              .withColumn("__ri_pid", F.spark_partition_id())
+              .withColumn("__ri_pos", F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     # The range bounds are sampled with a seed tied to the RDD id, so two plan
     # branches over the same input could partition differently.  A reliable
@@ -99,19 +99,19 @@ def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (
     ranged = cut_lineage(ranged)
     if not partition_by:
         # one row per range partition: a proven bound for the broadcast
-        counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-        offs = counts.select("_pid", F.coalesce(
-            F.sum("_n").over(Window.orderBy("_pid").rowsBetween(_UNB, -1)), F.lit(0)).alias("_off"))
-        out = ranged.join(F.broadcast(offs), "_pid").withColumn(name, F.col("_off") + F.col("_pos"))
-        return out.drop("_pid", "_pos", "_off")
+        counts = ranged.groupBy("__ri_pid").agg(F.count(F.lit(1)).alias("__ri_n"))
+        offs = counts.select("__ri_pid", F.coalesce(
+            F.sum("__ri_n").over(Window.orderBy("__ri_pid").rowsBetween(_UNB, -1)), F.lit(0)).alias("__ri_off"))
+        out = ranged.join(F.broadcast(offs), "__ri_pid").withColumn(name, F.col("__ri_off") + F.col("__ri_pos"))
+        return out.drop("__ri_pid", "__ri_pos", "__ri_off")
     # one row per (partition, entity); a hot entity contributes one row per partition
-    grp = ranged.groupBy("_pid", *part).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    carry = grp.select("_pid", *part, "_start", F.coalesce(
-        F.sum("_n").over(Window.partitionBy(*part).orderBy("_pid").rowsBetween(_UNB, -1)),
-        F.lit(0)).alias("_carry"))
-    out = join_null_safe(ranged, carry, ["_pid", *partition_by])
-    out = out.withColumn(name, F.col("_pos") - F.col("_start") + F.col("_carry"))
-    return out.drop("_pid", "_pos", "_start", "_carry")
+    grp = ranged.groupBy("__ri_pid", *part).agg(F.min("__ri_pos").alias("__ri_start"), F.count(F.lit(1)).alias("__ri_n"))
+    carry = grp.select("__ri_pid", *part, "__ri_start", F.coalesce(
+        F.sum("__ri_n").over(Window.partitionBy(*part).orderBy("__ri_pid").rowsBetween(_UNB, -1)),
+        F.lit(0)).alias("__ri_carry"))
+    out = join_null_safe(ranged, carry, ["__ri_pid", *partition_by])
+    out = out.withColumn(name, F.col("__ri_pos") - F.col("__ri_start") + F.col("__ri_carry"))
+    return out.drop("__ri_pid", "__ri_pos", "__ri_start", "__ri_carry")
 
 
 # ---------------------------------------------------------------- running aggregates

@@ -23,8 +23,16 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def sql_round(c, digits: int):
+    """round(x * 10^d) / 10^d on the double, which is how the SQL oracle rounds
+    (Spark's own ``round`` rounds the exact decimal value instead; the two can
+    differ when x lies within a rounding error of a tie)."""
+    m = float(10 ** digits)
+    return F.round(c * F.lit(m)) / F.lit(m)
+
+
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round floating columns (both engines round the same way at the end)."""
-    fix = {f.name: F.round(F.col(f"`{f.name}`"), digits) for f in df.schema.fields
+    """Round floating columns the way the oracle does, at the very end."""
+    fix = {f.name: sql_round(F.col(f"`{f.name}`"), digits) for f in df.schema.fields
            if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return df.withColumns(fix) if fix else df
