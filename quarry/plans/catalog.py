@@ -6,7 +6,7 @@ import importlib
 
 from quarry.plans.registry import ORACLE, QUERIES
 
-MODULES = ("q_clean", "q_profile", "q_series", "q_explog", "q_eval", "q_models", "q_corpus")
+MODULES = ("q_clean", "q_profile", "q_series", "q_explog", "q_eval", "q_models", "q_corpus", "q_io")
 
 
 def load() -> None:

@@ -28,7 +28,7 @@ def merges_for(spark, sf, vocab: int = TEST_VOCAB):
 
 @register("io16_shard_split", """
 SELECT CASE WHEN doc_id % 10 = 9 THEN 'val' ELSE 'train' END AS split, count(*) AS docs,
-  sum(n_chars) AS chars FROM documents GROUP BY 1""")
+  CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1""")
 def io16_shard_split(spark, sf):
     train, val = C.split_shards(_docs(spark, sf))
     t = train.agg(F.lit("train").alias("split"), F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))

@@ -23,6 +23,7 @@ SEPARATORS = (",", ";", "\t", "|")
 # Keys that hold the record list of a JSON payload, in priority order.
 PAYLOAD_KEYS = ("data", "results", "items", "records", "rows", "value")
 SNIFF_BYTES = 1 << 16
+SPARK_CHARSET = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "utf-8-sig": "UTF-8"}
 
 
 def read_head(spark: SparkSession, path: str, nbytes: int = SNIFF_BYTES) -> bytes:
@@ -76,7 +77,7 @@ def read_delimited(spark: SparkSession, path: str, typed: bool = True) -> tuple[
         head = b""
     sep, enc, _ = sniff_delimited(head)
     df = (spark.read.option("header", True).option("sep", sep)
-          .option("encoding", "UTF-8" if enc == "utf-8-sig" else enc.upper())
+          .option("encoding", SPARK_CHARSET[enc])
           .option("inferSchema", False).option("multiLine", False).csv(path))
     if df.columns and df.columns[0].startswith("﻿"):
         df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("﻿"))
