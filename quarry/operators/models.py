@@ -230,30 +230,62 @@ def sweep(train: DataFrame, test: DataFrame, task: str, target: str, spec: Featu
     lower = metric in LOWER_IS_BETTER
     cands = list(candidates or default_candidates(task, train.count()))
     best_val, best_model, best_route, stale, rows = None, None, None, 0, []
+    import time
     for num, (family, params) in enumerate(cands, start=1):
         route = Route(task, target, spec, family, dict(params))
         try:
+            t0 = time.time()
             model = build_model(route, train)
+            t1 = time.time()
             val = evaluate(predict(model, test, route, keep=[target]), task, target, metric)
+            t2 = time.time()
             status = "discard"
             if val is not None and not math.isnan(val) and (
                     best_val is None or (val < best_val if lower else val > best_val)):
                 best_val, best_model, best_route, stale, status = val, model, route, 0, "keep"
             else:
                 stale += 1
-            rows.append((num, family, metric, float(val) if val is not None else None, status, ""))
+            rows.append((num, family, metric, float(val) if val is not None else None, status, "",
+                         round(t1 - t0, 3), round(t2 - t1, 3)))
         except Exception as e:  # noqa: BLE001 - a failed route is a crash row, the sweep goes on
-            rows.append((num, family, metric, None, "crash", str(e)[:220]))
+            rows.append((num, family, metric, None, "crash", str(e)[:220], None, None))
         if best_val is not None and good_enough is not None and (
                 best_val <= good_enough if lower else best_val >= good_enough):
             break
         if stale >= stagnation_limit:
             break
     log = train.sparkSession.createDataFrame(
-        rows, "num int, model string, metric string, metric_value double, status string, error string")
+        rows, "num int, model string, metric string, metric_value double, status string, error string, "
+              "fit_seconds double, predict_seconds double")
     return best_model, best_route, log
 
 
+def candidate_leaderboard(log: DataFrame, metric: str, k: int = 20) -> DataFrame:
+    """K2 model, score, fit time, predict time of the sweep, best first, top k."""
+    from quarry.operators.explog import LOWER_IS_BETTER
+    order = F.asc_nulls_last("metric_value") if metric in LOWER_IS_BETTER else F.desc_nulls_last("metric_value")
+    return (log.where(F.col("status") != "crash").orderBy(order, "num").limit(k)
+            .select("model", F.col("metric_value").alias("score"), "fit_seconds", "predict_seconds"))
+
+
+def forecast(df: DataFrame, date: str, target: str, horizon_share: float = 0.2, lags=(1, 7),
+             windows=(7,), family: str = "gbt", **params) -> DataFrame:
+    """M19 forecasting route: lag and rolling features of the target
+    plus calendar parts, a time-ordered split (V1), and a regression route on
+    the earlier part predicting the later part.  Returns (date, actual,
+    predicted) for the held-out tail."""
+    from quarry.operators.splits import time_split
+    from quarry.operators.timeseries import lag_features
+    feats = lag_features(df.select(date, target), [], [date], target, lags=lags, windows=windows)
+    cols = [c for c in feats.columns if c.startswith(f"{target}_")]
+    split = time_split(feats, [date], 1.0 - horizon_share)
+    spec = FeatureSpec(numeric=cols, datetime=[date])
+    route = Route(REGRESSION, target, spec, family, params)
+    model = build_model(route, split.where(F.col("split") == "train"))
+    out = predict(model, split.where(F.col("split") == "test"), route, keep=[date, target])
+    return out.withColumnRenamed(target, "actual")
+
+
 def cross_validate(train: DataFrame, route: Route, metric: str, folds: int = 3, grid: dict | None = None,
                    seed: int = 42):
     """M12 grid search with k-fold cross-validation (Spark ``CrossValidator``)."""

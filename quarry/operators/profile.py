@@ -92,25 +92,40 @@ def _pass_a(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         items.append(F.struct(
             F.lit(pos).alias("position"), F.lit(c).alias("name"), F.lit(kind).alias("kind"),
             F.count(F.when(nn, 1)).alias("non_null"), nr.alias("nr"), dr.alias("dr"), sl.alias("sl"),
-            pr.alias("pr"), F.avg(F.when(nn, F.length(s))).cast("double").alias("avg_len"),
+            pr.alias("pr"),
+            (F.avg(F.when(nn, F.length(s))).cast("double") if kind == "string"
+             else F.lit(None).cast("double")).alias("avg_len"),
             F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
             F.max(x).alias("max"), F.skewness(x).alias("skew_pop"), F.count(x).alias("n_num")))
     agg = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*items).alias("cols"))
     return agg.select("rows", F.explode("cols").alias("c")).select("rows", "c.*")
 
 
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value, n) over non-null values, values as text."""
+    """(column, value, n) over non-null values, values as text.  Values are
+    grouped in their own type (integers, doubles, text) and only the distinct
+    survivors are formatted as text."""
     items = []
     for c in cols:
         dt = df.schema[c].dataType
-        v = _text(_q(c), dt)
-        if isinstance(dt, (T.DoubleType, T.FloatType)):
-            v = F.when(~F.isnan(_q(c)), v)
-        items.append(F.struct(F.lit(c).alias("column"), v.alias("value")))
-    long = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.column", "_s.value")
-    return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n"))
+        col = _q(c)
+        none_l, none_d, none_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        if isinstance(dt, _INTEGRAL):
+            parts = (col.cast("long"), none_d, none_s)
+        elif isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
+            parts = (none_l, F.when(~F.isnan(col.cast("double")), col.cast("double")), none_s)
+        else:
+            parts = (none_l, none_d, _text(col, dt))
+        items.append(F.struct(F.lit(c).alias("column"), parts[0].alias("i"), parts[1].alias("d"),
+                              parts[2].alias("s")))
+    long = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.*")
+    long = long.where(F.col("i").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
+    g = long.groupBy("column", "i", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    text = F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string"))
+    return g.select("column", text.alias("value"), "n")
 
 
 def _semantic_type(c=F.col) -> Column:
@@ -251,6 +266,17 @@ def top_correlations(df: DataFrame, numeric_cols: Sequence[str], k: int = 8,
         "col1", "col2", F.round("corr", 3).alias("corr"), "rank")
 
 
+def top_features_by_corr(df: DataFrame, target: str, features: Sequence[str], k: int = 20) -> DataFrame:
+    """K3 features ranked by |corr with the target| (one aggregate), top k."""
+    x = lambda c: _q(c).cast("double")
+    items = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"), F.abs(F.corr(x(c), x(target))).alias("abs_corr"))
+             for i, c in enumerate(features)]
+    long = df.agg(F.array(*items).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+    w = Window.orderBy(F.desc_nulls_last("abs_corr"), "pos")  # one row per feature: bounded
+    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+        "feature", "abs_corr", "rank")
+
+
 def correlation_matrix(df: DataFrame, target: str, features: Sequence[str], k: int = 20) -> DataFrame:
     """P18 pairwise correlations among the target and its top-k features by
     |corr with target|: (col1, col2, corr) for all ordered pairs."""

@@ -4,10 +4,11 @@
 group in one buffer, and a global aggregate merges them in one task.  At
 scale the library computes them instead as:
 
-* exact quantiles: stack the columns to (column, x), number the values per
-  column with the range-partitioned ``row_index`` (a hot value is split by a
-  tie-break), then pick the two ranks around ``p*(n-1)`` by joining with a
-  table of (column, rank) whose size is columns x probabilities;
+* exact quantiles: stack the columns to (column, x); a mergeable sketch
+  brackets each needed rank in a narrow value band, one aggregation counts
+  the values below the band and the distinct values in it, and a running
+  count over that small table picks the exact order statistics (a full
+  range-partitioned sort remains as the verified fallback);
 * mode: ``groupBy(value).count()`` (map-side combined) and a top-1;
 * top-k per group: a salted two-stage ranking so no group is ranked in one task.
 """
@@ -18,50 +19,189 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.scalars import to_number
-from quarry.operators.ordered import join_null_safe, row_index
+from quarry.operators.ordered import join_null_safe, row_index, running
+from quarry.session import cut_lineage
 
 
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _as_double(df: DataFrame, c: str, coerce: bool) -> Column:
+    """Numeric columns cast directly; text is parsed only when ``coerce``."""
+    is_text = isinstance(df.schema[c].dataType, T.StringType)
+    return to_number(_q(c)) if (coerce and is_text) else _q(c).cast("double")
+
+
 def stack_numeric(df: DataFrame, cols: Sequence[str], coerce: bool = True) -> DataFrame:
     """(column, x) rows for every non-null numeric value of ``cols``."""
-    items = [F.struct(F.lit(c).alias("column"),
-                      (to_number(_q(c)) if coerce else _q(c).cast("double")).alias("x")) for c in cols]
+    items = [F.struct(F.lit(c).alias("column"), _as_double(df, c, coerce).alias("x")) for c in cols]
     long = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.column", "_s.x")
     return long.where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def quantiles_df(df: DataFrame, cols: Sequence[str], probs: Sequence[float], coerce: bool = True,
-                 by: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolation quantiles: rows (by..., column, p, value)."""
-    if by:
-        items = [F.struct(*[_q(b).alias(b) for b in by], F.lit(c).alias("column"),
-                          (to_number(_q(c)) if coerce else _q(c).cast("double")).alias("x")) for c in cols]
-        long = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.*")
-        long = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    else:
-        long = stack_numeric(df, cols, coerce)
+def _stack(df: DataFrame, cols: Sequence[str], coerce: bool, by: Sequence[str]) -> DataFrame:
+    if not by:
+        return stack_numeric(df, cols, coerce)
+    items = [F.struct(*[_q(b).alias(b) for b in by], F.lit(c).alias("column"),
+                      _as_double(df, c, coerce).alias("x")) for c in cols]
+    long = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.*")
+    return long.where(F.col("x").isNotNull() & ~F.isnan("x"))
+
+
+def _interpolate(keys, both: DataFrame) -> DataFrame:
+    val = F.col("_xlo") + (F.col("_h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))
+    return both.select(*keys, "p", val.alias("value"))
+
+
+def _targets(n: DataFrame, keys, probs) -> DataFrame:
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    return (n.select(*keys, "_n", F.explode(ps).alias("p"))
+            .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
+            .withColumn("_lo", F.floor("_h").cast("long"))
+            .withColumn("_hi", F.ceil("_h").cast("long")))
+
+
+def quantiles_by_sort(df: DataFrame, cols: Sequence[str], probs: Sequence[float], coerce: bool = True,
+                      by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles from a full distributed sort (row index per column)."""
+    long = _stack(df, cols, coerce, by)
     keys = [*by, "column"]
     # the tie-break splits a run of equal values over range partitions
     long = long.withColumn("_tb", F.monotonically_increasing_id())
     ranked = row_index(long, ["x", "_tb"], keys, name="_r", tie_break=False)
     n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (n.select(*keys, "_n", F.explode(ps).alias("p"))
-               .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
-               .withColumn("_lo", F.floor("_h").cast("long"))
-               .withColumn("_hi", F.ceil("_h").cast("long")))
-    # size of ``targets`` = groups x probabilities; let the planner size the join
+    targets = _targets(n, keys, probs)
     lo = join_null_safe(targets, ranked.select(*keys, F.col("_r").alias("_lo"), F.col("x").alias("_xlo")),
                         [*keys, "_lo"], "left")
     both = join_null_safe(lo, ranked.select(*keys, F.col("_r").alias("_hi"), F.col("x").alias("_xhi")),
                           [*keys, "_hi"], "left")
-    val = F.col("_xlo") + (F.col("_h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))
-    return both.select(*keys, "p", val.alias("value"))
+    return _interpolate(keys, both)
+
+
+def quantiles_df(df: DataFrame, cols: Sequence[str], probs: Sequence[float], coerce: bool = True,
+                 by: Sequence[str] = (), accuracy: int = 100_000) -> DataFrame:
+    """Exact linear-interpolation quantiles: rows (by..., column, p, value).
+
+    Selection instead of a sort: a mergeable sketch (``percentile_approx``,
+    rank error <= n / accuracy) brackets each needed rank in a value band
+    [lo, hi]; one aggregation then counts the values below the band and the
+    distinct values inside it, and a running count over the band's distinct
+    values (a small table) finds the exact order statistics.  Every bracket
+    is verified; a group whose bracket misses falls back to the full sort."""
+    long = _stack(df, cols, coerce, by)
+    keys = [*by, "column"]
+    fast = _quantiles_small_band(long, keys, probs, accuracy)
+    if fast is not None:
+        return fast
+    d = 3.0 / accuracy
+    lo_p = [max(0.0, p - d) for p in probs]
+    hi_p = [min(1.0, p + d) for p in probs]
+    sk = long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("x").alias("_min"), F.max("x").alias("_max"),
+        F.percentile_approx("x", F.array(*[F.lit(v) for v in lo_p + hi_p]), accuracy).alias("_a"))
+    k = len(probs)
+    rows = []
+    for i, p in enumerate(probs):
+        lo = F.col("_min") if lo_p[i] == 0.0 else F.col("_a")[i]
+        hi = F.col("_max") if hi_p[i] == 1.0 else F.col("_a")[k + i]
+        rows.append(F.struct(F.lit(float(p)).alias("p"), lo.alias("_blo"), hi.alias("_bhi")))
+    targets = _targets(sk.select(*keys, "_n"), keys, probs)
+    bands = sk.select(*keys, F.explode(F.array(*rows)).alias("_t")).select(*keys, "_t.*")
+    targets = join_null_safe(targets, bands, [*keys, "p"])
+    j = join_null_safe(long, targets.select(*keys, "p", "_blo", "_bhi"), keys)
+    cell = F.when(F.col("x") < F.col("_blo"), F.lit(None)).otherwise(F.col("x"))
+    agg = (j.where(F.col("x") <= F.col("_bhi")).groupBy(*keys, "p", cell.alias("bx"))
+           .agg(F.count(F.lit(1)).alias("_c")))
+    below = agg.where(F.col("bx").isNull()).select(*keys, "p", F.col("_c").alias("_below"))
+    band = agg.where(F.col("bx").isNotNull())
+    cum = running(band, [*keys, "p"], ["bx"], [("_cum", "sum", "_c")])
+    t = join_null_safe(targets, below, [*keys, "p"], "left").withColumn("_below", F.coalesce("_below", F.lit(0)))
+    # the order statistic of rank r is the first band value whose count reaches r + 1
+    cand = join_null_safe(cum, t.select(*keys, "p", "_below", "_lo", "_hi"), [*keys, "p"])
+    reach = F.col("_below") + F.col("_cum")
+    picks = cand.groupBy(*keys, "p").agg(
+        F.min(F.when(reach > F.col("_lo"), F.col("bx"))).alias("_xlo"),
+        F.min(F.when(reach > F.col("_hi"), F.col("bx"))).alias("_xhi"),
+        F.max(reach).alias("_reach"))
+    ok = (F.col("_below") <= F.col("_lo")) & (F.col("_reach") > F.col("_hi"))
+    # one row per group x probability: fixed once so the check and the result agree
+    both = cut_lineage(join_null_safe(t, picks, [*keys, "p"], "left").withColumn("_ok", F.coalesce(ok, F.lit(False))))
+    good = _interpolate(keys, both.where("_ok"))
+    bad_groups = both.where(~F.col("_ok")).select(*keys).distinct()
+    if bad_groups.limit(1).count() == 0:
+        return good
+    redo = quantiles_by_sort(join_null_safe(df, bad_groups.select(*by), list(by)) if by else df, cols, probs,
+                             coerce, by)
+    return good.unionByName(join_null_safe(redo, bad_groups, keys))
+
+
+MAX_SMALL_ROWS = 200_000
+
+
+def _quantiles_small_band(long: DataFrame, keys, probs, accuracy: int):
+    """Fast path of the selection when the sketch table (one row per group)
+    and the bands (distinct values near each rank) stay under
+    MAX_SMALL_ROWS: both are counted first and only then collected, so the
+    driver never receives more than that bound.  Returns None otherwise."""
+    import math
+    d = 3.0 / accuracy
+    lo_p = [max(0.0, p - d) for p in probs]
+    hi_p = [min(1.0, p + d) for p in probs]
+    sk = long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("x").alias("_min"), F.max("x").alias("_max"),
+        F.percentile_approx("x", F.array(*[F.lit(v) for v in lo_p + hi_p]), accuracy).alias("_a"))
+    groups = sk.limit(MAX_SMALL_ROWS + 1).collect()
+    if len(groups) > MAX_SMALL_ROWS:
+        return None
+    k = len(probs)
+    spark = long.sparkSession
+    tgt = []
+    for g in groups:
+        key = tuple(g[c] for c in keys)
+        for i, p in enumerate(probs):
+            lo = g["_min"] if lo_p[i] == 0.0 else g["_a"][i]
+            hi = g["_max"] if hi_p[i] == 1.0 else g["_a"][k + i]
+            tgt.append((*key, float(p), float(lo), float(hi)))
+    if not tgt:
+        return spark.createDataFrame([], long.select(*keys).schema.add("p", "double").add("value", "double"))
+    tschema = long.select(*keys).schema.add("p", "double").add("_blo", "double").add("_bhi", "double")
+    # groups x probabilities rows, bounded by the check above
+    t = F.broadcast(spark.createDataFrame(tgt, tschema))
+    j = join_null_safe(long, t, keys)
+    cell = F.when(F.col("x") < F.col("_blo"), F.lit(None)).otherwise(F.col("x"))
+    agg = (j.where(F.col("x") <= F.col("_bhi")).groupBy(*keys, "p", cell.alias("bx"))
+           .agg(F.count(F.lit(1)).alias("_c")))
+    band_rows = agg.limit(MAX_SMALL_ROWS + 1).collect()
+    if len(band_rows) > MAX_SMALL_ROWS:
+        return None
+    cells: dict = {}
+    for r in band_rows:
+        cells.setdefault(tuple(r[c] for c in keys) + (r["p"],), []).append((r["bx"], r["_c"]))
+    n_of = {tuple(g[c] for c in keys): g["_n"] for g in groups}
+    out = []
+    for key, items in cells.items():
+        n = n_of[key[:-1]]
+        h = (n - 1) * key[-1]
+        rlo, rhi = math.floor(h), math.ceil(h)
+        below = sum(c for v, c in items if v is None)
+        vals = sorted((v, c) for v, c in items if v is not None)
+        xlo = xhi = None
+        acc = below
+        for v, c in vals:
+            acc += c
+            if xlo is None and acc > rlo:
+                xlo = v
+            if acc > rhi:
+                xhi = v
+                break
+        if below > rlo or xlo is None or xhi is None:
+            return None  # a bracket missed: let the general path handle it
+        out.append((*key, xlo + (h - rlo) * (xhi - xlo)))
+    return spark.createDataFrame(out, long.select(*keys).schema.add("p", "double").add("value", "double"))
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],

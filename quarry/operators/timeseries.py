@@ -66,14 +66,15 @@ def lag_correlation(df: DataFrame, order_by: Sequence, target: str, features: Se
                               ("integer", "long", "double", "float", "short", "decimal")])
     n = df.count()
     L = max_lag if max_lag is not None else min(20, n // 5)
-    filled = forward_fill(df.select(*order_by, *[_q(c) for c in feats + [target]]), feats + [target], order_by,
-                          bucket_rows=bucket_rows)
+    # one position for both the fill and the shifted copies
+    ix = row_index(df.select(*order_by, *[_q(c) for c in feats + [target]]), order_by, name="_t")
+    filled = forward_fill(ix, feats + [target], ["_t"], bucket_rows=bucket_rows, idx="_t")
     base = filled.agg(*[F.corr(_q(f), _q(target)).alias(f) for f in feats]).first()
     ranked = sorted(feats, key=lambda f: (-(abs(base[f]) if base[f] is not None else 0.0), feats.index(f)))[:top]
     lags = list(range(-L, L + 1))
-    shifted = halo(filled, [], order_by, L, L,
+    shifted = halo(filled, [], ["_t"], L, L,
                    lambda w: {f"__y{k + L}": F.lead(_q(target), k).over(w) for k in lags},
-                   bucket_rows=bucket_rows)
+                   bucket_rows=bucket_rows, idx="_t")
     items = [F.struct(F.lit(f).alias("feature"), F.lit(k).alias("lag"),
                       F.corr(_q(f), F.col(f"__y{k + L}")).alias("corr")) for f in ranked for k in lags]
     long = shifted.agg(F.array(*items).alias("c")).select(F.explode("c").alias("c")).select("c.*")

@@ -280,14 +280,14 @@ def clean_text(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], order_by: Sequence, entity: Sequence[str] = (),
-                 then_zero: bool = True, bucket_rows: int | None = None) -> DataFrame:
+                 then_zero: bool = True, bucket_rows: int | None = None, idx: str | None = None) -> DataFrame:
     """T17 numeric-coerce, carry the last non-null value forward in order
     (per entity), then 0 for leading nulls.  Gap length is unbounded, so this
     uses the bucketed running 'last' with a carry between buckets."""
     from quarry.operators.ordered import DEFAULT_BUCKET_ROWS, running
     tmp = df.withColumns({f"__n_{c}": to_number(_q(c)) for c in columns})
     out = running(tmp, list(entity), order_by, [(f"__f_{c}", "last", f"__n_{c}") for c in columns],
-                  bucket_rows=bucket_rows or DEFAULT_BUCKET_ROWS)
+                  bucket_rows=bucket_rows or DEFAULT_BUCKET_ROWS, idx=idx)
     fill = {c: (F.coalesce(F.col(f"__f_{c}"), F.lit(0.0)) if then_zero else F.col(f"__f_{c}")) for c in columns}
     return out.withColumns(fill).drop(*[f"__n_{c}" for c in columns], *[f"__f_{c}" for c in columns])
 

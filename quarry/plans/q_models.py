@@ -298,3 +298,19 @@ SELECT o.o_orderkey, c.code AS o_orderpriority FROM o JOIN c ON o.o_orderpriorit
 def x6_factorize_first_appearance(spark, sf):
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     return XP.factorize(o, "o_orderpriority", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_orderpriority")
+
+
+@register("k2_candidate_leaderboard")
+def k2_candidate_leaderboard(spark, sf):
+    d = _orders_features(spark, sf)
+    _m, _r, log = M.sweep(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), M.REGRESSION,
+                          "o_totalprice", REG_SPEC, "rmse", candidates=[("ridge", {}), ("decision_tree", {}),
+                                                                        ("lasso", {})])
+    return M.candidate_leaderboard(log, "rmse", 20)
+
+
+@register("m19_forecast_route")
+def m19_forecast_route(spark, sf):
+    from quarry.plans import fixtures as X
+    d = X.daily_orders(spark, sf).select("day", "revenue")
+    return M.forecast(d, "day", "revenue", family="gbt", maxIter=10)

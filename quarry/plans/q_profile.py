@@ -346,3 +346,54 @@ def j5_zip_tail(spark, sf):
     o.* EXCLUDE (o_orderkey) FROM lineitem l FULL OUTER JOIN orders o ON l.l_orderkey IS NOT DISTINCT FROM o.o_orderkey)"""))
 def entry_flagship_profile(spark, sf):
     return flagship(spark, sf)
+
+
+@register("k3_top_features_by_corr", """
+WITH c AS (SELECT 'l_quantity' AS feature, 0 AS pos, abs(corr(l_quantity, l_extendedprice)) AS a FROM lineitem
+  UNION ALL SELECT 'l_discount', 1, abs(corr(l_discount, l_extendedprice)) FROM lineitem
+  UNION ALL SELECT 'l_tax', 2, abs(corr(l_tax, l_extendedprice)) FROM lineitem
+  UNION ALL SELECT 'l_linenumber', 3, abs(corr(l_linenumber, l_extendedprice)) FROM lineitem
+  UNION ALL SELECT 'l_suppkey', 4, abs(corr(l_suppkey, l_extendedprice)) FROM lineitem)
+SELECT feature, round(a, 6) AS abs_corr, CAST(row_number() OVER (ORDER BY a DESC, pos) AS INTEGER) AS rank FROM c
+QUALIFY rank <= 20""")
+def k3_top_features_by_corr(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    return finish(P.top_features_by_corr(li, "l_extendedprice",
+                                         ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey"], 20))
+
+
+@register("p11_signals")
+def p11_signals(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    pr = P.profile(d)
+    return P.signals(pr["columns"], pr["class_balance"])
+
+
+@register("t16_detect_date_column", """
+WITH ot AS (SELECT CAST(o_orderkey AS VARCHAR) AS okey, strftime(o_orderdate, '%Y-%m-%d') AS period,
+  o_orderpriority FROM orders),
+r AS (SELECT avg(CASE WHEN TRY_CAST(period AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) AS rp FROM ot)
+SELECT 'period' AS name FROM r WHERE rp > 0.7""")
+def t16_detect_date_column(spark, sf):
+    from quarry.operators.transforms import detect_date_column
+    o = read_table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("okey"),
+                                               F.date_format("o_orderdate", "yyyy-MM-dd").alias("period"),
+                                               "o_orderpriority")
+    c = detect_date_column(o)
+    return spark.createDataFrame([(c,)] if c else [], "name string")
+
+
+@register("u3_distinct_rows_and_classes", """
+SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders""")
+def u3_distinct_rows_and_classes(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority")
+    return o.distinct().orderBy("o_orderstatus", "o_orderpriority")
+
+
+@register("j8_grid_rows", """
+SELECT g.grid_value, count(*) AS n, round(avg(o_totalprice), 6) AS mean_price FROM orders,
+  (SELECT CAST(unnest([0.0, 0.5, 1.0, 1.5, 2.0]) AS DOUBLE) AS grid_value) g GROUP BY 1""")
+def j8_grid_rows(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    g = J.grid_rows(o, "grid", [0.0, 0.5, 1.0, 1.5, 2.0])
+    return finish(g.groupBy("grid_value").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean_price")))
