@@ -129,7 +129,8 @@ def seasonality(df: DataFrame, date: str, value: str) -> DataFrame:
     v = to_number(_q(value)) if isinstance(df.schema[value].dataType, T.StringType) else _q(value).cast("double")
     base = df.select(F.year(d).alias("y"), F.month(d).alias("m"), F.weekday(d).alias("dow"), v.alias("v")) \
         .where(F.col("m").isNotNull())
-    st = base.agg(F.count_distinct("y").alias("ny"), F.count_distinct("m").alias("nm")).first()
+    ym = base.groupBy("y", "m").agg(F.count(F.lit(1)).alias("_n"))  # at most years x 12 rows
+    st = ym.agg(F.count_distinct("y").alias("ny"), F.count_distinct("m").alias("nm")).first()
     by_year = st["ny"] >= 2 and st["nm"] >= 2
     row = "y" if by_year else "dow"
     wide = base.groupBy(F.col(row).alias("row")).pivot("m", MONTHS).agg(F.avg("v"))

@@ -35,6 +35,7 @@ class FeatureSpec:
     text: str | None = None
     vector: str | None = None
     vector_size: int | None = None
+    text_features: int = 1 << 14
     scale: bool = False
 
 
@@ -69,7 +70,7 @@ def feature_stages(spec: FeatureSpec) -> tuple[list, str]:
     if spec.text:
         stages += [FT.RegexTokenizer(inputCol=spec.text, outputCol="__tok", pattern=r"\W+", toLowercase=True),
                    FT.StopWordsRemover(inputCol="__tok", outputCol="__tok2"),
-                   FT.HashingTF(inputCol="__tok2", outputCol="__tf", numFeatures=1 << 16),
+                   FT.HashingTF(inputCol="__tok2", outputCol="__tf", numFeatures=spec.text_features),
                    FT.IDF(inputCol="__tf", outputCol="__tfidf", minDocFreq=2)]
         extra.append("__tfidf")
     if spec.vector:

@@ -165,8 +165,13 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence,
         agg = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}.get(kind)
         carried = F.last(tot, ignorenulls=True).over(wprev) if kind == "last" else agg(tot).over(wprev)
         carry_cols.append(carried.alias(f"_cy_{out}"))
-    carry = summary.select(*partition_by, "_bkt", *carry_cols)
-    b = join_null_safe(b, carry, [*partition_by, "_bkt"], "left")
+    # bucket 0 of every entity has nothing before it: only later buckets (at
+    # most rows / bucket_rows of them) need the carry join
+    carry = summary.select(*partition_by, "_bkt", *carry_cols).where(F.col("_bkt") > 0)
+    first = b.where(F.col("_bkt") == 0).withColumns(
+        {f"_cy_{spec[0]}": F.lit(None).cast(b.schema[f"_in_{spec[0]}"].dataType) for spec in specs})
+    later = join_null_safe(b.where(F.col("_bkt") > 0), carry, [*partition_by, "_bkt"], "left")
+    b = first.unionByName(later)
     for spec in specs:
         out, kind = spec[0], spec[1]
         b = b.withColumn(out, _COMBINE[kind](F.col(f"_in_{out}"), F.col(f"_cy_{out}")))
@@ -198,8 +203,8 @@ def halo(df: DataFrame, partition_by: Sequence[str], order_by: Sequence, before:
     if after > 0:
         targets = F.when(off < after, F.array_union(
             targets, F.array(F.struct((F.col("_bkt") - 1).alias("b"), F.lit(1).alias("h"))))).otherwise(targets)
-    b = b.withColumn("_t", F.explode(targets)).withColumn("_bkt", F.col("_t.b")) \
-         .withColumn("_halo", F.col("_t.h")).drop("_t")
+    b = b.withColumn("__ht", F.explode(targets)).withColumn("_bkt", F.col("__ht.b")) \
+         .withColumn("_halo", F.col("__ht.h")).drop("__ht")
     w = Window.partitionBy(*part, "_bkt").orderBy(ix)
     for name, c in compute(w).items():
         b = b.withColumn(name, c)
