@@ -82,43 +82,79 @@ def _lower(c) -> Column:
     return F.lower(F.coalesce(_c(c), F.lit("")))
 
 
+# Failure reasons for error text (lower-cased).  Rules are tried
+# in order; a rule matches when any of its alternatives matches, and an
+# alternative matches when the text contains all of its parts.
+FAILURE_RULES = [
+    ("data_path", [("filenotfounderror",), ("no such file or directory",)]),
+    ("data_path", [("train.csv",), ("test.csv",)]),
+    ("data_path_inject", [("name 'data_path' is not defined",), ("nameerror", "data_path")]),
+    ("invalid_hyperparameter", [("validate_parameter_constraints",), ("invalid parameter",)]),
+    ("invalid_hyperparameter", [("absolute_deviation",)]),
+    ("missing_package", [("no module named",)]),
+    ("timeout", [("timeout",)]),
+    ("bad_output_format", [("no json in stdout",)]),
+    ("bad_output_format", [("json", "decode")]),
+]
+FAILURE_DEFAULT = "runtime_error"
+
+# Model families for code or model text (lower-cased), same rule shape.
+FAMILY_RULES = [
+    ("autogluon", [("tabularpredictor",), ("autogluon",)]),
+    ("lightgbm", [("lgb",), ("lightgbm",)]),
+    ("xgboost", [("xgb",), ("xgboost",)]),
+    ("catboost", [("catboost",)]),
+    ("random_forest", [("randomforest",)]),
+    ("sklearn_gbm", [("gradientboosting",)]),
+    ("prophet", [("prophet",)]),
+    ("deep_learning", [("lstm",), ("gru",), ("torch", "nn.linear"), ("torch", "module")]),
+    ("transformer", [("sentence_transformers",), ("transformers",)]),
+    ("stacking_ensemble", [("stackingregressor",), ("stackingclassifier",), ("votingregressor",),
+                           ("votingclassifier",)]),
+    ("linear", [("ridge",), ("lasso",), ("elasticnet",), ("linearregression",), ("logisticregression",)]),
+    ("svm", [("svc(",), ("svr(",)]),
+    ("neural_network", [("mlpclassifier",), ("mlpregressor",)]),
+]
+FAMILY_DEFAULT = "other"
+FAMILY_EMPTY = "unknown"
+
+
+def classify_text(text, rules, default: str, empty: str | None = None) -> Column:
+    """First rule whose alternative (all parts contained) matches the
+    lower-cased text; ``empty`` for null / empty text when given."""
+    t = _lower(text)
+    out = F.when(F.coalesce(_c(text), F.lit("")) == "", F.lit(empty)) if empty is not None else None
+    for label, alternatives in rules:
+        cond = None
+        for parts in alternatives:
+            alt = None
+            for part in parts:
+                alt = t.contains(part) if alt is None else alt & t.contains(part)
+            cond = alt if cond is None else cond | alt
+        out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
+    return out.otherwise(F.lit(default))
+
+
+def classify_sql(text_sql: str, rules, default: str, empty: str | None = None) -> str:
+    """The same rule table as a SQL CASE expression (for the oracle)."""
+    t = f"lower(coalesce({text_sql}, ''))"
+    q = lambda v: "'" + v.replace("'", "''") + "'"
+    whens = [f"WHEN coalesce({text_sql}, '') = '' THEN {q(empty)}"] if empty is not None else []
+    for label, alternatives in rules:
+        cond = " OR ".join("(" + " AND ".join(f"contains({t}, {q(p)})" for p in parts) + ")"
+                           for parts in alternatives)
+        whens.append(f"WHEN {cond} THEN {q(label)}")
+    return "CASE " + " ".join(whens) + f" ELSE {q(default)} END"
+
+
 def failure_reason(error_text) -> Column:
-    """F8 classify an error message; rules are tried in this order."""
-    e = _lower(error_text)
-    has = e.contains
-    return (F.when(has("filenotfounderror") | has("no such file or directory"), "data_path")
-            .when(has("train.csv") | has("test.csv"), "data_path")
-            .when(has("name 'data_path' is not defined") | (has("nameerror") & has("data_path")), "data_path_inject")
-            .when(has("validate_parameter_constraints") | has("invalid parameter"), "invalid_hyperparameter")
-            .when(has("absolute_deviation"), "invalid_hyperparameter")
-            .when(has("no module named"), "missing_package")
-            .when(has("timeout"), "timeout")
-            .when(has("no json in stdout"), "bad_output_format")
-            .when(has("json") & has("decode"), "bad_output_format")
-            .otherwise("runtime_error"))
+    """F8 classify an error message (FAILURE_RULES, in order)."""
+    return classify_text(error_text, FAILURE_RULES, FAILURE_DEFAULT)
 
 
 def model_family(text) -> Column:
-    """F9 model family from code or model text; first matching rule wins."""
-    c = _lower(text)
-    has = c.contains
-    return (F.when(F.coalesce(_c(text), F.lit("")) == "", "unknown")
-            .when(has("tabularpredictor") | has("autogluon"), "autogluon")
-            .when(has("lgb") | has("lightgbm"), "lightgbm")
-            .when(has("xgb") | has("xgboost"), "xgboost")
-            .when(has("catboost"), "catboost")
-            .when(has("randomforest"), "random_forest")
-            .when(has("gradientboosting"), "sklearn_gbm")
-            .when(has("prophet"), "prophet")
-            .when(has("lstm") | has("gru") | (has("torch") & (has("nn.linear") | has("module"))), "deep_learning")
-            .when(has("sentence_transformers") | has("transformers"), "transformer")
-            .when(has("stackingregressor") | has("stackingclassifier") | has("votingregressor")
-                  | has("votingclassifier"), "stacking_ensemble")
-            .when(has("ridge") | has("lasso") | has("elasticnet") | has("linearregression")
-                  | has("logisticregression"), "linear")
-            .when(has("svc(") | has("svr("), "svm")
-            .when(has("mlpclassifier") | has("mlpregressor"), "neural_network")
-            .otherwise("other"))
+    """F9 model family from code or model text (FAMILY_RULES, in order)."""
+    return classify_text(text, FAMILY_RULES, FAMILY_DEFAULT, FAMILY_EMPTY)
 
 
 # Display name for each model-class pattern, first match wins.

@@ -277,19 +277,8 @@ def f7_sentinel_metrics(spark, sf):
 
 
 @register("f8_failure_reasons", f"""
-WITH {X.EXPLOG}, c AS (SELECT CASE
-  WHEN contains(lower(error), 'filenotfounderror') OR contains(lower(error), 'no such file or directory') THEN 'data_path'
-  WHEN contains(lower(error), 'train.csv') OR contains(lower(error), 'test.csv') THEN 'data_path'
-  WHEN contains(lower(error), 'name ''data_path'' is not defined')
-    OR (contains(lower(error), 'nameerror') AND contains(lower(error), 'data_path')) THEN 'data_path_inject'
-  WHEN contains(lower(error), 'validate_parameter_constraints') OR contains(lower(error), 'invalid parameter')
-    THEN 'invalid_hyperparameter'
-  WHEN contains(lower(error), 'absolute_deviation') THEN 'invalid_hyperparameter'
-  WHEN contains(lower(error), 'no module named') THEN 'missing_package'
-  WHEN contains(lower(error), 'timeout') THEN 'timeout'
-  WHEN contains(lower(error), 'no json in stdout') THEN 'bad_output_format'
-  WHEN contains(lower(error), 'json') AND contains(lower(error), 'decode') THEN 'bad_output_format'
-  ELSE 'runtime_error' END AS reason FROM log WHERE status = 'crash')
+WITH {X.EXPLOG}, c AS (SELECT {S.classify_sql('error', S.FAILURE_RULES, S.FAILURE_DEFAULT)} AS reason
+  FROM log WHERE status = 'crash')
 SELECT reason, count(*) AS n FROM c GROUP BY reason""")
 def f8_failure_reasons(spark, sf):
     log = X.explog(spark, sf).where(F.col("status") == "crash")
@@ -297,25 +286,7 @@ def f8_failure_reasons(spark, sf):
 
 
 def _family_sql(t: str) -> str:
-    c = f"lower(coalesce({t}, ''))"
-    h = lambda s: f"contains({c}, '{s}')"
-    return f"""CASE WHEN coalesce({t}, '') = '' THEN 'unknown'
-  WHEN {h('tabularpredictor')} OR {h('autogluon')} THEN 'autogluon'
-  WHEN {h('lgb')} OR {h('lightgbm')} THEN 'lightgbm'
-  WHEN {h('xgb')} OR {h('xgboost')} THEN 'xgboost'
-  WHEN {h('catboost')} THEN 'catboost'
-  WHEN {h('randomforest')} THEN 'random_forest'
-  WHEN {h('gradientboosting')} THEN 'sklearn_gbm'
-  WHEN {h('prophet')} THEN 'prophet'
-  WHEN {h('lstm')} OR {h('gru')} OR ({h('torch')} AND ({h('nn.linear')} OR {h('module')})) THEN 'deep_learning'
-  WHEN {h('sentence_transformers')} OR {h('transformers')} THEN 'transformer'
-  WHEN {h('stackingregressor')} OR {h('stackingclassifier')} OR {h('votingregressor')} OR {h('votingclassifier')}
-    THEN 'stacking_ensemble'
-  WHEN {h('ridge')} OR {h('lasso')} OR {h('elasticnet')} OR {h('linearregression')} OR {h('logisticregression')}
-    THEN 'linear'
-  WHEN {h('svc(')} OR {h('svr(')} THEN 'svm'
-  WHEN {h('mlpclassifier')} OR {h('mlpregressor')} THEN 'neural_network'
-  ELSE 'other' END"""
+    return S.classify_sql(t, S.FAMILY_RULES, S.FAMILY_DEFAULT, S.FAMILY_EMPTY)
 
 
 def _model_name_sql(t: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import scalars as S
 from quarry.operators import explog as L
 from quarry.plans import fixtures as X
 from quarry.plans.q_clean import _family_sql
@@ -13,19 +14,7 @@ from quarry.plans.registry import finish, register
 NUM_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 ORDER = ["ts", "event_id"]
 
-REASON_SQL = """CASE
-  WHEN contains(lower(error), 'filenotfounderror') OR contains(lower(error), 'no such file or directory') THEN 'data_path'
-  WHEN contains(lower(error), 'train.csv') OR contains(lower(error), 'test.csv') THEN 'data_path'
-  WHEN contains(lower(error), 'name ''data_path'' is not defined')
-    OR (contains(lower(error), 'nameerror') AND contains(lower(error), 'data_path')) THEN 'data_path_inject'
-  WHEN contains(lower(error), 'validate_parameter_constraints') OR contains(lower(error), 'invalid parameter')
-    THEN 'invalid_hyperparameter'
-  WHEN contains(lower(error), 'absolute_deviation') THEN 'invalid_hyperparameter'
-  WHEN contains(lower(error), 'no module named') THEN 'missing_package'
-  WHEN contains(lower(error), 'timeout') THEN 'timeout'
-  WHEN contains(lower(error), 'no json in stdout') THEN 'bad_output_format'
-  WHEN contains(lower(error), 'json') AND contains(lower(error), 'decode') THEN 'bad_output_format'
-  ELSE 'runtime_error' END"""
+REASON_SQL = S.classify_sql("error", S.FAILURE_RULES, S.FAILURE_DEFAULT)
 
 BEST_SQL = """s AS (SELECT * FROM log WHERE status <> 'crash'),
 kb AS (SELECT run_id, num, model, metric_val,
