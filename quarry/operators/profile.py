@@ -71,34 +71,40 @@ def profileable(df: DataFrame) -> list[str]:
 
 
 def _pass_a(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One aggregate, then one row per column (position, name, stats...)."""
+    """Per-column statistics, one row per column (position, name, stats...).
+
+    The columns are stacked to (position, name, kind, flags, x) rows and
+    aggregated by column: one compact aggregate that whole-stage codegen
+    handles for any number of columns (a single aggregate holding a dozen
+    functions per column outgrows the generated-code limits on wide tables).
+    Derived values (numeric parse, date / path flags, text length) are
+    computed once per value."""
     items = []
     for pos, c in enumerate(cols):
         dt = df.schema[c].dataType
-        col, x, s = _q(c), _num(_q(c), dt), _text(_q(c), dt)
+        col, s = _q(c), _text(_q(c), dt)
         nn = col.isNotNull()
         if isinstance(dt, (T.DoubleType, T.FloatType)):
             nn = nn & ~F.isnan(col)
         kind = _kind(dt)
-        nr = F.avg(F.when(nn, x.isNotNull().cast("double")))
         if kind == "string":
+            sep = s.contains("-") | s.contains("/")
             # a date needs a '-' or '/' (bare numbers parse as years in Spark)
-            dr = F.avg(F.when(nn, (to_timestamp_safe(s).isNotNull()
-                                   & (s.contains("-") | s.contains("/"))).cast("double")))
-            sl = F.avg(F.when(nn, (s.contains("-") | s.contains("/")).cast("double")))
-            pr = F.avg(F.when(nn, s.rlike(PATH_PATTERN).cast("double")))
+            flags = [(to_timestamp_safe(s).isNotNull() & sep), sep, s.rlike(PATH_PATTERN), F.length(s)]
         else:
-            dr = sl = pr = F.lit(None).cast("double")
-        items.append(F.struct(
-            F.lit(pos).alias("position"), F.lit(c).alias("name"), F.lit(kind).alias("kind"),
-            F.count(F.when(nn, 1)).alias("non_null"), nr.alias("nr"), dr.alias("dr"), sl.alias("sl"),
-            pr.alias("pr"),
-            (F.avg(F.when(nn, F.length(s))).cast("double") if kind == "string"
-             else F.lit(None).cast("double")).alias("avg_len"),
-            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            F.max(x).alias("max"), F.skewness(x).alias("skew_pop"), F.count(x).alias("n_num")))
-    agg = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*items).alias("cols"))
-    return agg.select("rows", F.explode("cols").alias("c")).select("rows", "c.*")
+            flags = [F.lit(None).cast("boolean")] * 3 + [F.lit(None).cast("int")]
+        items.append(F.struct(F.lit(pos).alias("position"), F.lit(c).alias("name"), F.lit(kind).alias("kind"),
+                              nn.alias("nn"), _num(col, dt).alias("x"), flags[0].alias("dt"),
+                              flags[1].alias("sep"), flags[2].alias("pa"), flags[3].alias("ln")))
+    long = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.*")
+    nn, x = F.col("nn"), F.col("x")
+    ratio = lambda flag: F.avg(F.when(nn, flag.cast("double")))
+    return long.groupBy("position", "name", "kind").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(nn, 1)).alias("non_null"), ratio(x.isNotNull()).alias("nr"),
+        ratio(F.col("dt")).alias("dr"), ratio(F.col("sep")).alias("sl"), ratio(F.col("pa")).alias("pr"),
+        F.avg(F.when(nn, F.col("ln"))).cast("double").alias("avg_len"),
+        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.skewness(x).alias("skew_pop"), F.count(x).alias("n_num"))
 
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
