@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from quarry.operators.ordered import DEFAULT_BUCKET_ROWS, halo, row_index
 
 
+MAX_BROADCAST_ROWS = 100_000
+
+
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -103,9 +106,12 @@ def oversample(df: DataFrame, label: str, split: str | None = None) -> DataFrame
     The factor table has one row per class and is joined as a broadcast."""
     part = df.where(_q(split) == "train") if split else df
     counts = part.groupBy(_q(label).alias("_lbl")).agg(F.count(F.lit(1)).alias("_n"))
-    mx = counts.agg(F.max("_n")).first()[0]
+    st = counts.agg(F.max("_n").alias("mx"), F.count(F.lit(1)).alias("k")).first()
+    mx = st["mx"]
     factors = counts.select("_lbl", F.floor(F.lit(mx) / F.col("_n")).cast("int").alias("_f"))
-    rep = part.join(F.broadcast(factors), _q(label).eqNullSafe(F.col("_lbl"))).withColumn(
+    if st["k"] <= MAX_BROADCAST_ROWS:  # one row per class, checked
+        factors = F.broadcast(factors)
+    rep = part.join(factors, _q(label).eqNullSafe(F.col("_lbl"))).withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("_f")))).drop("_lbl", "_f", "_n")
     if split:
         rest = df.where(~(_q(split) == "train") | _q(split).isNull()).withColumn("copy", F.lit(1))
