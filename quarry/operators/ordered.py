@@ -63,7 +63,7 @@ def _names(cols) -> list[str]:
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null matches null; keeps the left key columns."""
     if not keys:
-        return left.crossJoin(right) if how == "inner" else left.join(right, how=how)
+        raise ValueError("join_null_safe needs at least one key (no cross joins)")
     ren = right.select(*[F.col(f"`{k}`").alias(f"__r_{k}") for k in keys],
                        *[F.col(f"`{c}`") for c in right.columns if c not in keys])
     cond = None
@@ -233,12 +233,17 @@ def rolling_mean_prefix(df: DataFrame, partition_by: Sequence[str], order_by: Se
                      F.col("_ps").alias("_hps"), F.col("_pc").alias("_hpc"))
     lo = ends.select(*partition_by, (F.col("_idx") + F.lit(before + 1)).alias("_idx"),
                      F.col("_ps").alias("_lps"), F.col("_pc").alias("_lpc"))
-    last = b.groupBy(*partition_by).agg(F.max("_idx").alias("_mx"))
-    last = join_null_safe(last, ends.withColumnRenamed("_idx", "_mx"), [*partition_by, "_mx"]) \
-        .select(*partition_by, F.col("_ps").alias("_tps"), F.col("_pc").alias("_tpc"))
     j = join_null_safe(join_null_safe(b, hi, [*partition_by, "_idx"], "left"),
                        lo, [*partition_by, "_idx"], "left")
-    j = join_null_safe(j, last, list(partition_by), "left")
+    if partition_by:
+        last = b.groupBy(*partition_by).agg(F.max("_idx").alias("_mx"))
+        last = join_null_safe(last, ends.withColumnRenamed("_idx", "_mx"), [*partition_by, "_mx"]) \
+            .select(*partition_by, F.col("_ps").alias("_tps"), F.col("_pc").alias("_tpc"))
+        j = join_null_safe(j, last, list(partition_by), "left")
+    else:
+        # one series: its totals are a single row, used as literals
+        tot = b.agg(F.max_by("_ps", "_idx").alias("s"), F.max_by("_pc", "_idx").alias("c")).first()
+        j = j.withColumns({"_tps": F.lit(tot["s"]).cast("double"), "_tpc": F.lit(tot["c"]).cast("long")})
     s = F.coalesce(F.col("_hps"), F.col("_tps")) - F.coalesce(F.col("_lps"), F.lit(0.0))
     c = F.coalesce(F.col("_hpc"), F.col("_tpc")) - F.coalesce(F.col("_lpc"), F.lit(0))
     return j.withColumn(name, F.when(c > 0, s / c)).drop(

@@ -86,3 +86,13 @@ def test_null_keys_stay_together(spark):
     df = spark.createDataFrame(pdf)
     out = O.row_index(df, ["t"], ["k"], name="i").orderBy("t").toPandas()
     assert out["i"].tolist() == [0, 0, 1, 1, 2]
+
+
+def test_prefix_rolling_single_series(spark):
+    df, _ = _data(spark)
+    d = df.fillna(0.0).select("t", "v")
+    a = O.halo(d, [], ["t"], 4, 3, lambda w: {"r": F.avg("v").over(w.rowsBetween(-4, 3))}, bucket_rows=7)
+    b = O.rolling_mean_prefix(d, [], ["t"], "v", 4, 3, "r2", bucket_rows=7)
+    j = a.join(b.select("t", "r2"), "t").toPandas()
+    np.testing.assert_allclose(j["r"], j["r2"], atol=1e-9)
+    assert len(j) == 300
