@@ -85,12 +85,68 @@ def _byte_ids(piece: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
 
 
+def _pairs(words: DataFrame, sign: int = 1) -> DataFrame:
+    """(a, b, c) adjacent pair counts of words held as ' id id ... ' strings."""
+    arr = F.filter(F.split(F.trim(F.col("ids")), " "), lambda s: s != "")
+    z = words.select(F.col("n"), F.arrays_zip(F.slice(arr, 1, F.size(arr) - 1), F.slice(arr, 2, F.size(arr))).alias("z"))
+    return (z.where(F.size("z") > 0).select("n", F.explode("z").alias("p"))
+            .select(F.col("p")["0"].cast("int").alias("a"), F.col("p")["1"].cast("int").alias("b"),
+                    (F.col("n") * sign).alias("c")))
+
+
+def train_bpe_incremental(counts: DataFrame, vocab_size: int, checkpoint_every: int = 16,
+                          specials: Sequence[str] = SPECIAL_TOKENS) -> list[tuple[int, int]]:
+    """B3, same merges as ``train_bpe``, for corpora whose pair occurrences
+    are too many to shuffle every round (it runs more, smaller jobs per round).
+
+    Incremental: a pair-count table is built once; each round takes its top
+    pair, rewrites only the words that contain it, and adds the difference of
+    their new and old pair counts.  A round therefore moves the distinct-pair
+    table and the affected words, not every pair of the corpus.  Both tables
+    are persisted per round and checkpointed every ``checkpoint_every``."""
+    n_merges = vocab_size - len(specials) - 256
+    words = cut_lineage(counts.select(_byte_ids(F.col("piece")).alias("ids"), F.col("n").cast("long").alias("n")))
+    pairs = cut_lineage(_pairs(words).groupBy("a", "b").agg(F.sum("c").alias("c")))
+    merges: list[tuple[int, int]] = []
+    held: list[DataFrame] = []
+    for r in range(max(n_merges, 0)):
+        best = pairs.where(F.col("c") > 0).orderBy(F.desc("c"), F.asc("a"), F.asc("b")).limit(1).collect()
+        if not best:
+            break
+        a, b = best[0]["a"], best[0]["b"]
+        new = 256 + r
+        merges.append((a, b))
+        hit = F.col("ids").contains(f" {a} {b} ")
+        merged = F.regexp_replace("ids", f"(?<= ){a} {b}(?= )", str(new))
+        affected = words.where(hit)
+        delta = _pairs(affected.withColumn("ids", merged)).unionByName(_pairs(affected, -1))
+        pairs = (pairs.unionByName(delta).groupBy("a", "b").agg(F.sum("c").alias("c"))
+                 .where(F.col("c") != 0))
+        words = words.withColumn("ids", F.when(hit, merged).otherwise(F.col("ids")))
+        if (r + 1) % checkpoint_every == 0:
+            pairs, words = cut_lineage(pairs), cut_lineage(words)
+        else:
+            # materialise this round before releasing the last one; a lost
+            # block is recomputed from the last checkpoint (deterministic)
+            pairs, words = pairs.persist(), words.persist()
+            pairs.count()
+            words.count()
+        for d in held:
+            d.unpersist()
+        held = [pairs, words]
+    for d in held:
+        d.unpersist()
+    return merges
+
+
 def train_bpe(counts: DataFrame, vocab_size: int, checkpoint_every: int = 32,
               specials: Sequence[str] = SPECIAL_TOKENS) -> list[tuple[int, int]]:
     """B3 learn ``vocab_size - len(specials) - 256`` merges over the byte
     sequences of the distinct pre-tokens, weighted by their counts.  Returns
     the merges in order; merge i creates token 256 + i.  Ties between pair
-    counts go to the smaller (left id, right id)."""
+    counts go to the smaller (left id, right id).  Each round recounts the
+    adjacent pairs of all distinct pre-tokens (one aggregation, map-side
+    combined) and rewrites the words containing the best pair."""
     n_merges = vocab_size - len(specials) - 256
     words = counts.select(_byte_ids(F.col("piece")).alias("ids"), F.col("n").cast("long").alias("n"))
     words = cut_lineage(words)

@@ -46,6 +46,7 @@ def test_bpe_equals_reference_and_round_trips(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     merges = C.train_bpe(C.pretoken_counts(df), 256 + 4 + 12, checkpoint_every=5)
     assert merges == _ref_bpe(TEXTS, 12)
+    assert C.train_bpe_incremental(C.pretoken_counts(df), 256 + 4 + 12, checkpoint_every=5) == merges
     audit = C.round_trip_audit(df, merges).first()
     assert audit["mismatches"] == 0 and audit["documents"] == len(TEXTS)
     enc = C.encode(df, merges)
