@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     # broadcast only what the planner has sized; 32 MB keeps executors safe
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # remove checkpoint files once their DataFrame is gone (shared folder stays small)
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -30,7 +30,9 @@ def test_read_full_and_short_logs(spark, tmpdir_path):
 
 
 QUERIES = ["w7_stagnation", "l10_kept_progress", "t17_forward_fill_global", "e5_auc_by_lang", "w4_rolling_mean",
-           "v4_stratified_kfold", "w9_crash_streaks"]
+           "v4_stratified_kfold", "w9_crash_streaks", "w1_running_best", "w3_hits", "l4_near_baseline",
+           "w10_lag_features", "j9_lagged_pairs", "x6_factorize_first_appearance", "v1_time_split",
+           "b1_cap_corpus", "p6_serial_correlation", "k4_list_runs", "t9_bin"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
