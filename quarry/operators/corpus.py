@@ -17,7 +17,6 @@ import functools
 import math
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -348,6 +347,3 @@ def unigram_nats(train_ids: DataFrame, val_ids: DataFrame, vocab: int, ids: str
 def token_counts(df: DataFrame, ids: str = "ids") -> DataFrame:
     return df.select(F.explode(F.col(ids)).alias("token_id")).groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
 
-
-def np_len(a) -> int:
-    return int(np.asarray(a).shape[0])

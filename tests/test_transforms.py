@@ -3,7 +3,6 @@
 import math
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from quarry.operators import transforms as T
 
