@@ -98,12 +98,17 @@ def _pass_a(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.*")
     nn, x = F.col("nn"), F.col("x")
     ratio = lambda flag: F.avg(F.when(nn, flag.cast("double")))
-    return long.groupBy("position", "name", "kind").agg(
+    # one row per column even for an empty table (the name table is bounded by the column count)
+    names = df.sparkSession.createDataFrame([(i, c, _kind(df.schema[c].dataType)) for i, c in enumerate(cols)],
+                                            "position int, name string, kind string")
+    stats = long.groupBy("position", "name", "kind").agg(
         F.count(F.lit(1)).alias("rows"), F.count(F.when(nn, 1)).alias("non_null"), ratio(x.isNotNull()).alias("nr"),
         ratio(F.col("dt")).alias("dr"), ratio(F.col("sep")).alias("sl"), ratio(F.col("pa")).alias("pr"),
         F.avg(F.when(nn, F.col("ln"))).cast("double").alias("avg_len"),
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
         F.skewness(x).alias("skew_pop"), F.count(x).alias("n_num"))
+    out = names.join(stats, ["position", "name", "kind"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("rows", "non_null", "n_num")})
 
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -196,7 +201,7 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, order_by:
     return prof.select(
         "position", "name", "type", F.col("unique").cast("long").alias("unique"),
         (F.col("rows") - F.col("non_null")).alias("nulls"),
-        F.round((F.col("rows") - F.col("non_null")) * 100.0 / F.col("rows"), 1).alias("null_pct"),
+        F.round((F.col("rows") - F.col("non_null")) * 100.0 / F.nullif(F.col("rows"), F.lit(0)), 1).alias("null_pct"),
         F.transform("_smp", lambda s: s["value"]).alias("sample"),
         r4("mean").alias("mean"), r4("std").alias("std"), r4("min").alias("min"), r4("max").alias("max"),
         r4("p25").alias("p25"), r4("p50").alias("p50"), r4("p75").alias("p75"),
