@@ -6,9 +6,11 @@ scale the library computes them instead as:
 
 * exact quantiles: stack the columns to (column, x); a mergeable sketch
   brackets each needed rank in a narrow value band, one aggregation counts
-  the values below the band and the distinct values in it, and a running
-  count over that small table picks the exact order statistics (a full
-  range-partitioned sort remains as the verified fallback);
+  the values below each band and the distinct values inside the bands (one
+  output row per value: a value's interval among the band bounds tells which
+  bands it lies below), and the exact order statistics are read off that
+  small table (a full range-partitioned sort remains as the verified
+  fallback);
 * mode: ``groupBy(value).count()`` (map-side combined) and a top-1;
 * top-k per group: a salted two-stage ranking so no group is ranked in one task.
 """
@@ -140,6 +142,7 @@ def quantiles_df(df: DataFrame, cols: Sequence[str], probs: Sequence[float], coe
 
 
 MAX_SMALL_ROWS = 200_000
+MAX_LITERAL_GROUPS = 64
 
 
 def _quantiles_small_band(long: DataFrame, keys, probs, accuracy: int):
@@ -168,19 +171,56 @@ def _quantiles_small_band(long: DataFrame, keys, probs, accuracy: int):
             tgt.append((*key, float(p), float(lo), float(hi)))
     if not tgt:
         return spark.createDataFrame([], long.select(*keys).schema.add("p", "double").add("value", "double"))
-    tschema = long.select(*keys).schema.add("p", "double").add("_blo", "double").add("_bhi", "double")
-    # groups x probabilities rows, bounded by the check above
-    t = F.broadcast(spark.createDataFrame(tgt, tschema))
-    j = join_null_safe(long, t, keys)
-    cell = F.when(F.col("x") < F.col("_blo"), F.lit(None)).otherwise(F.col("x"))
-    agg = (j.where(F.col("x") <= F.col("_bhi")).groupBy(*keys, "p", cell.alias("bx"))
-           .agg(F.count(F.lit(1)).alias("_c")))
-    band_rows = agg.limit(MAX_SMALL_ROWS + 1).collect()
-    if len(band_rows) > MAX_SMALL_ROWS:
-        return None
     cells: dict = {}
-    for r in band_rows:
-        cells.setdefault(tuple(r[c] for c in keys) + (r["p"],), []).append((r["bx"], r["_c"]))
+    if len(groups) <= MAX_LITERAL_GROUPS:
+        # one pass, one output row per value: with the band bounds of each
+        # column as literals, a value falls into interval i = #(lo <= x); the
+        # rows below band j are those with i < j, and a value inside any band
+        # keeps its own cell
+        by_key: dict = {}
+        for row in tgt:
+            by_key.setdefault(row[:len(keys)], []).append(row[len(keys):])
+        interval, inband = None, None
+        for key, bands in by_key.items():
+            match = None
+            for kc, kv in zip(keys, key):
+                e = F.col(kc).eqNullSafe(F.lit(kv))
+                match = e if match is None else match & e
+            los = [b[1] for b in bands]
+            i_expr = sum((F.when(F.col("x") >= F.lit(lo), 1).otherwise(0) for lo in los), F.lit(0))
+            in_expr = None
+            for _, lo, hi in bands:
+                e = (F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))
+                in_expr = e if in_expr is None else in_expr | e
+            interval = F.when(match, i_expr) if interval is None else interval.when(match, i_expr)
+            inband = F.when(match, in_expr) if inband is None else inband.when(match, in_expr)
+        agg = (long.select(*keys, interval.alias("_i"), F.when(inband, F.col("x")).alias("bx"))
+               .groupBy(*keys, "_i", "bx").agg(F.count(F.lit(1)).alias("_c")))
+        band_rows = agg.limit(MAX_SMALL_ROWS + 1).collect()
+        if len(band_rows) > MAX_SMALL_ROWS:
+            return None
+        per_key: dict = {}
+        for r in band_rows:
+            per_key.setdefault(tuple(r[c] for c in keys), []).append((r["_i"], r["bx"], r["_c"]))
+        for key, bands in by_key.items():
+            rows_k = per_key.get(key, [])
+            for j, (p, lo, hi) in enumerate(bands, start=1):
+                below = sum(c for i, _, c in rows_k if i < j)
+                vals = [(None, below)] + [(v, c) for i, v, c in rows_k if v is not None and lo <= v <= hi]
+                cells[key + (p,)] = vals
+    else:
+        tschema = long.select(*keys).schema.add("p", "double").add("_blo", "double").add("_bhi", "double")
+        # groups x probabilities rows, bounded by the check above
+        t = F.broadcast(spark.createDataFrame(tgt, tschema))
+        j = join_null_safe(long, t, keys)
+        cell = F.when(F.col("x") < F.col("_blo"), F.lit(None)).otherwise(F.col("x"))
+        agg = (j.where(F.col("x") <= F.col("_bhi")).groupBy(*keys, "p", cell.alias("bx"))
+               .agg(F.count(F.lit(1)).alias("_c")))
+        band_rows = agg.limit(MAX_SMALL_ROWS + 1).collect()
+        if len(band_rows) > MAX_SMALL_ROWS:
+            return None
+        for r in band_rows:
+            cells.setdefault(tuple(r[c] for c in keys) + (r["p"],), []).append((r["bx"], r["_c"]))
     n_of = {tuple(g[c] for c in keys): g["_n"] for g in groups}
     out = []
     for key, items in cells.items():
