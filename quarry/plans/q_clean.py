@@ -242,9 +242,9 @@ def f3_math(spark, sf):
 
 
 @register("f4_text", """
-SELECT doc_id, length(text) AS n_len, contains(text, 'the') AS has_the,
+SELECT doc_id, CAST(length(text) AS INTEGER) AS n_len, contains(text, 'the') AS has_the,
   regexp_matches(text, '[0-9]{3}') AS has_digits, lower(substr(trim(text), 1, 12)) AS head,
-  len(string_split(text, ' ')) AS n_parts FROM documents""")
+  CAST(len(string_split(text, ' ')) AS INTEGER) AS n_parts FROM documents""")
 def f4_text(spark, sf):
     d = read_table(spark, sf, "documents")
     return d.select("doc_id", F.length("text").alias("n_len"), F.col("text").contains("the").alias("has_the"),

@@ -38,7 +38,7 @@ def io16_shard_split(spark, sf):
 
 @register("b1_cap_corpus", """
 WITH d AS (SELECT doc_id, substr(text, 1, 10000) AS doc FROM documents WHERE doc_id % 10 <> 9),
-r AS (SELECT doc_id, length(doc) AS n, coalesce(sum(length(doc)) OVER (ORDER BY doc_id
+r AS (SELECT doc_id, CAST(length(doc) AS INTEGER) AS n, coalesce(sum(length(doc)) OVER (ORDER BY doc_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
 SELECT doc_id, n FROM r WHERE before < 1000000""")
 def b1_cap_corpus(spark, sf):
