@@ -69,19 +69,22 @@ def _targets(n: DataFrame, keys, probs) -> DataFrame:
 
 def quantiles_by_sort(df: DataFrame, cols: Sequence[str], probs: Sequence[float], coerce: bool = True,
                       by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles from a full distributed sort (row index per column)."""
+    """Exact quantiles from all distinct values: values are counted per
+    (group, value) first (a dominant value becomes one row), a running count
+    over the distinct values in order (range-partitioned, skew-safe) gives
+    each value's last rank, and the order statistics are the first values
+    whose running count passes the needed ranks.  Deterministic throughout."""
     long = _stack(df, cols, coerce, by)
     keys = [*by, "column"]
-    # the tie-break splits a run of equal values over range partitions
-    long = long.withColumn("_tb", F.monotonically_increasing_id())
-    ranked = row_index(long, ["x", "_tb"], keys, name="_r", tie_break=False)
-    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    vc = long.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_c"))
+    cum = running(vc, keys, ["x"], [("_cum", "sum", "_c")])
+    n = vc.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     targets = _targets(n, keys, probs)
-    lo = join_null_safe(targets, ranked.select(*keys, F.col("_r").alias("_lo"), F.col("x").alias("_xlo")),
-                        [*keys, "_lo"], "left")
-    both = join_null_safe(lo, ranked.select(*keys, F.col("_r").alias("_hi"), F.col("x").alias("_xhi")),
-                          [*keys, "_hi"], "left")
-    return _interpolate(keys, both)
+    cand = join_null_safe(cum, targets.select(*keys, "p", "_lo", "_hi"), keys)
+    picks = cand.groupBy(*keys, "p").agg(
+        F.min(F.when(F.col("_cum") > F.col("_lo"), F.col("x"))).alias("_xlo"),
+        F.min(F.when(F.col("_cum") > F.col("_hi"), F.col("x"))).alias("_xhi"))
+    return _interpolate(keys, join_null_safe(targets, picks, [*keys, "p"], "left"))
 
 
 def quantiles_df(df: DataFrame, cols: Sequence[str], probs: Sequence[float], coerce: bool = True,
