@@ -9,8 +9,8 @@ scale the library computes them instead as:
   the values below each band and the distinct values inside the bands (one
   output row per value: a value's interval among the band bounds tells which
   bands it lies below), and the exact order statistics are read off that
-  small table (a full range-partitioned sort remains as the verified
-  fallback);
+  small table (the verified fallback counts every distinct value and takes a
+  skew-safe running count over them);
 * mode: ``groupBy(value).count()`` (map-side combined) and a top-1;
 * top-k per group: a salted two-stage ranking so no group is ranked in one task.
 """
