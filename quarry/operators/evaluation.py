@@ -37,7 +37,6 @@ def classification_metrics(df: DataFrame, actual: str = "actual", predicted: str
     class), macro or weighted (by support).  Undefined ratios count as 0."""
     cm = confusion(df, actual, predicted, by)
     hit = F.col("actual") == F.col("predicted")
-    tot = cm.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(F.when(hit, F.col("n"))).alias("correct"))
     a = cm.groupBy(*by, F.col("actual").alias("cls")).agg(F.sum("n").alias("support"),
                                                            F.sum(F.when(hit, F.col("n"))).alias("tp"))
     p = cm.groupBy(*by, F.col("predicted").alias("cls")).agg(F.sum("n").alias("pred_n"))
@@ -50,23 +49,18 @@ def classification_metrics(df: DataFrame, actual: str = "actual", predicted: str
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
     per = per.withColumn("f1", f1)
+    # one aggregate over the per-class table: accuracy = sum(tp) / sum(support)
+    acc = (F.sum("tp") / F.sum("support")).alias("accuracy")
     if average == "binary":
-        agg = per.where(F.col("cls") == positive).groupBy(*by).agg(
-            F.first("precision").alias("precision"), F.first("recall").alias("recall"), F.first("f1").alias("f1"))
+        pick = lambda m: F.max(F.when(F.col("cls") == positive, F.col(m)))
+        ms = [pick(m).alias(m) for m in ("precision", "recall", "f1")]
     elif average == "macro":
-        agg = per.groupBy(*by).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-                                   F.avg("f1").alias("f1"))
+        ms = [F.avg(m).alias(m) for m in ("precision", "recall", "f1")]
     else:
         w = F.col("support")
-        agg = per.groupBy(*by).agg(*[(F.sum(F.col(m) * w) / F.sum(w)).alias(m) for m in ("precision", "recall", "f1")])
-    if by:
-        out = join_null_safe(tot, agg, list(by), "left")
-    else:
-        # both sides are a single aggregate row
-        out = tot.withColumn("_k", F.lit(1)).join(agg.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-    return out.select(*by, (F.col("correct") / F.col("total")).alias("accuracy"),
-                      F.coalesce("precision", F.lit(0.0)).alias("precision"),
-                      F.coalesce("recall", F.lit(0.0)).alias("recall"), F.coalesce("f1", F.lit(0.0)).alias("f1"))
+        ms = [(F.sum(F.col(m) * w) / F.sum(w)).alias(m) for m in ("precision", "recall", "f1")]
+    out = per.groupBy(*by).agg(acc, *ms) if by else per.agg(acc, *ms)
+    return out.select(*by, "accuracy", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in ("precision", "recall", "f1")])
 
 
 def auc(df: DataFrame, score: str = "score", label: str = "actual", by: Sequence[str] = (),

@@ -360,9 +360,14 @@ def kmeans_sweep(df: DataFrame, features: str = "features", ks: Sequence[int] =
     return best[0], best[1], scores
 
 
-def mixture(df: DataFrame, k: int, features: str = "features", seed: int = 42):
-    """M15 Gaussian mixture."""
-    return CU.GaussianMixture(k=k, seed=seed, featuresCol=features).fit(df)
+def mixture(df: DataFrame, k: int, features: str = "features", seed: int = 42, reduce_to: int | None = None):
+    """M15 Gaussian mixture; with ``reduce_to`` the vectors are first projected
+    on that many principal components (full covariances in many dimensions
+    are numerically fragile).  Returns a PipelineModel-like fitted model."""
+    gmm = CU.GaussianMixture(k=k, seed=seed, featuresCol="__pca" if reduce_to else features)
+    if not reduce_to:
+        return gmm.fit(df)
+    return Pipeline(stages=[FT.PCA(k=reduce_to, inputCol=features, outputCol="__pca"), gmm]).fit(df)
 
 
 def hierarchical(df: DataFrame, k: int, features: str = "features", seed: int = 42):

@@ -119,7 +119,7 @@ def m15_e7_kmeans_silhouette(spark, sf):
 @register("m15_mixture_and_bisecting")
 def m15_mixture_and_bisecting(spark, sf):
     e = M.vectors(read_table(spark, sf, "embeddings"), "embedding")
-    g = M.mixture(e, 4).transform(e).select("vec_id", F.col("prediction").alias("gmm"))
+    g = M.mixture(e, 4, reduce_to=8).transform(e).select("vec_id", F.col("prediction").alias("gmm"))
     b = M.hierarchical(e, 4).transform(e).select("vec_id", F.col("prediction").alias("bisecting"))
     return g.join(b, "vec_id")
 
