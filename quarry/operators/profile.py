@@ -400,6 +400,35 @@ def signals(profile: DataFrame, balance: DataFrame) -> DataFrame:
     return spark.createDataFrame(out, "signal string, detail string")
 
 
+def notable_trait(profile: DataFrame, balance: DataFrame, sig: DataFrame, target: str, rows: int) -> DataFrame:
+    """P11 the single most notable trait, first rule that holds: the target's
+    majority class above 70 % (or an imbalance signal), a datetime signal,
+    more than 50 columns, more than 100 000 rows, mostly numeric features,
+    categorical features, else plain.  One row (trait, detail)."""
+    spark = profile.sparkSession
+    top = (balance.where(F.col("column") == target).orderBy(F.desc("share"), "value").limit(1).collect())
+    share, major = (top[0]["share"], top[0]["value"]) if top else (0.0, "")
+    names = {r["signal"] for r in sig.collect()}  # a handful of rows
+    types = [r["type"] for r in profile.select("type").collect()]  # one row per column
+    n_num = sum(t == "numeric" for t in types)
+    n_cat = sum(t in ("categorical", "high_cardinality") for t in types)
+    if (share > 0.7 or "imbalanced_target" in names) and share > 0:
+        row = ("class_imbalance", f"{target}={major}:{share}")
+    elif "datetime_numeric" in names:
+        row = ("time_structure", "")
+    elif len(types) > 50:
+        row = ("high_dimensional", str(len(types)))
+    elif rows > 100_000:
+        row = ("large", str(rows))
+    elif n_num and n_num > n_cat:
+        row = ("mostly_numeric", str(n_num))
+    elif n_cat:
+        row = ("categorical", str(n_cat))
+    else:
+        row = ("plain", "")
+    return spark.createDataFrame([row], "trait string, detail string")
+
+
 def profile(df: DataFrame, order_by: Sequence | None = None) -> dict:
     """P1 the full profile as a dict of small DataFrames (lazy)."""
     cols = profileable(df)

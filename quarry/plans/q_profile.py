@@ -369,6 +369,15 @@ def p11_signals(spark, sf):
     return P.signals(pr["columns"], pr["class_balance"])
 
 
+@register("p11_notable_trait")
+def p11_notable_trait(spark, sf):
+    lab = read_table(spark, sf, "labels").join(read_table(spark, sf, "documents").select("doc_id", "lang", "n_chars"),
+                                               "doc_id")
+    pr = P.profile(lab)
+    sig = P.signals(pr["columns"], pr["class_balance"])
+    return P.notable_trait(pr["columns"], pr["class_balance"], sig, "toxic", lab.count())
+
+
 @register("t16_detect_date_column", """
 WITH ot AS (SELECT CAST(o_orderkey AS VARCHAR) AS okey, strftime(o_orderdate, '%Y-%m-%d') AS period,
   o_orderpriority FROM orders),
