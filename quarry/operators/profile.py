@@ -106,7 +106,9 @@ def _pass_a(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         ratio(F.col("dt")).alias("dr"), ratio(F.col("sep")).alias("sl"), ratio(F.col("pa")).alias("pr"),
         F.avg(F.when(nn, F.col("ln"))).cast("double").alias("avg_len"),
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.skewness(x).alias("skew_pop"), F.count(x).alias("n_num"))
+        F.skewness(x).alias("skew_pop"), F.count(x).alias("n_num"),
+        F.approx_count_distinct(F.when(nn, x), rsd=0.01).alias("approx_unique"),
+        F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("approx_q"))
     out = names.join(stats, ["position", "name", "kind"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("rows", "non_null", "n_num")})
 
@@ -157,19 +159,31 @@ def _semantic_type(c=F.col) -> Column:
 
 
 def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, order_by: Sequence | None = None,
-                    quantiles: bool = True, top: int = 5, vc: DataFrame | None = None) -> DataFrame:
+                    quantiles: bool = True, top: int = 5, vc: DataFrame | None = None,
+                    exact: bool = True) -> DataFrame:
     """P1-P8 per-column profile (one row per column).
 
     Columns: position, name, type, unique, nulls, null_pct, sample, mean, std,
     min, max, p25, p50, p75, skew, serial_corr, top_values, majority_pct,
-    avg_len, text_sample.  ``serial_corr`` needs ``order_by`` (row order)."""
+    avg_len, text_sample.  ``serial_corr`` needs ``order_by`` (row order).
+    With ``exact=False`` numeric columns take their distinct count from a
+    HyperLogLog sketch and their quartiles from ``percentile_approx``, both in
+    the single statistics pass; only text and datetime columns go through the
+    value-count table."""
     cols = list(cols or profileable(df))
     a = _pass_a(df, cols)
-    vc = vc if vc is not None else value_counts(df, cols)
+    vc_cols = cols if exact else [c for c in cols if _kind(df.schema[c].dataType) != "numeric"]
+    if vc is None:
+        vc = value_counts(df, vc_cols) if vc_cols else df.sparkSession.createDataFrame(
+            [], "column string, value string, n long")
     uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique")).withColumnRenamed("column", "name")
-    prof = a.join(uniq, "name", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
+    prof = a.join(uniq, "name", "left")
+    fallback = F.lit(0) if exact else F.col("approx_unique")
+    prof = prof.withColumn("unique", F.coalesce("unique", fallback))
     prof = prof.withColumn("type", _semantic_type())
-    if quantiles:
+    if quantiles and not exact:
+        prof = prof.withColumns({k: F.col("approx_q")[i] for i, k in enumerate(("p25", "p50", "p75"))})
+    elif quantiles:
         num_cols = [c for c in cols if _kind(df.schema[c].dataType) in ("numeric", "string")]
         q = quantiles_df(df, num_cols, [0.25, 0.5, 0.75]) if num_cols else None
         if q is not None:

@@ -66,3 +66,15 @@ def test_fan_out_prediction(spark):
     b = spark.createDataFrame([(1,), (1,), (1,), (3,)], "k int")
     r = J.fan_out(a, b, "k").first()
     assert (r["rows_before"], r["rows_after"], r["warn"]) == (3, 2 * 3 + 1 + 1, True)
+
+
+def test_approximate_profile_close_to_exact(spark):
+    from quarry.session import read_table
+    o = read_table(spark, "/root/testdata/sf0.001", "orders")
+    ex = {r["name"]: r for r in P.profile_columns(o).collect()}
+    ap = {r["name"]: r for r in P.profile_columns(o, exact=False).collect()}
+    assert {k: v["type"] for k, v in ex.items()} == {k: v["type"] for k, v in ap.items()}
+    for k, v in ex.items():
+        assert abs(ap[k]["unique"] - v["unique"]) <= 0.05 * max(v["unique"], 1)
+        if v["p50"] is not None:
+            assert abs(ap[k]["p50"] - v["p50"]) <= 0.02 * max(abs(v["p50"]), 1.0) + 1e-9
