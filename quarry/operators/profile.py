@@ -194,7 +194,11 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, order_by:
     else:
         prof = prof.withColumns({k: F.lit(None).cast("double") for k in ("p25", "p50", "p75")})
     # top values and samples: bounded per column
-    tops = top_k_per_group(vc, ["column"], [F.desc("n"), F.asc("value")], top, rank_name="rank")
+    # top values are reported for categorical / high-cardinality types, which
+    # only text columns can have: numeric value counts are not ranked
+    text_cols = [c for c in cols if _kind(df.schema[c].dataType) == "string"]
+    tops = top_k_per_group(vc.where(F.col("column").isin(*text_cols)) if text_cols else vc.limit(0),
+                           ["column"], [F.desc("n"), F.asc("value")], top, rank_name="rank")
     topagg = tops.groupBy(F.col("column").alias("name")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("_top"))
     smp = top_k_per_group(vc, ["column"], [F.asc("value")], 3, rank_name="rank").groupBy(
