@@ -272,3 +272,22 @@ WITH {X.RUNS} SELECT count(*) AS runs, count(*) FILTER (WHERE status = 'done') A
   CAST(coalesce(sum(token_input + token_output), 0) AS BIGINT) AS tokens FROM runs""")
 def p25_run_stats(spark, sf):
     return L.run_stats(X.runs(spark, sf))
+
+
+@register("l1_read_log_tsv", f"""
+WITH {X.EXPLOG} SELECT num AS experiment, model, 'rmse' AS metric, metric_val AS metric_value, train_rmse, test_rmse,
+  CAST(NULL AS DOUBLE) AS train_r2, CAST(NULL AS DOUBLE) AS test_r2, test_rmse AS rmse, CAST(NULL AS DOUBLE) AS mape,
+  CAST(NULL AS DOUBLE) AS mae, CAST(NULL AS DOUBLE) AS r2, CAST(NULL AS DOUBLE) AS nse, status, description
+FROM log""")
+def l1_read_log_tsv(spark, sf):
+    from quarry.sources.files import write_table
+    from quarry.streaming.leaderboard import scratch
+    log = X.explog(spark, sf)
+    cols = {"experiment": F.col("num"), "model": F.col("model"), "metric": F.lit("rmse"),
+            "metric_value": F.col("metric_val"), "train_rmse": F.col("train_rmse"), "test_rmse": F.col("test_rmse"),
+            "train_r2": F.lit(None).cast("double"), "test_r2": F.lit(None).cast("double"), "rmse": F.col("test_rmse"),
+            "mape": F.lit(None).cast("double"), "mae": F.lit(None).cast("double"), "r2": F.lit(None).cast("double"),
+            "nse": F.lit(None).cast("double"), "status": F.col("status"), "description": F.col("description")}
+    path = scratch(spark, "l1") + "/results.tsv"
+    write_table(log.select(*[c.alias(k) for k, c in cols.items()]), path, fmt="tsv")
+    return L.read_log(spark, path)
