@@ -73,6 +73,21 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(ren, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+MIN_BYTES_PER_PARTITION = 1 << 20
+
+
+def _range_partitions(df: DataFrame) -> int:
+    """The configured shuffle partitions, fewer only when the optimizer's
+    size estimate shows a tiny input (under 1 MB per partition): the result
+    does not depend on this number, only the task count does."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate (e.g. a remote session): keep the setting
+        return n
+    return max(1, min(n, -(-size // MIN_BYTES_PER_PARTITION)))
+
+
 def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (),
               name: str = "idx", num_partitions: int | None = None, tie_break: bool = True) -> DataFrame:
     """Add ``name`` = 0-based position by ``order_by`` within ``partition_by``.
@@ -87,7 +102,7 @@ def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (
     keys = part + order
     if tie_break:
         keys += _tie_break(df, list(partition_by) + _names(order_by))
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _range_partitions(df)
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("__ri_pid", F.spark_partition_id())
               .withColumn("__ri_pos", F.monotonically_increasing_id()
