@@ -16,9 +16,8 @@ from quarry.session import checkpoint_dir
 
 # fixed value: a word is a run of characters other than ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents above which a Python batch is cut; with the byte bound below it keeps
-#: a task's memory independent of how long the documents are.
-BATCH_BYTES = 24 << 20
+#: Bytes of text that a Python task works on at a time, however long the documents are.
+BATCH_BYTES = 8 << 20
 
 
 def read_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +39,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id long, text string): what the Python tasks are sent, in batches of a bounded size."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not (held := conf.get(key).rstrip("b")).isdigit() or int(held) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
                  limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of ``column``

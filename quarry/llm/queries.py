@@ -10,8 +10,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, simhash, substrings
-from quarry.llm.common import read_docs
+from quarry.llm import embedding_dedup, mixing, quality, secret_scan, simhash, substrings, toxicity
+from quarry.llm.common import held_out, read_docs
 
 QUERIES, ORACLE = {}, {}
 
@@ -29,9 +29,24 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _labelled(spark, sf_dir, module, label, buckets, remainder):
+    """Fit on labelled rows that are not held out; score every document."""
+    docs = read_docs(spark, sf_dir)
+    texts, labels = toxicity.labelled_sample(docs, _table(spark, sf_dir, "labels"), label,
+                                             ~held_out("id", buckets, remainder), module.Config().sample)
+    scored = module.score(docs, module.fit(texts, labels))
+    return scored.select("doc_id", held_out("doc_id", buckets, remainder).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    return _labelled(spark, sf_dir, toxicity, "toxic", 3, 1)
+
+
 @query("op2_substring_dedup", rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 p AS (SELECT doc_id, w, len(w) AS n, unnest(CASE WHEN len(w) >= 20 THEN range(1, CAST(len(w) - 18 AS BIGINT)) ELSE [] END) AS s FROM d),
@@ -47,11 +62,45 @@ def op2_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(read_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op4_secret_scan")
+def op4_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(read_docs(spark, sf_dir))
+    spans = F.col("spans")
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = ("assign", "access", "hex")
+    return found.select("doc_id", *[count(k) for k in base],
+                        F.sha2(secret_scan.span_text(spans, base), 256).alias("base_sha256"),
+                        secret_scan.span_text(spans).alias("spans"))
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    return _labelled(spark, sf_dir, quality, "quality", 4, 2)
+
+
 @query("op7_source_mixing")
 def op7_source_mixing(spark, sf_dir):
     return mixing.mix(read_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_embedding_near_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v
+       WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(c.y, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(c.y, vec_id)) AS kept
+FROM v LEFT JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id""")
+def op8_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read_docs(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")

@@ -16,12 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import byte_words, components, materialize, text_batches
+from quarry.llm.common import components, ids_and_texts, materialize, text_batches
 
 #: Fingerprints that share a variant are compared pairwise up to this many; larger
 #: buckets (clusters of near copies) go through shared neighbours, which is linear.
 PAIR_BUCKET = 24
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 
 
 def _bits(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -41,20 +41,27 @@ def _bits(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def fingerprint_batch(texts: list[str | None], shingle: int) -> np.ndarray:
     """Fingerprints (uint64) of whole texts; no word: zero."""
     out = np.zeros(len(texts), np.uint64)
-    hashes: list[int] = []
-    starts, rows, hash64 = [], [], xxhash.xxh64_intdigest
+    hash64 = xxhash.xxh64_intdigest
+    rows, parts, held = [], [], 0
+
+    def settle() -> None:
+        starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+        out[rows] = _bits(np.concatenate(parts), starts)
+
     for i, text in enumerate(texts):
-        words = [w.lower() for w in (byte_words(text))] if text else []
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             continue
+        n = max(1, len(words) - shingle + 1)
+        grams = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [words]
         rows.append(i)
-        starts.append(len(hashes))
-        if len(words) < shingle:
-            hashes.append(hash64(b" ".join(words), 42))
-        else:
-            hashes += [hash64(b" ".join(t), 42) for t in zip(*(words[k:] for k in range(shingle)))]
+        parts.append(np.fromiter((hash64(b" ".join(g), 42) for g in grams), np.uint64, n))
+        held += n
+        if held >= _CHUNK:
+            settle()
+            rows, parts, held = [], [], 0
     if rows:
-        out[rows] = _bits(np.array(hashes, np.uint64), np.array(starts, np.int64))
+        settle()
     return out
 
 
@@ -65,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = fingerprint_batch(b.column(1).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    src = ids_and_texts(docs, id_col, text_col)
     return src.mapInArrow(run, "id long, fp long")
 
 

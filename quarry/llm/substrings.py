@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import byte_words, shuffle_partitions, split_words, text_batches
+from quarry.llm.common import byte_words, ids_and_texts, shuffle_partitions, split_words, text_batches
 
 #: Buckets per shuffle partition: one bucket is what a task holds in memory at a time.
 BUCKETS_PER_PARTITION = 64
@@ -280,8 +280,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 5, id_col: str = "doc_
     an id and text get equal results (their windows start in the same place, none is a
     repeat of the other); rows with a null id count as one document after all others.
     Extra columns are ignored."""
-    src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"),
-                      F.col(f"`{text_col}`").cast("string").alias("text"))
+    src = ids_and_texts(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     spans = repeated_ranges(src, k, m).groupBy("id").agg(
         F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     joined = src.join(spans, "id", "left")
