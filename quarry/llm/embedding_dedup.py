@@ -201,7 +201,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     order = row_index(placed.select("d", "x", "id"), ["x", "id"], ["d"], name="pos", tie_break=False)
     tiled = placed.drop("x").join(order.select("id", "x", (F.col("pos") / TILE).cast("int").alias("tile")), "id")
 
-    def pack(key, table: pa.Table) -> pa.Table:
+    def pack(key, table):
         table = table.sort_by([("x", "ascending"), ("id", "ascending")])
         return pa.table({"d": pa.array([key[0].as_py()], pa.int32()), "tile": pa.array([key[1].as_py()], pa.int32()),
                          "low": pa.array([table["x"][0].as_py()], pa.float64()),

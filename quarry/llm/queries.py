@@ -10,7 +10,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarry.llm import embedding_dedup, mixing, quality, secret_scan, simhash, substrings, toxicity
+from quarry.llm import decontamination, embedding_dedup, lm, mixing, pii, quality, secret_scan, simhash, substrings, toxicity
 from quarry.llm.common import held_out, read_docs
 
 QUERIES, ORACLE = {}, {}
@@ -62,16 +62,31 @@ def op2_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(read_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark, sf_dir):
+    return lm.score(read_docs(spark, sf_dir), ~held_out("id", 7, 2))
+
+
+def _count(spans, kind):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 @query("op4_secret_scan")
 def op4_secret_scan(spark, sf_dir):
     found = secret_scan.scan(read_docs(spark, sf_dir))
     spans = F.col("spans")
+    base = secret_scan.KINDS[:3]
+    return found.select("doc_id", *[_count(spans, k) for k in base],
+                        F.sha2(secret_scan.span_text(spans, base), 256).alias("base_sha256"),
+                        secret_scan.span_text(spans).alias("spans"))
 
-    def count(kind):
-        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    base = ("assign", "access", "hex")
-    return found.select("doc_id", *[count(k) for k in base],
+@query("op5_pii")
+def op5_pii(spark, sf_dir):
+    found = pii.find(read_docs(spark, sf_dir))
+    spans = F.col("spans")
+    base = pii.KINDS[:4]
+    return found.select("doc_id", *[_count(spans, k) for k in base],
                         F.sha2(secret_scan.span_text(spans, base), 256).alias("base_sha256"),
                         secret_scan.span_text(spans).alias("spans"))
 
@@ -101,6 +116,12 @@ def op8_embedding_near_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+@query("op9_benchmark_decontamination")
+def op9_benchmark_decontamination(spark, sf_dir):
+    found = decontamination.contamination(read_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "covered", "item_tokens", "coverage")
+
+
 @query("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read_docs(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")

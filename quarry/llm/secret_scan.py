@@ -52,6 +52,8 @@ _KEYLIKE = np.zeros(256, bool)
 _KEYLIKE[[ord(c) for c in "+/_=-0123456789"]] = True
 _KEYLIKE[ord("A"):ord("Z") + 1] = True
 _KEYLIKE[ord("a"):ord("z") + 1] = True
+_LOWHEX = np.zeros(256, bool)
+_LOWHEX[[ord(c) for c in "0123456789abcdef"]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[ord("0"):ord("9") + 1] = True
 
@@ -137,9 +139,23 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+def _long_runs(data: np.ndarray, start: np.ndarray, table: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``table``'s bytes of ``least`` length within a text."""
+    inside = table[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    border = start[(start > 0) & (start < len(data))]
+    first[border] = inside[border]
+    last[border - 1] = inside[border - 1]
+    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    long = e - s >= least
+    return s[long], e[long]
+
+
 def _suspects(texts: pa.Array, window: int) -> np.ndarray:
-    """Which texts hold a run of ``window`` key-like characters with a digit, or a name
-    that the patterns start with; decided on the batch's bytes at once."""
+    """Which texts hold a run of ``window`` key-like characters with a digit or a run of
+    lower-case hex; decided on the batch's bytes at once."""
     n = len(texts)
     start = np.frombuffer(texts.buffers()[1], np.int64, n + 1 + texts.offset)[texts.offset:]
     data = np.frombuffer(texts.buffers()[2], np.uint8)[start[0]:start[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
@@ -147,20 +163,10 @@ def _suspects(texts: pa.Array, window: int) -> np.ndarray:
     hit = np.zeros(n, bool)
     if not len(data):
         return hit
-    inside = _KEYLIKE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    border = start[(start > 0) & (start < len(data))]
-    first[border] = inside[border]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    last[border - 1] = inside[border - 1]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    long = e - s >= window
-    s, e = s[long], e[long]
+    s, e = _long_runs(data, start, _KEYLIKE, window)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int64)])
-    s = s[digits[e] > digits[s]]
-    hit[np.searchsorted(start, s, "right") - 1] = True
+    for at in (s[digits[e] > digits[s]], _long_runs(data, start, _LOWHEX, HEX_LENGTH)[0]):
+        hit[np.searchsorted(start, at, "right") - 1] = True
     return hit
 
 
@@ -172,7 +178,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: E
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in text_batches(batches):
             texts = b.column(1).cast(pa.large_string())
-            hit = _suspects(texts.fill_null(""), min(cfg.window, HEX_LENGTH))
+            hit = _suspects(texts.fill_null(""), cfg.window)
             found = []
             for text, long in zip(texts.to_pylist(), hit.tolist()):
                 if not text:

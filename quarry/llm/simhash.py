@@ -84,7 +84,7 @@ def _variants(max_bits: int):
     for lo, hi in zip(edges, edges[1:]):
         for bit in range(lo, hi):
             mask = ((1 << (hi - lo)) - 1) & ~(1 << (bit - lo))
-            seg = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit(mask))
+            seg = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit(mask - (1 << 64 if mask >> 63 else 0)))
             out.append((F.xxhash64(F.lit(bit), seg) if hi - lo > 32 else seg.bitwiseOR(F.lit(bit << 32))))
     return F.array(*out)
 
@@ -93,16 +93,18 @@ def _one(bit: int) -> int:
     return (1 << bit) - (1 << 64 if bit == 63 else 0)
 
 
-def _near(max_bits: int):
-    """Values that two fingerprints have in common exactly if they differ in at most
-    ``max_bits`` bits: neighbours at max_bits // 2, with one more bit blanked if odd."""
-    flips = [F.col("fp")]
+def _shared_values(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, bit, v): values that two fingerprints have in common exactly if they differ in
+    at most ``max_bits`` bits: neighbours at max_bits // 2, with one more bit blanked if odd."""
+    out = fps.withColumn("v", F.col("fp"))
     if max_bits >= 2:
-        flips += [F.col("fp").bitwiseXOR(F.lit(_one(b))) for b in range(64)]
+        flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_one(b))) for b in range(64)]
+        out = fps.select("fp", F.explode(F.array(*flips)).alias("v"))
     if max_bits % 2 == 0:
-        return F.array(*[F.struct(F.lit(-1).alias("bit"), f.alias("v")) for f in flips])
-    return F.array(*[F.struct(F.lit(b).alias("bit"), f.bitwiseAND(F.lit(~_one(b))).alias("v"))
-                     for f in flips for b in range(64)])
+        return out.withColumn("bit", F.lit(-1))
+    blank = F.explode(F.array(*[F.struct(F.lit(b).alias("bit"), F.lit(~_one(b)).alias("mask")) for b in range(64)]))
+    return out.select("fp", "v", blank.alias("b")).select("fp", F.col("v").bitwiseAND(F.col("b.mask")).alias("v"),
+                                                          F.col("b.bit").alias("bit"))
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -129,9 +131,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     some = (few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key")
             .filter("a < b").filter(near).select("a", "b").distinct())
     many = members.filter(F.col("n") > PAIR_BUCKET).select("fp").distinct()
-    stars = many.select("fp", F.explode(_near(max_bits)).alias("v"))
-    hubs = stars.groupBy("v").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    linked = stars.join(hubs.select("v", "a"), "v").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
+    stars = _shared_values(many, max_bits)
+    hubs = stars.groupBy("v", "bit").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    linked = stars.join(hubs.select("v", "bit", "a"), ["v", "bit"]).filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
     return pairs.unionAll(some).unionAll(linked)
 
 
