@@ -41,12 +41,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id long, text string): what the Python tasks are sent, in batches of a bounded size."""
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not (held := conf.get(key).rstrip("b")).isdigit() or int(held) > BATCH_BYTES:
-        conf.set(key, f"{BATCH_BYTES}b")
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark send Python tasks at most ``BATCH_BYTES`` at a time (a row at least)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key).rstrip("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
                  limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of ``column``

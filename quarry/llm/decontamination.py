@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ids_and_texts, text_batches
+from quarry.llm.common import bounded_batches, ids_and_texts, text_batches
 
 TOKEN = re.compile(r"\w+")
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
@@ -187,6 +187,18 @@ _ROW = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("covered", pa.in
                                                 ("length", pa.int64())])))])
 
 
+def _blocks(spark, benchmark: DataFrame, cfg: Config, item_col: str, text_col: str) -> Iterator:
+    """The benchmark as broadcast indexes of bounded size."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"),
+                             F.col(f"`{text_col}`").cast("string").alias("text"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // (4 * cfg.block_tokens)))
+    for k in range(blocks):
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()   # a bounded block
+        block.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
+        yield spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in block], cfg))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(), id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document row and benchmark item whose coverage reaches the threshold:
@@ -199,16 +211,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(),
     equally long matches go to the earlier one in the item, then in the document."""
     spark = docs.sparkSession
     src = ids_and_texts(docs, id_col, text_col)
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"),
-                             F.col(f"`{item_text_col}`").cast("string").alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // (4 * cfg.block_tokens)))
     out = None
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()   # a bounded block
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in sorted(
-            block, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))], cfg))
-
+    for index in _blocks(spark, benchmark, cfg, item_col, item_text_col):
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             names = ("item_start", "doc_start", "length")
             for b in text_batches(batches):
@@ -225,3 +229,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(),
         out = part if out is None else out.unionAll(part)
     return out.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "covered", "item_tokens",
                       (F.col("covered") / F.col("item_tokens")).alias("coverage"), "tiles")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(), text_col: str = "text",
+                      item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The input rows, all columns, whose text covers no benchmark item up to the threshold."""
+    bounded_batches(docs.sparkSession)
+    at, schema = docs.columns.index(text_col), docs.schema
+    for index in _blocks(docs.sparkSession, benchmark, cfg, item_col, item_text_col):
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in text_batches(batches, text_col):
+                yield b.filter(pa.array([next(index.value.match(t), None) is None for t in b.column(at).to_pylist()]))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

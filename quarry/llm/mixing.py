@@ -115,3 +115,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float
     copies = F.least(F.col("whole") + once.cast("long"), F.lit(int(max_epochs)).cast("long"))
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"),
                        (copies * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: every input row as often as ``mix`` takes it, all columns and
+    ``copy`` (1, 2, ...).  Rows that repeat an id are taken alike."""
+    chosen = mix(docs, id_col=id_col, **options).filter("copies > 0").groupBy(id_col).agg(F.max("copies").alias("__copies"))
+    chosen = chosen.withColumnRenamed(id_col, "__id")
+    return (docs.join(chosen, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
+            .select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy")))

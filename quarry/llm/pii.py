@@ -28,9 +28,8 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_OK = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
-#: A word that could be an identifier: five or more letters, digits and joining signs,
-#: two digits among them.
-TOKEN = r"(?<=^|[\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*+)[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: A word that could be an identifier: it holds two digits.
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 @dataclass(frozen=True)
@@ -42,25 +41,37 @@ class Config:
     confidence: float = 0.8
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of all matches in code points, end exclusive.
+#: Matches whose lengths are added up together (keeps the work on a text linear).
+_STRIDE = 128
 
-    Splitting at the same pattern gives the stretches between the matches, so a start is
-    the length of everything before it."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.char_length(s).cast("long"))
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"),
-                    F.array().cast("array<struct<start: bigint, end: bigint, value: string>>").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["value"])
-        return F.struct(F.coalesce(end, start).alias("at"),
-                        F.when(x["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(
-                            F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))))).alias("out"))
+def found_and_gaps(text: Column, pattern: str) -> tuple[Column, Column]:
+    """All matches of a text, and the lengths of the stretches before, between and after
+    them (splitting at the same pattern leaves exactly those)."""
+    return (F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+            F.transform(F.split(text, pattern, -1), lambda s: F.char_length(s).cast("long")))
 
-    return F.aggregate(steps, zero, add, lambda acc: acc["out"])
+
+def locate(found: Column, gaps: Column) -> Column:
+    """Array of (start, end, value) in code points, end exclusive: a start is the length of
+    all stretches and matches before it.  Both must be columns, not expressions."""
+    zero = F.lit(0).cast("long")
+
+    def upto(first: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(gaps, first, count), zero, lambda a, x: a + x) + F.aggregate(
+            F.slice(found, first, count), zero, lambda a, x: a + F.char_length(x))
+
+    def one(i: Column, base: Column, first: Column) -> Column:
+        start = base + upto(first, i - first) + F.element_at(gaps, i)
+        value = F.element_at(found, i)
+        return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), value.alias("value"))
+
+    n = F.size(found)
+    strides = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _STRIDE).cast("int")), lambda c: F.struct(
+        (c * _STRIDE + 1).alias("first"), upto(F.lit(1), c * _STRIDE).alias("base")))
+    spans = F.flatten(F.transform(strides, lambda k: F.transform(
+        F.sequence(k["first"], F.least(n, k["first"] + (_STRIDE - 1))), lambda i: one(i, k["base"], k["first"]))))
+    return F.when(n > 0, spans).otherwise(F.array().cast("array<struct<start: bigint, end: bigint, value: string>>"))
 
 
 def luhn(digits: Column) -> Column:
@@ -84,65 +95,78 @@ def _card_ok(value: Column) -> Column:
     return F.when(n.between(12, 19), luhn(_digits(value))).otherwise(F.lit(False))
 
 
-def _found(text: Column, kind: str, pattern: str, gate: Column, ok) -> Column:
-    """Spans of one kind; texts that fail ``gate`` are not searched."""
-    spans = F.filter(matches(text, pattern), lambda m: ok(m["value"]))
-    spans = F.transform(spans, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"),
-                                                  m["end"].alias("end"), m["value"].alias("value")))
-    none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint, value: string>>")
-    return F.when(gate, spans).otherwise(none)
-
-
-def base_spans(text: Column) -> Column:
-    """Array of (kind, start, end, value) of the fixed patterns; failing matches are dropped."""
+def _searches(text: Column) -> dict[str, tuple[Column, str]]:
+    """Per kind the test that a text has to pass to be searched, and the pattern."""
     digit = text.rlike("[0-9]")
-    yes = F.lit(True)
-    return F.concat(
-        _found(text, "email", EMAIL, F.contains(text, F.lit("@")), lambda v: yes),
-        _found(text, "ip", IP, digit & text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), lambda v: v.rlike(IP_OK)),
-        _found(text, "card", CARD, digit & text.rlike(r"[0-9](?:[ -]?[0-9]){11}"), _card_ok),
-        _found(text, "phone", PHONE, F.contains(text, F.lit("+")),
-               lambda v: F.char_length(_digits(v)).between(9, 15)))
-
-
-def scan_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, base spans, candidates): rows that hold a digit or an @ sign are searched,
-    the text itself is left behind.  A candidate knows the words on both sides of it."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
-    src = src.withColumn("tokens", F.when(F.col("text").rlike("[0-9]"), matches(F.col("text"), TOKEN)))
+    return {"email": (F.contains(text, F.lit("@")), EMAIL),
+            "ip": (text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), IP),
+            "card": (text.rlike(r"[0-9](?:[ -]?[0-9]){11}"), CARD),
+            "phone": (F.contains(text, F.lit("+")), PHONE),
+            "token": (digit, TOKEN)}
+
+
+_VALID = {
+    "email": lambda v: F.lit(True),
+    "ip": lambda v: v.rlike(IP_OK),
+    "card": _card_ok,
+    "phone": lambda v: F.char_length(_digits(v)).between(9, 15),
+}
+
+
+def scan_rows(src: DataFrame) -> DataFrame:
+    """The columns but ``text``, ``base`` (array of kind, start, end, value of the fixed
+    patterns; failing matches are dropped) and ``tokens`` (candidates with the words on
+    both sides of them)."""
+    others = [F.col(f"`{c}`") for c in src.columns if c != "text"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    src = src.select(*others, text.alias("text"))
+    text, made = F.col("text"), []
+    for kind, (gate, pattern) in _searches(text).items():
+        found, gaps = found_and_gaps(text, pattern)
+        made += [F.when(gate, found).otherwise(F.array().cast("array<string>")).alias(f"__f_{kind}"),
+                 F.when(gate, gaps).otherwise(F.array().cast("array<bigint>")).alias(f"__g_{kind}")]
+    src = src.select(*others, "text", *made)
+    src = src.select(*others, "text", *[locate(F.col(f"__f_{k}"), F.col(f"__g_{k}")).alias(f"__{k}")
+                                        for k in (*KINDS[:4], "token")])
+
+    def spans(kind: str) -> Column:
+        good = F.filter(f"__{kind}", lambda m: _VALID[kind](m["value"]))
+        return F.transform(good, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"),
+                                                    m["end"].alias("end"), m["value"].alias("value")))
 
     def context(t: Column) -> Column:
-        before = F.substring(F.col("text"), F.greatest(t["start"] - 64, F.lit(0)).cast("int") + 1,
+        before = F.substring(text, F.greatest(t["start"] - 64, F.lit(0)).cast("int") + 1,
                              F.least(t["start"], F.lit(64)).cast("int"))
-        after = F.substring(F.col("text"), (t["end"] + 1).cast("int"), F.lit(64))
-        word = r"[\x20\x09-\x0D]([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
-        left = F.regexp_extract(F.concat(F.lit(" "), before), word, 1)
-        right = F.regexp_extract(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
-        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(t["value"], "[0-9]+", "9"), "[A-Z]+", "A"), "[a-z]+", "a")
+        after = F.substring(text, (t["end"] + 1).cast("int"), F.lit(64))
+        # the words that end before the token and begin after it, if they lie within reach
+        near = F.filter(F.split(F.lower(before), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+        right = F.regexp_extract(F.lower(after), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"),
-                        F.lower(left).alias("left"), F.lower(right).alias("right"), shape.alias("shape"))
+                        F.slice(F.reverse(near), 1, 2).alias("left"), right.alias("right"))
 
-    return src.select("id", base_spans(F.col("text")).alias("base"),
-                      F.transform("tokens", context).alias("tokens"))
+    return src.select(*others, F.concat(*[spans(k) for k in KINDS[:4]]).alias("base"),
+                      F.transform("__token", context).alias("tokens"))
 
 
-def _patterns(side: str) -> Column:
-    return F.concat_ws("\u0001", F.lit(side), F.col(side), F.col("shape"))
+def _patterns(t: str = "") -> Column:
+    """Lexical patterns of a candidate: the two words before it, and the words on either
+    side of it (null where a word is missing)."""
+    left, right = F.col(f"{t}left"), F.col(f"{t}right")
+    return F.array(F.when(F.size(left) == 2, F.concat_ws("\u0001", F.lit("before"), left)),
+                   F.when((F.size(left) > 0) & (right != ""), F.concat_ws("\u0001", F.lit("around"), left[0], right)))
 
 
 def bootstrap(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Confident patterns: (pattern, confidence, instances).
 
-    Edges join a pattern (side, neighbouring word, shape of the token) with an instance
+    Edges join a pattern (two words before, or the words on both sides) with an instance
     (the token's value).  Instances that a base span covers are seeds with confidence 1.
     In every round a pattern's confidence is the mean of its instances', counted over at
     least ``support`` distinct ones, and another instance's is the best of its confident
     patterns'; both are grouped aggregates over equality joins."""
     t = rows.select("base", F.explode("tokens").alias("t")).select(
         "t.*", F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start"))).alias("seed"))
-    t = t.select("value", "seed", F.explode(F.array(
-        F.when(F.col("left") != "", _patterns("left")), F.when(F.col("right") != "", _patterns("right")))).alias("pattern"))
+    t = t.select("value", "seed", F.explode(_patterns()).alias("pattern"))
     edges = materialize(t.filter("pattern IS NOT NULL").groupBy("pattern", "value").agg(F.max("seed").alias("seed")),
                         "pii-edges")
     # a pattern of few instances can never be confident: only the others take part
@@ -162,42 +186,49 @@ def bootstrap(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
     return found
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: Config = Config()) -> DataFrame:
-    """One row per input row: id, ``spans`` (array of kind, start, end, value by start, then
-    kind; code points, end exclusive).
+_SPANS = "array<struct<kind: string, start: bigint, end: bigint, value: string>>"
 
-    Base spans are always there; ``context`` spans are tokens outside them that a
-    confident pattern surrounds.  Null and empty texts have none; rows that repeat an
-    id and a text get equal rows; a null id is kept as it is; extra columns are ignored."""
-    scanned = scan_rows(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(scanned, "pii-rows")
+
+def with_context(rows: DataFrame, key: str, cfg: Config) -> DataFrame:
+    """(key, spans): base spans and the tokens that confident patterns surround, in order."""
     good = bootstrap(rows, cfg)
-    t = rows.filter(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t"))
+    t = rows.filter(F.size("tokens") > 0).select(key, "base", F.explode("tokens").alias("t"))
     t = t.filter(~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start"))))
-    t = t.select("row", "t.*").select("row", "start", "end", "value", F.explode(
-        F.array(_patterns("left"), _patterns("right"))).alias("pattern"))
-    extra = (t.join(good.select("pattern"), "pattern").groupBy("row").agg(F.collect_set(F.struct(
+    t = t.select(key, "t.*").select(key, "start", "end", "value", F.explode(_patterns()).alias("pattern"))
+    extra = (t.join(good.select("pattern"), "pattern").groupBy(key).agg(F.collect_set(F.struct(
         F.lit("context").alias("kind"), F.col("start"), F.col("end"), F.col("value"))).alias("extra")))
-    joined = rows.join(extra, "row", "left")
-    none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint, value: string>>")
-    every = F.concat("base", F.coalesce("extra", none))
+    every = F.concat("base", F.coalesce("extra", F.array().cast(_SPANS)))
     rank = F.array(*[F.lit(k) for k in KINDS])
     keyed = F.transform(every, lambda s: F.struct(
         s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"),
         s["kind"].alias("kind"), s["value"].alias("value")))
     spans = F.transform(F.array_sort(keyed), lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return joined.select(F.col("id").alias(id_col), spans.alias("spans"))
+    return rows.join(extra, key, "left").withColumn("spans", spans).drop("base", "tokens", "extra")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: Config = Config()) -> DataFrame:
+    """One row per input row: id, ``spans`` (array of kind, start, end, value by start, then
+    kind; code points, end exclusive).
+
+    Base spans are always there; ``context`` spans are tokens outside them that a
+    confident pattern surrounds.  Null and empty texts have none; rows that repeat an
+    id and a text get equal rows; a null id is kept as it is; extra columns are ignored."""
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = materialize(scan_rows(src).withColumn("row", F.monotonically_increasing_id()), "pii-rows")
+    return with_context(rows, "row", cfg).select(F.col("id").alias(id_col), "spans")
 
 
 def redact(docs: DataFrame, text_col: str = "text", cfg: Config = Config()) -> DataFrame:
     """The input rows with every span of their text replaced by ``<KIND>``; all columns and
     their order are kept.  Overlapping spans are replaced as one, named after the first."""
-    cols = docs.columns
-    tag = "__pii_row"
-    rows = materialize(docs.withColumn(tag, F.monotonically_increasing_id()), "pii-docs")
-    spans = find(rows, tag, text_col, cfg).filter(F.size("spans") > 0)
-    text = F.col(f"`{text_col}`")
+    cols, text = docs.columns, F.col(f"`{text_col}`")
+    # spans depend on the text alone, so they are kept per text (its hash and length) and
+    # only for texts that have any
+    mark = F.struct(F.xxhash64(text.cast("string")).alias("h"), F.length(text.cast("string")).alias("n"))
+    rows = scan_rows(docs.select(mark.alias("__mark"), text.alias("text")))
+    rows = materialize(rows.filter((F.size("base") > 0) | (F.size("tokens") > 0)).dropDuplicates(["__mark"]), "pii-rows")
+    spans = with_context(rows, "__mark", cfg).filter(F.size("spans") > 0)
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -207,7 +238,8 @@ def redact(docs: DataFrame, text_col: str = "text", cfg: Config = Config()) -> D
             F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"))
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    done = F.aggregate("spans", zero, add, lambda acc: F.concat(
+    done = F.aggregate(spans["spans"], zero, add, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    out = rows.join(spans, tag, "left").withColumn("__clean", F.when(F.col("spans").isNull(), text).otherwise(done))
-    return out.select(*[F.col("__clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in cols])
+    out = docs.withColumn("__mark", mark).join(spans, "__mark", "left").withColumn(
+        "__clean", F.when(spans["spans"].isNull(), text).otherwise(done))
+    return out.select(*[F.col("__clean").alias(c) if c == text_col else docs[c] for c in cols])

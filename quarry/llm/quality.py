@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ids_and_texts, text_batches
+from quarry.llm.common import bounded_batches, ids_and_texts, text_batches
 from quarry.llm.toxicity import _platt
 
 _CHUNK = 1 << 21
@@ -256,3 +256,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     src = ids_and_texts(docs, id_col, text_col)
     return src.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The input rows, all columns, whose text scores at least ``least``; texts without a
+    visible character go."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in text_batches(batches, text_col):
+            yield b.filter(pa.array(m.scores(b.column(at).to_pylist()) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -216,6 +216,7 @@ def test_pii_bootstrap_finds_unseen_identifiers(spark):
         spark.createDataFrame(good + new + other, "doc_id long, text string"),
         cfg=pii.Config(support=3, confidence=0.7)).collect()}
     assert all([s.kind for s in got[i]] == ["email"] for i in range(8))
+    assert all([s.kind for s in got[100 + i]] == ["context"] and got[100 + i][0].value == f"q{i}77zz{i}9" for i in range(3))
     assert all(not got[200 + i] for i in range(8))
 
 
