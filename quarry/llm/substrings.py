@@ -97,10 +97,13 @@ class Windows:
         return text, np.concatenate([[0], np.cumsum(size)])
 
 
-def _bucket_sizes(docs: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
-    """(bucket, words): words of the distinct super-k-mers of each batch, summed."""
+def _bucket_sizes(docs: DataFrame, k: int, m: int, parts: int) -> DataFrame:
+    """(part, words): words of the distinct super-k-mers of each batch, summed; ``words`` has
+    an entry for each of the ``BUCKETS_PER_PARTITION`` buckets of a part."""
+    width = BUCKETS_PER_PARTITION
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros((parts, width), np.int64)
         for b in text_batches(batches):
             w = Windows(b.column(1), k, m)
             if not len(w.start):
@@ -109,11 +112,14 @@ def _bucket_sizes(docs: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
                 run_sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(_run_hash(w.hash, k)))])
                 content = run_sum[w.start + w.count] - run_sum[w.start]
             _, once = np.unique(content, return_index=True)
-            np.add.at(total, (w.key[once] % np.uint64(buckets)).astype(np.int64), w.count[once] + k - 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "words"])
+            np.add.at(total.reshape(-1), (w.key[once] % np.uint64(parts * width)).astype(np.int64),
+                      w.count[once] + k - 1)
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].tolist(), pa.list_(pa.int64()))],
+                                         names=["part", "words"])
 
-    return docs.mapInArrow(run, "bucket long, words long").groupBy("bucket").agg(F.sum("words").alias("words"))
+    rows = docs.mapInArrow(run, "part long, words array<long>")
+    return rows.groupBy("part").agg(F.array(*[F.sum(F.col("words")[i]) for i in range(width)]).alias("words"))
 
 
 def _pack(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -255,11 +261,13 @@ def repeated_ranges(docs: DataFrame, k: int, m: int) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     buckets = parts * BUCKETS_PER_PARTITION
-    sizes = _bucket_sizes(docs, k, m, buckets)
-    # at most 2 * parts buckets can hold more than half a partition's share
-    total = sizes.agg(F.sum("words")).first()[0] or 0
-    hot = [r[0] for r in sizes.filter(F.col("words") * (2 * parts) > F.lit(total)).select("bucket").collect()] if total else []
-    packed = _pack(docs, k, m, buckets, np.array(sorted(hot), np.int64))
+    # one number per bucket, and buckets are as many as the settings say; at most 2 * parts
+    # of them can hold more than half a partition's share
+    sizes = np.zeros((parts, BUCKETS_PER_PARTITION), np.int64)
+    for r in _bucket_sizes(docs, k, m, parts).toLocalIterator():
+        sizes[r["part"]] = r["words"]
+    hot = np.flatnonzero(sizes.reshape(-1) * (2 * parts) > max(int(sizes.sum()), 1))
+    packed = _pack(docs, k, m, buckets, hot)
 
     def run(table: pa.Table) -> pa.Table:
         i, s, e = bucket_ranges(table.column("packed").to_pylist(), k)
