@@ -23,10 +23,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import byte_words, ids_and_texts, shuffle_partitions, split_words, text_batches
+from quarry.llm.common import BATCH_BYTES, ids_and_texts, shuffle_partitions, split_words, text_batches
 
 #: Buckets per shuffle partition: one bucket is what a task holds in memory at a time.
-BUCKETS_PER_PARTITION = 64
+BUCKETS_PER_PARTITION = 24
 #: Stands for a null id (such rows count as one document, after all others).
 NO_ID = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -127,7 +127,7 @@ def _pack(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray) -> Dat
     hot_set = np.asarray(hot, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for b in text_batches(batches):
             w = Windows(b.column(1), k, m)
             if not len(w.start):
@@ -277,7 +277,7 @@ def repeated_ranges(docs: DataFrame, k: int, m: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "id long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame, k: int = 20, m: int = 5, id_col: str = "doc_id",
+def remove_repeats(docs: DataFrame, k: int = 20, m: int = 3, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_words``, ``n_removed``, ``kept`` (kept words joined by
     one space) and ``kept_sha256`` (of ``kept`` as UTF-8, lowercase hex).
@@ -291,14 +291,24 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 5, id_col: str = "doc_
     src = ids_and_texts(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     spans = repeated_ranges(src, k, m).groupBy("id").agg(
         F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    joined = src.join(spans, "id", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for b in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(
+                [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()],
+                pa.binary())], names=["id", "body"])
+
+    # texts cross the network once, compressed
+    joined = src.mapInArrow(zipped, "id long, body binary").join(spans, "id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for b in text_batches(batches, "body", BATCH_BYTES // 4):
             n, gone, kept, sha = [], [], [], []
-            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("text", "starts", "ends")]
-            for text, starts, ends in zip(*cols):
-                words = byte_words(text)
+            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("body", "starts", "ends")]
+            for body, starts, ends in zip(*cols):
+                words = press.decompress(body).split() if body else []
                 n.append(len(words))
                 if starts:
                     step = np.zeros(len(words) + 1, np.int64)
@@ -317,6 +327,6 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 5, id_col: str = "doc_
                  pa.array(kept, pa.string()), pa.array(sha, pa.string())],
                 names=["id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    out = joined.select("id", "text", "starts", "ends").mapInArrow(
+    out = joined.select("id", "body", "starts", "ends").mapInArrow(
         run, "id long, n_words long, n_removed long, kept string, kept_sha256 string")
     return out.select(F.nullif("id", F.lit(NO_ID)).alias(id_col), "n_words", "n_removed", "kept", "kept_sha256")
