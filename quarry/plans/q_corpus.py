@@ -47,6 +47,17 @@ def b1_cap_corpus(spark, sf):
     return capped.select("doc_id", F.length("doc").alias("n"))
 
 
+@register("b1_cap_report", """
+WITH d AS (SELECT doc_id, length(text) AS full_n, length(substr(text, 1, 10000)) AS n FROM documents WHERE doc_id % 10 <> 9),
+r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT count(*) AS documents, count(*) FILTER (before >= 1000000) AS documents_removed,
+  CAST(sum(full_n) AS BIGINT) AS chars, CAST(sum(full_n) - sum(n) FILTER (before < 1000000) AS BIGINT) AS chars_removed FROM r""")
+def b1_cap_report(spark, sf):
+    train, _ = C.split_shards(_docs(spark, sf))
+    train = train.select("doc_id", "text")
+    return C.cap_report(train, C.cap_corpus(train, ["doc_id"], doc_cap=10_000, max_chars=1_000_000))
+
+
 @register("b2_pretokens")
 def b2_pretokens(spark, sf):
     d = _docs(spark, sf)
@@ -81,8 +92,7 @@ def b6_f11_token_bytes(spark, sf):
 @register("b7_b8_pack_shift")
 def b7_b8_pack_shift(spark, sf):
     merges = merges_for(spark, sf)
-    _, val = C.split_shards(_docs(spark, sf))
-    packed = C.pack(C.encode(val, merges), length=256)
+    packed = C.pack(C.encode(_docs(spark, sf), merges), length=256)
     return C.shift_targets(packed).select(F.size("inputs").alias("n_inputs"), F.size("targets").alias("n_targets"),
                                           F.slice("inputs", 1, 4).alias("head"))
 

@@ -1,15 +1,17 @@
 """File sources and sinks (IO1, IO3-IO5, IO9, IO14, IO15).
 
-Sniffing (separator, encoding, JSON shape) reads a bounded prefix of the first
-file through the Hadoop filesystem; the data itself is always read by Spark's
-parallel readers.
+What decides how a file is read is found without a prefix cap: the separator from the
+whole header record, the encoding and line breaks inside quotes from a distributed pass
+over all lines, the shape of a JSON payload by following its first value to its end.
+The data itself is always read by Spark's parallel readers.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import closing
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,18 +24,17 @@ ENCODINGS = ("utf-8", "latin-1", "utf-8-sig")
 SEPARATORS = (",", ";", "\t", "|")
 # Keys that hold the record list of a JSON payload, in priority order.
 PAYLOAD_KEYS = ("data", "results", "items", "records", "rows", "value")
-SNIFF_BYTES = 1 << 16
+CHUNK = 1 << 16
 SPARK_CHARSET = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "utf-8-sig": "UTF-8"}
 
 
-def read_head(spark: SparkSession, path: str, nbytes: int = SNIFF_BYTES) -> bytes:
-    """First ``nbytes`` of the first file under ``path`` (Hadoop FS, any scheme)."""
+def read_chunks(spark: SparkSession, path: str, size: int = CHUNK) -> Iterator[bytes]:
+    """The bytes of the first file under ``path`` piece by piece (Hadoop FS, any scheme)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
-    st = fs.getFileStatus(p)
-    if st.isDirectory():
+    if fs.getFileStatus(p).isDirectory():
         files = sorted((s.getPath().toString() for s in fs.listStatus(p)
                         if s.isFile() and not s.getPath().getName().startswith((".", "_"))))
         if not files:
@@ -41,46 +42,54 @@ def read_head(spark: SparkSession, path: str, nbytes: int = SNIFF_BYTES) -> byte
         p = jvm.org.apache.hadoop.fs.Path(files[0])
     stream = fs.open(p)
     try:
-        return bytes(stream.readNBytes(int(nbytes)))  # a Java byte[] arrives as bytes
+        while piece := bytes(stream.readNBytes(int(size))):  # a Java byte[] arrives as bytes
+            yield piece
     finally:
         stream.close()
 
 
-def sniff_delimited(head: bytes) -> tuple[str, str, int]:
-    """(separator, encoding, columns): first encoding x separator giving >1
-    column; else comma / utf-8."""
-    for enc in ENCODINGS:
-        try:
-            text = head.decode(enc)
-        except UnicodeDecodeError:
-            continue
-        lines = text.splitlines()[:20]
-        if not lines:
-            continue
-        for sep in SEPARATORS:
-            try:
-                rows = list(csv.reader(io.StringIO("\n".join(lines)), delimiter=sep))
-            except csv.Error:
-                continue
-            if rows and len(rows[0]) > 1:
-                return sep, enc, len(rows[0])
-    return ",", "utf-8", 1
+def header_record(pieces: Iterator[bytes]) -> bytes:
+    """The first record of delimited text: up to the first line break outside quotes."""
+    out, quoted = bytearray(), False
+    for piece in pieces:
+        for i, c in enumerate(piece):
+            if c == 0x22:
+                quoted = not quoted
+            elif c in (0x0A, 0x0D) and not quoted:
+                if record := (bytes(out) + piece[:i]).strip(b"\xef\xbb\xbf \t\r\n"):
+                    return record
+        out += piece
+    return bytes(out)
+
+
+def sniff_separator(header: str) -> str:
+    """The first separator that cuts the header record into several columns, else comma."""
+    for sep in SEPARATORS:
+        if len(next(csv.reader(io.StringIO(header.lstrip("\r\n"), newline=""), delimiter=sep), [])) > 1:
+            return sep
+    return ","
 
 
 def read_delimited(spark: SparkSession, path: str, typed: bool = True) -> tuple[DataFrame, str, str]:
-    """IO1 delimited text with separator / encoding sniffing.  Columns are read
-    as strings, then typed with guarded casts (``infer_types``).  An empty
-    table is an error."""
-    try:
-        head = read_head(spark, path)
-    except Exception:  # noqa: BLE001
-        head = b""
-    sep, enc, _ = sniff_delimited(head)
-    df = (spark.read.option("header", True).option("sep", sep)
-          .option("encoding", SPARK_CHARSET[enc])
-          .option("inferSchema", False).option("multiLine", False).csv(path))
-    if df.columns and df.columns[0].startswith("﻿"):
-        df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("﻿"))
+    """IO1 delimited text with separator and encoding sniffing and standard quoting
+    (doubled quotes, separators and line breaks inside quotes).
+
+    One pass over all lines tells whether every byte is valid UTF-8 (else latin-1) and
+    whether a quoted field spans lines; only then are files read whole, otherwise they
+    are split.  Columns are read as strings, then typed with guarded casts
+    (``infer_types``).  An empty table is an error."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    seen = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+                                     F.bool_or(quotes % 2 == 1).alias("broken")).first()
+    enc = "latin-1" if seen["utf8"] is False else "utf-8"
+    with closing(read_chunks(spark, path)) as pieces:
+        head = header_record(pieces)
+    sep = sniff_separator(head.decode("utf-8-sig" if enc == "utf-8" else enc))
+    df = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+          .option("encoding", SPARK_CHARSET[enc]).option("maxCharsPerColumn", -1)
+          .option("inferSchema", False).option("multiLine", bool(seen["broken"])).csv(path))
+    if df.columns and df.columns[0].startswith("\ufeff"):
+        df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("\ufeff"))
     if df.limit(1).count() == 0:
         raise ValueError(f"{path}: table is empty (0 rows)")
     return (infer_types(df) if typed else df), sep, enc
@@ -131,32 +140,52 @@ def _flatten(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def json_shape(pieces: Iterator[bytes]) -> str:
+    """``array``, ``lines`` or ``object`` (one value over several lines): the first value is
+    followed until it closes or a line ends inside it; only its nesting is kept."""
+    depth, quoted, skip, kind = 0, False, False, ""
+    for piece in pieces:
+        for c in piece.lstrip(b"\xef\xbb\xbf \t\r\n") if not kind else piece:
+            if not kind:
+                if c == 0x5B:
+                    return "array"
+                if c != 0x7B:
+                    raise ValueError("not a JSON array or object")
+                kind = "object"
+            if skip:
+                skip = False
+            elif quoted:
+                skip, quoted = c == 0x5C, c != 0x22
+            elif c == 0x22:
+                quoted = True
+            elif c in (0x7B, 0x5B):
+                depth += 1
+            elif c in (0x7D, 0x5D):
+                depth -= 1
+                if not depth:
+                    return "lines"
+            elif c == 0x0A:
+                return "object"
+    if not kind:
+        raise ValueError("not a JSON array or object")
+    return kind
+
+
 def read_json_payload(spark: SparkSession, path: str) -> DataFrame:
     """IO4/IO5 JSON: an array of records, JSON lines, or an object whose first
     list-valued key among PAYLOAD_KEYS holds the records; other objects are
     flattened with dotted names."""
-    head = read_head(spark, path, 4096).lstrip()
-    first = head[:1]
-    if first == b"[":
-        df = spark.read.option("multiLine", True).json(path)
-        return _flatten(df)
-    if first == b"{":
-        line = head.split(b"\n", 1)[0].strip()
-        import json
-        try:
-            json.loads(line)
-            whole_line_object = True
-        except ValueError:
-            whole_line_object = False
-        df = spark.read.option("multiLine", not whole_line_object).json(path)
+    with closing(read_chunks(spark, path)) as pieces:
+        shape = json_shape(pieces)
+    df = spark.read.option("multiLine", shape != "lines").json(path)
+    if shape != "array":
         for k in PAYLOAD_KEYS:
             if k in df.columns and isinstance(df.schema[k].dataType, T.ArrayType):
                 rec = df.select(F.explode(F.col(f"`{k}`")).alias("_r"))
                 if isinstance(rec.schema["_r"].dataType, T.StructType):
                     return _flatten(rec.select("_r.*"))
                 return rec.withColumnRenamed("_r", "value")
-        return _flatten(df)
-    raise ValueError(f"{path}: not a JSON array or object")
+    return _flatten(df)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -183,6 +212,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if fmt == "parquet":
         w.parquet(path)
     elif fmt in ("csv", "tsv"):
-        w.option("header", True).option("sep", "\t" if fmt == "tsv" else sep).csv(path)
+        w.option("header", True).option("sep", "\t" if fmt == "tsv" else sep).option("quote", '"').option("escape", '"').csv(path)
     else:
         raise ValueError(fmt)

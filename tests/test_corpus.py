@@ -61,15 +61,30 @@ def test_pretokens_match_python_regex(spark):
     assert got == exp
 
 
-def test_pack_rows_exact_length(spark):
-    docs = spark.createDataFrame([([1] + list(range(2, 2 + n)),) for n in (3, 9, 4, 20, 7, 1, 15, 6)], "ids array<int>")
-    packed = C.pack(docs, length=8, buffer=4)
-    sizes = [len(r["row"]) for r in packed.collect()]
-    assert sizes and all(s == 9 for s in sizes)
-    st = C.shift_targets(packed).first()
+def test_pack_keeps_every_token(spark):
+    import random
+    rng = random.Random(3)
+    docs = [[d] + [rng.randrange(100) for _ in range(rng.choice([0, 1, 3, 8, 9, 20, 45]))] for d in range(300)]
+    df = spark.createDataFrame([(d,) for d in docs] + [(None,), ([],)], "ids array<int>")
+    total = sum(map(len, docs))
+    for parts in (1, 8, 64):
+        rows = C.pack(df.repartition(parts), length=8, buffer=20).collect()
+        assert sum(r["n_tokens"] + r["n_cropped"] for r in rows) == total
+        assert all(len(r["row"]) == r["n_tokens"] <= 9 for r in rows)
+        assert sum(r["n_tokens"] < 9 for r in rows) <= parts
+        whole = C.pack(df.repartition(parts), length=8, buffer=20, crop=False).collect()
+        assert sum(r["n_tokens"] for r in whole) == total and not any(r["n_cropped"] for r in whole)
+        assert sorted(t for r in whole for t in r["row"]) == sorted(t for d in docs for t in d)
+    st = C.shift_targets(C.pack(df, length=8).where("n_tokens = 9")).first()
     assert len(st["inputs"]) == len(st["targets"]) == 8 and st["inputs"][1:] == st["targets"][:-1]
 
 
+def test_pack_takes_the_longest_that_fits(spark):
+    df = spark.createDataFrame([([9] * n,) for n in (3, 9, 4, 20, 7, 1, 15, 6)], "ids array<int>").coalesce(1)
+    rows = C.pack(df, length=9, buffer=8).collect()
+    assert [(r["n_tokens"], r["n_cropped"]) for r in rows] == [(10, 0), (10, 0), (10, 0), (10, 5), (10, 10)]
+
+
 def test_cap_corpus_keeps_crossing_document(spark):
     df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([5, 5, 5, 5])], "doc_id long, text string")
     out = C.cap_corpus(df, ["doc_id"], doc_cap=4, max_chars=9)

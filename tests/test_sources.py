@@ -55,6 +55,63 @@ def test_json_payload_unwrapping(spark, tmpdir_path):
     assert IO.read_json_payload(spark, r).count() == 2
 
 
+def _like_pandas(spark, path, enc="utf-8"):
+    import pandas as pd
+    df, _, got = IO.read_delimited(spark, path)
+    assert got == enc
+    want = pd.read_csv(path, encoding=enc)
+    assert df.columns == list(want.columns)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want.itertuples(index=False, name=None), key=str)
+
+
+def test_quoted_fields_like_pandas(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "q.csv")
+    _write(p, b'id,"say, what",note\n1,"say ""hi"", ok",plain\n2,"two\nlines","a ""b"" c"\n3,"x,y","last, ""one"""\n')
+    _like_pandas(spark, p)
+    q = os.path.join(tmpdir_path, "split.csv")
+    _write(q, b'id,note\n1,"say ""hi"", ok"\n2,plain\n')
+    _like_pandas(spark, q)
+
+
+def test_character_across_the_first_chunk(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "long.csv")
+    head = b"id,word\n"
+    rows = b"".join(b"%06d,%s\n" % (i, b"x" * 56) for i in range(1023))
+    body = head + rows
+    pad = 65535 - len(body) - len(b"999999,")
+    assert pad > 0
+    _write(p, body + b"999999," + b"y" * pad + "é".encode() + b"z\n" + "1000000,café\n".encode())
+    _like_pandas(spark, p)
+
+
+def test_late_latin1_byte(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "late.csv")
+    _write(p, b"id,word\n" + b"".join(b"%d,plain\n" % i for i in range(9000)) + "9000,café\n".encode("latin-1"))
+    _like_pandas(spark, p, "latin-1")
+
+
+def test_written_csv_is_standard(spark, tmpdir_path):
+    import glob
+
+    import pandas as pd
+    rows = [(1, 'say "hi", ok'), (2, "two\nlines"), (3, "x,y"), (4, "plain")]
+    out = os.path.join(tmpdir_path, "out")
+    IO.write_table(spark.createDataFrame(rows, "id long, note string").coalesce(1), out, "csv")
+    got = pd.read_csv(glob.glob(out + "/part-*")[0])
+    assert sorted(got.itertuples(index=False, name=None)) == rows
+    assert sorted(map(tuple, IO.read_delimited(spark, out)[0].collect())) == rows
+
+
+def test_json_lines_with_long_records(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "long.jsonl")
+    _write(p, b"".join(json.dumps({"id": i, "t": '{"[' + "x" * (90000 if i == 0 else 5)}).encode() + b"\n" for i in range(50)))
+    assert IO.read_json_payload(spark, p).count() == 50
+    assert IO.read_any(spark, p).count() == 50
+    q = os.path.join(tmpdir_path, "pretty.json")
+    _write(q, json.dumps({"pad": "y" * 9000, "items": [{"a": 1}, {"a": 2}, {"a": 3}]}, indent=1).encode())
+    assert IO.read_json_payload(spark, q).count() == 3
+
+
 def test_media_inventory_images_win(spark, tmpdir_path):
     for cls in ("cat", "dog"):
         for i in range(3):
