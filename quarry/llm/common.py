@@ -72,9 +72,32 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
+
+
+def plain_texts(texts: pa.Array, lower: bool = False) -> pa.Array:
+    """A copy that starts at offset 0, nulls as empty texts, A-Z lower-cased if asked.
+
+    Arrow's string kernels misread some slices of larger arrays, so they only get these."""
+    texts = texts.cast(pa.large_string())
+    n = len(texts)
+    _, offsets, data = texts.buffers()
+    offset = np.frombuffer(offsets, np.int64, texts.offset + n + 1)[texts.offset:] if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[offset[0]:offset[-1]] if data else np.zeros(0, np.uint8)
+    if texts.null_count:
+        size = np.where(np.asarray(texts.is_valid()), np.diff(offset), 0)
+        if size.sum() != len(raw):
+            return plain_texts(pa.array([t or "" for t in texts.to_pylist()], pa.large_string()), lower)
+        offset = np.concatenate([[0], np.cumsum(size)])
+    raw = _LOWER[raw] if lower else raw.copy()
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer((offset - offset[0]).astype(np.int64).tobytes()),
+                                            pa.py_buffer(raw.tobytes()))
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of a batch of texts and the number of words of each text (null: 0)."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lists = pc.ascii_split_whitespace(plain_texts(texts, lower))
     owner = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists), dtype=np.int64))
     flat = lists.flatten()
     keep = pc.not_equal(flat, "")

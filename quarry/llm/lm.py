@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -106,8 +105,7 @@ def units(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=_UNIT)
 
         for b in text_batches(batches):
-            text = pc.ascii_lower(b.column(1).fill_null("").cast(pa.large_string()))
-            words, n = split_words(text)
+            words, n = split_words(b.column(1), lower=True)
             coded = words.dictionary_encode()
             known = np.fromiter((max(2, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
                                  for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))

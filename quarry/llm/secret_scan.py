@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ids_and_texts, text_batches
+from quarry.llm.common import ids_and_texts, plain_texts, text_batches
 
 # fixed values: the patterns of the base spans, in the order of their kinds
 KINDS = ("assign", "access", "hex", "entropy")
@@ -157,9 +157,8 @@ def _suspects(texts: pa.Array, window: int) -> np.ndarray:
     """Which texts hold a run of ``window`` key-like characters with a digit or a run of
     lower-case hex; decided on the batch's bytes at once."""
     n = len(texts)
-    start = np.frombuffer(texts.buffers()[1], np.int64, n + 1 + texts.offset)[texts.offset:]
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[start[0]:start[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
-    start = start - start[0]
+    start = np.frombuffer(texts.buffers()[1], np.int64, n + 1)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
     hit = np.zeros(n, bool)
     if not len(data):
         return hit
@@ -177,8 +176,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: E
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in text_batches(batches):
-            texts = b.column(1).cast(pa.large_string())
-            hit = _suspects(texts.fill_null(""), cfg.window)
+            texts = plain_texts(b.column(1))
+            hit = _suspects(texts, cfg.window)
             found = []
             for text, long in zip(texts.to_pylist(), hit.tolist()):
                 if not text:

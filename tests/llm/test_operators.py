@@ -64,6 +64,21 @@ def _same(got, want):
     assert Counter(got) == Counter(want)
 
 
+def test_words_of_slices():
+    """Batches are cut out of larger ones; Arrow must not see the cut."""
+    import pyarrow as pa
+    texts = [None, "Ünï A\tb", "", " x\x0by\x1cz ", None, "É É " * 50, "a" * 100, "last ÀB"] * 40
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts, kind)
+        for s, n in ((0, 320), (1, 7), (5, 100), (77, 200), (319, 1), (3, 0)):
+            for lower in (False, True):
+                words, count = common.split_words(whole.slice(s, n), lower)
+                want = [(t or "").encode() for t in texts[s:s + n]]
+                want = [(t.lower() if lower else t).split() for t in want]
+                assert [w.encode() for w in words.to_pylist()] == [w for t in want for w in t]
+                assert count.tolist() == [len(t) for t in want]
+
+
 def test_substrings_equal_brute_force(docs, rows):
     want = brute.repeats([(r[0], r[1]) for r in rows])
     got = substrings.remove_repeats(docs).collect()
