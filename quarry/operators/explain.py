@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators.joins import grid_rows
 from quarry.operators.ordered import row_index
@@ -71,12 +72,21 @@ def linear_shapley(model: PipelineModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, mean_abs_shap double")
 
 
-def partial_dependence(model: PipelineModel, df: DataFrame, features: Sequence[str], points: int = 20,
+def top_inputs(model: PipelineModel, df: DataFrame, k: int = 3) -> list[str]:
+    """The ``k`` numeric input columns whose feature slots are the most important."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    rows = importances(model, df, k=1 << 30).collect()      # one row per feature slot
+    ranked = [r["feature"].split("__")[0] for r in sorted(rows, key=lambda r: (-r["importance"], r["feature"]))]
+    return [c for c in dict.fromkeys(ranked) if c in numeric][:k]
+
+
+def partial_dependence(model: PipelineModel, df: DataFrame, features: Sequence[str] | None = None, points: int = 20,
                        prediction: str = "prediction") -> DataFrame:
-    """X5 mean prediction over a grid of ``points`` values between the 5th and
+    """X5 (``features``: the three most important numeric columns unless given) mean prediction over a grid of ``points`` values between the 5th and
     95th percentile of each feature (exact quantiles, distributed); each row
     is expanded over the short grid (J8) and re-scored."""
-    qs = exact_quantiles(df, list(features), [0.05, 0.95])
+    features = top_inputs(model, df) if features is None else list(features)
+    qs = exact_quantiles(df, features, [0.05, 0.95])
     out = None
     for f in features:
         lo, hi = qs[f]

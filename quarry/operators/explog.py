@@ -99,12 +99,13 @@ def leaderboard(log: DataFrame, lower: bool = True, test_col: str | None = "test
     return g.orderBy(F.asc("best_value") if lower else F.desc("best_value"), "model")
 
 
-def best_experiment(log: DataFrame, lower: bool = True, run: Sequence[str] = ("run_id",)) -> DataFrame:
+def best_experiment(log: DataFrame, lower: bool = True, run: Sequence[str] = ("run_id",),
+                    extra: Sequence[str] = ()) -> DataFrame:
     """K5 best kept experiment per run; runs without a keep fall back to their
-    best successful one: (run..., num, model, metric_val, source)."""
+    best successful one: (run..., num, model, metric_val, source, ``extra`` columns)."""
     v = F.col("metric_val")
     key = F.struct((v if lower else -v).alias("v"), F.col("num").alias("n"))
-    rec = F.struct("num", "model", "metric_val")
+    rec = F.struct("num", "model", "metric_val", *extra)
     s = _success(log)
     g = s.groupBy(*run).agg(F.min_by(F.when(F.col("status") == "keep", rec),
                                      F.when(F.col("status") == "keep", key)).alias("k"),
@@ -112,7 +113,8 @@ def best_experiment(log: DataFrame, lower: bool = True, run: Sequence[str] = ("r
     pick = F.coalesce("k", "a")
     return g.select(*run, pick["num"].alias("num"), pick["model"].alias("model"),
                     pick["metric_val"].alias("metric_val"),
-                    F.when(F.col("k").isNotNull(), "keep").otherwise("fallback").alias("source"))
+                    F.when(F.col("k").isNotNull(), "keep").otherwise("fallback").alias("source"),
+                    *[pick[c].alias(c) for c in extra])
 
 
 def top_failures(log: DataFrame, k: int = 2, run: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -218,18 +220,19 @@ def diagnostics(log: DataFrame, metric: str = "rmse", has_artifact: bool = False
                 run: Sequence[str] = ("run_id",)) -> DataFrame:
     """L7 per-run diagnostics: counts, success rate, best metric, threshold
     test, failure modes, readiness score 30 + round(rate x 25) + 15 (best) +
-    5/5 (r2 > .85/.95) + 15 (threshold) + 10 (artifact), clipped, and grade."""
+    5/5 (r2 > .85/.95) + 15 (threshold) + 10 (artifact), clipped, and grade.  The r2
+    is the best experiment's, where the log has an ``r2`` column."""
     lower = metric in LOWER_IS_BETTER
     counts = log.groupBy(*run).agg(F.count(F.lit(1)).alias("total"),
                                    F.count(F.when(F.col("status") != "crash", 1)).alias("success_count"))
-    best = good_enough(best_experiment(log, lower, run), metric)
+    best = good_enough(best_experiment(log, lower, run, [c for c in ("r2",) if c in log.columns]), metric)
     fails = top_failures(log, 2, run).groupBy(*run).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "reason", "n"))),
         lambda s: F.concat(s["reason"], F.lit(" ("), s["n"].cast("string"), F.lit(")"))), ", ").alias("top_failures"))
     j = join_null_safe(join_null_safe(counts, best, list(run), "left"), fails, list(run), "left")
     rate = F.col("success_count") / F.col("total")
     has_best = F.col("metric_val").isNotNull()
-    r2 = F.col("best_r2") if "best_r2" in j.columns else F.lit(None).cast("double")
+    r2 = F.col("r2") if "r2" in j.columns else F.lit(None).cast("double")
     score = (F.lit(30) + F.least(F.lit(25), F.bround(rate * 25, 0).cast("int"))
              + F.when(has_best, 15).otherwise(0)
              + F.when(has_best & (r2 > 0.85), 5).otherwise(0) + F.when(has_best & (r2 > 0.95), 5).otherwise(0)
@@ -324,7 +327,7 @@ def upsert_runs(current: DataFrame, updates: DataFrame, key: str = "id", version
     u = current.withColumn("_src", F.lit(0)).unionByName(updates.withColumn("_src", F.lit(1)))
     cols = [c for c in current.columns if c != key]
     latest = F.max_by(F.struct(*cols), F.struct(F.col(version), F.col("_src")))
-    firsts = [F.min_by(c, F.col("_src")).alias(f"_first_{c}") for c in keep_first]
+    firsts = [F.min_by(c, F.struct(F.col("_src"), F.col(version))).alias(f"_first_{c}") for c in keep_first]
     g = u.groupBy(key).agg(latest.alias("_l"), *firsts)
     return g.select(key, *[(F.col(f"_first_{c}") if c in keep_first else F.col(f"_l.{c}")).alias(c) for c in cols])
 
@@ -335,9 +338,19 @@ def list_runs(runs: DataFrame, n: int = 100) -> DataFrame:
     return top_k_per_group(owned, ["user_id"], [F.desc("started"), F.asc("id")], n, rank_name="rank")
 
 
+def list_guest_runs(runs: DataFrame, n: int = 50, address: str = "guest_ip") -> DataFrame:
+    """K4 guest runs without an owner per address, newest first, at most n."""
+    guests = runs.where(F.col("user_id").isNull() & F.col("id").startswith("guest-") & F.col(address).isNotNull())
+    return top_k_per_group(guests, [address], [F.desc("started"), F.asc("id")], n, rank_name="rank")
+
+
 def run_stats(runs: DataFrame) -> DataFrame:
-    """P25 run count, successful runs, summed experiments and tokens."""
+    """P25 run count, successful runs (done and, where the table tells, with a best
+    model), summed experiments and tokens."""
+    good = F.col("status") == "done"
+    if "best_model" in runs.columns:
+        good = good & F.col("best_model").isNotNull()
     return runs.agg(F.count(F.lit(1)).alias("runs"),
-                    F.count(F.when(F.col("status") == "done", 1)).alias("successful"),
+                    F.count(F.when(good, 1)).alias("successful"),
                     F.coalesce(F.sum("total_experiments"), F.lit(0)).alias("experiments"),
                     F.coalesce(F.sum(F.col("token_input") + F.col("token_output")), F.lit(0)).alias("tokens"))

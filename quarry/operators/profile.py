@@ -16,8 +16,10 @@ columns (correlation pairs, signals) collect those bounded tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,7 +129,10 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         none_l, none_d, none_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
         if isinstance(dt, _INTEGRAL):
             parts = (col.cast("long"), none_d, none_s)
-        elif isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
+        elif isinstance(dt, T.DecimalType):
+            # a decimal's text tells all its digits apart; as double they would merge
+            parts = (none_l, none_d, col.cast("string"))
+        elif isinstance(dt, (T.DoubleType, T.FloatType)):
             parts = (none_l, F.when(~F.isnan(col.cast("double")), col.cast("double")), none_s)
         else:
             parts = (none_l, none_d, _text(col, dt))
@@ -272,7 +277,7 @@ def id_like_columns(df: DataFrame, cols: Sequence[str], threshold: float = 0.95)
 def top_correlations(df: DataFrame, numeric_cols: Sequence[str], k: int = 8,
                      exclude_id_like: bool = True) -> DataFrame:
     """P10 top-k absolute pairwise Pearson correlations (pairwise-complete),
-    ids excluded: (col1, col2, corr, rank).  One aggregate over all pairs."""
+    ids excluded: (col1, col2, corr, rank).  One pass over the table (``pairwise_corr``)."""
     cols = list(numeric_cols)
     if exclude_id_like:
         ids = set(id_like_columns(df, cols))
@@ -280,18 +285,55 @@ def top_correlations(df: DataFrame, numeric_cols: Sequence[str], k: int = 8,
     if len(cols) < 2:
         schema = "col1 string, col2 string, corr double, rank int"
         return df.sparkSession.createDataFrame([], schema)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    xs = {c: to_number(_q(c)) if isinstance(df.schema[c].dataType, T.StringType) else _q(c).cast("double")
-          for c in cols}
-    agg = df.agg(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("col1"),
-                                    F.lit(cols[j]).alias("col2"),
-                                    F.abs(F.corr(xs[cols[i]], xs[cols[j]])).alias("corr"))
-                           for i, j in pairs]).alias("p"))
-    long = agg.select(F.explode("p").alias("p")).select("p.*").where(
-        F.col("corr").isNotNull() & ~F.isnan("corr"))
-    w = Window.orderBy(F.desc("corr"), "i", "j")  # one row per column pair: bounded
-    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "col1", "col2", F.round("corr", 3).alias("corr"), "rank")
+    xs = [to_number(_q(c)) if isinstance(df.schema[c].dataType, T.StringType) else _q(c).cast("double") for c in cols]
+    m = np.abs(pairwise_corr(df, xs))
+    found = [(cols[i], cols[j], float(m[i, j]), i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))
+             if np.isfinite(m[i, j])]
+    found.sort(key=lambda t: (-t[2], t[3], t[4]))
+    rows = [(a, b, v, r) for r, (a, b, v, _, _) in enumerate(found[:k], start=1)]
+    return df.sparkSession.createDataFrame(rows, "col1 string, col2 string, corr double, rank int").withColumn(
+        "corr", F.round("corr", 3))
+
+
+def pairwise_corr(df: DataFrame, xs: Sequence[Column]) -> np.ndarray:
+    """Pearson correlations of all column pairs over the rows where both are present (nan
+    where undefined; not-a-number values count as missing).
+
+    Every task adds up the products of its rows as n x n matrices and the driver adds one
+    such set per task, so the cost is one pass for any number of columns.  Values are
+    centred on their column's mean first."""
+    n = len(xs)
+    named = df.select(*[F.nanvl(x.cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, x in enumerate(xs)])
+    means = named.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(n)]).first()
+    mu = [m if m is not None and math.isfinite(m) else 0.0 for m in means]
+    arr = named.select(F.array(*[F.col(f"c{i}") - F.lit(mu[i]) for i in range(n)]).alias("v"))
+
+    def add_up(batches):
+        import numpy as np
+        import pandas as pd
+        total = np.zeros((5, n, n))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.array(pdf["v"].tolist(), dtype=float).reshape(len(pdf), n)
+            here = np.isfinite(x)
+            x = np.where(here, x, 0.0)
+            w = here.astype(float)
+            total += np.stack([w.T @ w, x.T @ w, w.T @ x, (x * x).T @ w, x.T @ x])
+        yield pd.DataFrame({"m": [total.tobytes()]})
+
+    total = np.zeros((5, n, n))
+    for r in arr.mapInPandas(add_up, "m binary").toLocalIterator():     # 5 n^2 numbers per task
+        total += np.frombuffer(r["m"]).reshape(5, n, n)
+    c, sx, sy, sxx, sxy = total
+    syy = sxx.T
+    with np.errstate(all="ignore"):
+        cov = sxy - sx * sy / c
+        vx, vy = sxx - sx * sx / c, syy - sy * sy / c
+        # what rounding leaves of a constant is no variance
+        flat = (vx <= 1e-14 * sxx) | (vy <= 1e-14 * syy) | (c < 2)
+        out = np.where(flat, np.nan, cov / np.sqrt(vx * vy))
+    return np.clip(out, -1.0, 1.0)
 
 
 def top_features_by_corr(df: DataFrame, target: str, features: Sequence[str], k: int = 20) -> DataFrame:
@@ -308,13 +350,12 @@ def top_features_by_corr(df: DataFrame, target: str, features: Sequence[str], k:
 def correlation_matrix(df: DataFrame, target: str, features: Sequence[str], k: int = 20) -> DataFrame:
     """P18 pairwise correlations among the target and its top-k features by
     |corr with target|: (col1, col2, corr) for all ordered pairs."""
-    x = lambda c: _q(c).cast("double")
-    r = df.agg(*[F.corr(x(c), x(target)).alias(c) for c in features]).first()
-    ranked = sorted([c for c in features if r[c] is not None], key=lambda c: (-abs(r[c]), features.index(c)))[:k]
-    keep = [target] + ranked
-    items = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.corr(x(a), x(b)).alias("corr"))
-             for a in keep for b in keep]
-    return df.agg(F.array(*items).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+    names = [target, *features]
+    m = pairwise_corr(df, [_q(c).cast("double") for c in names])
+    order = sorted((i for i in range(1, len(names)) if np.isfinite(m[0, i])), key=lambda i: (-abs(m[0, i]), i))[:k]
+    keep = [0, *order]
+    rows = [(names[a], names[b], float(m[a, b]) if np.isfinite(m[a, b]) else None) for a in keep for b in keep]
+    return df.sparkSession.createDataFrame(rows, "col1 string, col2 string, corr double")
 
 
 # Well-known target column names.
@@ -375,21 +416,31 @@ def statistical_id(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return e.select("name", ((F.col("d") / F.col("rows") > 0.9) | F.coalesce(seq, F.lit(False))).alias("is_id"))
 
 
-def infer_objective(profile: DataFrame, rows: int | Column) -> DataFrame:
-    """P15 rule-based objective from the first target candidate: task,
-    metric and direction.  One row."""
-    cands = target_candidates(profile, rows).where(F.col("rank") == 1).select(F.col("name").alias("target"))
-    p = cands.join(profile, cands["target"] == profile["name"]).select("target", "type", "unique")
+def infer_objective(profile: DataFrame, rows: int | Column, task: str | None = None) -> DataFrame:
+    """P15 rule-based objective: target, task, metric and direction, one row.
+
+    The target is the first candidate (P12), else the last numeric column, else the last
+    column.  ``task`` states a task that the target's type cannot tell (``forecasting``,
+    ``clustering``); an empty profile gives no row."""
+    first = target_candidates(profile, rows).where(F.col("rank") == 1).select(F.col("name").alias("first"))
+    p = profile.join(first, profile["name"] == first["first"], "left")
+    order = (F.when(F.col("first").isNotNull(), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+             .when(F.col("type") == "numeric", F.struct(F.lit(1).alias("a"), (-F.col("position")).alias("b")))
+             .otherwise(F.struct(F.lit(2).alias("a"), (-F.col("position")).alias("b"))))
+    best = p.agg(F.min_by(F.struct("name", "type", "unique"), order).alias("t")).where("t IS NOT NULL").select(
+        F.col("t.name").alias("target"), F.col("t.type").alias("type"), F.col("t.unique").alias("unique"))
     cat = F.col("type").isin("categorical", "high_cardinality")
-    task = (F.when(cat & (F.col("unique") <= 2), "binary_classification")
-            .when(cat & (F.col("unique") <= 20), "multiclass_classification")
-            .otherwise("regression"))
-    p = p.withColumn("task", task)
+    inferred = (F.when(cat & (F.col("unique") <= 2), "binary_classification")
+                .when(cat & (F.col("unique") <= 20), "multiclass_classification")
+                .otherwise("regression"))
+    best = best.withColumn("task", F.lit(task) if task else inferred)
     metric = (F.when(F.col("task") == "binary_classification", "auc")
               .when(F.col("task") == "multiclass_classification", "f1")
-              .when(F.col("task") == "forecasting", "mape").otherwise("rmse"))
-    direction = F.when(F.col("task").contains("classification"), "higher_is_better").otherwise("lower_is_better")
-    return p.select("target", "task", metric.alias("metric"), direction.alias("direction"))
+              .when(F.col("task") == "forecasting", "mape")
+              .when(F.col("task") == "clustering", "silhouette").otherwise("rmse"))
+    higher = F.col("task").contains("classification") | (F.col("task") == "clustering")
+    return best.select("target", "task", metric.alias("metric"),
+                       F.when(higher, "higher_is_better").otherwise("lower_is_better").alias("direction"))
 
 
 def signals(profile: DataFrame, balance: DataFrame) -> DataFrame:

@@ -182,21 +182,33 @@ ACTIONS = {
 
 def transform(df: DataFrame, steps: Sequence[dict]) -> tuple[DataFrame, list[str]]:
     """T13 apply ``[{column, action, bins?}]`` in order; returns (result, log).
-    Unknown columns are skipped with a log line; unknown actions raise."""
+    Unknown columns are skipped with a log line; unknown actions raise.  The log counts
+    what a step did: rows dropped, values filled, columns or classes made."""
     log: list[str] = []
     for step in steps:
         col, action = step.get("column", ""), step.get("action", "")
         if action not in ACTIONS:
             raise ValueError(f"unknown transform action {action!r}")
         if col and col not in df.columns:
-            log.append(f"Column '{col}' not found, skipped")
+            log.append(f"{action}: no column '{col}'")
             continue
         opts = {"bins": step["bins"]} if action == "bin" and "bins" in step else {}
-        df = ACTIONS[action](df, col, **opts)
-        log.append(f"{action} '{col}'")
+        before, df = df, ACTIONS[action](df, col, **opts)
+        log.append(f"{action} '{col}'" + _step_count(before, df, col, action))
     return df, log
 
 
+def _step_count(before: DataFrame, after: DataFrame, col: str, action: str) -> str:
+    if action in ("drop_nulls", "fill_mean", "fill_median", "fill_mode"):
+        n = before.where(_q(col).isNull()).count()
+        return f": {n} rows dropped" if action == "drop_nulls" else f": {n} values filled"
+    if action == "one_hot":
+        return f": {len(set(after.columns) - set(before.columns))} columns"
+    if action == "label_encode":
+        return f": {after.select(_q(col)).distinct().count()} classes"
+    return ""
+
+
 def hygiene(df: DataFrame) -> DataFrame:
     """T14 +-inf -> null in floating columns, then drop duplicate rows."""
     inf = F.lit(float("inf"))

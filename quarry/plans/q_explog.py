@@ -151,6 +151,19 @@ def l7_e10_f10_diagnostics(spark, sf):
     return finish(L.diagnostics(X.explog(spark, sf), "rmse"))
 
 
+@register("l7_r2_bonus", f"""
+WITH {X.EXPLOG}, {BEST_SQL},
+c AS (SELECT run_id, count(*) AS total, count(*) FILTER (WHERE status <> 'crash') AS ok FROM log GROUP BY 1),
+j AS (SELECT c.run_id, c.total, c.ok, b.metric_val, (l.event_id % 100) / 100.0 AS r2 FROM c
+  LEFT JOIN best b ON c.run_id = b.run_id LEFT JOIN log l ON b.run_id = l.run_id AND b.num = l.num)
+SELECT run_id, CAST(greatest(0, least(100, 30 + least(25, CAST(round_even(ok / total * 25, 0) AS INTEGER))
+  + CASE WHEN metric_val IS NOT NULL THEN 15 + CASE WHEN r2 > 0.85 THEN 5 ELSE 0 END + CASE WHEN r2 > 0.95 THEN 5 ELSE 0 END
+    ELSE 0 END + CASE WHEN metric_val <= 5000.0 THEN 15 ELSE 0 END + 10)) AS INTEGER) AS readiness_score FROM j""")
+def l7_r2_bonus(spark, sf):
+    log = X.explog(spark, sf).withColumn("r2", (F.col("event_id") % 100) / 100.0)
+    return L.diagnostics(log, "rmse", has_artifact=True).select("run_id", "readiness_score")
+
+
 @register("e8_metric_table", f"""
 WITH {X.EXPLOG}, {BEST_SQL}
 SELECT l.run_id, l.num, 'rmse' AS metric, round(l.train_rmse, 6) AS train, round(l.test_rmse, 6) AS test
@@ -266,6 +279,24 @@ def k4_list_runs(spark, sf):
     return L.list_runs(X.runs(spark, sf), 100)
 
 
+@register("k4_list_guest_runs", f"""
+WITH {X.RUNS}, g AS (SELECT *, '10.0.0.' || CAST(total_experiments AS VARCHAR) AS guest_ip FROM runs WHERE total_experiments <> 3)
+SELECT *, CAST(row_number() OVER (PARTITION BY guest_ip ORDER BY started DESC, id) AS BIGINT) AS rank
+FROM g WHERE user_id IS NULL AND id LIKE 'guest-%' QUALIFY rank <= 50""")
+def k4_list_guest_runs(spark, sf):
+    n = F.col("total_experiments")
+    runs = X.runs(spark, sf).withColumn("guest_ip", F.when(n != 3, F.concat(F.lit("10.0.0."), n.cast("string"))))
+    return L.list_guest_runs(runs)
+
+
+@register("p25_run_stats_best_model", f"""
+WITH {X.RUNS} SELECT count(*) AS runs, count(*) FILTER (WHERE status = 'done' AND total_experiments > 4) AS successful,
+  CAST(coalesce(sum(total_experiments), 0) AS BIGINT) AS experiments,
+  CAST(coalesce(sum(token_input + token_output), 0) AS BIGINT) AS tokens FROM runs""")
+def p25_run_stats_best_model(spark, sf):
+    return L.run_stats(X.runs(spark, sf).withColumn("best_model", F.when(F.col("total_experiments") > 4, "m")))
+
+
 @register("p25_run_stats", f"""
 WITH {X.RUNS} SELECT count(*) AS runs, count(*) FILTER (WHERE status = 'done') AS successful,
   CAST(coalesce(sum(total_experiments), 0) AS BIGINT) AS experiments,

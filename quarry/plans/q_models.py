@@ -287,7 +287,7 @@ def x4_linear_shapley(spark, sf):
 @register("x5_partial_dependence")
 def x5_partial_dependence(spark, sf):
     model, test = _ridge(spark, sf)
-    return XP.partial_dependence(model, test, ["c_acctbal"], points=20)
+    return XP.partial_dependence(model, test, points=20)
 
 
 @register("x6_factorize_first_appearance", """

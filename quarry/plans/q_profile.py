@@ -223,6 +223,25 @@ def p15_infer_objective(spark, sf):
     return P.infer_objective(prof, o.count())
 
 
+@register("p15_objective_fallback", """
+SELECT 'ps_b' AS target, 'regression' AS task, 'rmse' AS metric, 'lower_is_better' AS direction
+UNION ALL SELECT 'ps_b', 'forecasting', 'mape', 'lower_is_better'
+UNION ALL SELECT 'ps_b', 'clustering', 'silhouette', 'higher_is_better'
+UNION ALL SELECT 'ps_note', 'regression', 'rmse', 'lower_is_better'""")
+def p15_objective_fallback(spark, sf):
+    """No column qualifies as a target: the last numeric one is taken, else the last."""
+    o = read_table(spark, sf, "orders")
+    flat = o.select(F.lit(1.0).alias("ps_a"), (F.col("o_orderkey") % 3).alias("ps_b"),
+                    F.concat(F.lit("note number "), F.col("o_orderkey").cast("string"),
+                             F.lit(" of a longer text about the order")).alias("ps_note"))
+    n = o.count()
+    prof = P.profile_columns(flat, quantiles=False)
+    out = P.infer_objective(prof, n)
+    for task in ("forecasting", "clustering"):
+        out = out.unionByName(P.infer_objective(prof, n, task))
+    return out.unionByName(P.infer_objective(P.profile_columns(flat.select("ps_note"), quantiles=False), n))
+
+
 def _corr_matrix_sql(target: str, feats: list[str], k: int) -> str:
     allc = [target] + feats
     pairs = " UNION ALL ".join(f"SELECT '{a}' AS col1, '{b}' AS col2, corr({a}, {b}) AS c FROM lineitem"
