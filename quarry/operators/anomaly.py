@@ -3,7 +3,7 @@ distance and an isolation forest.
 
 Model state is small and bounded (k centroids, a d x d covariance, trees grown
 on 256-row samples), is fitted by distributed jobs and reaches the executors
-as a broadcast; rows are scored in Arrow batches with numpy.
+as a broadcast; only the feature column goes through Arrow batches to numpy.
 """
 
 from __future__ import annotations
@@ -17,11 +17,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _matrix(pdf: pd.DataFrame, col: str) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=float) for v in pdf[col].to_numpy()]) if len(pdf) else np.zeros((0, 0))
+def _rows(vectors: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=float) for v in vectors.to_numpy()]) if len(vectors) else np.zeros((0, 0))
 
 
 def centroid_distance(df: DataFrame, features: str, k: int = 3, seed: int = 42) -> DataFrame:
@@ -31,17 +30,12 @@ def centroid_distance(df: DataFrame, features: str, k: int = 3, seed: int = 42)
     vec = df.withColumn("__v", array_to_vector(F.col(features)))
     model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(vec)
     centers = np.stack([np.asarray(c) for c in model.clusterCenters()])
-    bc = df.sparkSession.sparkContext.broadcast(centers)
     out = model.transform(vec).drop("__v")
-    schema = T.StructType(out.schema.fields + [T.StructField("centroid_distance", T.DoubleType())])
-
-    def score(it):
-        c = bc.value
-        for pdf in it:
-            x = _matrix(pdf, features)
-            d = np.linalg.norm(x - c[pdf["cluster"].to_numpy()], axis=1) if len(pdf) else np.zeros(0)
-            yield pdf.assign(centroid_distance=d)
-    return out.mapInPandas(score, schema)
+    # k short literal rows; the distance stays a JVM expression
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centers])
+    return out.withColumn("centroid_distance", F.sqrt(F.aggregate(
+        F.zip_with(F.col(features).cast("array<double>"), F.element_at(table, F.col("cluster") + 1), lambda a, b: (a - b) * (a - b)),
+        F.lit(0.0), lambda a, v: a + v)))
 
 
 def mahalanobis(df: DataFrame, features: str) -> DataFrame:
@@ -56,15 +50,13 @@ def mahalanobis(df: DataFrame, features: str) -> DataFrame:
     cov = corr * np.outer(sd, sd)
     inv = np.linalg.pinv(np.nan_to_num(cov))
     bc = df.sparkSession.sparkContext.broadcast((mu, inv))
-    schema = T.StructType(df.schema.fields + [T.StructField("mahalanobis", T.DoubleType())])
 
-    def score(it):
+    @F.pandas_udf("double")
+    def distance(vectors: pd.Series) -> pd.Series:
         m, s = bc.value
-        for pdf in it:
-            x = _matrix(pdf, features) - m if len(pdf) else np.zeros((0, len(m)))
-            d = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, s, x), 0.0)) if len(pdf) else np.zeros(0)
-            yield pdf.assign(mahalanobis=d)
-    return df.mapInPandas(score, schema)
+        x = _rows(vectors) - m if len(vectors) else np.zeros((0, len(m)))
+        return pd.Series(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, s, x), 0.0)))
+    return df.withColumn("mahalanobis", distance(F.col(features)))
 
 
 def _c(n: float) -> float:
@@ -93,12 +85,14 @@ def isolation_forest(df: DataFrame, features: str, trees: int = 100, sample: int
     h = [F.xxhash64(F.lit(seed), F.lit(j), *[F.col(c) for c in cols]) for j in range(trees)]
     picks = F.filter(F.array(*[F.when(F.pmod(h[j], F.lit(1 << 30)) < int(rate * (1 << 30)), F.lit(j))
                                for j in range(trees)]), lambda x: x.isNotNull())
-    samp = df.select(F.explode(picks).alias("tree"), F.col(features).alias("x"))
+    samp = df.select(F.explode(picks).alias("tree"), F.col(features).alias("x"),
+                     F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in cols]).alias("h"))
     limit = int(math.ceil(math.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        x = _matrix(pdf, "x")[:sample]
+        # the smallest hashes, so a tree does not depend on the order of arrival
+        x = _rows(pdf.sort_values("h", kind="stable")["x"].head(sample))
         rng = np.random.default_rng(seed * 1000003 + tree)
         nodes = []
 
@@ -132,30 +126,29 @@ def isolation_forest(df: DataFrame, features: str, trees: int = 100, sample: int
         rows.sort(key=lambda r: r["node"])
         packed.append(np.array([[r["feature"], r["threshold"], r["left"], r["right"], r["size"]] for r in rows]))
     bc = df.sparkSession.sparkContext.broadcast((packed, _c(min(sample, n))))
-    schema = T.StructType(df.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
 
-    def score(it):
+    @F.pandas_udf("double")
+    def score(vectors: pd.Series) -> pd.Series:
         trees_, cn = bc.value
-        for pdf in it:
-            x = _matrix(pdf, features)
-            total = np.zeros(len(pdf))
-            for tb in trees_:
-                node = np.zeros(len(pdf), dtype=int)
-                depth = np.zeros(len(pdf))
-                active = np.ones(len(pdf), dtype=bool)
-                while active.any():
-                    f = tb[node, 0].astype(int)
-                    leaf = f < 0
-                    done = active & leaf
-                    depth[done] += np.array([_c(s) for s in tb[node[done], 4]])
-                    active &= ~leaf
-                    if not active.any():
-                        break
-                    idx = np.nonzero(active)[0]
-                    go_left = x[idx, f[idx]] < tb[node[idx], 1]
-                    node[idx] = np.where(go_left, tb[node[idx], 2], tb[node[idx], 3]).astype(int)
-                    depth[idx] += 1
-                total += depth
-            mean = total / max(len(trees_), 1)
-            yield pdf.assign(anomaly_score=np.power(2.0, -mean / cn) if cn > 0 else np.zeros(len(pdf)))
-    return df.mapInPandas(score, schema)
+        x = _rows(vectors)
+        total = np.zeros(len(x))
+        for tb in trees_:
+            node = np.zeros(len(x), dtype=int)
+            depth = np.zeros(len(x))
+            active = np.ones(len(x), dtype=bool)
+            while active.any():
+                f = tb[node, 0].astype(int)
+                leaf = f < 0
+                done = active & leaf
+                depth[done] += np.array([_c(s) for s in tb[node[done], 4]])
+                active &= ~leaf
+                if not active.any():
+                    break
+                idx = np.nonzero(active)[0]
+                go_left = x[idx, f[idx]] < tb[node[idx], 1]
+                node[idx] = np.where(go_left, tb[node[idx], 2], tb[node[idx], 3]).astype(int)
+                depth[idx] += 1
+            total += depth
+        mean = total / max(len(trees_), 1)
+        return pd.Series(np.power(2.0, -mean / cn) if cn > 0 else np.zeros(len(x)))
+    return df.withColumn("anomaly_score", score(F.col(features)))

@@ -18,9 +18,12 @@ from pyspark.ml import clustering as CU
 from pyspark.ml import feature as FT
 from pyspark.ml import regression as RG
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.ordered import row_index
+
 LABEL = "__label"
 REGRESSION = "regression"
 BINARY = "binary_classification"
@@ -152,24 +155,40 @@ class Route:
 def build_model(route: Route, train: DataFrame) -> PipelineModel:
     """Fit feature stages + label indexing + estimator on ``train``.  M5: with
     ``log_target`` the label is log1p(y) and predictions are expm1-ed at
-    scoring time (an explicit flag kept in the route)."""
+    scoring time (an explicit flag kept in the route).
+
+    The feature stages are fitted once on the whole table and their output (label and
+    feature vector) is kept for the estimator's passes; the number of features and of
+    classes is what the fitted stages say."""
     if route.spec.vector and not route.spec.vector_size:
         route.spec.vector_size = train.select(F.size(route.spec.vector)).first()[0]  # one row
     stages, _ = feature_stages(route.spec)
+    rows = prepare(train, route.spec).where(F.col(route.target).isNotNull())
     if route.task == REGRESSION:
-        y = f"log1p(CAST({_q(route.target)} AS DOUBLE))" if route.log_target else f"CAST({_q(route.target)} AS DOUBLE)"
-        stages.append(FT.SQLTransformer(statement=f"SELECT *, {y} AS {LABEL} FROM __THIS__"))
-        n_classes = 0
+        # not a stage: the fitted pipeline also scores tables without the target
+        y = F.col(route.target).cast("double")
+        rows = rows.withColumn(LABEL, F.log1p(y) if route.log_target else y)
     else:
         stages.append(FT.StringIndexer(inputCol=route.target, outputCol=LABEL, stringOrderType="alphabetAsc",
                                        handleInvalid="skip"))
-        n_classes = train.select(route.target).distinct().count()
-    n_features = None
-    if route.family == "mlp":
-        probe = prepare(train, route.spec)
-        n_features = Pipeline(stages=stages).fit(probe.limit(1000)).transform(probe.limit(1)).first()["features"].size
-    stages.append(estimator(route.task, route.family, LABEL, n_features, max(n_classes, 2), **route.params))
-    return Pipeline(stages=stages).fit(prepare(train, route.spec).where(F.col(route.target).isNotNull()))
+    fitted = Pipeline(stages=stages).fit(rows)
+    extra = [route.params["censorCol"]] if "censorCol" in route.params else \
+        ["censor"] if route.family == "survival" else []
+    data = fitted.transform(rows).select(LABEL, "features", *extra).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_features = None
+        if route.family == "mlp":
+            n_features = data.select(vector_to_array("features").alias("x")).select(F.size("x")).first()[0]
+        n_classes = 0 if route.task == REGRESSION else len(class_labels(fitted))
+        model = estimator(route.task, route.family, LABEL, n_features, max(n_classes, 2), **route.params).fit(data)
+    finally:
+        data.unpersist()
+    return PipelineModel(stages=[*fitted.stages, model])
+
+
+def class_labels(model: PipelineModel) -> list[str]:
+    """The classes of the fitted label indexing, in the order of their numbers."""
+    return next(s for s in model.stages if isinstance(s, FT.StringIndexerModel) and s.getOutputCol() == LABEL).labels
 
 
 def predict(model: PipelineModel, df: DataFrame, route: Route, keep: Sequence[str] = ()) -> DataFrame:
@@ -180,42 +199,47 @@ def predict(model: PipelineModel, df: DataFrame, route: Route, keep: Sequence[st
     if route.task == REGRESSION:
         p = F.expm1("prediction") if route.log_target else F.col("prediction")
         return out.select(*cols, p.alias("predicted"))
-    labels = next(s for s in model.stages if isinstance(s, FT.StringIndexerModel) and s.getOutputCol() == LABEL).labels
+    labels = class_labels(model)
     dec = F.element_at(F.array(*[F.lit(v) for v in labels]), F.col("prediction").cast("int") + 1)
     sel = [*cols, dec.alias("predicted")]
     if "probability" in out.columns:
         sel.append(vector_to_array("probability").alias("probability"))
+    elif "rawPrediction" in out.columns:
+        sel.append(vector_to_array("rawPrediction").alias("margin"))
     return out.select(*sel)
 
 
-def default_candidates(task: str, rows: int) -> list[tuple[str, dict]]:
-    """M21 candidate order by task and size (< 500 rows: linear first;
-    < 2000: trees; else boosting first)."""
-    if task == REGRESSION:
-        if rows < 500:
-            return [("ridge", {}), ("linear", {}), ("lasso", {}), ("random_forest", {}), ("gbt", {})]
-        if rows < 2000:
-            return [("random_forest", {}), ("gbt", {}), ("ridge", {}), ("decision_tree", {})]
-        return [("gbt", {}), ("random_forest", {}), ("ridge", {}), ("gbt", {"maxDepth": 7, "maxIter": 40})]
-    if rows < 500:
-        return [("logistic", {"regParam": 0.1}), ("naive_bayes", {}), ("random_forest", {}), ("gbt", {})]
-    return [("gbt", {}), ("random_forest", {}), ("logistic", {"regParam": 0.01}), ("decision_tree", {})]
+# Candidate routes in the order in which they are tried, unless a list is given.
+CANDIDATES = {
+    REGRESSION: [("gbt", {}), ("random_forest", {}), ("ridge", {}), ("gbt", {"maxDepth": 7, "maxIter": 40}),
+                 ("linear", {}), ("lasso", {}), ("decision_tree", {})],
+    "classification": [("gbt", {}), ("random_forest", {}), ("logistic", {"regParam": 0.01}), ("decision_tree", {}),
+                       ("logistic", {"regParam": 0.1}), ("naive_bayes", {})],
+}
+
 
+def default_candidates(task: str) -> list[tuple[str, dict]]:
+    """M21 the candidate order of a task, whatever the table's size."""
+    return list(CANDIDATES[REGRESSION if task == REGRESSION else "classification"])
 
-def evaluate(pred: DataFrame, task: str, actual: str, metric: str) -> float | None:
+
+def evaluate(pred: DataFrame, task: str, actual: str, metric: str, labels: Sequence[str] | None = None) -> float | None:
+    """A metric of ``predict``'s output.  ``labels`` are the fitted classes (the last one is
+    the positive class of a binary task); without them the classes present are taken."""
     from quarry.operators import evaluation as E
     if task == REGRESSION:
         r = E.regression_metrics(pred.select(F.col(actual).cast("double").alias("actual"), "predicted")).first()
         return r[metric]
+    if labels is None:
+        labels = sorted(r[0] for r in pred.select(F.col(actual).cast("string")).distinct().collect())
+    pos = labels[-1]
     if metric == "auc" and task == BINARY:
-        classes = sorted(r[0] for r in pred.select(F.col(actual).cast("string")).distinct().collect())
-        pos = classes[-1]
+        score = "probability" if "probability" in pred.columns else "margin"
         p = pred.select((F.col(actual).cast("string") == pos).cast("int").alias("actual"),
-                        F.element_at("probability", F.lit(len(classes))).alias("score"))
+                        F.element_at(score, F.lit(-1)).alias("score"))
         return E.auc(p).first()["auc"]
     avg = "binary" if task == BINARY else "macro"
     p = pred.select(F.col(actual).cast("string").alias("actual"), F.col("predicted").cast("string").alias("predicted"))
-    pos = sorted(r[0] for r in p.select("actual").distinct().collect())[-1]
     r = E.classification_metrics(p, average=avg, positive=pos).first()
     return r["accuracy"] if metric == "accuracy" else r["f1"]
 
@@ -229,7 +253,7 @@ def sweep(train: DataFrame, test: DataFrame, task: str, target: str, spec: Featu
     model, its route, log table)."""
     from quarry.operators.explog import LOWER_IS_BETTER
     lower = metric in LOWER_IS_BETTER
-    cands = list(candidates or default_candidates(task, train.count()))
+    cands = list(candidates or default_candidates(task))
     best_val, best_model, best_route, stale, rows = None, None, None, 0, []
     import time
     for num, (family, params) in enumerate(cands, start=1):
@@ -238,7 +262,8 @@ def sweep(train: DataFrame, test: DataFrame, task: str, target: str, spec: Featu
             t0 = time.time()
             model = build_model(route, train)
             t1 = time.time()
-            val = evaluate(predict(model, test, route, keep=[target]), task, target, metric)
+            val = evaluate(predict(model, test, route, keep=[target]), task, target, metric,
+                           None if task == REGRESSION else class_labels(model))
             t2 = time.time()
             status = "discard"
             if val is not None and not math.isnan(val) and (
@@ -287,9 +312,44 @@ def forecast(df: DataFrame, date: str, target: str, horizon_share: float = 0.2,
     return out.withColumnRenamed(target, "actual")
 
 
+def forecast_ahead(df: DataFrame, future: DataFrame, date: str, target: str, lags=(1, 7), family: str = "gbt",
+                   **params) -> DataFrame:
+    """M19 predictions for an unlabelled future table: (date, step, predicted).
+
+    One model per step ahead (direct forecasts): the model of step h learns the target
+    from calendar parts and from the values ``lag + h - 1`` rows earlier, which are all
+    known when the future begins, so no prediction feeds another.  The history is ordered
+    by ``date``; the future's distinct dates, in order, are the steps."""
+    from quarry.operators.timeseries import lag_features
+    steps = row_index(future.select(date).distinct(), [date], name="__step", tie_break=False).withColumn(
+        "step", (F.col("__step") + 1).cast("int")).drop("__step")
+    horizon = steps.agg(F.max("step")).first()[0] or 0
+    longest = max(lags) + horizon - 1
+    # the last known values as a literal row: longest numbers
+    tail = [r[0] for r in df.orderBy(F.desc(date)).limit(longest).select(F.col(target).cast("double")).collect()]
+    out = None
+    for h in range(1, horizon + 1):
+        own = [lag + h - 1 for lag in lags]
+        feats = lag_features(df.select(date, target), [], [date], target, lags=own, windows=())
+        names = {f"{target}_lag{n}": n for n in own}
+        missing = [c for c in names if c not in feats.columns]
+        if missing:
+            raise ValueError(f"lag columns {missing} not made; have {feats.columns}")
+        route = Route(REGRESSION, target, FeatureSpec(numeric=list(names), datetime=[date]), family, params)
+        model = build_model(route, feats.where(F.col(f"{target}_lag{max(own)}").isNotNull()))
+        # step h after the last row: lag n of it lies n - h rows before the end
+        known = {c: (tail[n - h] if n - h < len(tail) else None) for c, n in names.items()}
+        row = steps.where(F.col("step") == h).withColumns({c: F.lit(v).cast("double") for c, v in known.items()})
+        part = predict(model, row, route, keep=[date, "step"])
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else steps.withColumn("predicted", F.lit(None).cast("double"))
+
+
 def cross_validate(train: DataFrame, route: Route, metric: str, folds: int = 3, grid: dict | None = None,
-                   seed: int = 42):
-    """M12 grid search with k-fold cross-validation (Spark ``CrossValidator``)."""
+                   seed: int = 42, key: Sequence[str] | None = None):
+    """M12 grid search with k-fold cross-validation (Spark ``CrossValidator``).  The fold
+    of a row is a hash of ``key`` (all columns unless given), so it does not depend on
+    how the table is partitioned."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, \
         RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -310,9 +370,10 @@ def cross_validate(train: DataFrame, route: Route, metric: str, folds: int = 3,
     gb = ParamGridBuilder()
     for name, values in (grid or {}).items():
         gb = gb.addGrid(est.getParam(name), values)
+    from quarry.operators.splits import kfold
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=gb.build(), evaluator=ev, numFolds=folds, seed=seed,
-                        parallelism=2)
-    model = cv.fit(prepare(train, route.spec))
+                        parallelism=2, foldCol="__fold")
+    model = cv.fit(prepare(kfold(train, list(key or train.columns), folds, seed, "__fold"), route.spec))
     return model, list(model.avgMetrics)
 
 

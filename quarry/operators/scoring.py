@@ -36,18 +36,51 @@ def align_features(df: DataFrame, columns: Sequence[str], max_missing: float = 0
     return df.select(*[(_q(c) if c in df.columns else F.lit(0).alias(c)) for c in columns])
 
 
-def encode_like_training(df: DataFrame, column: str, categories: Sequence, rows: int | None = None) -> DataFrame:
-    """C4 one-hot with the category list frozen at training; columns whose
-    category count exceeds max(100, 0.5 % of rows) are label-encoded with the
-    frozen order instead (unseen values -> null)."""
+def freeze_encoding(train: DataFrame, column: str) -> dict:
+    """C4 what training decides about a categorical column: its sorted categories and
+    whether they are one-hot columns or, beyond max(100, 0.5 % of the training rows),
+    codes in the frozen order."""
+    values = [r[0] for r in train.select(_q(column).cast("string")).where(_q(column).isNotNull()).distinct().collect()]
+    return {"categories": sorted(values), "one_hot": len(values) <= max(100, int(0.005 * train.count()))}
+
+
+def encode_like_training(df: DataFrame, column: str, categories: Sequence, as_codes: bool = False) -> DataFrame:
+    """C4 one-hot with the category list frozen at training, or (``as_codes``, also frozen
+    at training) codes in the frozen order, unseen values null."""
     from quarry.operators.transforms import one_hot
-    limit = max(100, int(0.005 * (rows or 0)))
-    if len(categories) > limit:
-        codes = F.create_map(*[x for i, v in enumerate(categories) for x in (F.lit(str(v)), F.lit(i))])
-        return df.withColumn(column, codes[_q(column).cast("string")])
+    if as_codes:
+        table = df.sparkSession.createDataFrame([(str(v), i) for i, v in enumerate(categories)], "__v string, __code int")
+        out = df.join(table, _q(column).cast("string") == F.col("__v"), "left")
+        return out.select(*[F.col("__code").alias(c) if c == column else df[c] for c in df.columns])
     return one_hot(df, column, categories=categories)
 
 
+def score(model, route, df: DataFrame, meta: dict) -> DataFrame:
+    """C2-C8 score a new table with what training saved: ids kept aside, target and leakage
+    dropped, features aligned to the training columns, categories as frozen, predictions
+    under the target's name in the layout ``id, target``.
+
+    ``meta``: ``columns`` (training features in order), ``id_columns``, ``leakage``,
+    ``frozen`` ({column: categories for codes}), ``max_missing``."""
+    from quarry.operators.models import predict
+    ids = [c for c in meta.get("id_columns", []) if c in df.columns]
+    feats, _ = drop_for_scoring(df, route.target, meta.get("leakage", ()), id_columns=ids)
+    named = {c: f"__id_{c}" for c in ids}
+    for column, categories in meta.get("frozen", {}).items():
+        if column in feats.columns:
+            feats = encode_like_training(feats, column, categories, as_codes=True)
+    feats = feats.withColumns({a: _q(c) for c, a in named.items()})
+    columns = list(meta["columns"])
+    align_features(feats, columns, meta.get("max_missing", 0.5))       # raises where too many are missing
+    aligned = feats.select(*[(_q(c) if c in feats.columns else F.lit(0).alias(c)) for c in columns],
+                           *[_q(a) for a in named.values()])
+    pred = predict(model, aligned, route, keep=list(named.values()))
+    if route.task != "regression":
+        pred = whole_number_predictions(pred, "predicted") if isinstance(
+            pred.schema["predicted"].dataType, T.DoubleType) else pred
+    return pred.select(*[_q(a).alias(c) for c, a in named.items()], F.col("predicted").alias(route.target))
+
+
 def decode_labels(df: DataFrame, column: str, classes: Sequence[str]) -> DataFrame:
     """C6 integer predictions -> sorted class names, only when every value is
     an integer inside the class range (checked by one aggregate)."""

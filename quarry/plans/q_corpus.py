@@ -97,6 +97,25 @@ def b7_b8_pack_shift(spark, sf):
                                           F.slice("inputs", 1, 4).alias("head"))
 
 
+@register("f11_token_byte_length", """
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE octet_length(encode(p_name || 'é€')) END AS n_bytes FROM part""")
+def f11_token_byte_length(spark, sf):
+    from quarry.functions.scalars import token_byte_length
+    p = read_table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit("é€")).alias("t"))
+    return p.select("p_partkey", token_byte_length("t", F.col("p_partkey") % 5 == 0).alias("n_bytes"))
+
+
+@register("e11_bits_of_scores", """
+SELECT round(sum(CASE WHEN l_linenumber > 1 THEN l_quantity / 10.0 END) / (ln(2.0) * sum(l_linenumber - 1)), 6) AS bpb,
+  CAST(sum(l_linenumber - 1) AS BIGINT) AS bytes, count(*) AS tokens FROM lineitem""")
+def e11_bits_of_scores(spark, sf):
+    """Given scores: token 1 is special (no bytes), the others have token - 1 bytes."""
+    vocab = spark.range(1, 65).select(F.col("id").cast("int").alias("token_id"), (F.col("id") - 1).cast("int").alias("n_bytes"))
+    scored = read_table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("int").alias("token_id"),
+                                                      (F.col("l_quantity") / 10.0).alias("nats"))
+    return finish(bits_per_byte(scored, vocab))
+
+
 @register("e11_bits_per_byte")
 def e11_bits_per_byte(spark, sf):
     merges = merges_for(spark, sf)

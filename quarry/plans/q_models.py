@@ -223,7 +223,7 @@ def c4_encode_like_training(spark, sf):
     train = o.where(F.col("split") == "train")
     cats = sorted(r[0] for r in train.select("o_orderpriority").distinct().collect())[:3]  # frozen list
     test = o.where(F.col("split") == "test").select("o_orderkey", "o_orderpriority")
-    return C.encode_like_training(test, "o_orderpriority", cats, rows=train.count())
+    return C.encode_like_training(test, "o_orderpriority", cats)
 
 
 @register("c6_c7_c8_decode_layout", """
@@ -247,6 +247,36 @@ def c5_c10_prediction_summary(spark, sf):
     return summary
 
 
+@register("c10_summary_of_predictions", """
+SELECT count(*) AS rows, round(avg(abs(l_quantity * 1500.0 - l_extendedprice)), 6) AS mae FROM lineitem""")
+def c10_summary_of_predictions(spark, sf):
+    from quarry.plans import fixtures as X
+    summary, _ = C.prediction_summary(X.reg_preds(spark, sf), order_by=["l_orderkey", "l_linenumber"])
+    return finish(summary)
+
+
+@register("c2_c8_score_new_table")
+def c2_c8_score_new_table(spark, sf):
+    """Train on the training part, save the layout, score the raw test rows end to end."""
+    d = _orders_features(spark, sf)
+    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+    route = M.Route(M.REGRESSION, "o_totalprice", REG_SPEC, "ridge")
+    model = M.build_model(route, train)
+    used = [*REG_SPEC.numeric, *REG_SPEC.categorical, *REG_SPEC.datetime]
+    meta = {"columns": used, "id_columns": ["o_orderkey"], "leakage": ["split"]}
+    return C.score(model, route, test.drop("o_totalprice"), meta)
+
+
+@register("m19_forecast_ahead")
+def m19_forecast_ahead(spark, sf):
+    """The week after the last day of the daily revenue, from an unlabelled table of dates."""
+    from quarry.plans import fixtures as X
+    daily = X.daily_orders(spark, sf).select("day", "revenue")
+    future = daily.agg(F.max("day").alias("d")).select(F.explode(F.sequence(
+        F.date_add("d", 1), F.date_add("d", 7))).alias("day"))
+    return M.forecast_ahead(daily, future, "day", "revenue", lags=(1, 7), family="ridge")
+
+
 @register("c9_forecast_table")
 def c9_forecast_table(spark, sf):
     pred = _fit_predict(spark, sf, "ridge").withColumn("period", F.col("o_orderkey"))
@@ -284,6 +314,16 @@ def x4_linear_shapley(spark, sf):
     return XP.linear_shapley(model, test)
 
 
+@register("x4_linear_contributions", """
+WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem)
+SELECT 'l_quantity' AS feature, round(avg(abs(2.5 * (l_quantity - q))), 6) AS mean_abs_shap FROM lineitem, m
+UNION ALL SELECT 'l_discount', round(avg(abs(-40.0 * (l_discount - d))), 6) FROM lineitem, m
+UNION ALL SELECT 'l_tax', round(avg(abs(7.0 * (l_tax - t))), 6) FROM lineitem, m""")
+def x4_linear_contributions(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    return finish(XP.linear_contributions(li, {"l_quantity": 2.5, "l_discount": -40.0, "l_tax": 7.0}))
+
+
 @register("x5_partial_dependence")
 def x5_partial_dependence(spark, sf):
     model, test = _ridge(spark, sf)

@@ -315,6 +315,21 @@ def j2_auto_join_null_keys(spark, sf):
     return out
 
 
+@register("j2_auto_join_three_tables", f"""
+WITH {NULLKEY_CTE},
+s AS (SELECT CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_suppkey END AS cust_id, s_name AS label, s_acctbal AS acctbal FROM supplier),
+a AS (SELECT coalesce(c.cust_id, o.cust_id) AS cust_id, c.name, c.acctbal, c.status, o.o_orderkey, o.total,
+  o.status AS status_orders FROM c FULL OUTER JOIN o ON c.cust_id IS NOT DISTINCT FROM o.cust_id)
+SELECT coalesce(a.cust_id, s.cust_id) AS cust_id, a.name, a.acctbal, a.status, a.o_orderkey, a.total, a.status_orders,
+  s.label, s.acctbal AS acctbal_supplier FROM a FULL OUTER JOIN s ON a.cust_id IS NOT DISTINCT FROM s.cust_id""")
+def j2_auto_join_three_tables(spark, sf):
+    c, o = _nullkey_tables(spark, sf)
+    s = read_table(spark, sf, "supplier").select(
+        F.when(F.col("s_suppkey") % 9 != 0, F.col("s_suppkey")).alias("cust_id"), F.col("s_name").alias("label"),
+        F.col("s_acctbal").alias("acctbal"))
+    return J.auto_join({"customer.csv": c, "orders.csv": o, "supplier.csv": s}, key="cust_id")[0]
+
+
 @register("j3_fan_out", f"""
 WITH {NULLKEY_CTE},
 cl AS (SELECT cust_id, count(*) AS nl FROM c GROUP BY 1), cr AS (SELECT cust_id, count(*) AS nr FROM o GROUP BY 1),
