@@ -125,13 +125,15 @@ def top_failures(log: DataFrame, k: int = 2, run: Sequence[str] = ("run_id",)) -
 
 
 def decisions(log: DataFrame, lower: bool = True, run: Sequence[str] = ("run_id",),
-              bucket_rows: int = DEFAULT_BUCKET_ROWS, keep_index: bool = False) -> DataFrame:
+              bucket_rows: int = DEFAULT_BUCKET_ROWS, keep_index: bool = False,
+              more: Sequence[tuple] = ()) -> DataFrame:
     """L6 keep / discard / crash from the metrics: keep the first success and
     every strict improvement on the best so far, discard the rest.  With
-    ``keep_index`` the run position ``_idx`` stays for later passes."""
+    ``keep_index`` the run position ``_idx`` stays for later passes; ``more`` running
+    columns are computed in the same pass."""
     succ = F.col("status") != "crash"
     x = log.withColumn("_sv", F.when(succ, F.col("metric_val")))
-    r = running(x, list(run), ["num"], [("prev_best", "min" if lower else "max", "_sv", False)],
+    r = running(x, list(run), ["num"], [("prev_best", "min" if lower else "max", "_sv", False), *more],
                 bucket_rows=bucket_rows, keep_index=keep_index)
     better = F.col("prev_best").isNull() | _better(F.col("metric_val"), F.col("prev_best"), lower)
     return r.withColumn("decision", F.when(~succ, "crash").when(better, "keep").otherwise("discard")) \
@@ -143,18 +145,14 @@ def stagnation(log: DataFrame, lower: bool = True, run: Sequence[str] = ("run_id
     """W7 rounds without improvement after each experiment: successful
     experiments since the last new best (crashes do not count; a new best
     resets to 0)."""
-    # one run position serves all three passes
-    d = decisions(log, lower, run, bucket_rows, keep_index=True)
-    g = running(d.withColumn("_nb", F.col("is_new_best").cast("long")), list(run), ["num"],
-                [("_grp", "sum", "_nb")], bucket_rows=bucket_rows, idx="_idx")
-    g = g.withColumn("_succ", (F.col("status") != "crash").cast("long"))
-    # the rows between two new bests are contiguous: position in the group =
-    # run position - first position of the group
-    start = g.groupBy(*run, "_grp").agg(F.min("_idx").alias("_g0"))
-    g = join_null_safe(g, start, [*run, "_grp"]).withColumn("_gi", F.col("_idx") - F.col("_g0"))
-    c = running(g, [*run, "_grp"], ["num"], [("_cs", "sum", "_succ")], bucket_rows=bucket_rows, idx="_gi")
-    rounds = F.when(F.col("_grp") > 0, F.col("_cs") - 1).otherwise(F.col("_cs"))
-    return c.withColumn("no_improve", rounds).drop("_nb", "_grp", "_succ", "_cs", "_idx", "_g0", "_gi")
+    # successes so far never fall, so their number at the last new best is the largest
+    # seen at one: two running passes over one run position
+    d = decisions(log.withColumn("_succ", (F.col("status") != "crash").cast("long")), lower, run, bucket_rows,
+                  keep_index=True, more=[("_cs", "sum", "_succ")])
+    g = running(d.withColumn("_at", F.when(F.col("is_new_best"), F.col("_cs"))), list(run), ["num"],
+                [("_best_cs", "max", "_at")], bucket_rows=bucket_rows, idx="_idx")
+    return g.withColumn("no_improve", F.col("_cs") - F.coalesce("_best_cs", F.lit(0))).drop(
+        "_succ", "_cs", "_at", "_best_cs", "_idx")
 
 
 def crash_streaks(log: DataFrame, min_len: int = 3, run: Sequence[str] = ("run_id",),

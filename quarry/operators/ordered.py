@@ -73,21 +73,6 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(ren, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-MIN_BYTES_PER_PARTITION = 1 << 20
-
-
-def _range_partitions(df: DataFrame) -> int:
-    """The configured shuffle partitions, fewer only when the optimizer's
-    size estimate shows a tiny input (under 1 MB per partition): the result
-    does not depend on this number, only the task count does."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no estimate (e.g. a remote session): keep the setting
-        return n
-    return max(1, min(n, -(-size // MIN_BYTES_PER_PARTITION)))
-
-
 def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (),
               name: str = "idx", num_partitions: int | None = None, tie_break: bool = True) -> DataFrame:
     """Add ``name`` = 0-based position by ``order_by`` within ``partition_by``.
@@ -96,14 +81,14 @@ def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (
     With ``tie_break`` all other sortable columns extend the order, so the
     numbering is a function of the data, not of the partitioning.
     """
-    spark = df.sparkSession
     part = [F.col(f"`{c}`") for c in partition_by]
     order = [_as_col(c) for c in order_by]
     keys = part + order
     if tie_break:
         keys += _tie_break(df, list(partition_by) + _names(order_by))
-    n = num_partitions or _range_partitions(df)
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without a number adaptive execution merges small partitions by what they really hold
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    ranged = (ranged.sortWithinPartitions(*keys)
               .withColumn("__ri_pid", F.spark_partition_id())
               .withColumn("__ri_pos", F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
@@ -159,9 +144,9 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence,
     base = df if idx else row_index(df, order_by, partition_by, name="_idx")
     ix = idx or "_idx"
     part = [F.col(f"`{c}`") for c in partition_by]
-    b = base.withColumn("_bkt", F.floor(F.col(ix) / F.lit(bucket_rows)).cast("long"))
+    base = base.withColumn("_bkt", F.floor(F.col(ix) / F.lit(bucket_rows)).cast("long"))
     wb = Window.partitionBy(*part, "_bkt").orderBy(ix)
-    sums = []
+    b, sums = base, []
     for spec in specs:
         out, kind, c = spec[0], spec[1], _as_col(spec[2])
         inclusive = spec[3] if len(spec) > 3 else True
@@ -171,7 +156,8 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence,
             sums.append(F.max_by(c, F.when(c.isNotNull(), F.col(ix))).alias(f"_tot_{out}"))
         else:
             sums.append({"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[kind](c).alias(f"_tot_{out}"))
-    summary = b.groupBy(*part, "_bkt").agg(*sums)
+    # one row per entity and bucket, combined before the shuffle
+    summary = base.groupBy(*part, "_bkt").agg(*sums)
     wprev = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(_UNB, -1)
     carry_cols = []
     for spec in specs:
@@ -180,13 +166,10 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence,
         agg = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}.get(kind)
         carried = F.last(tot, ignorenulls=True).over(wprev) if kind == "last" else agg(tot).over(wprev)
         carry_cols.append(carried.alias(f"_cy_{out}"))
-    # bucket 0 of every entity has nothing before it: only later buckets (at
-    # most rows / bucket_rows of them) need the carry join
+    # bucket 0 of an entity has nothing before it, so the carry has a row for at most
+    # rows / bucket_rows later buckets
     carry = summary.select(*partition_by, "_bkt", *carry_cols).where(F.col("_bkt") > 0)
-    first = b.where(F.col("_bkt") == 0).withColumns(
-        {f"_cy_{spec[0]}": F.lit(None).cast(b.schema[f"_in_{spec[0]}"].dataType) for spec in specs})
-    later = join_null_safe(b.where(F.col("_bkt") > 0), carry, [*partition_by, "_bkt"], "left")
-    b = first.unionByName(later)
+    b = join_null_safe(b, carry, [*partition_by, "_bkt"], "left")
     for spec in specs:
         out, kind = spec[0], spec[1]
         b = b.withColumn(out, _COMBINE[kind](F.col(f"_in_{out}"), F.col(f"_cy_{out}")))
