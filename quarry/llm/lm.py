@@ -39,7 +39,7 @@ END = np.uint64(1)
 #: Counts up to this are discounted.
 GT = 5
 #: Bytes of text in a unit, and buckets per shuffle partition.
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 8 << 20
 VOCABULARY, BIGRAMS = 2, 6
 #: A history with more than 1/(HOT * partitions) of all tokens is split.
 HOT = 8
