@@ -221,8 +221,6 @@ class _Encoder:
     def __init__(self, merges: Sequence[tuple[int, int]]):
         self.ranks = {tuple(m): i for i, m in enumerate(merges)}
         self.table = token_table(merges)
-        import regex
-        self.split = regex.compile(SPLIT_PATTERN)
         self.encode_piece = functools.lru_cache(maxsize=1 << 16)(self._encode_piece)
 
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
@@ -248,9 +246,10 @@ class _Encoder:
             ids = out
         return tuple(ids)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, pieces: Sequence[str] | None) -> list[int]:
+        """Ids of a text's pre-tokens (a piece met before is looked up)."""
         out: list[int] = []
-        for piece in self.split.findall(text or ""):
+        for piece in pieces if pieces is not None else ():
             out.extend(self.encode_piece(piece))
         return out
 
@@ -258,6 +257,11 @@ class _Encoder:
         return b"".join(self.table[i] for i in ids if i < len(self.table)).decode("utf-8", "replace")
 
 
+def _pieces(text: str) -> Column:
+    """The pre-tokens of a text, cut in the JVM by the pattern that training uses."""
+    return F.regexp_extract_all(F.col(text), F.lit(SPLIT_PATTERN), 0)
+
+
 def encode(df: DataFrame, merges: Sequence[tuple[int, int]], text: str = "text", prepend_bos: bool = True,
            out: str = "ids") -> DataFrame:
     """B4 token ids of every document (whole text), BOS first; the merge list
@@ -271,7 +275,7 @@ def encode(df: DataFrame, merges: Sequence[tuple[int, int]], text: str = "text",
         e = _Encoder(bc.value)
         for s in texts:
             yield s.map(lambda t: ([bos] if prepend_bos else []) + e.encode(t))
-    return df.withColumn(out, enc(F.col(text)))
+    return df.withColumn(out, enc(_pieces(text)))
 
 
 def round_trip_audit(df: DataFrame, merges: Sequence[tuple[int, int]], text: str = "text") -> DataFrame:
@@ -279,12 +283,12 @@ def round_trip_audit(df: DataFrame, merges: Sequence[tuple[int, int]], text: str
     bc = df.sparkSession.sparkContext.broadcast(list(merges))
 
     @F.pandas_udf(T.BooleanType())
-    def same(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def same(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         e = _Encoder(bc.value)
-        for s in texts:
-            yield s.map(lambda t: e.decode(e.encode(t)) == (t or ""))
+        for s, pieces in texts:
+            yield pd.Series([e.decode(e.encode(p)) == (t or "") for t, p in zip(s, pieces)])
     return df.agg(F.count(F.lit(1)).alias("documents"),
-                  F.count(F.when(~same(F.col(text)), 1)).alias("mismatches"))
+                  F.count(F.when(~same(F.col(text), _pieces(text)), 1)).alias("mismatches"))
 
 
 # ---------------------------------------------------------------- packing

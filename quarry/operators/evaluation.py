@@ -108,10 +108,8 @@ def residual_histogram(df: DataFrame, actual: str = "actual", predicted: str = "
 def bits_per_byte(scored: DataFrame, token_bytes: DataFrame, token: str = "token_id", nats: str = "nats") -> DataFrame:
     """E11 sum(nats of tokens with bytes > 0) / (ln 2 x sum(bytes)); special
     tokens (0 bytes) are left out of both sums.  ``token_bytes`` has one row
-    per vocabulary entry, so the join is against a bounded table."""
+    per vocabulary entry; the planner picks the join by its size."""
     tb = token_bytes.select(F.col(token), F.col("n_bytes"))
-    if tb.count() <= 1 << 20:  # a vocabulary: checked before broadcasting
-        tb = F.broadcast(tb)
     j = scored.join(tb, token)
     return j.agg((F.sum(F.when(F.col("n_bytes") > 0, F.col(nats))) /
                   (F.lit(math.log(2.0)) * F.sum("n_bytes"))).alias("bpb"),

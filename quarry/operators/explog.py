@@ -196,12 +196,6 @@ def train_vs_test(log: DataFrame, train: str = "train_rmse", test: str = "test_r
                                 g.alias("gap_ratio"), (g > limit).alias("overfit"))
 
 
-def thresholds(spark) -> DataFrame:
-    """E10 built-in good-enough thresholds as a small table."""
-    rows = [(k, v, k not in ("r2", "auc", "f1", "accuracy", "nse")) for k, v in GOOD_ENOUGH.items()]
-    return spark.createDataFrame(rows, "metric string, threshold double, lower_is_better boolean")
-
-
 def good_enough(best: DataFrame, metric: str, user_threshold: float | None = None) -> DataFrame:
     """E10 threshold test of each run's best value: the stricter of the
     built-in and the user threshold, compared by direction."""

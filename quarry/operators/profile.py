@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from quarry.functions.scalars import to_number, to_timestamp_safe
 from quarry.operators.ordered import lag_join, row_index
-from quarry.operators.stats import quantiles_df, top_k_per_group
+from quarry.session import keep_table
+from quarry.operators.stats import quantiles_df
 
 # File extensions that make a column a file path.
 PATH_PATTERN = r"(?i)\.(jpg|jpeg|png|gif|bmp|tiff|webp|csv|json|txt)$"
@@ -179,7 +180,8 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, order_by:
     a = _pass_a(df, cols)
     vc_cols = cols if exact else [c for c in cols if _kind(df.schema[c].dataType) != "numeric"]
     if vc is None:
-        vc = value_counts(df, vc_cols) if vc_cols else df.sparkSession.createDataFrame(
+        # counted once: distinct counts, top values and samples all read the kept table
+        vc = keep_table(value_counts(df, vc_cols), "value-counts") if vc_cols else df.sparkSession.createDataFrame(
             [], "column string, value string, n long")
     uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique")).withColumnRenamed("column", "name")
     prof = a.join(uniq, "name", "left")
@@ -202,12 +204,11 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, order_by:
     # top values are reported for categorical / high-cardinality types, which
     # only text columns can have: numeric value counts are not ranked
     text_cols = [c for c in cols if _kind(df.schema[c].dataType) == "string"]
-    tops = top_k_per_group(vc.where(F.col("column").isin(*text_cols)) if text_cols else vc.limit(0),
-                           ["column"], [F.desc("n"), F.asc("value")], top, rank_name="rank")
-    topagg = tops.groupBy(F.col("column").alias("name")).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("_top"))
-    smp = top_k_per_group(vc, ["column"], [F.asc("value")], 3, rank_name="rank").groupBy(
-        F.col("column").alias("name")).agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("_smp"))
+    text_vc = vc.where(F.col("column").isin(*text_cols)) if text_cols else vc.limit(0)
+    topagg = smallest_per_column(text_vc, F.struct((-F.col("n")).alias("m"), "value"), top).select(
+        F.col("column").alias("name"),
+        F.transform("least", lambda s: F.struct(s["value"].alias("value"), (-s["m"]).alias("n"))).alias("_top"))
+    smp = smallest_per_column(vc, F.struct("value"), 3).select(F.col("column").alias("name"), F.col("least").alias("_smp"))
     prof = prof.join(topagg, "name", "left").join(smp, "name", "left")
     if order_by is not None:
         sc = serial_correlation(df, [c for c in cols if _kind(df.schema[c].dataType) in ("numeric", "string")],
@@ -238,6 +239,25 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, order_by:
     )
 
 
+def smallest_per_column(vc: DataFrame, key: Column, k: int) -> DataFrame:
+    """(column, least): the ``k`` smallest distinct keys of each column in order.
+
+    Found one after the other as minima above the last one: ``k`` aggregates that combine
+    before the shuffle (one row per column and task) instead of a sort of all values.
+    The joined side has one row per column, which bounds the broadcast."""
+    rows = vc.select("column", key.alias("key"))
+    step = rows.groupBy("column").agg(F.min("key").alias("low"))
+    steps = [step]
+    for _ in range(k - 1):
+        step = (rows.join(F.broadcast(step), "column").where(F.col("key") > F.col("low"))
+                .groupBy("column").agg(F.min("key").alias("low")))
+        steps.append(step)
+    out = steps[0]
+    for s in steps[1:]:
+        out = out.unionAll(s)
+    return out.groupBy("column").agg(F.array_sort(F.collect_list("low")).alias("least"))
+
+
 def serial_correlation(df: DataFrame, cols: Sequence[str], order_by: Sequence) -> DataFrame:
     """P6 lag-1 autocorrelation of each column's non-null numeric values in row
     order; 0 when 2 or fewer values.  Returns (column, serial_corr)."""

@@ -7,17 +7,15 @@ a split are exact complements.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.ordered import DEFAULT_BUCKET_ROWS, halo, row_index
 
 
-MAX_BROADCAST_ROWS = 100_000
-
-
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -103,14 +101,12 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def oversample(df: DataFrame, label: str, split: str | None = None) -> DataFrame:
     """V7 random oversampling with integer factors: each class is replicated
     floor(max_count / count) times (train rows only when ``split`` is given).
-    The factor table has one row per class and is joined as a broadcast."""
+    The factor table has one row per class; the planner picks the join by its size."""
     part = df.where(_q(split) == "train") if split else df
     counts = part.groupBy(_q(label).alias("_lbl")).agg(F.count(F.lit(1)).alias("_n"))
     st = counts.agg(F.max("_n").alias("mx"), F.count(F.lit(1)).alias("k")).first()
     mx = st["mx"]
     factors = counts.select("_lbl", F.floor(F.lit(mx) / F.col("_n")).cast("int").alias("_f"))
-    if st["k"] <= MAX_BROADCAST_ROWS:  # one row per class, checked
-        factors = F.broadcast(factors)
     rep = part.join(factors, _q(label).eqNullSafe(F.col("_lbl"))).withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("_f")))).drop("_lbl", "_f", "_n")
     if split:
@@ -120,24 +116,31 @@ def oversample(df: DataFrame, label: str, split: str | None = None) -> DataFrame
 
 
 def synthetic_minority(df: DataFrame, label: str, features: Sequence[str], minority, k: int = 5,
-                       seed: int = 7, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
-    """V8 SMOTE-style rows for the ``minority`` class: minority rows are
-    ordered along a random projection of the features, each row is paired
-    with its k neighbours in that order (a halo window, no pair explosion),
-    and a synthetic row x + u (neighbour - x) is made per pair with a hashed
-    u in [0, 1)."""
+                       seed: int = 7, projections: int = 6, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+    """V8 SMOTE-style rows for the ``minority`` class: every minority row is paired with its
+    ``k`` nearest neighbours and gives a row x + u (neighbour - x) per pair, u hashed in [0, 1).
+
+    Neighbours are found by locality: along each of several random projections the k rows
+    before and after a row are its candidates (halo windows, 2 k projections per row, no
+    pairs of whole buckets), and the k at the smallest Euclidean distance are taken."""
     m = df.where(_q(label) == F.lit(minority)).select(*[_q(c).cast("double").alias(c) for c in features])
-    import random
+    m = m.na.drop()
+    m = row_index(m, list(features), name="_row")
     rnd = random.Random(seed)
-    proj = sum((F.col(c) * F.lit(rnd.gauss(0, 1)) for c in features), F.lit(0.0))
-    m = m.withColumn("_proj", proj)
-    nb = halo(m, [], ["_proj"], k, 0,
-              lambda w: {f"_n{j}_{c}": F.lag(F.col(c), j).over(w) for j in range(1, k + 1) for c in features},
-              bucket_rows=bucket_rows, keep_index=True)
-    rows = []
-    for j in range(1, k + 1):
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_idx"), F.lit(j)), F.lit(1 << 20)) / float(1 << 20))
-        rows.append(F.struct(*[(F.col(c) + u * (F.col(f"_n{j}_{c}") - F.col(c))).alias(c) for c in features],
-                             F.col(f"_n{j}_{features[0]}").isNotNull().alias("_ok")))
-    syn = nb.select(F.explode(F.array(*rows)).alias("s")).select("s.*").where("_ok").drop("_ok")
-    return syn.withColumn(label, F.lit(minority))
+    found = None
+    for _ in range(projections):
+        proj = sum((F.col(c) * F.lit(rnd.gauss(0, 1)) for c in features), F.lit(0.0))
+        me = F.struct("_row", *features)
+        near = halo(m.withColumn("_proj", proj), [], ["_proj", "_row"], k, k,
+                    lambda w: {"_near": F.array(*[f(me, j).over(w) for j in range(1, k + 1) for f in (F.lag, F.lead)])},
+                    bucket_rows=bucket_rows)
+        near = near.select(F.struct("_row", *features).alias("x"), F.explode("_near").alias("y")).where("y IS NOT NULL")
+        found = near if found is None else found.unionAll(near)
+    found = found.dropDuplicates(["x", "y"]).withColumn("d", sum(
+        ((F.col(f"x.{c}") - F.col(f"y.{c}")) * (F.col(f"x.{c}") - F.col(f"y.{c}")) for c in features), F.lit(0.0)))
+    # at most 2 k projections candidates per row
+    w = Window.partitionBy("x._row").orderBy("d", "y._row")
+    pairs = found.withColumn("j", F.row_number().over(w)).where(F.col("j") <= k)
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("x._row"), F.col("j")), F.lit(1 << 20)) / float(1 << 20)
+    return pairs.select(*[(F.col(f"x.{c}") + u * (F.col(f"y.{c}") - F.col(f"x.{c}"))).alias(c) for c in features],
+                        F.lit(minority).alias(label))

@@ -283,10 +283,3 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     if rank_name:
         out = out.withColumn(rank_name, F.col("_r2").cast("long"))
     return out.drop("_salt", "_r1", "_r2")
-
-
-def bottom_k_by_index(df: DataFrame, group: Sequence[str], idx: str, k: int) -> DataFrame:
-    """Rows whose 0-based position ``idx`` is among the last ``k`` of the group."""
-    counts = df.groupBy(*group).agg(F.max(idx).alias("_mx"))
-    j = join_null_safe(df, counts, list(group))
-    return j.where(F.col(idx) > F.col("_mx") - k).drop("_mx")

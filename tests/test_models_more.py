@@ -203,3 +203,21 @@ def test_target_candidates_by_hand(spark):
     df = spark.createDataFrame(rows, "id long, customer_name string, segment string, plan_code int, amount double, churn int")
     got = [r["name"] for r in P.target_candidates(P.profile_columns(df, quantiles=False), 60).orderBy("rank").collect()]
     assert got[0] == "churn" and "id" not in got and "customer_name" not in got and "segment" in got
+
+
+def test_synthetic_rows_come_from_near_neighbours(spark):
+    from quarry.operators.splits import synthetic_minority
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 2)) for c in ((0, 0), (8, 0), (0, 8))])
+    df = spark.createDataFrame([(float(a), float(b), "m") for a, b in x] + [(1.0, 1.0, "o"), (None, 2.0, "m")],
+                               "a double, b double, y string")
+    out = synthetic_minority(df, "y", ["a", "b"], "m", k=3).toPandas()
+    assert len(out) == 120 * 3 and set(out["y"]) == {"m"}
+    made = out[["a", "b"]].to_numpy()
+    centre = np.array([[0, 0], [8, 0], [0, 8]])
+    # no row between two groups, and made rows lie about as close to a real one as real neighbours do
+    assert np.linalg.norm(made[:, None] - centre[None], axis=2).min(1).max() < 2
+    near = np.sort(np.linalg.norm(x[:, None] - x[None], axis=2), axis=1)[:, 1:4].mean()
+    assert np.linalg.norm(made[:, None] - x[None], axis=2).min(1).mean() < near
+    again = synthetic_minority(df.repartition(3), "y", ["a", "b"], "m", k=3).toPandas()
+    assert np.allclose(np.sort(again["a"]), np.sort(out["a"]))
