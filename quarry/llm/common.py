@@ -54,9 +54,10 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
-                 limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+                 limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of ``column``
-    (one row at least)."""
+    (``BATCH_BYTES`` unless given, one row at least)."""
+    limit = limit or BATCH_BYTES
     for b in batches:
         if not b.num_rows:
             continue
