@@ -188,7 +188,7 @@ _ROW = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("covered", pa.in
 
 
 def _blocks(spark, benchmark: DataFrame, cfg: Config, item_col: str, text_col: str) -> Iterator:
-    """The benchmark as broadcast indexes of bounded size."""
+    """The benchmark as indexes of bounded size (each goes to the tasks with their function)."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"),
                              F.col(f"`{text_col}`").cast("string").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -196,7 +196,7 @@ def _blocks(spark, benchmark: DataFrame, cfg: Config, item_col: str, text_col: s
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()   # a bounded block
         block.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
-        yield spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in block], cfg))
+        yield Index([(r["item_id"], r["text"]) for r in block], cfg)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(), id_col: str = "doc_id",
@@ -218,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(),
             for b in text_batches(batches):
                 rows = []
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for item_id, covered, size, tiles in index.value.match(text):
+                    for item_id, covered, size, tiles in index.match(text):
                         rows.append({"id": i, "item_id": item_id, "covered": covered, "item_tokens": size,
                                      "tiles": [dict(zip(names, t)) for t in tiles]})
                 if rows:
@@ -239,7 +239,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Config = Confi
     for index in _blocks(docs.sparkSession, benchmark, cfg, item_col, item_text_col):
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in text_batches(batches, text_col):
-                yield b.filter(pa.array([next(index.value.match(t), None) is None for t in b.column(at).to_pylist()]))
+                yield b.filter(pa.array([next(index.match(t), None) is None for t in b.column(at).to_pylist()]))
 
         docs = docs.mapInArrow(run, schema)
     return docs

@@ -332,10 +332,8 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
             own = np.array([a[i] for a in x[1:]])
             hot[h] = hot.get(h, 0) + own
     d = Discounts(good_turing(counts), hot)
-    sent = spark.sparkContext.broadcast((t, d))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        t, d = sent.value
         schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                             ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         if not left.num_rows:

@@ -246,12 +246,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per input row: id, ``score`` (0 to 1).  Null texts and texts without a
     visible character score 0; equal texts score alike; a null id is kept; extra columns
     are ignored.  Whole texts are read, lines of any number and length."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)      # a few hundred numbers
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in text_batches(batches):
-            p = m.scores(b.column(1).to_pylist())
+            p = model.scores(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["id", "score"])
 
     src = ids_and_texts(docs, id_col, text_col)
@@ -261,13 +258,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The input rows, all columns, whose text scores at least ``least``; texts without a
     visible character go."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in text_batches(batches, text_col):
-            yield b.filter(pa.array(m.scores(b.column(at).to_pylist()) >= least))
+            yield b.filter(pa.array(model.scores(b.column(at).to_pylist()) >= least))
 
     return docs.mapInArrow(run, docs.schema)

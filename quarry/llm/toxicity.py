@@ -228,12 +228,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, per_
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``score`` (0 to 1).  Null texts and texts without words
     score 0; equal texts score alike; a null id is kept; extra columns are ignored."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)      # 2^bits numbers, whatever the data
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in text_batches(batches):
-            p = m.scores(b.column(1).to_pylist())
+            p = model.scores(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["id", "score"])
 
     src = ids_and_texts(docs, id_col, text_col)
