@@ -96,9 +96,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float
             .withColumn("c2", (F.shiftrightunsigned("h", 64 - 22) % CELLS).cast("int")))
     first = _cells(rows.filter("need > 0"), "c1")
     # the cells' table has one row per source
-    at1 = rows.select("id", "sid", "size", "h", "c1", "c2").join(first, "sid").filter("c1 = c1_at")
+    # a source's rows meet its cell by source and cell, so a large source stays spread
+    at1 = rows.select("id", "sid", "size", "h", "c1", "c2").join(first.withColumnRenamed("c1_at", "c1"), ["sid", "c1"])
     second = _cells(at1.withColumn("need", F.col("left")).drop("left"), "c2").withColumnRenamed("left", "left2")
-    at2 = at1.join(second, "sid").filter("c2 = c2_at")
+    at2 = at1.join(second.withColumnRenamed("c2_at", "c2"), ["sid", "c2"])
     w = Window.partitionBy("sid").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = at2.withColumn("upto", F.sum("size").over(w))
     # the document on the border goes in if that brings the source nearer to its target
