@@ -379,7 +379,7 @@ def test_classifiers_learn_and_handle_edges(spark, docs, rows, empty):
             w[rng.randrange(len(w))] = rng.choice(insults)
         texts.append(" ".join(w))
         labels.append(int(y))
-    model = toxicity.fit(texts, np.array(labels), toxicity.Config(bits=14))
+    model = toxicity.fit(texts, np.array(labels))
     p = model.scores([" ".join(plain[:30] + ["idiott"] + plain[30:60]), " ".join(plain[:60]), "", None, " \n "])
     assert p[0] > 0.7 > p[1] and list(p[2:]) == [0, 0, 0]
     lines = ["Some words here make a line.", "Another quiet line follows it.", "And a third one ends."]
