@@ -35,6 +35,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def send_if_few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (a written table) broadcast if its counted rows are at most ``rows``; otherwise
+    as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

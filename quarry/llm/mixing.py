@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, materialize
+from quarry.llm.common import WORD, materialize, send_if_few
 from quarry.operators.ordered import row_index
 
 #: Cells of one level of the seeded order; two levels leave about one document in
@@ -61,11 +61,6 @@ def water_fill(sizes: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     return sizes.withColumn("target", F.least(F.col("weight") * F.lit(level), cap))
 
 
-def _sent(per_source: DataFrame) -> DataFrame:
-    """A table with one row per source, broadcast where its counted rows are few enough."""
-    return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
-
-
 def _cells(df: DataFrame, cell: str, more: Sequence[str] = ()) -> DataFrame:
     """Per source the first cell at which the running size reaches ``need``."""
     w = Window.partitionBy("sid").orderBy(cell)
@@ -98,7 +93,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float
 
     order = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
     rows = rows.withColumn("sid", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
-    rows = rows.join(_sent(table), "sid").withColumn("h", order)
+    rows = rows.join(send_if_few(table, BROADCAST_SOURCES), "sid").withColumn("h", order)
     rows = (rows.withColumn("c1", F.shiftrightunsigned("h", 64 - 11).cast("int"))
             .withColumn("c2", (F.shiftrightunsigned("h", 64 - 22) % CELLS).cast("int")))
     first = _cells(rows.filter("need > 0"), "c1")
@@ -114,7 +109,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float
            .groupBy("sid").agg(F.max(F.struct("h", "id")).alias("last")))
     marks = (table.filter("need > 0").select("sid").join(first.select("sid", "c1_at"), "sid", "left")
              .join(second.select("sid", "c2_at"), "sid", "left").join(cut, "sid", "left"))
-    rows = rows.join(_sent(materialize(marks, "mix-marks")), "sid", "left")
+    rows = rows.join(send_if_few(materialize(marks, "mix-marks"), BROADCAST_SOURCES), "sid", "left")
     before = (F.col("c1") < F.col("c1_at")) | ((F.col("c1") == F.col("c1_at")) & (
         (F.col("c2") < F.col("c2_at")) | ((F.col("c2") == F.col("c2_at")) & (F.struct("h", "id") <= F.col("last")))))
     # no crossing cell though words are needed: all of the source is (rounding)

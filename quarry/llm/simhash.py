@@ -16,11 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, ids_and_texts, materialize, text_batches
+from quarry.llm.common import components, ids_and_texts, materialize, send_if_few, text_batches
 
 #: Fingerprints that share a variant are compared pairwise up to this many; larger
 #: buckets (clusters of near copies) go through shared neighbours, which is linear.
 PAIR_BUCKET = 24
+#: Shared variants of three and more fingerprints up to this many are broadcast.
+BROADCAST_VARIANTS = 250_000
 _CHUNK = 1 << 17
 
 
@@ -126,7 +128,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     shared = materialize(shared, "simhash-shared")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     pairs = shared.filter("n = 2").select("a", "b").filter(near).distinct()
-    members = materialize(keys.join(shared.filter("n > 2").select("key", "n"), "key"), "simhash-members")
+    # variants of three and more; where they are few, the keys need no second shuffle
+    several = send_if_few(shared.filter("n > 2").select("key", "n"), BROADCAST_VARIANTS)
+    members = materialize(keys.join(several, "key"), "simhash-members")
     few = members.filter(F.col("n") <= PAIR_BUCKET).select("key", "fp")
     some = (few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key")
             .filter("a < b").filter(near).select("a", "b").distinct())
