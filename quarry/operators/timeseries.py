@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions.scalars import to_number
 from quarry.operators.ordered import DEFAULT_BUCKET_ROWS, halo, rolling_mean_prefix, row_index
 from quarry.operators.transforms import forward_fill
+from quarry.session import keep_table
 
 HALO_LIMIT = 4096
 
@@ -68,7 +69,8 @@ def lag_correlation(df: DataFrame, order_by: Sequence, target: str, features: Se
     L = max_lag if max_lag is not None else min(20, n // 5)
     # one position for both the fill and the shifted copies
     ix = row_index(df.select(*order_by, *[_q(c) for c in feats + [target]]), order_by, name="_t")
-    filled = forward_fill(ix, feats + [target], ["_t"], bucket_rows=bucket_rows, idx="_t")
+    # kept once: the base correlations and the shifted copies both read it
+    filled = keep_table(forward_fill(ix, feats + [target], ["_t"], bucket_rows=bucket_rows, idx="_t"), "lag-filled")
     base = filled.agg(*[F.corr(_q(f), _q(target)).alias(f) for f in feats]).first()
     ranked = sorted(feats, key=lambda f: (-(abs(base[f]) if base[f] is not None else 0.0), feats.index(f)))[:top]
     lags = list(range(-L, L + 1))
