@@ -54,8 +54,10 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities; a text without words scores 0."""
-        z = np.clip(self.slope * self.logits(texts) + self.offset, -700, 30)
-        return 1.0 / (1.0 + np.exp(-z))
+        z = self.logits(texts)
+        seen = np.isfinite(z)
+        p = 1.0 / (1.0 + np.exp(-np.clip(self.slope * np.where(seen, z, 0.0) + self.offset, -700, 30)))
+        return np.where(seen, p, 0.0)
 
 
 class Bag:
