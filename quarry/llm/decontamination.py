@@ -1,8 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a seed of consecutive tokens are compared:
-the longest matches that overlap no earlier one are marked again and again, found by
-running Karp-Rabin hashes of falling length, until none of the least length is left.
+A document and a benchmark item are compared if the runs of tokens they share, as long
+as the shortest tile, cover enough of the item: the longest matches that overlap no
+earlier one are marked again and again, found by running Karp-Rabin hashes of falling
+length, until none of the least length is left.
 The share of an item's tokens that its tiles cover does not depend on their order, so
 shuffled passages are caught like straight ones.
 """
@@ -30,7 +31,6 @@ _BASE, _MOD = 1_000_003, (1 << 61) - 1
 class Config:
     """``block_tokens`` bounds the part of the benchmark that is broadcast at a time; a
     larger benchmark is taken in several blocks against all documents."""
-    seed: int = 5
     tile: int = 3
     coverage: float = 0.8
     block_tokens: int = 2_000_000
@@ -109,34 +109,42 @@ def greedy_tiles(item: Sequence[int], text: Sequence[int], least: int, first: in
 
 
 class Index:
-    """A block of benchmark items: token numbers and the items that hold a seed."""
+    """A block of benchmark items: token numbers and where in the items a seed stands.
+
+    A seed has as many tokens as the shortest tile of its item, so every tile is made of
+    shared seeds and no pair that could reach the threshold goes unseen."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], cfg: Config):
         self.cfg = cfg
         self.code: dict[str, int] = {}
         self.items: list[tuple[int | None, list[int]]] = []
-        seeds: dict[int, dict[int, set[int]]] = {}
         for item_id, text in items:
             ids = [self.code.setdefault(w, len(self.code)) for w in tokens(text)]
-            if not ids:
-                continue
-            n = min(cfg.seed, len(ids))     # an item shorter than a seed is a seed itself
-            k = len(self.items)
-            self.items.append((item_id, ids))
-            for i in range(len(ids) - n + 1):
-                h = int(seed_hash(np.array(ids[i:i + n], np.int64), n)[0])
-                seeds.setdefault(n, {}).setdefault(h, set()).add(k)
-        self.seeds = {n: (np.array(sorted(d), np.uint64), d) for n, d in seeds.items()}
+            if ids:
+                self.items.append((item_id, ids))
+        self.size = np.array([len(ids) for _, ids in self.items], np.int64)
+        self.least = np.minimum(cfg.tile, self.size)    # an item shorter than a tile is a tile itself
+        owner = np.repeat(np.arange(len(self.items)), self.size)
+        flat = np.fromiter((w for _, ids in self.items for w in ids), np.int64, int(self.size.sum()))
+        #: by seed length: seed hashes, where the places of each begin, places in all items' tokens, their items
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(self.least).tolist():
+            h = seed_hash(flat, n)
+            place = np.flatnonzero((owner[:len(h)] == owner[n - 1:]) & (self.least[owner[:len(h)]] == n))
+            place = place[np.argsort(h[place], kind="stable")]
+            known, begin = np.unique(h[place], return_index=True)
+            self.seeds[n] = known, np.append(begin, len(place)), place, owner
 
     def encode(self, text: str | None) -> np.ndarray:
         get = self.code.get
         words = tokens(text)
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
-    def candidates(self, ids: np.ndarray) -> set[int]:
-        """Items that share a seed with the tokens (-1: in no item)."""
-        out: set[int] = set()
-        for n, (known, items) in self.seeds.items():
+    def candidates(self, ids: np.ndarray) -> list[int]:
+        """Items of which seeds shared with the tokens (-1: in no item) cover the threshold;
+        tiles cover no other positions, so the rest cannot reach it."""
+        out: list[int] = []
+        for n, (known, begin, place, owner) in self.seeds.items():
             if len(ids) < n:
                 continue
             inside = np.concatenate([[0], np.cumsum(ids >= 0)])
@@ -145,17 +153,25 @@ class Index:
                 continue
             h = np.unique(seed_hash(ids, n)[whole])
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for x in h[known[at] == h].tolist():
-                out |= items[x]
-        return out
+            at = at[known[at] == h]
+            if not len(at):
+                continue
+            times = begin[at + 1] - begin[at]
+            first = np.repeat(begin[at] - np.cumsum(times) + times, times)
+            hit = np.sort(place[first + np.arange(len(first))])
+            # the last seed of an item ends before the next item begins
+            new = np.minimum(np.diff(hit, append=hit[-1] + n), n)
+            covered = np.bincount(owner[hit], new, len(self.items))
+            out += np.flatnonzero((covered > 0) & (covered >= self.cfg.coverage * self.size - 1e-9)).tolist()
+        return sorted(out)
 
     def match(self, text: str | None) -> Iterator[tuple[int | None, int, int, list[tuple[int, int, int]]]]:
         """(item id, tokens covered, tokens of the item, tiles) of the items whose coverage
         reaches the threshold."""
         ids = self.encode(text)
-        for k in sorted(self.candidates(ids)):
+        for k in self.candidates(ids):
             item_id, item = self.items[k]
-            least = min(self.cfg.tile, len(item))
+            least = int(self.least[k])
             # only stretches of the item's own tokens can hold a tile
             own = np.isin(ids, item)
             edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
@@ -206,7 +222,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(),
     item_start, doc_start, length in tokens).
 
     Tokens are lower-cased runs of letters, digits and underscores.  Null and empty texts
-    and items without tokens match nothing; an item shorter than a seed needs all its
+    and items without tokens match nothing; an item shorter than a tile needs all its
     tokens in a row once; repeated rows and items give rows of their own; ties between
     equally long matches go to the earlier one in the item, then in the document."""
     spark = docs.sparkSession

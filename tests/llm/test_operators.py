@@ -321,6 +321,36 @@ def test_tiles_follow_reordered_passages(spark):
     assert {len(r.tiles) for r in got if r.doc_id == 2} == {2}
 
 
+def test_short_tiles_make_a_match(spark):
+    """Pairs without five shared tokens in a row, and every pair of random ones by brute force."""
+    rng = random.Random(9)
+    item = [f"t{i}" for i in range(20)]
+    pieces = [item[i:j] for i, j in [(0, 4), (4, 7), (7, 11), (11, 14), (14, 17), (17, 20)]]
+    small = ["a", "b", "c", "d", "e", "f"]
+    made = [[f"{rng.choice('uvwx')}{rng.randrange(2)}" for _ in range(rng.randint(1, 14))] for _ in range(12)]
+    bench = [(1, item), (2, small)] + [(10 + k, t) for k, t in enumerate(made)]
+    docs = [(1, [w if i % 5 < 4 else f"z{i}" for i, w in enumerate(item)]), (2, [w for p in pieces[::-1] for w in ["y", *p]]),
+            (3, small[3:] + small[:3]), (4, item[:15:2])]
+    for k in range(60):
+        t = rng.choice(made)
+        cut = rng.randrange(len(t) + 1)
+        docs.append((10 + k, t[cut:] + [f"{rng.choice('uvwx')}{rng.randrange(2)}" for _ in range(rng.randrange(6))] + t[:cut]))
+    expected = set()
+    for d, x in docs:
+        code = {w: i for i, w in enumerate(dict.fromkeys([*x, *(w for _, t in bench for w in t)]))}
+        for b, t in bench:
+            n = sum(n for _, _, n in decontamination.greedy_tiles([code[w] for w in t], [code[w] for w in x], min(3, len(t))))
+            if n >= 0.8 * len(t):
+                expected.add((d, b, n))
+    assert {(1, 1, 16), (2, 1, 20), (3, 2, 6)} <= expected and len(expected) > 60
+    frames = (spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string"),
+              spark.createDataFrame([(b, " ".join(t)) for b, t in bench], "item_id long, text string"))
+    got = decontamination.contamination(*frames).collect()
+    assert Counter((r.doc_id, r.item_id, r.covered) for r in got) == Counter(expected)
+    left = decontamination.drop_contaminated(*frames).collect()
+    assert {r.doc_id for r in left} == {d for d, _ in docs} - {d for d, _, _ in expected}
+
+
 def test_greedy_tiles_are_maximal():
     rng = random.Random(1)
     for _ in range(200):
