@@ -3,10 +3,10 @@
 * Pre-tokenising runs in the JVM (``regexp_extract_all`` with the split
   pattern; Java regex supports its possessive quantifiers).
 * BPE training works on the table of distinct pre-tokens with their counts
-  (map-side combined), each held as a space-separated string of token ids.
-  A round counts adjacent pairs (one aggregation), brings the single best pair
-  to the driver, and rewrites the words that contain it with a regular
-  expression.  The table is checkpointed every few rounds to cut lineage.
+  (map-side combined), held as packed arrays of token ids.
+  A round counts adjacent pairs (one aggregation), brings the best pairs to the
+  driver, and rewrites the words with the leading ones that do not touch each other.
+  The table is checkpointed every few rounds to cut lineage.
 * Encoding, decoding and packing run per partition on Arrow batches with a
   small Python helper (rank-ordered byte-pair merging, cached per pre-token).
 """
@@ -19,7 +19,9 @@ import itertools
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,46 +155,117 @@ def train_bpe_incremental(counts: DataFrame, vocab_size: int, checkpoint_every:
     return merges
 
 
+#: Column type of a task's words: a row holds those of one Arrow batch of pre-tokens.
+_BLOCK = "ids binary, sizes binary, n binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pre-tokens and counts as packed arrays: token ids of all words, ids per word, counts."""
+    for b in batches:
+        words = [w.encode("utf-8") for w in b.column(0).to_pylist()]
+        yield _block(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]),
+                     np.asarray(b.column(1), dtype=np.int64))
+
+
+def _block(ids: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    raw = (ids.astype(np.int32), sizes.astype(np.int32), n.astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in raw], names=["ids", "sizes", "n"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, sizes, n, keys): ``keys`` holds left << 32 | right at the left id of every pair
+    inside a word, -1 at the last id of a word."""
+    for b in batches:
+        for ids, sizes, n in zip(*(c.to_pylist() for c in b.columns)):
+            ids = np.frombuffer(ids, np.int32).astype(np.int64)
+            sizes = np.frombuffer(sizes, np.int32).astype(np.int64)
+            keys = np.append((ids[:-1] << 32) | ids[1:], -1)[:len(ids)]
+            keys[np.cumsum(sizes)[sizes > 0] - 1] = -1
+            yield ids, sizes, np.frombuffer(n, np.int64), keys
+
+
+def _merge_step(pairs: Sequence[tuple[int, int]], first: int):
+    """Task function: pair i becomes token ``first + i`` in every word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.array([(a << 32) | b for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        for ids, sizes, n, at in _unpacked(batches):
+            found = np.minimum(np.searchsorted(keys[order], at), len(keys) - 1)
+            hit = np.flatnonzero(keys[order][found] == at)
+            if len(hit) and pairs[0][0] == pairs[0][1]:     # a a a: every second one from the left
+                start = np.append(True, np.diff(hit) != 1)
+                hit = hit[(hit - hit[start][np.cumsum(start) - 1]) % 2 == 0]
+            ids[hit] = first + order[found[hit]]
+            gone = np.zeros(len(ids) + 1, np.int64)
+            gone[hit + 1] = 1
+            ends = np.cumsum(sizes)
+            upto = np.concatenate([[0], np.cumsum(gone[:-1])])
+            yield _block(ids[gone[:-1] == 0], sizes - (upto[ends] - upto[ends - sizes]), n)
+    return run
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, sizes, n, keys in _unpacked(batches):
+        inside = keys >= 0
+        pair, where = np.unique(keys[inside], return_inverse=True)
+        count = np.zeros(len(pair), np.int64)
+        np.add.at(count, where, np.repeat(n, sizes)[inside])
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(count)], names=["pair", "c"])
+
+
+def _together(best: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The leading pairs that one round can merge as if one by one.
+
+    As long as no left id of theirs is a right id of theirs, no merge changes another's
+    count, and a pair with a new token is at most as frequent as a pair ranked after them
+    (and ranks behind on ties, since new ids are larger)."""
+    out: list[tuple[int, int]] = []
+    lefts: set[int] = set()
+    rights: set[int] = set()
+    for a, b in best:
+        if a in rights or b in lefts or (a == b and out):
+            break
+        out.append((a, b))
+        if a == b:
+            break
+        lefts.add(a)
+        rights.add(b)
+    return out
+
+
 def train_bpe(counts: DataFrame, vocab_size: int, checkpoint_every: int = 32,
-              specials: Sequence[str] = SPECIAL_TOKENS) -> list[tuple[int, int]]:
+              specials: Sequence[str] = SPECIAL_TOKENS, most: int = 1024) -> list[tuple[int, int]]:
     """B3 learn ``vocab_size - len(specials) - 256`` merges over the byte
     sequences of the distinct pre-tokens, weighted by their counts.  Returns
     the merges in order; merge i creates token 256 + i.  Ties between pair
-    counts go to the smaller (left id, right id).  Each round recounts the
-    adjacent pairs of all distinct pre-tokens (one aggregation, map-side
-    combined) and rewrites the words containing the best pair."""
+    counts go to the smaller (left id, right id).  Each round counts the
+    adjacent pairs of all distinct pre-tokens (packed arrays, one aggregation),
+    takes the leading pairs that do not touch each other (out of the ``most`` best)
+    and rewrites the words; the merges are those of one pair a round."""
     n_merges = vocab_size - len(specials) - 256
-    words = counts.select(_byte_ids(F.col("piece")).alias("ids"), F.col("n").cast("long").alias("n"))
+    words = counts.select("piece", F.col("n").cast("long").alias("n")).mapInArrow(_blocks, _BLOCK)
     words = cut_lineage(words)
     merges: list[tuple[int, int]] = []
-    cached = None
-    for r in range(max(n_merges, 0)):
-        arr = F.filter(F.split(F.trim(F.col("ids")), " "), lambda s: s != "")
-        pairs = words.select(F.col("n"), F.arrays_zip(F.slice(arr, 1, F.size(arr) - 1),
-                                                      F.slice(arr, 2, F.size(arr))).alias("z")) \
-            .where(F.size("z") > 0).select("n", F.explode("z").alias("p"))
-        best = (pairs.select(F.col("p")["0"].cast("int").alias("a"), F.col("p")["1"].cast("int").alias("b"), "n")
-                .groupBy("a", "b").agg(F.sum("n").alias("c"))
-                .orderBy(F.desc("c"), F.asc("a"), F.asc("b")).limit(1).collect())
+    held, rounds = None, 0
+    while len(merges) < n_merges:
+        best = (words.mapInArrow(_count_pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+                .orderBy(F.desc("c"), F.asc("pair")).limit(most).collect())
+        if held is not None:
+            held.unpersist()
         if not best:
             break
-        a, b = best[0]["a"], best[0]["b"]
-        new = 256 + r
-        merges.append((a, b))
-        pat = f"(?<= ){a} {b}(?= )"
-        words = words.withColumn("ids", F.when(F.col("ids").contains(f" {a} {b} "),
-                                               F.regexp_replace("ids", pat, str(new))).otherwise(F.col("ids")))
-        if (r + 1) % checkpoint_every == 0:
-            words = cut_lineage(words)
-        else:
-            # keep this round's table for the next count; a lost block is
-            # recomputed from the last checkpoint (deterministic lineage)
-            words = words.persist()
-        if cached is not None:
-            cached.unpersist()
-        cached = words
-    if cached is not None:
-        cached.unpersist()
+        pairs = _together([(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF) for r in best])[:n_merges - len(merges)]
+        step = words.mapInArrow(_merge_step(pairs, 256 + len(merges)), _BLOCK)
+        merges += pairs
+        rounds += 1
+        if len(merges) >= n_merges:
+            break
+        # a lost block is recomputed from the last checkpoint (deterministic lineage)
+        held = words
+        words = cut_lineage(step) if rounds % checkpoint_every == 0 else step.persist()
+    words.unpersist()
+    if held is not None:
+        held.unpersist()
     return merges
 
 

@@ -2,12 +2,14 @@
 packed rows have exactly T+1 ids, bits per byte is positive."""
 
 import collections
+import random
 
 import regex
 from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
 from quarry.operators.evaluation import bits_per_byte
+from quarry.plans import q_corpus
 
 TEXTS = ["Hello world! Numbers: 123. Unicode: 你好", "the cat sat on the mat", "the the the cat",
          "Le café est très chaud, n'est-ce pas?", "über straße 42 \n\n  spaces   here"]
@@ -54,6 +56,25 @@ def test_bpe_equals_reference_and_round_trips(spark):
     assert all(r["ids"][0] == bos for r in enc.collect())
 
 
+def test_merges_taken_together_equal_one_by_one(spark):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("aab") * rng.randint(1, 4) for _ in range(rng.randint(1, 5))) for _ in range(30))
+             for _ in range(6)] + ["aaaaaaa", "", "éé ééé 你好你好"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    expected = _ref_bpe(texts, 200)
+    assert C.train_bpe(C.pretoken_counts(df), 256 + 4 + 200, checkpoint_every=7) == expected
+    assert any(a == b for a, b in expected) and len(expected) > 100
+    assert C.train_bpe(C.pretoken_counts(df), 256 + 4 + 31, checkpoint_every=3) == expected[:31]
+
+
+def test_queries_train_the_whole_vocabulary(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(C, "train_bpe", lambda counts, size, *a, **k: asked.append(size) or [(97, 98)])
+    for _ in range(2):
+        q_corpus.merges_for(spark, "/root/testdata/sf0.001")
+    assert asked == [8192, 8192]
+
+
 def test_pretokens_match_python_regex(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
     got = [r["piece"] for r in C.pretokens(df).collect()]
