@@ -29,6 +29,8 @@ from quarry.llm.common import BATCH_BYTES, ids_and_texts, shuffle_partitions, sp
 BUCKETS_PER_PARTITION = 24
 #: Stands for a null id (such rows count as one document, after all others).
 NO_ID = (1 << 63) - 1
+#: Up to so many repeated ids are sent to the tasks; with more, every row gets a key.
+KEYED_IDS = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,7 +124,24 @@ def _bucket_sizes(docs: DataFrame, k: int, m: int, parts: int) -> DataFrame:
     return rows.groupBy("part").agg(F.array(*[F.sum(F.col("words")[i]) for i in range(width)]).alias("words"))
 
 
-def _pack(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray) -> DataFrame:
+def _row_keys(ids: np.ndarray, texts: pa.Array, keyed: np.ndarray | None) -> np.ndarray:
+    """What tells rows of one id apart: a hash of the text for rows with a ``keyed`` id (all
+    rows if None), 0 for the others.  Rows equal in id and text have equal ranges."""
+    at = np.arange(len(ids)) if keyed is None else np.flatnonzero(np.isin(ids, keyed))
+    out = np.zeros(len(ids), np.uint64)
+    for i in at.tolist():
+        out[i] = xxhash.xxh64_intdigest((texts[i].as_py() or "").encode("utf-8", "surrogatepass"))
+    return out.view(np.int64)
+
+
+def _keyed_ids(docs: DataFrame) -> np.ndarray | None:
+    """Ids that more than one row may hold, null among them; None if they are too many to send."""
+    many = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("id")
+    ids = [r["id"] for r in many.filter(F.col("id") != NO_ID).limit(KEYED_IDS + 1).collect()]
+    return None if len(ids) > KEYED_IDS else np.array([*ids, NO_ID], np.int64)
+
+
+def _pack(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray, keyed: np.ndarray | None = None) -> DataFrame:
     """(bucket, packed): per batch and bucket the distinct super-k-mers and where they occur."""
     hot_set = np.asarray(hot, np.int64)
 
@@ -145,7 +164,9 @@ def _pack(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray) -> Dat
                     owner = np.concatenate([owner[~wide], np.repeat(owner[wide], n)])
                     bucket = np.concatenate([bucket[~wide], (_mix(whole) % np.uint64(buckets)).astype(np.int64)])
             text, offset = w.joined()
-            ids = np.asarray(b.column(0).fill_null(NO_ID), dtype=np.int64)[owner]
+            ids = np.asarray(b.column(0).fill_null(NO_ID), dtype=np.int64)
+            row = _row_keys(ids, b.column(1), keyed)[owner]
+            ids = ids[owner]
             begin = (start - w.first[owner]).astype(np.int32)
             names: dict[bytes, int] = {}
             code = np.fromiter((names.setdefault(text[s:e], len(names)) for s, e in
@@ -154,7 +175,7 @@ def _pack(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray) -> Dat
             strings = list(names)
             order = np.lexsort((code, bucket))
             code_o, bucket_o = code[order], bucket[order]
-            ids_o, begin_o = ids[order], begin[order]
+            ids_o, row_o, begin_o = ids[order], row[order], begin[order]
             edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket_o)) + 1, [len(order)]])
             out_bucket, out = [], []
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -163,7 +184,7 @@ def _pack(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray) -> Dat
                 times = np.diff(np.append(head, e - s)).astype(np.int32)
                 body = b"\n".join([strings[i] for i in c[head].tolist()])
                 raw = b"".join([np.array([len(head), e - s], np.int32).tobytes(), times.tobytes(),
-                                ids_o[s:e].tobytes(), begin_o[s:e].tobytes(), body])
+                                ids_o[s:e].tobytes(), row_o[s:e].tobytes(), begin_o[s:e].tobytes(), body])
                 out_bucket.append(int(bucket_o[s]))
                 out.append(press.compress(raw))
             for s in range(0, len(out), 4096):
@@ -207,29 +228,43 @@ def _equal_windows(code: np.ndarray, hashes: np.ndarray, at: np.ndarray, k: int)
 
 def bucket_ranges(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, first word, end word) of every stretch of later occurrences in one bucket."""
+    i, _, s, e = row_ranges(blobs, k)
+    return i, s, e
+
+
+def row_ranges(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, row key, first word, end word), each once, of every stretch of later occurrences
+    in one bucket."""
     press = zstandard.ZstdDecompressor()
     names: dict[bytes, int] = {}
-    string, ids, begin = [], [], []
+    string, ids, row, begin = [], [], [], []
     for blob in blobs:
         raw = press.decompress(blob)
         n, occ = np.frombuffer(raw, np.int32, 2).tolist()
         at = 8
         times = np.frombuffer(raw, np.int32, n, at)
         ids.append(np.frombuffer(raw, np.int64, occ, at + 4 * n))
-        begin.append(np.frombuffer(raw, np.int32, occ, at + 4 * n + 8 * occ).astype(np.int64))
-        body = raw[at + 4 * n + 12 * occ:].split(b"\n")
+        row.append(np.frombuffer(raw, np.int64, occ, at + 4 * n + 8 * occ))
+        begin.append(np.frombuffer(raw, np.int32, occ, at + 4 * n + 16 * occ).astype(np.int64))
+        body = raw[at + 4 * n + 20 * occ:].split(b"\n")
         string.append(np.repeat(np.array([names.setdefault(s, len(names)) for s in body], np.int64), times))
-    string, ids, begin = np.concatenate(string), np.concatenate(ids), np.concatenate(begin)
+    string, ids, row, begin = (np.concatenate(x) for x in (string, ids, row, begin))
     texts = pa.array([s.decode("utf-8", "surrogatepass") for s in names], pa.large_string())
     words, size = split_words(texts)
-    order = np.lexsort((begin, ids, string))
-    string, ids, begin = string[order], ids[order], begin[order]
+    order = np.lexsort((row, begin, ids, string))
+    string, ids, row, begin = string[order], ids[order], row[order], begin[order]
     lead = np.concatenate([[True], string[1:] != string[:-1]])
     first_id, first_at = ids[lead], begin[lead]
-    # further occurrences of a whole string are repeats from end to end; rows that repeat
-    # an id share their windows' places, so equal (id, place) is the first one again
+    # further occurrences of a whole string are repeats from end to end; equal (id, place)
+    # is the first one again, in the same row or in another row of that id
     later = ~((ids == first_id[string]) & (begin == first_at[string]))
-    out = [(ids[later], begin[later], begin[later] + size[string[later]])]
+    once = np.concatenate([[True], (string[1:] != string[:-1]) | (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])
+                           | (begin[1:] != begin[:-1])])
+    again = later & once
+    out = [(ids[again], row[again], begin[again], begin[again] + size[string[again]])]
+    holder = row[~later & once]         # rows in which a string is a first one, by string
+    holders = np.bincount(string[~later & once], minlength=len(size))
+    held = np.cumsum(holders) - holders
 
     code = np.asarray(words.dictionary_encode().indices, dtype=np.int64)
     owner = np.repeat(np.arange(len(size)), size)
@@ -251,13 +286,18 @@ def bucket_ranges(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, n
             new = np.concatenate([[True], (np.diff(pos) != 1) | (np.diff(own) != 0)])
             s = np.flatnonzero(new)
             e = np.append(s[1:], len(pos)) - 1
-            shift = first_at[own[s]] - base[own[s]]
-            out.append((first_id[own[s]], pos[s] + shift, pos[e] + shift + k))
+            own = own[s]
+            shift = first_at[own] - base[own]
+            n = holders[own]
+            at = np.repeat(held[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out.append((np.repeat(first_id[own], n), holder[at], np.repeat(pos[s] + shift, n),
+                        np.repeat(pos[e] + shift + k, n)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def repeated_ranges(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """(id, start, end): stretches of words covered by windows that also start earlier."""
+def repeated_ranges(docs: DataFrame, k: int, m: int, keyed: np.ndarray | None = None) -> DataFrame:
+    """(id, row, start, end): stretches of words covered by windows that also start earlier
+    (``row`` as of ``_row_keys``)."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     buckets = parts * BUCKETS_PER_PARTITION
@@ -267,14 +307,14 @@ def repeated_ranges(docs: DataFrame, k: int, m: int) -> DataFrame:
     for r in _bucket_sizes(docs, k, m, parts).toLocalIterator():
         sizes[r["part"]] = r["words"]
     hot = np.flatnonzero(sizes.reshape(-1) * (2 * parts) > max(int(sizes.sum()), 1))
-    packed = _pack(docs, k, m, buckets, hot)
+    packed = _pack(docs, k, m, buckets, hot, keyed)
 
     def run(table: pa.Table) -> pa.Table:
-        i, s, e = bucket_ranges(table.column("packed").to_pylist(), k)
-        return pa.table({"id": i, "start": s, "end": e}, schema=pa.schema(
-            [("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+        i, r, s, e = row_ranges(table.column("packed").to_pylist(), k)
+        return pa.table({"id": i, "row": r, "start": s, "end": e}, schema=pa.schema(
+            [(c, pa.int64()) for c in ("id", "row", "start", "end")]))
 
-    return packed.groupBy("bucket").applyInArrow(run, "id long, start long, end long")
+    return packed.groupBy("bucket").applyInArrow(run, "id long, row long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, k: int = 20, m: int = 3, id_col: str = "doc_id",
@@ -284,23 +324,25 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 3, id_col: str = "doc_
 
     A word goes if a window of ``k`` words over it also starts earlier (smaller id, or
     the same id and an earlier word), judged on the input.  Null and empty texts have
-    no words and keep the empty string.  ``id`` identifies a document: rows that repeat
-    an id and text get equal results (their windows start in the same place, none is a
-    repeat of the other); rows with a null id count as one document after all others.
+    no words and keep the empty string.  Every row is judged by its own windows: rows that
+    repeat an id count as one document for the order (windows that start in the same
+    place are no repeats of each other), rows with a null id as one after all others.
     Extra columns are ignored."""
     src = ids_and_texts(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
-    spans = repeated_ranges(src, k, m).groupBy("id").agg(
+    keyed = _keyed_ids(src)
+    spans = repeated_ranges(src, k, m, keyed).groupBy("id", "row").agg(
         F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(
+            row = _row_keys(np.asarray(b.column(0), dtype=np.int64), b.column(1), keyed)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(row), pa.array(
                 [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()],
-                pa.binary())], names=["id", "body"])
+                pa.binary())], names=["id", "row", "body"])
 
     # texts cross the network once, compressed
-    joined = src.mapInArrow(zipped, "id long, body binary").join(spans, "id", "left")
+    joined = src.mapInArrow(zipped, "id long, row long, body binary").join(spans, ["id", "row"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()

@@ -88,6 +88,24 @@ def test_substrings_equal_brute_force(docs, rows):
     assert sum(r.n_removed for r in got) > 500
 
 
+def test_substrings_rows_of_one_id(spark, monkeypatch):
+    """Rows that share a null or repeated id keep to their own ranges."""
+    rng = random.Random(12)
+    def fresh(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, other, tail = fresh(30), fresh(25), fresh(40)
+    table = [(1, passage + fresh(5)), (None, fresh(60)), (None, passage + other), (None, fresh(10) + other + fresh(30)),
+             (None, passage + other), (5, fresh(50)), (5, passage + fresh(20)), (5, passage + fresh(20)),
+             (6, tail + tail[:25]), (6, tail + fresh(25)), (7, tail), (7, fresh(45)), (5, None), (None, None), (None, [])]
+    table = [(i, None if t is None else " ".join(t)) for i, t in table]
+    want = brute.repeats(table)
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    for most in (substrings.KEYED_IDS, 1):
+        monkeypatch.setattr(substrings, "KEYED_IDS", most)
+        _same([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(df).collect()],
+              [(i, *want[i, t]) for i, t in table])
+
+
 @pytest.mark.parametrize("k,m", [(3, 1), (5, 5), (7, 2)])
 def test_substrings_other_windows(docs, rows, k, m):
     want = brute.repeats([(r[0], r[1]) for r in rows], k)
