@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, materialize
+from quarry.llm.common import components, materialize, send_if_few
 from quarry.operators.ordered import row_index
 
 #: Rows of a tile; a task holds two tiles and one square of products.
@@ -26,6 +26,8 @@ TILE = 1024
 #: Leading dimensions after which the bound is tested.
 STEPS = (4, 8, 16, 32, 64, 128, 256)
 _SLACK = 1e-9
+#: Components are named by a broadcast up to so many.
+BROADCAST_COMPONENTS = 50_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -178,13 +180,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
 
     Rows whose vector is null, empty, zero or holds a null or non-finite component link
     with nothing, as do vectors of different lengths among each other.  Equal vectors
-    are compared once and counted as often as they occur; rows that repeat an id count
-    as rows of their own.  Extra columns (labels included) are ignored."""
+    are compared once and counted as often as they occur; rows that repeat an id or have
+    none count as rows of their own (``component_id`` is null where no row has an id).  Extra columns (labels included) are ignored."""
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vector_col), "embed-rows")
     good = rows.filter("v IS NOT NULL")
-    distinct = materialize(good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
-                           .filter("id IS NOT NULL"), "embed-distinct")
+    # a distinct vector has a number of its own, fixed by the write; ``least`` is its smallest id
+    distinct = materialize(good.groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times"))
+                           .withColumn("id", F.monotonically_increasing_id()), "embed-distinct")
     axes = principal_axes(distinct)
     sent = spark.sparkContext.broadcast(axes)       # d x d numbers per vector length
 
@@ -227,16 +230,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = components(found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")),
                       "embed-cc")
+    names = (distinct.join(comp, distinct["id"] == comp["node"]).groupBy("component")
+             .agg(F.min("least").alias("name")))
+    names = send_if_few(materialize(names, "embed-names"), BROADCAST_COMPONENTS)
     reps = (distinct.join(counts, "id", "left").join(comp, distinct["id"] == comp["node"], "left")
+            .join(names, "component", "left")
             .select("v", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"),
-                    F.coalesce("component", "id").alias("component_id")))
+                    F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id")))
     linked = good.join(reps, "v").select("id", "n_links", "component_id")
     rest = rows.filter("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    # a vector that only rows without an id hold
-    lone = (good.groupBy("v").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("t")).filter("m IS NULL")
-            .select(F.explode(F.array_repeat(F.struct((F.col("t") - 1).alias("n")), F.col("t").cast("int"))).alias("s"))
-            .select(F.lit(None).cast("long").alias("id"), F.col("s.n").alias("n_links"),
-                    F.lit(None).cast("long").alias("component_id")))
-    out = linked.unionAll(rest).unionAll(lone)
+    out = linked.unionAll(rest)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id",
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -322,6 +322,24 @@ def test_embeddings_equal_brute_force(spark):
               [(v, n[i], least[comp[i]]) for i, (v, _) in enumerate(table)])
 
 
+def test_embeddings_without_an_id_of_their_own(spark):
+    """A vector that only rows without an id hold links others; one id may hold two vectors."""
+    table = [(1, 0), (None, 15), (2, 30), (7, 90), (7, 100), (7, 200), (8, 205), (9, 205), (None, 300), (None, 300), (None, 250),
+             (None, 0)]
+    rows = [(i, [math.cos(math.radians(a)), math.sin(math.radians(a))]) for i, a in table]
+    links = [(x, y) for x, y in brute.pairs(len(table)) if math.cos(math.radians(table[x][1] - table[y][1])) >= 0.95]
+    n = Counter(x for ab in links for x in ab)
+    comp = brute.components(range(len(table)), links)
+    ids = defaultdict(list)
+    for i, (v, _) in enumerate(table):
+        ids[comp[i]] += [] if v is None else [v]
+    want = [(v, n[i], min(ids[comp[i]], default=None)) for i, (v, _) in enumerate(table)]
+    assert (2, 1, 1) in want and (None, 1, None) in want
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == Counter(want)
+    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+
+
 def test_tiles_follow_reordered_passages(spark):
     rng = random.Random(8)
     item = [f"t{i}" for i in range(40)]
