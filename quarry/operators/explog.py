@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 from quarry.functions.scalars import failure_reason, grade, model_family, overfit_ratio, to_number
 from quarry.operators.ordered import DEFAULT_BUCKET_ROWS, join_null_safe, lag_join, row_index, running
 from quarry.operators.stats import top_k_per_group
+from quarry.sources.files import delimited_reader, line_facts
 
+# Column names of the two log layouts.
 LOG_SCHEMA = T.StructType([
     T.StructField("experiment", T.LongType()), T.StructField("model", T.StringType()),
     T.StructField("metric", T.StringType()), T.StructField("metric_value", T.DoubleType()),
@@ -44,9 +46,10 @@ LOWER_IS_BETTER = {"rmse", "mae", "mape", "mse", "logloss", "smape", "wape", "va
 
 
 def read_log(spark, path: str, variant: str = "full") -> DataFrame:
-    """L1 read a tab-separated log; empty metric fields become null."""
+    """L1 read a tab-separated log; empty metric fields become null.  Fields are quoted as
+    ``sources.files.write_table`` quotes them (quotes doubled, tabs and line breaks inside)."""
     schema = LOG_SCHEMA if variant == "full" else RESULTS_SCHEMA
-    raw = spark.read.option("header", True).option("sep", "\t").schema(
+    raw = delimited_reader(spark, "\t", line_facts(spark, path)[1]).schema(
         T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(path)
     return raw.select(*[(to_number(F.col(f.name)) if isinstance(f.dataType, T.DoubleType)
                          else F.col(f.name).try_cast(f.dataType)).alias(f.name) for f in schema.fields])

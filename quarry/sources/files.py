@@ -13,7 +13,7 @@ import io
 from collections.abc import Iterator, Sequence
 from contextlib import closing
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,23 @@ def sniff_separator(header: str) -> str:
     return ","
 
 
+def line_facts(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """One pass over all lines: whether every byte is valid UTF-8, and whether a quoted
+    field spans lines (only then must files be read whole)."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    seen = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+                                     F.bool_or(quotes % 2 == 1).alias("broken")).first()
+    return seen["utf8"] is not False, bool(seen["broken"])
+
+
+def delimited_reader(spark: SparkSession, sep: str, multi_line: bool = False, encoding: str = "utf-8") -> DataFrameReader:
+    """The reader of everything that ``write_table`` writes as text: a header and standard
+    quoting (quotes doubled; separators and, with ``multi_line``, line breaks inside quotes)."""
+    return (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+            .option("encoding", SPARK_CHARSET[encoding]).option("maxCharsPerColumn", -1)
+            .option("inferSchema", False).option("multiLine", multi_line))
+
+
 def read_delimited(spark: SparkSession, path: str, typed: bool = True) -> tuple[DataFrame, str, str]:
     """IO1 delimited text with separator and encoding sniffing and standard quoting
     (doubled quotes, separators and line breaks inside quotes).
@@ -78,16 +95,12 @@ def read_delimited(spark: SparkSession, path: str, typed: bool = True) -> tuple[
     whether a quoted field spans lines; only then are files read whole, otherwise they
     are split.  Columns are read as strings, then typed with guarded casts
     (``infer_types``).  An empty table is an error."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    seen = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-                                     F.bool_or(quotes % 2 == 1).alias("broken")).first()
-    enc = "latin-1" if seen["utf8"] is False else "utf-8"
+    utf8, broken = line_facts(spark, path)
+    enc = "utf-8" if utf8 else "latin-1"
     with closing(read_chunks(spark, path)) as pieces:
         head = header_record(pieces)
     sep = sniff_separator(head.decode("utf-8-sig" if enc == "utf-8" else enc))
-    df = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-          .option("encoding", SPARK_CHARSET[enc]).option("maxCharsPerColumn", -1)
-          .option("inferSchema", False).option("multiLine", bool(seen["broken"])).csv(path))
+    df = delimited_reader(spark, sep, broken, enc).csv(path)
     if df.columns and df.columns[0].startswith("\ufeff"):
         df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("\ufeff"))
     if df.limit(1).count() == 0:

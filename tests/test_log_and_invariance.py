@@ -49,3 +49,17 @@ def test_partition_invariance(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == results[2]
     assert X is not None
+
+
+def test_log_fields_with_quotes_tabs_and_line_breaks(spark, tmpdir_path):
+    from quarry.sources.files import write_table
+    texts = ['{"k": 0}', 'a\tb', 'two\nlines', '"', '""', 'back\\slash "q"', 'plain', "tail \\"]
+    cols = [f"cast({f'{i}.5' if f.dataType.simpleString() == 'double' else 'null'} as {f.dataType.simpleString()}) AS `{f.name}`"
+            for i, f in enumerate(L.LOG_SCHEMA.fields) if f.name not in ("experiment", "description")]
+    src = spark.createDataFrame(list(enumerate(texts)), "experiment long, description string")
+    src = src.selectExpr("experiment", *cols, "description")
+    for some in (src.select(*[f.name for f in L.LOG_SCHEMA.fields]), src.where("experiment IN (0, 5)").select(
+            *[f.name for f in L.LOG_SCHEMA.fields])):
+        p = os.path.join(tmpdir_path, f"log{some.count()}.tsv")
+        write_table(some, p, fmt="tsv")
+        assert {tuple(r) for r in L.read_log(spark, p).collect()} == {tuple(r) for r in some.collect()}
