@@ -10,8 +10,10 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, embedding_dedup, lm, mixing, pii, quality, secret_scan, simhash, substrings, toxicity
+from quarry.llm import (conversation_repair, decontamination, embedding_dedup, exact_dedup, lexical_search, lm, mixing, pii,
+                        quality, secret_scan, simhash, substrings, toxicity)
 from quarry.llm.common import held_out, read_docs
+from quarry.operators.ordered import join_null_safe
 
 QUERIES, ORACLE = {}, {}
 
@@ -125,3 +127,43 @@ def op9_benchmark_decontamination(spark, sf_dir):
 @query("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read_docs(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op11_lexical_search", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+qt AS (SELECT item_id, t, count(*) AS c FROM q GROUP BY ALL),
+g AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM p WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+s AS (SELECT item_id, doc_id, CAST(sum(c * CAST(floor(1000 * ln((2 * g.n + 2) / (2 * df + 1))) AS BIGINT)
+  * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * tf.n * g.n) // g.l))))) AS BIGINT) AS score
+  FROM qt JOIN tf USING (t) JOIN df USING (t), g GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+  doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""")
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(read_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+  sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
+def op12_exact_dedup(spark, sf_dir):
+    return exact_dedup.duplicates(read_docs(spark, sf_dir))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    done = conversation_repair.repair(conversation_repair.damage(rows))
+    out = join_null_safe(rows.select("conv_id").distinct(), done.conversations, ["conv_id"], "left")
+    out = join_null_safe(out, conversation_repair.digests(done.messages), ["conv_id"], "left")
+    zero = F.lit(0).cast("long")
+    return out.select("conv_id", *[F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated",
+                                                                           "illegal", "cost")],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

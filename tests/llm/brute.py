@@ -175,3 +175,93 @@ def water(sizes, weights=(5, 2, 1), cap=3.0):
 
 def pairs(n):
     return itertools.combinations(range(n), 2)
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=20):
+    """[(item, rank, doc, score)] for rows of (id, text)."""
+    held = [(i, Counter(TERM.findall(ascii_lower(t)))) for i, t in docs]
+    held = [(i, c) for i, c in held if c]
+    n_docs, total = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for i, c in held:
+            m = 100 - 25 + (25 * sum(c.values()) * n_docs) // total
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) *
+                        ((1000000000 * c[t]) // (1000 * c[t] + 12 * m)) for t in TERM.findall(ascii_lower(text)) if t in c)
+            if score > 0:
+                found.append((-score, math.inf if i is None else i, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(found, key=lambda x: x[:2])[:k], 1)]
+    return out
+
+
+def damaged(rows):
+    """Damaged (conv, turn, role, text) rows."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        r = zlib.crc32(key.encode()) % 20
+        if r:
+            text = "" if r == 1 else re.sub("[.!?]", "", text) if r == 2 else text
+            out += [(conv, turn, "user" if r == 4 else role, text)] * (2 if r == 3 else 1)
+    return out
+
+
+def cheapest(rows, costs=(1, 2, 5, 5)):
+    """(cost, audit, repaired messages) for (initial, fault, role, text) rows: whole edit
+    strings are carried for every state of the pattern."""
+    rerole, delete, insert, cut = costs
+    best = {"": (0, "", [])}        # what the roles end in: nothing, s, u or a
+
+    def put(table, state, x):
+        if state not in table or x[:2] < table[state][:2]:
+            table[state] = x
+
+    def grown(table):
+        for _ in range(4):
+            for state, (c, audit, out) in list(table.items()):
+                role = "assistant" if state == "u" else "user"
+                put(table, role[0], (c + insert, audit + "I", [*out, (role, "")]))
+        return table
+
+    for initial, fault, role, text in rows:
+        table = {}
+        for state, (c, audit, out) in grown(best).items():
+            put(table, state, (c + delete, audit + "D", out))
+            if fault in "bd":
+                continue
+            more = cut if fault == "t" else 0
+            if initial == "s" and state == "" or initial == "u" and state != "u" or initial == "a" and state == "u":
+                put(table, initial, (c + more, audit + "K", [*out, (role, text)]))
+            new = "assistant" if state == "u" else "user"
+            put(table, new[0], (c + more + rerole, audit + "R", [*out, (new, text)]))
+        best = table
+    best = grown(best)
+    return min((best[s] for s in ("", "a") if s in best), key=lambda x: x[:2])
+
+
+def conversations(rows):
+    """{conv: (gaps, blank, duplicate, truncated, illegal, cost, audit, sha)}"""
+    groups = defaultdict(list)
+    for conv, *rest in rows:
+        groups[conv].append(rest)
+    out = {}
+    for conv, got in groups.items():
+        got = sorted(got, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        seen, faults = set(), ""
+        for _, role, text in got:
+            solid = re.sub(r"[\x20\x09-\x0D]", "", text)
+            faults += "b" if not solid else "d" if (role, text) in seen else "t" if solid[-1] not in ".!?" else "-"
+            seen.add((role, text))
+        turns = [t for t, _, _ in got if t is not None]
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(got, got[1:]))
+        cost, audit, made = cheapest([(r[:1], f, r, x) for f, (_, r, x) in zip(faults, got)])
+        sha = hashlib.sha256("\n".join(f"{r}:{x}" for r, x in made).encode()).hexdigest()
+        out[conv] = (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, faults.count("b"), faults.count("d"),
+                     faults.count("t"), illegal, cost, audit, sha)
+    return out
