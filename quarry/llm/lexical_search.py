@@ -13,7 +13,6 @@ dealt out by m (a large stratum over several tasks), it is searched a block at a
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -99,85 +98,107 @@ def index(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text
     return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "id long, n long, term array<int>, tf array<long>")
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [first, last), one after the other."""
+    size = last - first
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
+
+
 class Stratified:
-    """A block of documents grouped by m, with a posting list per (stratum, term, tf)."""
+    """A block of documents grouped by m, with a posting list per (term, stratum, tf)."""
 
     def __init__(self, m: np.ndarray, owner: np.ndarray, term: np.ndarray, tf: np.ndarray, n_terms: int):
         self.m, stratum = np.unique(m, return_inverse=True)
-        order = np.lexsort((owner, tf, term, stratum[owner]))
-        self.owner, tf, term = owner[order], tf[order], term[order]
-        layer = stratum[self.owner]
-        # a list starts where stratum, term or tf changes; its impact is computed here, once
-        new = np.ones(len(order), bool)
-        new[1:] = (layer[1:] != layer[:-1]) | (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])
+        layer = stratum[owner]
+        order = np.lexsort((tf, layer, term))
+        self.owner, tf, term, layer = owner[order], tf[order], term[order], layer[order]
+        # a list starts where term, stratum or tf changes; its impact is computed here, once
+        group = np.ones(len(order), bool)
+        group[1:] = (layer[1:] != layer[:-1]) | (term[1:] != term[:-1])
+        new = group.copy()
+        new[1:] |= tf[1:] != tf[:-1]
         self.begin = np.flatnonzero(new)
         self.end = np.append(self.begin[1:], len(order))
-        self.term, self.layer = term[self.begin], layer[self.begin]
+        self.layer = layer[self.begin]
         self.impact = impact(tf[self.begin], self.m[self.layer])
-        # largest impact of a term in a stratum: what bounds its documents
-        self.most = np.zeros((len(self.m), n_terms))
-        np.maximum.at(self.most, (self.layer, self.term), self.impact)
+        # lists of a term in a stratum go by rising tf: the last has the largest impact
+        last = np.append(np.flatnonzero(group[self.begin])[1:], len(self.begin)) - 1
+        self.most_layer, self.most = self.layer[last], self.impact[last]
+        edges = np.arange(n_terms + 1)
+        self.list_of = np.searchsorted(term[self.begin], edges)
+        self.most_of = np.searchsorted(term[self.begin][last], edges)
         self.size = np.bincount(stratum, minlength=len(self.m))
-        self.members = np.argsort(stratum, kind="stable")
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
-        self.place = np.empty(len(m), np.int64)
-        self.place[self.members] = np.arange(len(m)) - np.repeat(self.first[:-1], self.size)
-        at = np.lexsort((self.layer, self.term))
-        self.by_term = at
-        self.term_first = np.searchsorted(self.term[at], np.arange(n_terms + 1))
-
-    def scores(self, stratum: int, query: list[tuple[int, int]]) -> np.ndarray:
-        """Scores of a stratum's documents for (term, weight) pairs, exact."""
-        out = np.zeros(self.size[stratum], np.int64)
-        for t, w in query:
-            lists = self.by_term[self.term_first[t]:self.term_first[t + 1]]
-            layer = self.layer[lists]
-            a, b = np.searchsorted(layer, [stratum, stratum + 1])
-            if a == b:
-                continue
-            # the lists of a term in a stratum lie side by side
-            one, last = lists[a], lists[b - 1]
-            docs = self.owner[self.begin[one]:self.end[last]]
-            add = np.repeat(self.impact[one:last + 1], (self.end - self.begin)[one:last + 1])
-            out[self.place[docs]] += w * add     # a document is once in a term's lists
+        self.n_docs = len(m)
+
+    def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """At least what any document of a stratum scores, per stratum."""
+        a, b = self.most_of[terms], self.most_of[terms + 1]
+        at = _ranges(a, b)
+        top = np.bincount(self.most_layer[at], np.repeat(weights, b - a) * self.most[at].astype(float), len(self.m))
+        return top * (1 + 1e-9)     # sums of doubles: a little high, never low
+
+    def scores(self, strata: np.ndarray, terms: np.ndarray, weights: np.ndarray, exact: bool) -> np.ndarray:
+        """Score of every document in the marked strata (0 elsewhere)."""
+        a, b = self.list_of[terms], self.list_of[terms + 1]
+        at, w = _ranges(a, b), np.repeat(weights, b - a)
+        hit = strata[self.layer[at]]
+        at, w = at[hit], w[hit]
+        docs = self.owner[_ranges(self.begin[at], self.end[at])]
+        add = np.repeat(w * self.impact[at], self.end[at] - self.begin[at])
+        if exact:       # below 2^53 sums of doubles are those of the integers
+            return np.bincount(docs, add.astype(float), self.n_docs).astype(np.int64)
+        out = np.zeros(self.n_docs, np.int64)
+        np.add.at(out, docs, add)
         return out
 
-    def documents(self, stratum: int) -> np.ndarray:
-        return self.members[self.first[stratum]:self.first[stratum + 1]]
 
+class Top:
+    """The k best documents of a query so far: score, then id, those without an id last."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.score, self.id, self.none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def least(self) -> int:
+        """A document scoring less cannot enter."""
+        return int(self.score[-1]) if len(self.score) == self.k else 1
+
+    def add(self, score: np.ndarray, id_: np.ndarray, none: np.ndarray) -> None:
+        parts = [np.concatenate(x) for x in ((self.score, score), (self.id, id_), (self.none, none))]
+        best = np.lexsort((parts[1], parts[2], -parts[0]))[:self.k]
+        self.score, self.id, self.none = (x[best] for x in parts)
+
+
+def search_block(block: Stratified, ids: np.ndarray, none: np.ndarray, queries: list[tuple], tops: list[Top]) -> int:
+    """Bring each query's ``tops`` up to date with a block; number of strata visited.
 
-def search_block(block: Stratified, ids: list, queries: list[list[tuple[int, int]]], tops: list[list], k: int) -> int:
-    """Bring each query's ``tops`` (heap of (score, -id); no id counts as the largest) up to
-    date with a block; number of (query, stratum) visits."""
-    weights = np.zeros((block.most.shape[1], len(queries)))
-    for q, query in enumerate(queries):
-        for t, w in query:
-            weights[t, q] += w
-    bounds = (block.most @ weights) * (1 + 1e-9)    # sums of doubles: a little high, never low
+    Strata come by falling bound, few documents first, then more at a time."""
     visits = 0
-    for q, query in enumerate(queries):
-        heap = tops[q]
-        for stratum in np.argsort(-bounds[:, q], kind="stable").tolist():
-            bound = bounds[stratum, q]
-            if bound <= 0 or len(heap) == k and bound < heap[0][0]:
-                break
-            visits += 1
-            score = block.scores(stratum, query)
-            least = heap[0][0] if len(heap) == k else 1
-            docs = block.documents(stratum)
-            for at in np.flatnonzero(score >= least).tolist():
-                i = ids[docs[at]]
-                item = (int(score[at]), -math.inf if i is None else -i)
-                if len(heap) < k:
-                    heapq.heappush(heap, item)
-                elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
+    for (terms, weights), top in zip(queries, tops):
+        if not len(terms):
+            continue
+        bounds = block.bounds(terms, weights)
+        order = np.argsort(-bounds, kind="stable")
+        upto = np.cumsum(block.size[order])
+        exact, at, take = bounds[order[0]] < 2 ** 53, 0, 4 * top.k
+        while at < len(order) and bounds[order[at]] >= top.least():
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + take, "right")))
+            chosen = order[at:end]
+            chosen = chosen[bounds[chosen] >= top.least()]
+            visits += len(chosen)
+            strata = np.zeros(len(order), bool)
+            strata[chosen] = True
+            score = block.scores(strata, terms, weights, exact)
+            docs = np.flatnonzero(score >= top.least())
+            top.add(score[docs], ids[docs], none[docs])
+            at, take = end, 4 * take
     return visits
 
 
-def _searcher(queries: list[list[tuple[int, int]]], n_terms: int, cfg: Config) -> Callable:
+def _searcher(queries: list[tuple], n_terms: int, cfg: Config) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops: list[list] = [[] for _ in queries]
+        tops = [Top(cfg.top) for _ in queries]
 
         def finish(held: list[pa.RecordBatch]) -> None:
             b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -185,7 +206,8 @@ def _searcher(queries: list[list[tuple[int, int]]], n_terms: int, cfg: Config) -
             owner = np.repeat(np.arange(b.num_rows), size)
             term = np.asarray(b.column(2).flatten(), dtype=np.int64)
             block = Stratified(np.asarray(b.column(1)), owner, term, np.asarray(b.column(3).flatten()), n_terms)
-            search_block(block, b.column(0).to_pylist(), queries, tops, cfg.top)
+            none = np.asarray(b.column(0).is_null())
+            search_block(block, np.asarray(b.column(0).fill_null(0)), none, queries, tops)
 
         held, size = [], 0
         for b in batches:
@@ -197,9 +219,12 @@ def _searcher(queries: list[list[tuple[int, int]]], n_terms: int, cfg: Config) -
                 held, size = [], 0
         if size:
             finish(held)
-        rows = [(q, None if i == -math.inf else -i, s) for q, heap in enumerate(tops) for s, i in heap]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)],
-                                         names=["query", "id", "score"])
+        if queries:
+            size = [len(t.score) for t in tops]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(len(tops)), size)), pa.array(np.concatenate([t.id for t in tops]),
+                                                                         mask=np.concatenate([t.none for t in tops])),
+                 pa.array(np.concatenate([t.score for t in tops]))], names=["query", "id", "score"])
     return run
 
 
@@ -247,8 +272,10 @@ def _search(docs: DataFrame, block: list[tuple[int | None, Counter]], cfg: Confi
     if not all_["n"]:
         return spark.createDataFrame([], "item long, rank int, id long, score long")
     df = dict(table.select(F.explode("term").alias("t")).groupBy("t").agg(F.count(F.lit(1))).collect())
-    queries = [[(number[w], c * weight(all_["n"], df[number[w]])) for w, c in sorted(own.items()) if number[w] in df]
-               for _, own in block]
+    queries = []
+    for _, own in block:
+        pairs = [(number[w], c * weight(all_["n"], df[number[w]])) for w, c in own.items() if number[w] in df]
+        queries.append(tuple(np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ()))))
     m = F.lit(100 - 25) + F.expr(f"(25 * n * {all_['n']}) div {all_['l']}")
     dealt = (table.select("id", m.alias("m"), "term", "tf").filter(F.size("term") > 0)
              .repartitionByRange("m", F.xxhash64("id", "term")))

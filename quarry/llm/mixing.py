@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import WORD, materialize, send_if_few
-from quarry.operators.ordered import row_index
+from quarry.operators.ordered import join_null_safe, row_index
 
 #: Cells of one level of the seeded order; two levels leave about one document in
 #: CELLS^2 to rank inside a cell, however large a source is.
@@ -77,11 +77,31 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float
 
     A source's taken words differ from its target by at most half its largest document
     that is not taken once more.  Null texts and texts without words have size 0, null
-    is a source of its own, sorted last.  The order is a seeded hash of the id, then
-    the id, so reruns agree; rows that repeat an id are ranked one after the other."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
-                       word_count(F.col(f"`{text_col}`").cast("string")).alias("size"))
-    rows = materialize(rows, "mix-rows")
+    is a source of its own, sorted last.  The order is a seeded hash of id and text, so
+    reruns agree; rows that repeat an id are ranked by their own texts, and rows that
+    repeat both are numbered and ranked one by one (they are alike, so any may be first)."""
+    return _mix(docs.withColumn("__row", F.monotonically_increasing_id()), weights, max_epochs, seed, id_col, text_col,
+                source_col).drop("__row")
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """Add ``again``: 0, 1, ... among the rows of one id and text."""
+    tied = materialize(rows.groupBy("id", "th").count().filter("count > 1").select("id", "th"), "mix-tied")
+    if tied.isEmpty():
+        return rows.withColumn("again", F.lit(0).cast("long"))
+    tied = join_null_safe(rows.select("id", "th", "__row"), tied, ["id", "th"], "left_semi")
+    number = row_index(tied, ["__row"], ["id", "th"], name="again", tie_break=False).select("__row", "again")
+    return rows.join(number, "__row", "left").withColumn("again", F.coalesce("again", F.lit(0).cast("long")))
+
+
+def _mix(docs: DataFrame, weights: Sequence[float], max_epochs: float, seed: int, id_col: str, text_col: str,
+         source_col: str) -> DataFrame:
+    """``mix`` of rows that carry a number of their own, ``__row``."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select("__row", F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
+                       word_count(text).alias("size"), F.xxhash64(text).alias("th"))
+    rows = materialize(rows, "mix-scan")
+    rows = materialize(_repeats(rows), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     table = water_fill(source_weights(sizes, weights), max_epochs)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -91,7 +111,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float
                          F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0)).alias("need"))
     table = materialize(table, "mix-targets")
 
-    order = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
+    order = F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.lit("|"), "th", "again")
+    place = F.struct("h", "id", "th", "again")
     rows = rows.withColumn("sid", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
     rows = rows.join(send_if_few(table, BROADCAST_SOURCES), "sid").withColumn("h", order)
     rows = (rows.withColumn("c1", F.shiftrightunsigned("h", 64 - 11).cast("int"))
@@ -99,31 +120,38 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float
     first = _cells(rows.filter("need > 0"), "c1")
     # the cells' table has one row per source
     # a source's rows meet its cell by source and cell, so a large source stays spread
-    at1 = rows.select("id", "sid", "size", "h", "c1", "c2").join(first.withColumnRenamed("c1_at", "c1"), ["sid", "c1"])
+    at1 = rows.select("id", "th", "again", "sid", "size", "h", "c1", "c2").join(first.withColumnRenamed("c1_at", "c1"), ["sid", "c1"])
     second = _cells(at1.withColumn("need", F.col("left")).drop("left"), "c2").withColumnRenamed("left", "left2")
     at2 = at1.join(second.withColumnRenamed("c2_at", "c2"), ["sid", "c2"])
-    w = Window.partitionBy("sid").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("sid").orderBy("h", "id", "th", "again").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = at2.withColumn("upto", F.sum("size").over(w))
     # the document on the border goes in if that brings the source nearer to its target
     cut = (last.filter(F.col("upto") - F.col("size") / 2.0 <= F.col("left2"))
-           .groupBy("sid").agg(F.max(F.struct("h", "id")).alias("last")))
+           .groupBy("sid").agg(F.max(place).alias("last")))
     marks = (table.filter("need > 0").select("sid").join(first.select("sid", "c1_at"), "sid", "left")
              .join(second.select("sid", "c2_at"), "sid", "left").join(cut, "sid", "left"))
     rows = rows.join(send_if_few(materialize(marks, "mix-marks"), BROADCAST_SOURCES), "sid", "left")
     before = (F.col("c1") < F.col("c1_at")) | ((F.col("c1") == F.col("c1_at")) & (
-        (F.col("c2") < F.col("c2_at")) | ((F.col("c2") == F.col("c2_at")) & (F.struct("h", "id") <= F.col("last")))))
+        (F.col("c2") < F.col("c2_at")) | ((F.col("c2") == F.col("c2_at")) & (place <= F.col("last")))))
     # no crossing cell though words are needed: all of the source is (rounding)
     once = F.when(F.col("need") <= 0, F.lit(False)).otherwise(
         F.when(F.col("c1_at").isNull(), F.lit(True)).otherwise(F.coalesce(before, F.lit(False))))
     copies = F.least(F.col("whole") + once.cast("long"), F.lit(int(max_epochs)).cast("long"))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"),
+    return rows.select("__row", F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"),
                        (copies * F.col("size")).alias("taken"))
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: every input row as often as ``mix`` takes it, all columns and
-    ``copy`` (1, 2, ...).  Rows that repeat an id are taken alike."""
-    chosen = mix(docs, id_col=id_col, **options).filter("copies > 0").groupBy(id_col).agg(F.max("copies").alias("__copies"))
-    chosen = chosen.withColumnRenamed(id_col, "__id")
-    return (docs.join(chosen, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
-            .select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy")))
+def take(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float = 3.0, seed: int = 7,
+         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every input row as often as ``mix`` takes it, with all its columns and
+    ``copy`` (1, 2, ...; with underscores in front if the input has a column of that name).
+
+    Every row is taken by itself, also where ids repeat or are null.  An empty table, or one
+    without words, gives no rows."""
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-input")
+    chosen = _mix(numbered, weights, max_epochs, seed, id_col, text_col, source_col).filter("copies > 0").select("__row", "copies")
+    name = "copy"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return numbered.join(chosen.withColumnRenamed("copies", "__copies"), "__row").select(
+        *[numbered[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias(name))

@@ -3,13 +3,17 @@
 Three kinds of base spans come from fixed patterns.  Other candidates are runs of
 key-like characters that hold a digit; the Shannon entropy of every window over a run
 is kept up to date by adding the entering and removing the leaving character, and is
-compared with a threshold for the window's character class.  Strings on the allow-list
-(identifiers, plain numbers, counting sequences, placeholders) are suppressed.
+compared with a threshold for the window's character class.  Runs are cut at ``=``, so a name
+does not speak for its value; parts of a run, and stretches that reach the threshold, are
+suppressed if they are on the allow-list (identifiers, plain numbers, counting sequences,
+placeholders).
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -31,13 +35,13 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+PLACEHOLDER = re.compile(r"(?i).*(example|placeholder|changeme|your[_-]?(key|token|secret)|x{6,}).*")
 #: Strings that look random but are not secrets.
-ALLOW = tuple(re.compile(p) for p in (
+ALLOW = (PLACEHOLDER, *(re.compile(p) for p in (
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",   # UUID
     r"[0-9+/_=-]+",                                                                   # numbers, dates, rules
-    r"(?i).*(example|placeholder|changeme|your[_-]?(key|token|secret)|x{6,}).*",
     r"(?i)(/?[a-z_-]+[0-9]{0,4})(/[a-z_-]*[0-9]{0,4})+/?",                            # paths of plain names
-))
+)))
 
 
 @dataclass(frozen=True)
@@ -68,12 +72,23 @@ def char_class(upper: int, lower: int, digit: int, beyond_hex: int) -> str | Non
 
 
 def entropy_spans(run: str, cfg: Entropy = Entropy()) -> list[tuple[int, int]]:
-    """Stretches of ``run`` whose windows reach the threshold of their class.
+    """Stretches of ``run`` whose windows reach the threshold of their class."""
+    out, at = [], 0
+    for part in run.split("="):
+        out += [(at + s, at + e) for s, e in _stretches(part, cfg) if not _allowed(part[s:e], cfg)]
+        at += len(part) + 1
+    return out
+
+
+def _allowed(text: str, cfg: Entropy) -> bool:
+    return any(p.fullmatch(text) for p in cfg.allow)
+
 
-    One pass: the counts of the window's characters and the sum of c*log2(c) change by
+def _stretches(run: str, cfg: Entropy) -> list[tuple[int, int]]:
+    """One pass: the counts of the window's characters and the sum of c*log2(c) change by
     the entering and the leaving character only."""
     width = cfg.window
-    if len(run) < width or any(p.fullmatch(run) for p in cfg.allow):
+    if len(run) < width or any(p.fullmatch(run) for p in cfg.allow if p is not PLACEHOLDER):
         return []
     counts: dict[str, int] = {}
     weight = 0.0
@@ -126,11 +141,14 @@ def secret_spans(text: str | None, cfg: Entropy = Entropy()) -> list[tuple[str,
     if not text:
         return []
     base = base_spans(text)
+    begins = sorted((a, b) for _, a, b in base)
+    reach = list(itertools.accumulate((b for _, b in begins), max))     # furthest end so far
     extra = []
     for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{cfg.window},}}", text):
         for s, e in entropy_spans(m[0], cfg):
             s, e = m.start() + s, m.start() + e
-            if not any(a <= s and e <= b for _, a, b in base):
+            upto = bisect.bisect_right(begins, (s, math.inf))
+            if not upto or reach[upto - 1] < e:
                 extra.append(("entropy", s, e))
     return sorted(base + extra, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

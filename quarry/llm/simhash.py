@@ -159,3 +159,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(found, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
         F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                         max_bits: int = 2) -> DataFrame:
+    """One row of each component of near-duplicates, with all its columns: the one with the
+    smallest id (a null id comes after all others; of rows that repeat it, the first read).
+
+    Rows are told apart by a number written with them, so rows that share an id, or have
+    none, go by their own texts.  Texts without words are near-duplicates of each other.
+    An empty table stays one."""
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(numbered, "__row", text_col, shingle, max_bits).select("__row", "component_id")
+    ids = numbered.select("__row", F.col(f"`{id_col}`").cast("long").alias("id"))
+    found = materialize(found.join(ids, "__row"), "simhash-found")
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("least"))
+    gone = found.join(stays, "component_id").filter(F.col("__row") != F.col("least.__row")).select("__row")
+    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -129,3 +129,65 @@ def test_mixing_stage(spark, stages):
 
 def test_run_applies_all_stages(spark, stages):
     assert Counter(P.run(spark, SF).collect()) == Counter(stages[4][2])
+
+
+# ------------------------------------------------------------------ rows that stages must not confuse
+
+ODD = [(2, "unique words of another kind stand here alone."), (2, "one two three four five six seven eight."),
+       (1, "one two three four five six seven eight."), (1, "one two three four five six seven eight."),
+       (None, "null rows have texts of their own as well."), (None, "null rows have texts of their own as well."),
+       (None, "and this one is not like the other at all, no."), (7, None), (8, ""), (9, " \n"), (7, None)]
+
+
+def _odd(spark, rows=None):
+    cols = "doc_id long, text string, lang string, source string, n_chars long, copy int, id long, component_id long, n int"
+    return spark.createDataFrame([(i, t, None, "s", None, 5, 6, 7, 8) for i, t in (ODD if rows is None else rows)], cols)
+
+
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    got = P.near_dedup(spark, _odd(spark).repartition(3), SF)
+    assert got.columns == _odd(spark).columns
+    assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter(
+        [(2, ODD[0][1]), (1, ODD[1][1]), (None, ODD[4][1]), (None, ODD[6][1]), (7, "")])
+
+
+@pytest.mark.parametrize("stage", [f for _, f in P.STAGES], ids=[n for n, _ in P.STAGES])
+def test_stages_on_odd_rows_and_empty_tables(spark, stage):
+    docs = _odd(spark)
+    got = stage(spark, docs, SF)
+    assert got.columns[:len(docs.columns)] == docs.columns and len(set(got.columns)) == len(got.columns)
+    assert all(r.copy == 5 and r.id == 6 for r in got.collect())
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_on_odd_rows_keep_texts_and_ids_together(spark):
+    docs = _odd(spark)
+    assert Counter(r[:2] for r in P.decontaminate(spark, docs, SF).collect()) == Counter(ODD)
+    assert Counter(r[:2] for r in P.redact_pii(spark, docs, SF).collect()) == Counter(ODD)
+    kept = Counter(r[:2] for r in P.quality_filter(spark, docs, SF).collect())
+    assert all(kept[x] in (0, n) for x, n in Counter(ODD).items()) and not any(not (t or "").strip() for _, t in kept)
+
+
+@pytest.mark.parametrize("same", [5, None])
+def test_mixing_meets_its_target_with_one_id(spark, same):
+    rows = [(same, f"{'word ' * 9}{i}") for i in range(150)] + [(same, "again " * 10)] * 50
+    other = [(i, "other words " * 100) for i in range(20)]
+    docs = _odd(spark, rows).withColumn("source", P.mixing.F.lit("a")).unionAll(
+        _odd(spark, other).withColumn("source", P.mixing.F.lit("b"))).repartition(4)
+    mixed = mixing.mix(docs).collect()
+    taken = sum(r.taken for r in mixed if r.doc_id == same and r.size == 10)
+    assert abs(taken - mixed[[r.size for r in mixed].index(10)].target) <= 5
+    got = mixing.take(docs)
+    assert "_copy" in got.columns and got.filter("source = 'a'").count() * 10 == taken
+    assert Counter(r[:8] for r in mixing.mix(docs.repartition(2)).collect()) == Counter(r[:8] for r in mixed)
+
+
+def test_secrets_beside_placeholders():
+    from quarry.llm import secret_scan
+    value = "9fK3xQ7vLm2Zp8RtY6wB1nCd4sHj0aGe"
+    for name in ("auth_key", "example_key", "placeholder_id"):
+        found = [s for s in secret_scan.secret_spans(f"see {name}={value} ok") if s[0] == "entropy"]
+        assert found == [("entropy", 5 + len(name), 5 + len(name) + len(value))], name
+    assert not secret_scan.entropy_spans("XXXXXXXXXXXXXXXXXXXXXXXXXXXX") and not secret_scan.entropy_spans("your_token_example_0a1b2c")
+    text = f"token={value}" * 300
+    assert all(k == "assign" for k, _, _ in secret_scan.secret_spans(text))

@@ -65,20 +65,23 @@ def test_strata_below_the_last_score_are_not_visited():
     block = lexical_search.Stratified(m, owner, term, tf, 8)
     keys = {(int(m[o]), int(t), int(f)) for o, t, f in zip(owner, term, tf)}
     assert len(block.impact) == len(keys)
-    queries = [[(0, 5), (3, 2)], [(7, 1)], []]
-    tops = [[] for _ in queries]
-    visits = lexical_search.search_block(block, list(range(n)), queries, tops, 5)
+    queries = [(np.array(t, np.int64), np.array(w, np.int64)) for t, w in (((0, 3), (5, 2)), ((7,), (1,)), ((), ()))]
+    tops = [lexical_search.Top(5) for _ in queries]
+    visits = lexical_search.search_block(block, np.arange(n), np.zeros(n, bool), queries, tops)
     assert visits < 2 * len(block.m)
-    for query, heap in zip(queries, tops):
-        w = dict(query)
+    for (terms, weights), top in zip(queries, tops):
+        w = dict(zip(terms.tolist(), weights.tolist()))
         score = Counter()
         for o, t, f in zip(owner.tolist(), term.tolist(), tf.tolist()):
             if t in w:
                 score[o] += w[t] * lexical_search.impact(f, int(m[o]))
-        want = sorted(((s, -i) for i, s in score.items()), reverse=True)[:5]
-        assert sorted(heap, reverse=True) == want
-    for s in range(len(block.m)):
-        assert block.scores(s, queries[0]).max(initial=0) <= block.most[s, 0] * 5 + block.most[s, 3] * 2
+        assert list(zip((-top.score).tolist(), top.id.tolist())) == sorted((-s, i) for i, s in score.items())[:5]
+        if w:
+            bounds = block.bounds(terms, weights)
+            assert all(s <= bounds[np.searchsorted(block.m, m[o])] for o, s in score.items())
+            for exact in (True, False):
+                got = block.scores(np.ones(len(block.m), bool), terms, weights, exact)
+                assert {i: s for i, s in enumerate(got.tolist()) if s} == score
 
 
 # ------------------------------------------------------------------ exact duplicates
