@@ -18,31 +18,34 @@ from quarry.llm.toxicity import labelled_sample
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose lines are mostly bad."""
+    """Drop documents whose lines are mostly bad.  Every row is judged by its own text; null
+    and empty texts score 0 and go, repeated rows go or stay together."""
     labels = spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))
     texts, known = labelled_sample(docs, labels, "quality", ~held_out("id", 4, 2), quality.Config().sample)
     return quality.keep_good(docs, quality.fit(texts, known))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every group of near-duplicates; rows
-    without an id stay."""
-    gone = simhash.near_duplicates(docs).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one document of every group of near-duplicates, the one with the smallest id;
+    rows that share an id, or have none, go by their own texts."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item.  Every row is judged by its own
+    text; null and empty texts hold none and stay, repeated rows go or stay together."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet")))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts by its kind."""
+    """Replace personal data in the texts by its kind.  Null texts stay null; repeated rows
+    are rewritten alike; no row is dropped."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it, row by row; texts without words are not
+    taken.  Adds ``copy``."""
     return mixing.take(docs)
 
 
