@@ -103,7 +103,7 @@ def estimator(task: str, family: str, label: str = "label", n_features: int | No
                                        elasticNetParam=params.get("elasticNetParam", reg[1]), **common)
         if family == "gbt":
             return RG.GBTRegressor(maxIter=params.get("maxIter", 20), maxDepth=params.get("maxDepth", 5),
-                                   seed=seed, **common)
+                                   minInstancesPerNode=params.get("minInstancesPerNode", 1), seed=seed, **common)
         if family == "random_forest":
             return RG.RandomForestRegressor(numTrees=params.get("numTrees", 20), seed=seed, **common)
         if family == "decision_tree":
@@ -119,8 +119,8 @@ def estimator(task: str, family: str, label: str = "label", n_features: int | No
         base = CL.LinearSVC(regParam=params.get("regParam", 0.0), **common)
         return base if n_classes == 2 else CL.OneVsRest(classifier=base, **common)
     if family == "gbt":
-        base = CL.GBTClassifier(maxIter=params.get("maxIter", 20), maxDepth=params.get("maxDepth", 5), seed=seed,
-                                **common)
+        base = CL.GBTClassifier(maxIter=params.get("maxIter", 20), maxDepth=params.get("maxDepth", 5),
+                                minInstancesPerNode=params.get("minInstancesPerNode", 1), seed=seed, **common)
         return base if n_classes == 2 else CL.OneVsRest(classifier=base, **common)
     if family == "random_forest":
         return CL.RandomForestClassifier(numTrees=params.get("numTrees", 20), seed=seed, **common, **prob)
@@ -194,12 +194,16 @@ def class_labels(model: PipelineModel) -> list[str]:
 def predict(model: PipelineModel, df: DataFrame, route: Route, keep: Sequence[str] = ()) -> DataFrame:
     """C5 predictions (and class probabilities) for a table; class indices are
     decoded to the training labels (C6)."""
-    out = model.transform(prepare(df, route.spec))
     cols = [*keep]
+    if route.task != REGRESSION:
+        labels = class_labels(model)
+        if route.target not in df.columns:      # the label's indexing asks for its column
+            model = PipelineModel(stages=[s for s in model.stages if not (
+                isinstance(s, FT.StringIndexerModel) and s.getOutputCol() == LABEL)])
+    out = model.transform(prepare(df, route.spec))
     if route.task == REGRESSION:
         p = F.expm1("prediction") if route.log_target else F.col("prediction")
         return out.select(*cols, p.alias("predicted"))
-    labels = class_labels(model)
     dec = F.element_at(F.array(*[F.lit(v) for v in labels]), F.col("prediction").cast("int") + 1)
     sel = [*cols, dec.alias("predicted")]
     if "probability" in out.columns:
@@ -218,9 +222,26 @@ CANDIDATES = {
 }
 
 
-def default_candidates(task: str) -> list[tuple[str, dict]]:
-    """M21 the candidate order of a task, whatever the table's size."""
-    return list(CANDIDATES[REGRESSION if task == REGRESSION else "classification"])
+# Below SMALL rows boosting overfits, so regularised linear routes are tried;
+# below MEDIUM rows boosting is held back (shallow trees, large leaves).
+SMALL, MEDIUM = 500, 2000
+SMALL_CANDIDATES = {
+    REGRESSION: [("ridge", {}), ("lasso", {}), ("elasticnet", {}), ("ridge", {"regParam": 1.0})],
+    "classification": [("logistic", {"regParam": 0.1}), ("svm", {"regParam": 0.1}), ("logistic", {"regParam": 0.01}),
+                       ("logistic", {"regParam": 1.0})],
+}
+MEDIUM_CANDIDATES = {
+    REGRESSION: [("gbt", {"maxDepth": 3, "minInstancesPerNode": 20}), ("elasticnet", {}), ("ridge", {}),
+                 ("random_forest", {}), ("lasso", {})],
+    "classification": [("gbt", {"maxDepth": 3, "minInstancesPerNode": 20}), ("logistic", {"regParam": 0.1}),
+                       ("random_forest", {}), ("logistic", {"regParam": 0.01})],
+}
+
+
+def default_candidates(task: str, rows: int | None = None) -> list[tuple[str, dict]]:
+    """M21 the candidate order of a task for a training table of ``rows`` rows."""
+    table = CANDIDATES if rows is None or rows >= MEDIUM else MEDIUM_CANDIDATES if rows >= SMALL else SMALL_CANDIDATES
+    return list(table[REGRESSION if task == REGRESSION else "classification"])
 
 
 def evaluate(pred: DataFrame, task: str, actual: str, metric: str, labels: Sequence[str] | None = None) -> float | None:
@@ -249,11 +270,12 @@ def sweep(train: DataFrame, test: DataFrame, task: str, target: str, spec: Featu
           stagnation_limit: int = 5) -> tuple[PipelineModel | None, Route | None, DataFrame]:
     """M21 try candidate routes in order; keep a candidate when it beats the
     best so far, stop at the good-enough threshold or after
-    ``stagnation_limit`` experiments without improvement.  Returns (best
-    model, its route, log table)."""
+    ``stagnation_limit`` experiments without improvement.  Without ``candidates`` the
+    list is chosen by task and size of the training table.  Returns (best model, its
+    route, log table)."""
     from quarry.operators.explog import LOWER_IS_BETTER
     lower = metric in LOWER_IS_BETTER
-    cands = list(candidates or default_candidates(task))
+    cands = list(candidates or default_candidates(task, train.count()))
     best_val, best_model, best_route, stale, rows = None, None, None, 0, []
     import time
     for num, (family, params) in enumerate(cands, start=1):

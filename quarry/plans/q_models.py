@@ -51,14 +51,14 @@ def m5_log_target_regression(spark, sf):
 
 @register("m8_gbt_regression")
 def m8_gbt_regression(spark, sf):
-    return _fit_predict(spark, sf, "gbt", maxIter=10)
+    return _fit_predict(spark, sf, "gbt")
 
 
 @register("m9_random_forest_multiclass")
 def m9_random_forest_multiclass(spark, sf):
     spec = M.FeatureSpec(numeric=["o_totalprice", "c_acctbal"], categorical=["o_orderpriority"],
                          datetime=["o_orderdate"])
-    return _fit_predict(spark, sf, "random_forest", M.MULTICLASS, "o_orderstatus", spec, numTrees=10)
+    return _fit_predict(spark, sf, "random_forest", M.MULTICLASS, "o_orderstatus", spec)
 
 
 @register("m9_decision_tree_regression")
@@ -93,7 +93,7 @@ def m10_naive_bayes(spark, sf):
 
 @register("m10_mlp")
 def m10_mlp(spark, sf):
-    return _doc_predict(spark, sf, "mlp", maxIter=50)
+    return _doc_predict(spark, sf, "mlp")
 
 
 @register("m13_text_classification")
@@ -137,7 +137,7 @@ def m17_anomaly_scores(spark, sf):
     e = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     s = A.centroid_distance(e, "x", k=4)
     s = A.mahalanobis(s, "x")
-    s = A.isolation_forest(s, "x", trees=25, key=["vec_id"])
+    s = A.isolation_forest(s, "x", trees=100, key=["vec_id"])
     return s.select("vec_id", "cluster", "centroid_distance", "mahalanobis", "anomaly_score")
 
 
@@ -216,14 +216,29 @@ def c2_c3_align_features(spark, sf):
 
 @register("c4_encode_like_training", """
 SELECT o_orderkey, coalesce(o_orderpriority = '2-HIGH', false) AS "o_orderpriority_2-HIGH",
-  coalesce(o_orderpriority = '3-MEDIUM', false) AS "o_orderpriority_3-MEDIUM"
+  coalesce(o_orderpriority = '3-MEDIUM', false) AS "o_orderpriority_3-MEDIUM",
+  coalesce(o_orderpriority = '4-NOT SPECIFIED', false) AS "o_orderpriority_4-NOT SPECIFIED",
+  coalesce(o_orderpriority = '5-LOW', false) AS "o_orderpriority_5-LOW"
 FROM orders WHERE o_orderkey % 5 = 4""")
 def c4_encode_like_training(spark, sf):
-    o = mod_split(read_table(spark, sf, "orders"), "o_orderkey")
-    train = o.where(F.col("split") == "train")
-    cats = sorted(r[0] for r in train.select("o_orderpriority").distinct().collect())[:3]  # frozen list
-    test = o.where(F.col("split") == "test").select("o_orderkey", "o_orderpriority")
-    return C.encode_like_training(test, "o_orderpriority", cats)
+    """Indicators of all values that the training part holds."""
+    from quarry.operators import saved
+    o = mod_split(read_table(spark, sf, "orders"), "o_orderkey").select("o_orderkey", "o_orderpriority", "split")
+    train, test = o.where(F.col("split") == "train").drop("split"), o.where(F.col("split") == "test").drop("split")
+    layout, codes = saved.fit_layout(train, None, id_columns=["o_orderkey"], encode=["o_orderpriority"])
+    return saved.apply_layout(test, layout, codes, keep=["o_orderkey"])
+
+
+@register("c4_codes_like_training", """
+WITH v AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1.0 AS code FROM (
+  SELECT DISTINCT c_name FROM customer WHERE c_custkey % 5 <> 4))
+SELECT c.c_custkey, CAST(code AS DOUBLE) AS c_name FROM customer c LEFT JOIN v USING (c_name)""")
+def c4_codes_like_training(spark, sf):
+    """A column of too many values for indicators: codes frozen on the training part."""
+    from quarry.operators import saved
+    c = read_table(spark, sf, "customer").select("c_custkey", "c_name")
+    layout, codes = saved.fit_layout(c.where(F.col("c_custkey") % 5 != 4), None, id_columns=["c_custkey"], encode=["c_name"])
+    return saved.apply_layout(c, layout, codes, keep=["c_custkey"])
 
 
 @register("c6_c7_c8_decode_layout", """
@@ -353,4 +368,4 @@ def k2_candidate_leaderboard(spark, sf):
 def m19_forecast_route(spark, sf):
     from quarry.plans import fixtures as X
     d = X.daily_orders(spark, sf).select("day", "revenue")
-    return M.forecast(d, "day", "revenue", family="gbt", maxIter=10)
+    return M.forecast(d, "day", "revenue", family="gbt")

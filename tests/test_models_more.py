@@ -221,3 +221,14 @@ def test_synthetic_rows_come_from_near_neighbours(spark):
     assert np.linalg.norm(made[:, None] - x[None], axis=2).min(1).mean() < near
     again = synthetic_minority(df.repartition(3), "y", ["a", "b"], "m", k=3).toPandas()
     assert np.allclose(np.sort(again["a"]), np.sort(out["a"]))
+
+
+def test_candidates_by_size():
+    from quarry.operators import models as M
+    for task in (M.REGRESSION, M.BINARY, M.MULTICLASS):
+        small, medium, large = (M.default_candidates(task, n) for n in (499, 500, 2000))
+        assert all(f not in ("gbt", "random_forest", "decision_tree") for f, _ in small)
+        assert medium[0][0] == "gbt" and medium[0][1]["minInstancesPerNode"] == 20 and medium != large
+        assert large == M.default_candidates(task) and large[0] == ("gbt", {})
+        for family, params in small + medium + large:
+            M.estimator(task, family, n_features=3, n_classes=2, **params)
