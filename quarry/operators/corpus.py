@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import heapq
 import itertools
 import math
 from collections.abc import Iterator, Sequence
@@ -93,68 +94,6 @@ def pretoken_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return pretokens(df, text).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _byte_ids(piece: Column) -> Column:
-    """' b1 b2 ... ' (decimal byte values of the UTF-8 encoding)."""
-    hx = F.hex(F.encode(piece, "UTF-8"))
-    pairs = F.regexp_extract_all(hx, F.lit("(..)"), 1)
-    ids = F.transform(pairs, lambda p: F.conv(p, 16, 10))
-    return F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
-
-
-def _pairs(words: DataFrame, sign: int = 1) -> DataFrame:
-    """(a, b, c) adjacent pair counts of words held as ' id id ... ' strings."""
-    arr = F.filter(F.split(F.trim(F.col("ids")), " "), lambda s: s != "")
-    z = words.select(F.col("n"), F.arrays_zip(F.slice(arr, 1, F.size(arr) - 1), F.slice(arr, 2, F.size(arr))).alias("z"))
-    return (z.where(F.size("z") > 0).select("n", F.explode("z").alias("p"))
-            .select(F.col("p")["0"].cast("int").alias("a"), F.col("p")["1"].cast("int").alias("b"),
-                    (F.col("n") * sign).alias("c")))
-
-
-def train_bpe_incremental(counts: DataFrame, vocab_size: int, checkpoint_every: int = 16,
-                          specials: Sequence[str] = SPECIAL_TOKENS) -> list[tuple[int, int]]:
-    """B3, same merges as ``train_bpe``, for corpora whose pair occurrences
-    are too many to shuffle every round (it runs more, smaller jobs per round).
-
-    Incremental: a pair-count table is built once; each round takes its top
-    pair, rewrites only the words that contain it, and adds the difference of
-    their new and old pair counts.  A round therefore moves the distinct-pair
-    table and the affected words, not every pair of the corpus.  Both tables
-    are persisted per round and checkpointed every ``checkpoint_every``."""
-    n_merges = vocab_size - len(specials) - 256
-    words = cut_lineage(counts.select(_byte_ids(F.col("piece")).alias("ids"), F.col("n").cast("long").alias("n")))
-    pairs = cut_lineage(_pairs(words).groupBy("a", "b").agg(F.sum("c").alias("c")))
-    merges: list[tuple[int, int]] = []
-    held: list[DataFrame] = []
-    for r in range(max(n_merges, 0)):
-        best = pairs.where(F.col("c") > 0).orderBy(F.desc("c"), F.asc("a"), F.asc("b")).limit(1).collect()
-        if not best:
-            break
-        a, b = best[0]["a"], best[0]["b"]
-        new = 256 + r
-        merges.append((a, b))
-        hit = F.col("ids").contains(f" {a} {b} ")
-        merged = F.regexp_replace("ids", f"(?<= ){a} {b}(?= )", str(new))
-        affected = words.where(hit)
-        delta = _pairs(affected.withColumn("ids", merged)).unionByName(_pairs(affected, -1))
-        pairs = (pairs.unionByName(delta).groupBy("a", "b").agg(F.sum("c").alias("c"))
-                 .where(F.col("c") != 0))
-        words = words.withColumn("ids", F.when(hit, merged).otherwise(F.col("ids")))
-        if (r + 1) % checkpoint_every == 0:
-            pairs, words = cut_lineage(pairs), cut_lineage(words)
-        else:
-            # materialise this round before releasing the last one; a lost
-            # block is recomputed from the last checkpoint (deterministic)
-            pairs, words = pairs.persist(), words.persist()
-            pairs.count()
-            words.count()
-        for d in held:
-            d.unpersist()
-        held = [pairs, words]
-    for d in held:
-        d.unpersist()
-    return merges
-
-
 #: Column type of a task's words: a row holds those of one Arrow batch of pre-tokens.
 _BLOCK = "ids binary, sizes binary, n binary"
 
@@ -269,6 +208,160 @@ def train_bpe(counts: DataFrame, vocab_size: int, checkpoint_every: int = 32,
     return merges
 
 
+#: A block with its index (``held``: the pairs it holds, sorted) and the change of pair counts
+#: that the last round made in it (null: none).
+_INDEXED = "ids binary, sizes binary, n binary, held binary, pair array<long>, delta array<long>"
+BLOCK_WORDS = 2048
+
+
+def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs inside words and their weighted counts."""
+    inside = keys >= 0
+    pair, where = np.unique(keys[inside], return_inverse=True)
+    count = np.zeros(len(pair), np.int64)
+    np.add.at(count, where, weight[inside])
+    return pair, count
+
+
+def _keys(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    keys = np.append((ids[:-1] << 32) | ids[1:], -1)[:len(ids)]
+    keys[np.cumsum(sizes)[sizes > 0] - 1] = -1
+    return keys
+
+
+def _indexed(ids, sizes, n, held, pair=None, delta=None) -> pa.RecordBatch:
+    raw = (ids.astype(np.int32), sizes.astype(np.int32), n.astype(np.int64), held.astype(np.int64))
+    lists = [pa.array([x if x is None else x.tolist()], pa.list_(pa.int64())) for x in (pair, delta)]
+    return pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in raw), *lists],
+                                      names=["ids", "sizes", "n", "held", "pair", "delta"])
+
+
+def _first_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, BLOCK_WORDS):
+            part = b.slice(at, BLOCK_WORDS)
+            words = [w.encode("utf-8") for w in part.column(0).to_pylist()]
+            ids, sizes = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.array([len(w) for w in words])
+            n = np.asarray(part.column(1), dtype=np.int64)
+            pair, count = _counted(_keys(ids, sizes), np.repeat(n, sizes))
+            yield _indexed(ids, sizes, n, pair, pair, count)
+
+
+def _merged(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, want: np.ndarray, new: np.ndarray,
+            alike: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and sizes with every pair of ``want`` (sorted) replaced by its token of ``new``."""
+    found = np.minimum(np.searchsorted(want, keys), len(want) - 1)
+    hit = np.flatnonzero(want[found] == keys)
+    if len(hit) and alike:      # a a a: every second one from the left
+        start = np.append(True, np.diff(hit) != 1)
+        hit = hit[(hit - hit[start][np.cumsum(start) - 1]) % 2 == 0]
+    ids = ids.copy()
+    ids[hit] = new[found[hit]]
+    gone = np.zeros(len(ids) + 1, np.int64)
+    gone[hit + 1] = 1
+    ends = np.cumsum(sizes)
+    upto = np.concatenate([[0], np.cumsum(gone[:-1])])
+    return ids[gone[:-1] == 0], sizes - (upto[ends] - upto[ends - sizes])
+
+
+def _delta_step(pairs: Sequence[tuple[int, int]], first: int):
+    """Task function: pair i becomes token ``first + i``.  Blocks whose index holds none of
+    the pairs pass as they are; in the others only the words that change are counted, before
+    and after."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.array([(a << 32) | b for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        want, new = keys[order], first + order
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
+                held = np.frombuffer(row[3], np.int64)
+                at = np.minimum(np.searchsorted(held, want), max(len(held) - 1, 0))
+                if not len(held) or not (held[at] == want).any():
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([x], pa.binary()) for x in row), *[pa.array([None], pa.list_(pa.int64()))] * 2],
+                        names=["ids", "sizes", "n", "held", "pair", "delta"])
+                    continue
+                ids, sizes = (np.frombuffer(x, np.int32).astype(np.int64) for x in row[:2])
+                n = np.frombuffer(row[2], np.int64)
+                at = _keys(ids, sizes)
+                word = np.repeat(np.arange(len(sizes)), sizes)
+                changed = np.zeros(len(sizes), bool)
+                changed[word[np.isin(at, want)]] = True
+                some = changed[word]
+                sub, size, weight = ids[some], sizes[changed], n[changed]
+                old, less = _counted(at[some], np.repeat(weight, size))
+                sub2, size2 = _merged(sub, size, at[some], want, new, pairs[0][0] == pairs[0][1])
+                now, more = _counted(_keys(sub2, size2), np.repeat(weight, size2))
+                pair, where = np.unique(np.concatenate([old, now]), return_inverse=True)
+                delta = np.zeros(len(pair), np.int64)
+                np.add.at(delta, where, np.concatenate([-less, more]))
+                # unchanged words first: their order within a block has no meaning
+                ids = np.concatenate([ids[~some], sub2])
+                sizes = np.concatenate([sizes[~changed], size2])
+                n = np.concatenate([n[~changed], weight])
+                keep = _keys(ids, sizes)
+                yield _indexed(ids, sizes, n, np.unique(keep[keep >= 0]), pair[delta != 0], delta[delta != 0])
+    return run
+
+
+def train_bpe_incremental(counts: DataFrame, vocab_size: int, checkpoint_every: int = 6,
+                          specials: Sequence[str] = SPECIAL_TOKENS, most: int = 1024) -> list[tuple[int, int]]:
+    """B3, the merges of ``train_bpe`` from changes alone.
+
+    Words lie in blocks that know which pairs they hold; the pair counts are a table of
+    their own.  A round takes the leading pairs that do not touch each other, rewrites the
+    blocks that hold one of them, and adds what changed there to the counts: one job, whose
+    shuffle carries the changed pairs only.  A lost block is recomputed from the last
+    checkpoint (every ``checkpoint_every`` rounds; planning a round costs more the longer
+    the plan since then, so it is a small number)."""
+    n_merges = vocab_size - len(specials) - 256
+    if n_merges <= 0:
+        return []
+    blocks = cut_lineage(counts.select("piece", F.col("n").cast("long").alias("n")).mapInArrow(_first_blocks, _INDEXED))
+    table: DataFrame | None = None
+    merges: list[tuple[int, int]] = []
+    held: list[DataFrame] = []
+    rounds = 0
+    while True:
+        change = (blocks.where(F.col("pair").isNotNull()).select(F.explode(F.arrays_zip("pair", "delta")).alias("x"))
+                  .groupBy(F.col("x.pair").alias("pair")).agg(F.sum("x.delta").alias("d")))
+        if table is None:
+            table = change.withColumnRenamed("d", "c")
+        else:
+            total = (F.coalesce("c", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("c")
+            table = table.join(change, "pair", "full_outer").select("pair", total).where("c > 0")
+        table = cut_lineage(table) if rounds % checkpoint_every == 0 else table.persist()
+        best = table.orderBy(F.desc("c"), F.asc("pair")).limit(most).collect()
+        for d in held:
+            d.unpersist()
+        pairs = _together([(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF) for r in best])[:n_merges - len(merges)]
+        held = [blocks, table]
+        if not pairs:
+            break
+        step = blocks.mapInArrow(_delta_step(pairs, 256 + len(merges)), _INDEXED)
+        merges += pairs
+        rounds += 1
+        if len(merges) >= n_merges:
+            break
+        blocks = cut_lineage(step) if rounds % checkpoint_every == 0 else step.persist()
+    for d in held:
+        d.unpersist()
+    return merges
+
+
+# ---------------------------------------------------------------- saved vocabularies
+
+def save_merges(spark: SparkSession, path: str, merges: Sequence[tuple[int, int]]) -> None:
+    """Keep a vocabulary's merges as a table (rank, left_id, right_id) in a shared folder."""
+    rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(merges)]
+    spark.createDataFrame(rows, "rank int, left_id int, right_id int").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_merges(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """The merges kept at ``path``, in order (bounded by the vocabulary)."""
+    return [(r["left_id"], r["right_id"]) for r in spark.read.parquet(path).orderBy("rank").collect()]
+
+
 def vocabulary(spark: SparkSession, merges: Sequence[tuple[int, int]],
                specials: Sequence[str] = SPECIAL_TOKENS) -> DataFrame:
     """B6 (token_id, text, n_bytes, special): bytes of every token; special
@@ -289,35 +382,41 @@ def token_table(merges: Sequence[tuple[int, int]]) -> list[bytes]:
 # ---------------------------------------------------------------- encoding helper (per task)
 
 class _Encoder:
-    """Rank-ordered byte-pair merging of one pre-token (cached)."""
+    """Rank-ordered byte-pair merging of pre-tokens (short ones cached)."""
 
     def __init__(self, merges: Sequence[tuple[int, int]]):
         self.ranks = {tuple(m): i for i, m in enumerate(merges)}
         self.table = token_table(merges)
-        self.encode_piece = functools.lru_cache(maxsize=1 << 16)(self._encode_piece)
+        self._cached = functools.lru_cache(maxsize=1 << 16)(self._encode_piece)
+
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        # long pieces are rare and not worth their memory
+        return self._cached(piece) if len(piece) <= 64 else self._encode_piece(piece)
 
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
+        """Merge by rank, leftmost first: the pairs wait in a heap, the ids are a linked list,
+        so a piece of n bytes takes O(n log n).  A merge's own pairs always rank behind it."""
         ids = list(piece.encode("utf-8"))
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                r = self.ranks.get((ids[i], ids[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            new = 256 + best
-            out, i = [], 0
-            pair = (ids[at], ids[at + 1])
-            while i < len(ids):
-                if i < len(ids) - 1 and (ids[i], ids[i + 1]) == pair:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return tuple(ids)
+        n, ranks = len(ids), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            # a pair that a merge beside it has changed is no longer there
+            if ids[i] < 0 or j >= n or ranks.get((ids[i], ids[j])) != r:
+                continue
+            ids[i], ids[j] = 256 + r, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (x := ranks.get((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (x, i))
+            h = before[i]
+            if h >= 0 and (x := ranks.get((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (x, h))
+        return tuple(i for i in ids if i >= 0)
 
     def encode(self, pieces: Sequence[str] | None) -> list[int]:
         """Ids of a text's pre-tokens (a piece met before is looked up)."""

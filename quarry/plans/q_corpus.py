@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
 from quarry.operators.evaluation import bits_per_byte
 from quarry.plans.registry import finish, register
-from quarry.session import read_table
+from quarry.session import checkpoint_dir, read_table, table_path
 
 #: Size of the vocabulary, special tokens included.
 VOCAB = 8192
@@ -17,10 +19,22 @@ def _docs(spark, sf):
     return read_table(spark, sf, "documents")
 
 
-def merges_for(spark, sf, vocab: int = VOCAB):
-    """Every query trains on its own."""
+def merges_for(spark, sf, vocab: int = VOCAB, train_anew: bool = False):
+    """The merges of a vocabulary trained on the training shards, kept in the shared folder
+    under what the input's files are, so the queries of one input train once."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(table_path(sf, "documents"))
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(top))
+    name = hashlib.sha256(repr((vocab, files)).encode()).hexdigest()[:24]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vocabulary-{name}"
+    done = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not train_anew and done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        return C.load_merges(spark, path)
     train, _ = C.split_shards(_docs(spark, sf))
-    return C.train_bpe(C.pretoken_counts(train), vocab)
+    merges = C.train_bpe(C.pretoken_counts(train), vocab)
+    C.save_merges(spark, path, merges)
+    return merges
 
 
 @register("io16_shard_split", """
@@ -63,7 +77,7 @@ def b2_pretokens(spark, sf):
 
 @register("b3_bpe_merges")
 def b3_bpe_merges(spark, sf):
-    merges = merges_for(spark, sf)
+    merges = merges_for(spark, sf, train_anew=True)
     table = C.token_table(merges)
     rows = [(i, a, b, 256 + i, table[256 + i].decode("utf-8", "replace")) for i, (a, b) in enumerate(merges)]
     return spark.createDataFrame(rows, "rank int, left_id int, right_id int, token_id int, text string")
@@ -73,7 +87,7 @@ def b3_bpe_merges(spark, sf):
 def b4_encode(spark, sf):
     merges = merges_for(spark, sf)
     enc = C.encode(_docs(spark, sf).select("doc_id", "text"), merges)
-    return enc.select("doc_id", F.size("ids").alias("n_tokens"), F.slice("ids", 1, 8).alias("head"))
+    return enc.select("doc_id", F.size("ids").alias("n_tokens"), "ids")
 
 
 @register("b5_round_trip_audit")
@@ -89,9 +103,9 @@ def b6_f11_token_bytes(spark, sf):
 @register("b7_b8_pack_shift")
 def b7_b8_pack_shift(spark, sf):
     merges = merges_for(spark, sf)
-    packed = C.pack(C.encode(_docs(spark, sf), merges), length=256)
+    packed = C.pack(C.encode(_docs(spark, sf), merges), length=C.MAX_SEQ_LEN)
     return C.shift_targets(packed).select(F.size("inputs").alias("n_inputs"), F.size("targets").alias("n_targets"),
-                                          F.slice("inputs", 1, 4).alias("head"))
+                                          "inputs", "targets")
 
 
 @register("f11_token_byte_length", """

@@ -67,12 +67,15 @@ def test_merges_taken_together_equal_one_by_one(spark):
     assert C.train_bpe(C.pretoken_counts(df), 256 + 4 + 31, checkpoint_every=3) == expected[:31]
 
 
-def test_queries_train_the_whole_vocabulary(spark, monkeypatch):
+def test_queries_train_the_whole_vocabulary_once(spark, monkeypatch, tmpdir_path):
     asked = []
+    monkeypatch.setattr(q_corpus, "checkpoint_dir", lambda spark: tmpdir_path)
     monkeypatch.setattr(C, "train_bpe", lambda counts, size, *a, **k: asked.append(size) or [(97, 98)])
-    for _ in range(2):
-        q_corpus.merges_for(spark, "/root/testdata/sf0.001")
+    for again in (False, False, True):
+        assert q_corpus.merges_for(spark, "/root/testdata/sf0.001", train_anew=again) == [(97, 98)]
     assert asked == [8192, 8192]
+    q_corpus.merges_for(spark, "/root/testdata/sf0.01")
+    assert asked == [8192] * 3
 
 
 def test_pretokens_match_python_regex(spark):
@@ -118,3 +121,60 @@ def test_bits_per_byte_excludes_special_tokens(spark):
     import math
     assert abs(bits_per_byte(scored, vocab).first()["bpb"] - 1.5 / (math.log(2) * 3)) < 1e-12
     assert F is not None
+
+
+def _rescanned(ids, ranks):
+    """Byte-pair merging by the definition: the best pair everywhere, again and again."""
+    while True:
+        best = min((ranks[p] for p in zip(ids, ids[1:]) if p in ranks), default=None)
+        if best is None:
+            return ids
+        out, i = [], 0
+        while i < len(ids):
+            if i + 1 < len(ids) and ranks.get((ids[i], ids[i + 1])) == best:
+                out.append(256 + best)
+                i += 2
+            else:
+                out.append(ids[i])
+                i += 1
+        ids = out
+
+
+def test_heap_encoder_equals_rescanning_and_is_fast_on_long_pieces():
+    import random
+    import time
+    rng = random.Random(2)
+    for _ in range(40):
+        merges, known = [], set()
+        while len(merges) < 60:
+            top = 256 + len(merges)
+            pair = tuple(rng.choice([97, 98, 99, *range(256, top)]) for _ in range(2))
+            if pair not in known:
+                known.add(pair)
+                merges.append(pair)
+        e = C._Encoder(merges)
+        for _ in range(30):
+            piece = "".join(rng.choice("abc") for _ in range(rng.randint(0, 120)))
+            assert list(e.encode_piece(piece)) == _rescanned(list(piece.encode()), e.ranks)
+            assert e.decode(e.encode_piece(piece)) == piece
+    long = "".join(rng.choice("abcé漢") for _ in range(500_000))     # over a million bytes
+    t = time.time()
+    ids = e.encode_piece(long)
+    assert time.time() - t < 30 and e.decode(ids) == long
+
+
+def test_incremental_training_equals_recounting(spark, monkeypatch):
+    import random
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("aab") for _ in range(rng.randint(1, 9))), rng.randint(1, 50)) for _ in range(400)]
+    rows += [("aaaaaaa", 7), ("", 3), ("é漢é漢", 40)]
+    counts = spark.createDataFrame(rows, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    monkeypatch.setattr(C, "BLOCK_WORDS", 16)
+    want = C.train_bpe(counts, 256 + 4 + 60, checkpoint_every=7)
+    assert len(want) == 60 and C.train_bpe_incremental(counts, 256 + 4 + 60, checkpoint_every=5) == want
+    assert C.train_bpe_incremental(counts.limit(0), 300) == [] and C.train_bpe_incremental(counts, 100) == []
+
+
+def test_saved_merges(spark, tmpdir_path):
+    C.save_merges(spark, tmpdir_path + "/v", [(97, 98), (256, 99)])
+    assert C.load_merges(spark, tmpdir_path + "/v") == [(97, 98), (256, 99)]
