@@ -1,4 +1,4 @@
-"""Time-series analytics (W4-W6, W10, M4, M19 naive baseline).
+"""Time-series analytics (W4-W6, W10, M4, M19 naive baseline, trend and seasons).
 
 Series order comes from an explicit ``order_by``; all windows go through the
 bucketed ``ordered`` primitives, so one long series (or one dominant entity)
@@ -7,8 +7,13 @@ is processed by many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +128,62 @@ def fourier_terms(df: DataFrame, t: str, period: float, k: int = 2) -> DataFrame
 
 def time_index(df: DataFrame, order_by: Sequence, name: str = "t") -> DataFrame:
     return row_index(df, order_by, name=name)
+
+
+# ---------------------------------------------------------------- M19 trend and seasons
+
+# Period in days and number of harmonics of the seasonal terms.
+SEASONS = {"week": (7.0, 3), "year": (365.25, 6)}
+
+
+@dataclass
+class TrendModel:
+    """A fitted trend with seasons: ``model`` scores any table that has the date column."""
+    model: PipelineModel
+    date: str
+    change_points: list[float]
+    slopes: list[float]
+
+    def predict(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``date``, the columns of ``keep`` and ``predicted``, for past and future dates alike."""
+        return self.model.transform(df).select(F.col(f"`{self.date}`"), *keep, F.col("prediction").alias("predicted"))
+
+
+def fit_trend(df: DataFrame, date: str, target: str, change_points: int = 25, share: float = 0.8,
+              seasons: dict[str, tuple[float, int]] | None = None, penalty: float = 0.002) -> TrendModel:
+    """M19 a piecewise linear trend and Fourier seasons as one linear model.
+
+    Hinge columns max(0, t - c) stand at ``change_points`` places spread over the first
+    ``share`` of the span; a lasso (``penalty`` times the target's deviation) keeps the few
+    that the series needs.  Seasons longer than half the span are left out.  The columns
+    come from the date alone, so one model answers every horizon, and the fit is one
+    distributed regression however many series rows there are.  Null dates and targets are
+    left out; an empty table is an error."""
+    t0 = F.to_date(F.col(f"`{date}`"))
+    rows = df.where(t0.isNotNull() & F.col(f"`{target}`").isNotNull())
+    span = rows.agg(F.min(t0).alias("first"), F.max(t0).alias("last"), F.stddev_pop(F.col(f"`{target}`").cast("double")).alias("sd")).first()
+    if span["first"] is None:
+        raise ValueError("no rows with a date and a target")
+    days = (span["last"] - span["first"]).days
+    t = f"CAST(datediff(to_date(`{date}`), DATE'{span['first']}') AS DOUBLE)"
+    points = sorted({round(share * days * (k + 1) / (change_points + 1), 3) for k in range(change_points)}) if days else []
+    columns = {"__t": t} | {f"__hinge{k}": f"greatest({t} - {c}D, 0D)" for k, c in enumerate(points)}
+    for name, (period, harmonics) in (SEASONS if seasons is None else seasons).items():
+        if 2 * period <= days:
+            for k in range(1, harmonics + 1):
+                for f in ("sin", "cos"):
+                    columns[f"__{name}_{f}{k}"] = f"{f}({2 * math.pi * k / period!r}D * {t})"
+    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM __THIS__"),
+              VectorAssembler(inputCols=list(columns), outputCol="features")]
+    prepared = PipelineModel(stages=stages)
+    data = keep_table(prepared.transform(rows).select("features", F.col(f"`{target}`").cast("double").alias("label")), "trend")
+    fit = LinearRegression(regParam=penalty * (span["sd"] or 0.0), elasticNetParam=1.0, maxIter=500, tol=1e-9).fit(data)
+    return TrendModel(PipelineModel(stages=[*stages, fit]), date, points, list(fit.coefficients)[:1 + len(points)])
+
+
+def forecast_trend(df: DataFrame, date: str, target: str, horizon: int, **options) -> DataFrame:
+    """M19 (date, predicted) for the ``horizon`` days after the last one of the table."""
+    model = fit_trend(df, date, target, **options)
+    last = df.where(F.col(f"`{target}`").isNotNull()).agg(F.max(F.to_date(F.col(f"`{date}`"))).alias("d"))
+    future = last.select(F.explode(F.sequence(F.date_add("d", 1), F.date_add("d", horizon))).alias(date))
+    return model.predict(future)

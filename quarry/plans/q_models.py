@@ -369,3 +369,26 @@ def m19_forecast_route(spark, sf):
     from quarry.plans import fixtures as X
     d = X.daily_orders(spark, sf).select("day", "revenue")
     return M.forecast(d, "day", "revenue", family="gbt")
+
+
+@register("m19_trend_forecast")
+def m19_trend_forecast(spark, sf):
+    """Four weeks of daily revenue ahead from a lasso over hinges and seasons."""
+    from quarry.operators.timeseries import forecast_trend
+    from quarry.plans import fixtures as X
+    return forecast_trend(X.daily_orders(spark, sf), "day", "revenue", 28)
+
+
+@register("m19_known_trend", """
+WITH d AS (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders),
+f AS (SELECT CAST(unnest(generate_series(b + 1, b + 60, INTERVAL 1 DAY)) AS DATE) AS day, a FROM d)
+SELECT day, round(100 + 0.5 * (day - a) + 4 * sin(2 * pi() * (day - a) / 7), 4) AS predicted FROM f""")
+def m19_known_trend(spark, sf):
+    """A series with a line and a weekly wave on the order dates: 60 days ahead are met exactly."""
+    from quarry.operators.timeseries import forecast_trend
+    from quarry.plans import fixtures as X
+    days = X.daily_orders(spark, sf).select("day")
+    t = F.datediff("day", F.lit(days.agg(F.min("day").alias("d")).first()["d"]))
+    series = days.withColumn("y", F.lit(100.0) + F.lit(0.5) * t + F.lit(4.0) * F.sin(F.lit(2 * 3.141592653589793 / 7) * t))
+    got = forecast_trend(series, "day", "y", 60, change_points=0, seasons={"week": (7.0, 1)}, penalty=0.0)
+    return got.withColumn("predicted", sql_round(F.col("predicted"), 4))
