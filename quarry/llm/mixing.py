@@ -80,28 +80,51 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float
     is a source of its own, sorted last.  The order is a seeded hash of id and text, so
     reruns agree; rows that repeat an id are ranked by their own texts, and rows that
     repeat both are numbered and ranked one by one (they are alike, so any may be first)."""
-    return _mix(docs.withColumn("__row", F.monotonically_increasing_id()), weights, max_epochs, seed, id_col, text_col,
-                source_col).drop("__row")
+    rows = _scan(docs.withColumn("__row", F.monotonically_increasing_id()), id_col, text_col, source_col)
+    rows = materialize(rows.withColumn("size", word_count(F.col("text"))).drop("text"), "mix-scan")
+    rows = materialize(_numbered(rows, _tied(rows)), "mix-rows")
+    plan = _plan(rows, weights, max_epochs, seed)
+    return _copies(rows, plan, max_epochs, seed).select(
+        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _repeats(rows: DataFrame) -> DataFrame:
+def _scan(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """What decides about a row: id, source key, text hash; behind them its text."""
+    text, source = F.col(f"`{text_col}`").cast("string"), F.col(f"`{source_col}`").cast("string")
+    return docs.select("__row", F.col(f"`{id_col}`").alias("id"), source.alias("source"),
+                       F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("sid"), F.xxhash64(text).alias("th"),
+                       text.alias("text"))
+
+
+def _tied(rows: DataFrame) -> DataFrame:
+    """(id, th) that several rows share."""
+    return materialize(rows.groupBy("id", "th").count().filter("count > 1").select("id", "th"), "mix-tied")
+
+
+def _numbered(rows: DataFrame, tied: DataFrame) -> DataFrame:
     """Add ``again``: 0, 1, ... among the rows of one id and text."""
-    tied = materialize(rows.groupBy("id", "th").count().filter("count > 1").select("id", "th"), "mix-tied")
+    zero = F.lit(0).cast("long")
     if tied.isEmpty():
-        return rows.withColumn("again", F.lit(0).cast("long"))
-    tied = join_null_safe(rows.select("id", "th", "__row"), tied, ["id", "th"], "left_semi")
-    number = row_index(tied, ["__row"], ["id", "th"], name="again", tie_break=False).select("__row", "again")
-    return rows.join(number, "__row", "left").withColumn("again", F.coalesce("again", F.lit(0).cast("long")))
-
-
-def _mix(docs: DataFrame, weights: Sequence[float], max_epochs: float, seed: int, id_col: str, text_col: str,
-         source_col: str) -> DataFrame:
-    """``mix`` of rows that carry a number of their own, ``__row``."""
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select("__row", F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
-                       word_count(text).alias("size"), F.xxhash64(text).alias("th"))
-    rows = materialize(rows, "mix-scan")
-    rows = materialize(_repeats(rows), "mix-rows")
+        return rows.withColumn("again", zero)
+    own = join_null_safe(rows.select("id", "th", "__row"), tied, ["id", "th"], "left_semi")
+    number = row_index(own, ["__row"], ["id", "th"], name="again", tie_break=False).select("__row", "again")
+    return rows.join(number, "__row", "left").withColumn("again", F.coalesce("again", zero))
+
+
+def _placed(rows: DataFrame, seed: int) -> DataFrame:
+    """Add the place in the seeded order: hash ``h`` and its two levels of cells."""
+    order = F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.lit("|"), "th", "again")
+    return (rows.withColumn("h", order).withColumn("c1", F.shiftrightunsigned("h", 64 - 11).cast("int"))
+            .withColumn("c2", (F.shiftrightunsigned("h", 64 - 22) % CELLS).cast("int")))
+
+
+def _place() -> Column:
+    return F.struct("h", "id", "th", "again")
+
+
+def _plan(rows: DataFrame, weights: Sequence[float], max_epochs: float, seed: int) -> DataFrame:
+    """One row per source (``sid``): its size and target, how often it is taken whole
+    (``whole``), and up to where in the order once more (``c1_at``, ``c2_at``, ``last``)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     table = water_fill(source_weights(sizes, weights), max_epochs)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -110,35 +133,33 @@ def _mix(docs: DataFrame, weights: Sequence[float], max_epochs: float, seed: int
                          whole.alias("whole"),
                          F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0)).alias("need"))
     table = materialize(table, "mix-targets")
-
-    order = F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.lit("|"), "th", "again")
-    place = F.struct("h", "id", "th", "again")
-    rows = rows.withColumn("sid", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
-    rows = rows.join(send_if_few(table, BROADCAST_SOURCES), "sid").withColumn("h", order)
-    rows = (rows.withColumn("c1", F.shiftrightunsigned("h", 64 - 11).cast("int"))
-            .withColumn("c2", (F.shiftrightunsigned("h", 64 - 22) % CELLS).cast("int")))
+    rows = _placed(rows.select("sid", "id", "th", "again", "size"), seed)
+    rows = rows.join(send_if_few(table.select("sid", "need"), BROADCAST_SOURCES), "sid")
     first = _cells(rows.filter("need > 0"), "c1")
-    # the cells' table has one row per source
     # a source's rows meet its cell by source and cell, so a large source stays spread
-    at1 = rows.select("id", "th", "again", "sid", "size", "h", "c1", "c2").join(first.withColumnRenamed("c1_at", "c1"), ["sid", "c1"])
+    at1 = rows.drop("need").join(first.withColumnRenamed("c1_at", "c1"), ["sid", "c1"])
     second = _cells(at1.withColumn("need", F.col("left")).drop("left"), "c2").withColumnRenamed("left", "left2")
     at2 = at1.join(second.withColumnRenamed("c2_at", "c2"), ["sid", "c2"])
     w = Window.partitionBy("sid").orderBy("h", "id", "th", "again").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = at2.withColumn("upto", F.sum("size").over(w))
     # the document on the border goes in if that brings the source nearer to its target
     cut = (last.filter(F.col("upto") - F.col("size") / 2.0 <= F.col("left2"))
-           .groupBy("sid").agg(F.max(place).alias("last")))
-    marks = (table.filter("need > 0").select("sid").join(first.select("sid", "c1_at"), "sid", "left")
+           .groupBy("sid").agg(F.max(_place()).alias("last")))
+    marks = (table.join(first.select("sid", "c1_at"), "sid", "left")
              .join(second.select("sid", "c2_at"), "sid", "left").join(cut, "sid", "left"))
-    rows = rows.join(send_if_few(materialize(marks, "mix-marks"), BROADCAST_SOURCES), "sid", "left")
+    return materialize(marks, "mix-marks")
+
+
+def _copies(rows: DataFrame, plan: DataFrame, max_epochs: float, seed: int) -> DataFrame:
+    """Add ``copies`` (and the plan's columns) to rows with id, sid, th and again."""
+    rows = _placed(rows, seed).join(send_if_few(plan, BROADCAST_SOURCES), "sid")
     before = (F.col("c1") < F.col("c1_at")) | ((F.col("c1") == F.col("c1_at")) & (
-        (F.col("c2") < F.col("c2_at")) | ((F.col("c2") == F.col("c2_at")) & (place <= F.col("last")))))
+        (F.col("c2") < F.col("c2_at")) | ((F.col("c2") == F.col("c2_at")) & (_place() <= F.col("last")))))
     # no crossing cell though words are needed: all of the source is (rounding)
     once = F.when(F.col("need") <= 0, F.lit(False)).otherwise(
         F.when(F.col("c1_at").isNull(), F.lit(True)).otherwise(F.coalesce(before, F.lit(False))))
     copies = F.least(F.col("whole") + once.cast("long"), F.lit(int(max_epochs)).cast("long"))
-    return rows.select("__row", F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"),
-                       (copies * F.col("size")).alias("taken"))
+    return rows.withColumn("copies", copies)
 
 
 def take(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float = 3.0, seed: int = 7,
@@ -147,11 +168,26 @@ def take(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: floa
     ``copy`` (1, 2, ...; with underscores in front if the input has a column of that name).
 
     Every row is taken by itself, also where ids repeat or are null.  An empty table, or one
-    without words, gives no rows."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-input")
-    chosen = _mix(numbered, weights, max_epochs, seed, id_col, text_col, source_col).filter("copies > 0").select("__row", "copies")
+    without words, gives no rows.  Rows find their place in the order from their own values,
+    so texts are not shuffled; only where rows repeat id and text are they numbered."""
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = _scan(numbered, id_col, text_col, source_col)
+    rows = materialize(rows.withColumn("size", word_count(F.col("text"))).drop("text"), "mix-scan")
+    tied = _tied(rows)
+    plan = _plan(materialize(_numbered(rows, tied), "mix-rows"), weights, max_epochs, seed)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    text, source = F.col(f"`{text_col}`").cast("string"), F.col(f"`{source_col}`").cast("string")
+    decides = [F.col(f"`{id_col}`").alias("id"), F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("sid"),
+               F.xxhash64(text).alias("th")]
+    if tied.isEmpty():
+        own = docs.select(whole, *decides).withColumn("again", F.lit(0).cast("long"))
+    else:
+        numbered = materialize(numbered, "mix-input")
+        number = _numbered(numbered.select("__row", *decides), tied).select("__row", "again")
+        own = numbered.select("__row", whole, *decides).join(number, "__row")
     name = "copy"
     while name.lower() in {c.lower() for c in docs.columns}:
         name = "_" + name
-    return numbered.join(chosen.withColumnRenamed("copies", "__copies"), "__row").select(
-        *[numbered[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias(name))
+    taken = _copies(own, plan.select("sid", "whole", "need", "c1_at", "c2_at", "last"), max_epochs, seed).filter("copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__n")).select(
+        *[F.col("doc").getField(c).alias(c) for c in docs.columns], F.col("__n").alias(name))

@@ -161,6 +161,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+#: More rows to drop than this are joined without a broadcast (8 bytes a row).
+BROADCAST_GONE = 2_000_000
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                          max_bits: int = 2) -> DataFrame:
     """One row of each component of near-duplicates, with all its columns: the one with the
@@ -174,5 +178,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids = numbered.select("__row", F.col(f"`{id_col}`").cast("long").alias("id"))
     found = materialize(found.join(ids, "__row"), "simhash-found")
     stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("least"))
-    gone = found.join(stays, "component_id").filter(F.col("__row") != F.col("least.__row")).select("__row")
-    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = materialize(found.join(stays, "component_id").filter(F.col("__row") != F.col("least.__row")).select("__row"),
+                       "simhash-gone")
+    # numbers of a bounded count are sent to the texts; beyond it the texts are shuffled
+    return numbered.join(send_if_few(gone, BROADCAST_GONE), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
