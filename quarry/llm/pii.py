@@ -1,8 +1,8 @@
 """Personal data: fixed patterns and bootstrapped contextual extraction, all in SQL functions.
 
 Base spans come from four fixed patterns.  They are also the seeds of the bootstrap:
-the words left and right of an identifier-like token are its lexical pattern, patterns
-and instances (token values) form a bipartite graph, and a few rounds of scoring pass
+the words left and right of a whole span, or of an identifier-like word outside the spans,
+are its lexical pattern, patterns and instances (values) form a bipartite graph, and a few rounds of scoring pass
 confidence from seed instances to the patterns they occur in and on to further
 instances.  Tokens that a confident pattern surrounds become spans of their own.
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
@@ -41,37 +41,97 @@ class Config:
     confidence: float = 0.8
 
 
-#: Matches whose lengths are added up together (keeps the work on a text linear).
-_STRIDE = 128
+#: Elements that are added up in one go: running sums are built in blocks, and blocks of
+#: blocks, so that their cost follows the length of a text.
+_BLOCK = 128
+#: Characters on either side of a match that are read for its context.
+_REACH = 64
+#: Characters of a text that are cut out together when it is rewritten.
+_PIECE = 4096
+_WHITE = r"\x20\x09-\x0D"
 
 
 def found_and_gaps(text: Column, pattern: str) -> tuple[Column, Column]:
-    """All matches of a text, and the lengths of the stretches before, between and after
-    them (splitting at the same pattern leaves exactly those)."""
-    return (F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-            F.transform(F.split(text, pattern, -1), lambda s: F.char_length(s).cast("long")))
+    """All matches of a text, and the stretches before, between and after them (splitting at
+    the same pattern leaves exactly those)."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
-def locate(found: Column, gaps: Column) -> Column:
-    """Array of (start, end, value) in code points, end exclusive: a start is the length of
-    all stretches and matches before it.  Both must be columns, not expressions."""
-    zero = F.lit(0).cast("long")
+def _running(values: Column, first: Column, count: Column, base: Column) -> Column:
+    """Sums before each of ``count`` elements from index ``first`` on, beginning at ``base``.
+    Elements are read by index: cutting a slice would copy the whole array each time."""
+    zero = F.struct(base.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    at = F.sequence(first, first + count - 1)
+    return F.aggregate(at, zero, lambda acc, i: F.struct(
+        (acc["at"] + F.get(values, i)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        lambda acc: acc["out"])
+
+
+def _block_sums(values: Column) -> Column:
+    n = F.size(values)
+    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda c: F.aggregate(
+        F.sequence(c * _BLOCK, F.least(n, (c + 1) * _BLOCK) - 1), F.lit(0).cast("long"),
+        lambda a, i: a + F.get(values, i)))
 
-    def upto(first: Column, count: Column) -> Column:
-        return F.aggregate(F.slice(gaps, first, count), zero, lambda a, x: a + x) + F.aggregate(
-            F.slice(found, first, count), zero, lambda a, x: a + F.char_length(x))
 
-    def one(i: Column, base: Column, first: Column) -> Column:
-        start = base + upto(first, i - first) + F.element_at(gaps, i)
-        value = F.element_at(found, i)
-        return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), value.alias("value"))
+def _from_blocks(values: Column, block_starts: Column) -> Column:
+    n = F.size(values)
+    return F.flatten(F.transform(block_starts, lambda base, c: _running(
+        values, c * _BLOCK, F.least(n - c * _BLOCK, F.lit(_BLOCK)), base)))
+
+
+def locate(src: DataFrame, keep: list[Column], kinds: list[str]) -> DataFrame:
+    """Adds ``__p_<kind>``, the position of every stretch (code points): the lengths of all
+    stretches and matches before it.  Every step is a projection of its own, so that each
+    array is computed once a row."""
+    cols = [*keep, *[F.col(f"__{c}_{k}") for k in kinds for c in "fg"]]
+    zero = F.lit(0).cast("long")
 
-    n = F.size(found)
-    strides = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _STRIDE).cast("int")), lambda c: F.struct(
-        (c * _STRIDE + 1).alias("first"), upto(F.lit(1), c * _STRIDE).alias("base")))
-    spans = F.flatten(F.transform(strides, lambda k: F.transform(
-        F.sequence(k["first"], F.least(n, k["first"] + (_STRIDE - 1))), lambda i: one(i, k["base"], k["first"]))))
-    return F.when(n > 0, spans).otherwise(F.array().cast("array<struct<start: bigint, end: bigint, value: string>>"))
+    def step(df: DataFrame, old: str, new: dict) -> DataFrame:
+        return df.select(*cols, *[F.col(f"__{c}_{k}") for k in kinds for c in old],
+                         *[f(k).alias(f"__{c}_{k}") for k in kinds for c, f in new.items()])
+
+    def col(c: str, k: str) -> Column:
+        return F.col(f"__{c}_{k}")
+
+    src = step(src, "", {"n": lambda k: F.zip_with(col("f", k), col("g", k), lambda f, g: (
+        F.coalesce(F.char_length(f), F.lit(0)) + F.char_length(g)).cast("long"))})
+    src = step(src, "n", {"b": lambda k: F.when(F.size(col("n", k)) > 0, _block_sums(col("n", k)))
+               .otherwise(F.array().cast("array<bigint>"))})
+    src = step(src, "nb", {"c": lambda k: F.when(F.size(col("b", k)) > 0, _block_sums(col("b", k)))
+               .otherwise(F.array().cast("array<bigint>"))})
+    src = step(src, "nb", {"d": lambda k: F.when(F.size(col("c", k)) > 0, _running(
+        col("c", k), F.lit(0), F.size(col("c", k)), zero)).otherwise(F.array().cast("array<bigint>"))})
+    src = step(src, "n", {"e": lambda k: _from_blocks(col("b", k), col("d", k))})
+    return step(src, "", {"p": lambda k: _from_blocks(col("n", k), col("e", k))})
+
+
+def matches(kind: str) -> Column:
+    """Array of (kind, start, end, value, left, right) from the columns of ``locate``, end
+    exclusive.  ``left`` holds up to two words that end before the match, the nearest first,
+    ``right`` the word after it (empty: none), lower-cased, as far as they lie within
+    ``_REACH`` characters, two matches of the same search and the stretches between them."""
+    found, gaps, at = (F.col(f"__{c}_{kind}") for c in "fgp")
+
+    def near(*parts: Column) -> Column:
+        return F.concat(*[F.coalesce(x, F.lit("")) for x in parts])
+
+    def before_of(i: Column, array: Column, back: int) -> Column:
+        return F.when(i >= back, F.get(array, i - back))
+
+    def one(value: Column, i: Column) -> Column:
+        start = F.get(at, i) + F.char_length(F.get(gaps, i))
+        before = F.substring(near(before_of(i, found, 2), before_of(i, gaps, 1), before_of(i, found, 1),
+                                  F.get(gaps, i)), -_REACH, _REACH)
+        after = F.substring(near(F.get(gaps, i + 1), F.get(found, i + 1), F.get(gaps, i + 2), F.get(found, i + 2)),
+                            1, _REACH)
+        words = F.filter(F.split(F.lower(before), f"[{_WHITE}]+", -1), lambda w: w != "")
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"),
+                        (start + F.char_length(value)).alias("end"), value.alias("value"),
+                        F.slice(F.reverse(words), 1, 2).alias("left"),
+                        F.regexp_extract(F.lower(after), f"^[{_WHITE}]*([^{_WHITE}]+)", 1).alias("right"))
+
+    return F.transform(found, one)
 
 
 def luhn(digits: Column) -> Column:
@@ -114,59 +174,57 @@ _VALID = {
 
 
 def scan_rows(src: DataFrame) -> DataFrame:
-    """The columns but ``text``, ``base`` (array of kind, start, end, value of the fixed
-    patterns; failing matches are dropped) and ``tokens`` (candidates with the words on
-    both sides of them)."""
+    """The columns but ``text``, ``base`` (matches of the fixed patterns; failing ones are
+    dropped) and ``tokens`` (candidate words), both as ``matches`` gives them."""
     others = [F.col(f"`{c}`") for c in src.columns if c != "text"]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    src = src.select(*others, text.alias("text"))
-    text, made = F.col("text"), []
-    for kind, (gate, pattern) in _searches(text).items():
-        found, gaps = found_and_gaps(text, pattern)
-        made += [F.when(gate, found).otherwise(F.array().cast("array<string>")).alias(f"__f_{kind}"),
-                 F.when(gate, gaps).otherwise(F.array().cast("array<bigint>")).alias(f"__g_{kind}")]
-    src = src.select(*others, "text", *made)
-    src = src.select(*others, "text", *[locate(F.col(f"__f_{k}"), F.col(f"__g_{k}")).alias(f"__{k}")
-                                        for k in (*KINDS[:4], "token")])
-
-    def spans(kind: str) -> Column:
-        good = F.filter(f"__{kind}", lambda m: _VALID[kind](m["value"]))
-        return F.transform(good, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"),
-                                                    m["end"].alias("end"), m["value"].alias("value")))
-
-    def context(t: Column) -> Column:
-        before = F.substring(text, F.greatest(t["start"] - 64, F.lit(0)).cast("int") + 1,
-                             F.least(t["start"], F.lit(64)).cast("int"))
-        after = F.substring(text, (t["end"] + 1).cast("int"), F.lit(64))
-        # the words that end before the token and begin after it, if they lie within reach
-        near = F.filter(F.split(F.lower(before), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
-        right = F.regexp_extract(F.lower(after), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"),
-                        F.slice(F.reverse(near), 1, 2).alias("left"), right.alias("right"))
-
-    return src.select(*others, F.concat(*[spans(k) for k in KINDS[:4]]).alias("base"),
-                      F.transform("__token", context).alias("tokens"))
-
-
-def _patterns(t: str = "") -> Column:
-    """Lexical patterns of a candidate: the two words before it, and the words on either
-    side of it (null where a word is missing)."""
-    left, right = F.col(f"{t}left"), F.col(f"{t}right")
+    src = src.select(*others, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    none, made = F.array().cast("array<string>"), []
+    for kind, (gate, pattern) in _searches(F.col("text")).items():
+        found, gaps = found_and_gaps(F.col("text"), pattern)
+        made += [F.when(gate, found).otherwise(none).alias(f"__f_{kind}"),
+                 F.when(gate, gaps).otherwise(none).alias(f"__g_{kind}")]
+    kinds = [*KINDS[:4], "token"]
+    src = locate(src.select(*others, *made), others, kinds)
+    base = [F.filter(matches(k), lambda m: _VALID[k](m["value"])) for k in KINDS[:4]]
+    return src.select(*others, F.concat(*base).alias("base"), matches("token").alias("tokens"))
+
+
+def free_spans(rows: DataFrame, key: str) -> DataFrame:
+    """(key, kind, start, end, value, left, right): the base spans and the candidates that no
+    base span overlaps.
+
+    A candidate meets a base span that begins before it if the largest end so far lies
+    beyond its start, and one that begins in it if the next base start lies before its end:
+    two running aggregates over the spans of one text."""
+    s = rows.select(key, F.explode(F.concat("base", "tokens")).alias("s")).select(key, "s.*")
+    s = s.withColumn("cand", F.col("kind") == "token")
+    up = Window.partitionBy(key).orderBy("start", "cand").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(key).orderBy(F.desc("start"), "cand").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("open", F.max(F.when(~F.col("cand"), F.col("end"))).over(up))
+    s = s.withColumn("next", F.min(F.when(~F.col("cand"), F.col("start"))).over(down))
+    met = (F.coalesce(F.col("open") > F.col("start"), F.lit(False))
+           | F.coalesce(F.col("next") < F.col("end"), F.lit(False)))
+    return s.filter(~F.col("cand") | ~met).drop("cand", "open", "next")
+
+
+def _patterns() -> Column:
+    """Lexical patterns of a span: the two words before it, and the words on either side of
+    it (null where a word is missing)."""
+    left, right = F.col("left"), F.col("right")
     return F.array(F.when(F.size(left) == 2, F.concat_ws("\u0001", F.lit("before"), left)),
                    F.when((F.size(left) > 0) & (right != ""), F.concat_ws("\u0001", F.lit("around"), left[0], right)))
 
 
-def bootstrap(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Confident patterns: (pattern, confidence, instances).
+def bootstrap(spans: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Confident patterns of ``free_spans``: (pattern, confidence, instances).
 
     Edges join a pattern (two words before, or the words on both sides) with an instance
-    (the token's value).  Instances that a base span covers are seeds with confidence 1.
+    (the value of a base span or a candidate).  Base spans, whole and whatever they consist
+    of, are seeds with confidence 1.
     In every round a pattern's confidence is the mean of its instances', counted over at
     least ``support`` distinct ones, and another instance's is the best of its confident
     patterns'; both are grouped aggregates over equality joins."""
-    t = rows.select("base", F.explode("tokens").alias("t")).select(
-        "t.*", F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start"))).alias("seed"))
-    t = t.select("value", "seed", F.explode(_patterns()).alias("pattern"))
+    t = spans.select("value", (F.col("kind") != "token").alias("seed"), F.explode(_patterns()).alias("pattern"))
     edges = materialize(t.filter("pattern IS NOT NULL").groupBy("pattern", "value").agg(F.max("seed").alias("seed")),
                         "pii-edges")
     # a pattern of few instances can never be confident: only the others take part
@@ -190,14 +248,14 @@ _SPANS = "array<struct<kind: string, start: bigint, end: bigint, value: string>>
 
 
 def with_context(rows: DataFrame, key: str, cfg: Config) -> DataFrame:
-    """(key, spans): base spans and the tokens that confident patterns surround, in order."""
-    good = bootstrap(rows, cfg)
-    t = rows.filter(F.size("tokens") > 0).select(key, "base", F.explode("tokens").alias("t"))
-    t = t.filter(~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start"))))
-    t = t.select(key, "t.*").select(key, "start", "end", "value", F.explode(_patterns()).alias("pattern"))
+    """(key, spans): base spans and the candidates that confident patterns surround, in order."""
+    free = materialize(free_spans(rows, key), "pii-spans")
+    good = bootstrap(free, cfg)
+    t = free.filter("kind = 'token'").select(key, "start", "end", "value", F.explode(_patterns()).alias("pattern"))
     extra = (t.join(good.select("pattern"), "pattern").groupBy(key).agg(F.collect_set(F.struct(
         F.lit("context").alias("kind"), F.col("start"), F.col("end"), F.col("value"))).alias("extra")))
-    every = F.concat("base", F.coalesce("extra", F.array().cast(_SPANS)))
+    base = F.transform("base", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "value")]))
+    every = F.concat(base, F.coalesce("extra", F.array().cast(_SPANS)))
     rank = F.array(*[F.lit(k) for k in KINDS])
     keyed = F.transform(every, lambda s: F.struct(
         s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"),
@@ -221,25 +279,39 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: C
 
 def redact(docs: DataFrame, text_col: str = "text", cfg: Config = Config()) -> DataFrame:
     """The input rows with every span of their text replaced by ``<KIND>``; all columns and
-    their order are kept.  Overlapping spans are replaced as one, named after the first."""
+    their order are kept.  Spans that overlap in a chain are replaced as one, named after the
+    first.  A text is rebuilt from pieces of bounded size, so the work follows its length."""
     cols, text = docs.columns, F.col(f"`{text_col}`")
-    # spans depend on the text alone, so they are kept per text (its hash and length) and
-    # only for texts that have any
-    mark = F.struct(F.xxhash64(text.cast("string")).alias("h"), F.length(text.cast("string")).alias("n"))
+    # spans depend on the text alone, so they are kept per text (its digest) and only for
+    # texts that have any
+    mark = F.sha2(text.cast("string"), 256)
     rows = scan_rows(docs.select(mark.alias("__mark"), text.alias("text")))
-    rows = materialize(rows.filter((F.size("base") > 0) | (F.size("tokens") > 0)).dropDuplicates(["__mark"]), "pii-rows")
-    spans = with_context(rows, "__mark", cfg).filter(F.size("spans") > 0)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.when(s["start"] >= acc["at"], F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"))
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    done = F.aggregate(spans["spans"], zero, add, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    out = docs.withColumn("__mark", mark).join(spans, "__mark", "left").withColumn(
-        "__clean", F.when(spans["spans"].isNull(), text).otherwise(done))
+    # written before the filter: pushed below the projections it would repeat their work
+    rows = materialize(rows, "pii-scan").filter((F.size("base") > 0) | (F.size("tokens") > 0))
+    rows = materialize(rows.dropDuplicates(["__mark"]), "pii-rows")
+    spans = with_context(rows, "__mark", cfg).select("__mark", F.posexplode("spans").alias("pos", "s"))
+    before = Window.partitionBy("__mark").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("head", F.coalesce(F.col("s.start") >= F.max("s.end").over(before), F.lit(True)))
+    spans = spans.withColumn("run", F.sum(F.col("head").cast("int")).over(Window.partitionBy("__mark").orderBy("pos")
+                             .rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.groupBy("__mark", "run").agg(F.min("s.start").alias("start"), F.max("s.end").alias("end"),
+                                              F.min_by("s.kind", "pos").alias("kind"))
+    runs = runs.groupBy("__mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__runs"))
+    out = docs.withColumn("__mark", mark).join(runs, "__mark", "left").withColumn("__pieces", F.when(
+        F.col("__runs").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
+    pieces, at = F.col("__pieces"), F.col("__runs")
+
+    def cut(start: Column, end: Column) -> Column:
+        first = F.floor(start / _PIECE).cast("int")
+        held = F.array_join(F.transform(F.sequence(first, F.floor((end - 1) / _PIECE).cast("int")),
+                                        lambda i: F.get(pieces, i)), "")
+        return F.when(end > start, F.substring(held, (start - first * _PIECE + 1).cast("int"),
+                                               (end - start).cast("int"))).otherwise("")
+
+    def ended(i: Column) -> Column:
+        return F.when(i > 0, F.get(at, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
+
+    kept = F.transform(at, lambda r, i: F.concat(cut(ended(i), r["start"]), F.lit("<"), F.upper(r["kind"]), F.lit(">")))
+    done = F.concat(F.array_join(kept, ""), cut(ended(F.size(at)), F.char_length(text).cast("long")))
+    out = out.withColumn("__clean", F.when(at.isNull(), text).otherwise(done))
     return out.select(*[F.col("__clean").alias(c) if c == text_col else docs[c] for c in cols])

@@ -110,6 +110,61 @@ def pii_base(text):
     return sorted(out, key=lambda s: (s[1], rank[s[0]]))
 
 
+def pii_context(text, found, k):
+    """Words around match ``k`` of the matches ``found`` of one search."""
+    s, e = found[k]
+    low = max(s - 64, found[k - 2][0] if k > 1 else 0)
+    high = min(e + 64, found[k + 2][1] if k + 2 < len(found) else len(text))
+    left = re.findall(r"[^\x20\x09-\x0D]+", text[low:s].lower())[::-1][:2]
+    right = re.match(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", text[e:high].lower())
+    return left, right[1] if right else ""
+
+
+def pii_spans(texts, rounds=3, support=5, confidence=0.8):
+    """All spans of each text: fixed patterns, and candidates by bootstrapped contexts."""
+    searches = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+                "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+                "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    every = []
+    for d, text in enumerate(texts):
+        text = text or ""
+        base = pii_base(text)
+        spots = {(k, s): e for k, s, e in base}
+        for kind, pattern in searches.items():
+            found = [m.span() for m in re.finditer(pattern, text)]
+            every += [(d, kind, s, e, text[s:e], *pii_context(text, found, i))
+                      for i, (s, e) in enumerate(found) if (kind, s) in spots]
+        found = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text) if sum(c in "0123456789" for c in m[0]) > 1]
+        every += [(d, "token", s, e, text[s:e], *pii_context(text, found, i)) for i, (s, e) in enumerate(found)
+                  if not any(b[1] < e and b[2] > s for b in base)]
+
+    def patterns(left, right):
+        return ([("before", *left)] if len(left) == 2 else []) + ([("around", left[0], right)] if left and right else [])
+
+    edges = defaultdict(bool)
+    for _, kind, _, _, value, left, right in every:
+        for p in patterns(left, right):
+            edges[p, value] |= kind != "token"
+    size = Counter(p for p, _ in edges)
+    edges = {e: seed for e, seed in edges.items() if size[e[0]] >= support}
+    score, good = {e: float(seed) for e, seed in edges.items()}, {}
+    for _ in range(rounds):
+        sums = defaultdict(float)
+        for (p, _), c in score.items():
+            sums[p] += c
+        good = {p: c / size[p] for p, c in sums.items() if c / size[p] >= confidence}
+        best = defaultdict(float)
+        for p, v in edges:
+            best[v] = max(best[v], good.get(p, 0.0))
+        score = {(p, v): 1.0 if seed else best[v] for (p, v), seed in edges.items()}
+    rank = ("email", "ip", "card", "phone", "context")
+    out = [[(k, s, e) for k, s, e in pii_base(t or "")] for t in texts]
+    for d, kind, s, e, _, left, right in every:
+        if kind == "token" and any(p in good for p in patterns(left, right)):
+            out[d].append(("context", s, e))
+    return [sorted(x, key=lambda m: (m[1], rank.index(m[0]), m[2])) for x in out]
+
+
 def spans_text(spans):
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 

@@ -253,6 +253,42 @@ def test_pii_bootstrap_finds_unseen_identifiers(spark):
     assert all(not got[200 + i] for i in range(8))
 
 
+def test_pii_learns_from_addresses_without_digits(spark):
+    names = ("ann", "bob", "cy", "dee", "eve", "fay")
+    rows = [(i, f"kindly contact our {w}@{w}mail.org for more") for i, w in enumerate(names)]
+    rows += [(10 + i, f"call 4111 1111 1111 {1111 if i else 1111} as card of mine") for i in range(2)]
+    rows += [(50, "kindly contact our x77y9 for more"), (51, "kindly contact no x77y8 at all")]
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.find(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == [("context", "x77y9")] and not got[51]
+    assert all(got[i] == [("email", f"{w}@{w}mail.org")] for i, w in enumerate(names))
+
+
+def test_pii_equals_brute_force(spark):
+    rnd = random.Random(5)
+    kinds = [lambda: f"u{rnd.randrange(99)}@{rnd.choice('abc')}.org", lambda: "x@y.zz", lambda: f"10.0.{rnd.randrange(300)}.7",
+             lambda: "4111 1111 1111 1111", lambda: "4111111111111112", lambda: f"+4{rnd.randrange(9)} (555) 010-99{rnd.randrange(99)}",
+             lambda: f"id{rnd.randrange(40)}z{rnd.randrange(9)}", lambda: f"{rnd.randrange(9)}{rnd.randrange(9)}", lambda: "a@b.c%a@b.c"]
+    word = ["Call", "mail", "card", "é😀", "of", "to", "x" * 70]
+    texts = [None, "", " "]
+    for n in [3, 8, 20] * 60 + [900, 3000]:
+        parts = [rnd.choice(kinds)() if rnd.random() < 0.4 else rnd.choice(word) for _ in range(n)]
+        texts.append("".join(p + rnd.choice([" ", " ", "\n", "  ", ", "]) for p in parts))
+    cfg = pii.Config(support=3, confidence=0.5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute.pii_spans(texts, cfg.rounds, cfg.support, cfg.confidence)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(df, cfg=cfg).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(k == "context" for x in want for k, _, _ in x) > 50
+    for r in pii.redact(df, cfg=cfg).collect():
+        out, at, text = [], 0, texts[r.doc_id]
+        for kind, s, e in want[r.doc_id]:
+            if s >= at:
+                out += [text[at:s], f"<{kind.upper()}>"]
+            at = max(at, e)
+        assert r.text == (text if text is None else "".join(out) + text[at:])
+
+
 def test_pii_redacts(spark):
     rows = [(1, "a mail x@y.com and 10.0.0.1 é +1 (555) 010-9999 end", "s"), (2, None, None), (3, "clean text 12", "t")]
     out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, spans string"))
