@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,16 +61,17 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
 
 def linear_shapley(model: PipelineModel, df: DataFrame) -> DataFrame:
     """X4 mean |coef_j (x_j - mean_j)| per feature slot, exact for a linear
-    model on independent features; one aggregate over the assembled vectors."""
-    from pyspark.ml.functions import vector_to_array
-    est = model.stages[-1]
-    coef = est.coefficients.toArray().tolist()
+    model on independent features.  Means, and the sums of absolute distances from
+    them, are vector aggregates, so the plan does not grow with the slots."""
+    coef = model.stages[-1].coefficients.toArray()
     names = feature_names(model, df)
-    arr = model.transform(df).select(vector_to_array("features").alias("x"))
-    means = arr.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(coef))]).first()
-    agg = arr.agg(*[F.avg(F.abs(F.lit(coef[i]) * (F.col("x")[i] - F.lit(means[f"m{i}"])))).alias(f"s{i}")
-                    for i in range(len(coef))]).first()
-    rows = sorted(((names[i], float(agg[f"s{i}"])) for i in range(len(coef))), key=lambda t: -t[1])
+    vectors = model.transform(df).select("features")
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="_centred").fit(vectors)
+    s = centred.transform(vectors).agg(Summarizer.metrics("normL1", "count").summary(F.col("_centred")).alias("s")).first()["s"]
+    if len(names) != len(coef):     # slots without names (hashed words) go by their number
+        names = [f"slot_{i}" for i in range(len(coef))]
+    mean_abs = abs(coef) * s["normL1"].toArray() / s["count"]
+    rows = sorted(zip(names, mean_abs.tolist()), key=lambda t: -t[1])
     return df.sparkSession.createDataFrame(rows, "feature string, mean_abs_shap double")
 
 
