@@ -7,7 +7,9 @@ word is shipped about three times instead of ``k`` times.  In its bucket the win
 of all strings are sorted and equal ones compared word by word.
 
 Buckets that a very common passage overfills (measured over all data first) are not
-sent as strings: their windows are dealt out one by one by a hash of the whole window.
+sent to one task: of their windows every batch reports its first place, the least of
+these is found by an aggregate that combines before the shuffle, and comes back to the
+occurrences, which stay spread over the batches.
 """
 
 from __future__ import annotations
@@ -23,10 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BATCH_BYTES, ids_and_texts, shuffle_partitions, split_words, text_batches
+from quarry.llm.common import (BATCH_BYTES, ids_and_texts, materialize, shuffle_partitions, split_words,
+                               text_batches)
 
 #: Buckets per shuffle partition: one bucket is what a task holds in memory at a time.
 BUCKETS_PER_PARTITION = 24
+#: What one occurrence of a string weighs in a bucket (20 bytes), in words.
+OCCURRENCE_WORDS = 4
+#: Windows whose first place may be sent to all tasks (those in the most batches).
+HEAVY_WINDOWS = 10_000
 #: Stands for a null id (such rows count as one document, after all others).
 NO_ID = (1 << 63) - 1
 #: Up to so many repeated ids are sent to the tasks; with more, every row gets a key.
@@ -100,8 +107,9 @@ class Windows:
 
 
 def _bucket_sizes(docs: DataFrame, k: int, m: int, parts: int) -> DataFrame:
-    """(part, words): words of the distinct super-k-mers of each batch, summed; ``words`` has
-    an entry for each of the ``BUCKETS_PER_PARTITION`` buckets of a part."""
+    """(part, words): words of the distinct super-k-mers of each batch and the weight of their
+    occurrences, summed; ``words`` has an entry for each of the ``BUCKETS_PER_PARTITION``
+    buckets of a part."""
     width = BUCKETS_PER_PARTITION
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +122,9 @@ def _bucket_sizes(docs: DataFrame, k: int, m: int, parts: int) -> DataFrame:
                 run_sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(_run_hash(w.hash, k)))])
                 content = run_sum[w.start + w.count] - run_sum[w.start]
             _, once = np.unique(content, return_index=True)
-            np.add.at(total.reshape(-1), (w.key[once] % np.uint64(parts * width)).astype(np.int64),
-                      w.count[once] + k - 1)
+            bucket = (w.key % np.uint64(parts * width)).astype(np.int64)
+            np.add.at(total.reshape(-1), bucket[once], w.count[once] + k - 1)
+            total.reshape(-1)[:] += OCCURRENCE_WORDS * np.bincount(bucket, minlength=parts * width)
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].tolist(), pa.list_(pa.int64()))],
                                          names=["part", "words"])
@@ -142,7 +151,8 @@ def _keyed_ids(docs: DataFrame) -> np.ndarray | None:
 
 
 def _pack(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray, keyed: np.ndarray | None = None) -> DataFrame:
-    """(bucket, packed): per batch and bucket the distinct super-k-mers and where they occur."""
+    """(bucket, packed): per batch and bucket the distinct super-k-mers and where they occur,
+    but for the ``hot`` buckets."""
     hot_set = np.asarray(hot, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,15 +164,10 @@ def _pack(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray, keyed:
             bucket = (w.key % np.uint64(buckets)).astype(np.int64)
             start, count, owner = w.start, w.count, w.owner
             if len(hot_set):
-                wide = np.isin(bucket, hot_set)
-                if wide.any():
-                    n = count[wide]
-                    single = np.repeat(start[wide] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    whole = _run_hash(w.hash, k)[single]
-                    start = np.concatenate([start[~wide], single])
-                    count = np.concatenate([count[~wide], np.ones(len(single), np.int64)])
-                    owner = np.concatenate([owner[~wide], np.repeat(owner[wide], n)])
-                    bucket = np.concatenate([bucket[~wide], (_mix(whole) % np.uint64(buckets)).astype(np.int64)])
+                stay = ~np.isin(bucket, hot_set)
+                start, count, owner, bucket = start[stay], count[stay], owner[stay], bucket[stay]
+                if not len(start):
+                    continue
             text, offset = w.joined()
             ids = np.asarray(b.column(0).fill_null(NO_ID), dtype=np.int64)
             row = _row_keys(ids, b.column(1), keyed)[owner]
@@ -194,6 +199,69 @@ def _pack(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray, keyed:
     return docs.mapInArrow(run, "bucket long, packed binary")
 
 
+def _hot_windows(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray,
+                 keyed: np.ndarray | None = None) -> DataFrame:
+    """(window, id, start, places): the distinct windows of each batch that belong to ``hot``
+    buckets, as 128-bit digests, with their first place in the batch and all places there."""
+    hot_set = np.asarray(hot, np.int64)
+    place = pa.struct([("id", pa.int64()), ("row", pa.int64()), ("start", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches):
+            w = Windows(b.column(1), k, m)
+            wide = np.isin((w.key % np.uint64(buckets)).astype(np.int64), hot_set) if len(w.start) else np.zeros(0, bool)
+            if not wide.any():
+                continue
+            n = w.count[wide]
+            start = np.repeat(w.start[wide] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            owner = np.repeat(w.owner[wide], n)
+            text, offset = w.joined()
+            ids = np.asarray(b.column(0).fill_null(NO_ID), dtype=np.int64)
+            row = _row_keys(ids, b.column(1), keyed)[owner]
+            ids = ids[owner]
+            begin = (start - w.first[owner]).astype(np.int32)
+            names: dict[bytes, int] = {}
+            code = np.fromiter((names.setdefault(text[s:e], len(names)) for s, e in
+                                zip(offset[start].tolist(), (offset[start + k] - 1).tolist())), np.int64, len(start))
+            digest = [hashlib.blake2b(x, digest_size=16).digest() for x in names]
+            order = np.lexsort((begin, ids, code))
+            head = np.concatenate([[0], np.flatnonzero(np.diff(code[order])) + 1, [len(order)]])
+            for s in range(0, len(head) - 1, 4096):
+                edge = head[s:s + 4097]
+                here, lead = order[edge[0]:edge[-1]], order[edge[:-1]]
+                places = pa.ListArray.from_arrays(
+                    pa.array(edge - edge[0], pa.int32()),
+                    pa.StructArray.from_arrays([pa.array(ids[here]), pa.array(row[here]), pa.array(begin[here])],
+                                               fields=list(place)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([digest[i] for i in code[lead].tolist()], pa.binary()), pa.array(ids[lead]),
+                     pa.array(begin[lead]), places], names=["window", "id", "start", "places"])
+
+    return docs.mapInArrow(run, "window binary, id long, start int, places array<struct<id:long,row:long,start:int>>")
+
+
+def _hot_ranges(seen: DataFrame, k: int) -> DataFrame:
+    """(id, row, start, end) of every later occurrence of the windows of ``_hot_windows``.
+
+    A window is a row per batch, its first place an aggregate combined before the shuffle.
+    The windows in more than one of ``HEAVY_WINDOWS`` parts of all rows, fewer than
+    ``HEAVY_WINDOWS``, are sent to all tasks, so no key of the join holds more than that part."""
+    line = seen.count() // HEAVY_WINDOWS
+    firsts = materialize(seen.groupBy("window").agg(
+        F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("batches"),
+        F.sum(F.size("places")).alias("n")).filter(F.col("n") > 1).drop("n"), "first-places")
+    heavy = firsts.filter(F.col("batches") > line).select("window", "first")
+    light = firsts.filter(F.col("batches") <= line).select("window", F.col("first").alias("light"))
+    known = seen.select("window", "places").join(F.broadcast(heavy), "window", "left")
+    found = known.filter(F.col("first").isNotNull()).select("first", "places").unionByName(
+        known.filter(F.col("first").isNull()).select("window", "places").join(light, "window")
+        .select(F.col("light").alias("first"), "places"))
+    p = found.select("first", F.explode("places").alias("p"))
+    p = p.filter((F.col("p.id") != F.col("first.id")) | (F.col("p.start") != F.col("first.start")))
+    start = F.col("p.start").cast("long")
+    return p.select("p.id", "p.row", start.alias("start"), (start + k).alias("end"))
+
+
 def _equal_windows(code: np.ndarray, hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions ``at`` that share their window with another, sorted by window, and the
     number of the window for each; equality is checked word by word."""
@@ -314,7 +382,11 @@ def repeated_ranges(docs: DataFrame, k: int, m: int, keyed: np.ndarray | None =
         return pa.table({"id": i, "row": r, "start": s, "end": e}, schema=pa.schema(
             [(c, pa.int64()) for c in ("id", "row", "start", "end")]))
 
-    return packed.groupBy("bucket").applyInArrow(run, "id long, row long, start long, end long")
+    ranges = packed.groupBy("bucket").applyInArrow(run, "id long, row long, start long, end long")
+    if not len(hot):
+        return ranges
+    seen = materialize(_hot_windows(docs, k, m, buckets, hot, keyed), "hot-windows")
+    return ranges.unionByName(_hot_ranges(seen, k))
 
 
 def remove_repeats(docs: DataFrame, k: int = 20, m: int = 3, id_col: str = "doc_id",

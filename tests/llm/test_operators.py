@@ -113,21 +113,47 @@ def test_substrings_other_windows(docs, rows, k, m):
           [(r[0], *want[r[0], r[1]][:2]) for r in rows])
 
 
-def test_substrings_split_hot_buckets(spark, docs, rows):
-    """The same stretches whether all, some or no buckets are dealt out window by window."""
+def test_substrings_split_hot_buckets(spark, docs, rows, monkeypatch):
+    """The same stretches whether the windows of all, some or no buckets stay in their batches."""
     src = common.ids_and_texts(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), "doc_id", "text")
     ranges = []
-    for hot in ([], list(range(0, 8)), list(range(16))):
-        packed = substrings._pack(src, 20, 5, 16, np.array(hot, np.int64)).collect()
+    for hot, heavy in (([], 1), (list(range(0, 8)), 10_000), (list(range(0, 8)), 40), (list(range(16)), 2)):
+        monkeypatch.setattr(substrings, "HEAVY_WINDOWS", heavy)
+        hot = np.array(hot, np.int64)
+        packed = substrings._pack(src, 20, 5, 16, hot).collect()
         by = defaultdict(list)
         for r in packed:
             by[r.bucket].append(bytes(r.packed))
+        assert not set(by) & set(hot.tolist())
         cover = set()
         for blobs in by.values():
             for i, s, e in zip(*substrings.bucket_ranges(blobs, 20)):
                 cover.update((int(i), j) for j in range(s, e))
+        if len(hot):
+            for r in substrings._hot_ranges(substrings._hot_windows(src, 20, 5, 16, hot), 20).collect():
+                cover.update((r.id, j) for j in range(r.start, r.end))
         ranges.append(cover)
-    assert ranges[0] and ranges[0] == ranges[1] == ranges[2]
+    assert ranges[0] and all(r == ranges[0] for r in ranges)
+
+
+@pytest.mark.parametrize("heavy", [10_000, 3])
+def test_substrings_passage_in_a_third_of_the_rows(spark, monkeypatch, heavy):
+    """A passage that overfills its bucket is found hot, and its occurrences meet in no group."""
+    rng = random.Random(31)
+    passage = [f"p{i}" for i in range(60)]
+    table = []
+    for i in range(360):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(1, 24))]
+        table.append((None if i % 50 == 9 else 40 if i in (41, 42) else i, " ".join(passage + own if i % 3 == 0 else own)))
+    want = brute.repeats(table)
+    hot = []
+    seen = substrings._hot_windows
+    monkeypatch.setattr(substrings, "_hot_windows", lambda *a: hot.append(a[4]) or seen(*a))
+    monkeypatch.setattr(substrings, "HEAVY_WINDOWS", heavy)
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(6)
+    got = substrings.remove_repeats(df).collect()
+    _same([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], [(i, *want[i, t]) for i, t in table])
+    assert len(hot) == 1 and len(hot[0]) and sum(r.n_removed for r in got) >= 60 * 119
 
 
 def test_equal_hashes_are_told_apart():
