@@ -108,6 +108,11 @@ def b7_b8_pack_shift(spark, sf):
                                           "inputs", "targets")
 
 
+@register("b7_corpus_packing")
+def b7_corpus_packing(spark, sf):
+    return C.pack_corpus(C.encode(_docs(spark, sf), merges_for(spark, sf)))
+
+
 @register("f11_token_byte_length", """
 SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE octet_length(encode(p_name || 'é€')) END AS n_bytes FROM part""")
 def f11_token_byte_length(spark, sf):

@@ -4,6 +4,7 @@ packed rows have exactly T+1 ids, bits per byte is positive."""
 import collections
 import random
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -103,6 +104,45 @@ def test_pack_keeps_every_token(spark):
     assert len(st["inputs"]) == len(st["targets"]) == 8 and st["inputs"][1:] == st["targets"][:-1]
 
 
+@pytest.mark.parametrize("crop", [True, False])
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_corpus_packing_leaves_one_short_row(spark, parts, crop):
+    rng = random.Random(parts)
+    seqs = [[1000 * i + j for j in range(rng.choice([0, 1, 2, 3, 5, 8, 9, 30]))] for i in range(120)] + [None]
+    df = spark.createDataFrame([(x,) for x in seqs], "ids array<int>").repartition(parts)
+    rows = C.pack_corpus(df, length=8, buffer=5, crop=crop).collect()
+    want = sorted(t for x in seqs if x for t in x)
+    kept = [t for r in rows for t in r["row"]]
+    assert len(set(kept)) == len(kept) and set(kept) <= set(want)
+    assert len(kept) + sum(r["n_cropped"] for r in rows) == len(want)
+    assert sum(r["n_tokens"] < 9 for r in rows) <= 1 and all(len(r["row"]) == r["n_tokens"] <= 9 for r in rows)
+    if crop:  # every sequence keeps a beginning, in one row
+        starts = {t for r in rows for t in r["row"] if t % 1000 == 0}
+        assert starts == {x[0] for x in seqs if x}
+        assert all(t % 1000 == 0 or (i and r["row"][i - 1] == t - 1) for r in rows for i, t in enumerate(r["row"]))
+    else:
+        assert sorted(kept) == want
+    empty = spark.createDataFrame([], "ids array<int>")
+    assert C.pack_corpus(empty, length=8, crop=crop).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_planned_rows_use_every_sequence_once(seed):
+    rng = random.Random(seed)
+    hist = {n: rng.choice([1, 3, 50, 10**9]) for n in rng.sample(range(1, 40), 12)}
+    plan = C.plan_rows(hist, 40)
+    for n, c in hist.items():
+        spans = sorted((a, b) for m, a, b, _, _ in plan if m == n)
+        assert spans[0][0] == 0 and spans[-1][1] == c and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+    kinds = {}
+    for n, a, b, row, slot in plan:
+        kinds.setdefault(row, []).append((slot, n, b - a))
+    for k, (_, kind) in enumerate(sorted(kinds.items())):
+        sizes = [n for _, n, _ in sorted(kind)]
+        assert len({t for _, _, t in kind}) == 1 and sum(sizes[:-1]) < 40
+        assert sum(sizes) >= 40 or (k == len(kinds) - 1 and kind[0][2] == 1)
+
+
 def test_pack_takes_the_longest_that_fits(spark):
     df = spark.createDataFrame([([9] * n,) for n in (3, 9, 4, 20, 7, 1, 15, 6)], "ids array<int>").coalesce(1)
     rows = C.pack(df, length=9, buffer=8).collect()
