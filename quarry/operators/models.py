@@ -9,7 +9,11 @@ category lists and statistics to scoring time.
 from __future__ import annotations
 
 import math
+import threading
+import time
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,6 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from quarry.operators.ordered import row_index
 
@@ -160,6 +165,17 @@ def build_model(route: Route, train: DataFrame) -> PipelineModel:
     The feature stages are fitted once on the whole table and their output (label and
     feature vector) is kept for the estimator's passes; the number of features and of
     classes is what the fitted stages say."""
+    fitted, data = feature_table(route, train)
+    try:
+        return fit_on(route, fitted, data)
+    finally:
+        data.unpersist()
+
+
+def feature_table(route: Route, train: DataFrame, also: Sequence[Route] = ()) -> tuple[PipelineModel, DataFrame]:
+    """The fitted feature stages of ``route`` and the kept table (label, features and the
+    censor columns of ``route`` and ``also``) that its estimator is fitted on.  Routes with
+    one task, target, features and label scale have one such table."""
     if route.spec.vector and not route.spec.vector_size:
         route.spec.vector_size = train.select(F.size(route.spec.vector)).first()[0]  # one row
     stages, _ = feature_stages(route.spec)
@@ -172,17 +188,19 @@ def build_model(route: Route, train: DataFrame) -> PipelineModel:
         stages.append(FT.StringIndexer(inputCol=route.target, outputCol=LABEL, stringOrderType="alphabetAsc",
                                        handleInvalid="skip"))
     fitted = Pipeline(stages=stages).fit(rows)
-    extra = [route.params["censorCol"]] if "censorCol" in route.params else \
-        ["censor"] if route.family == "survival" else []
-    data = fitted.transform(rows).select(LABEL, "features", *extra).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n_features = None
-        if route.family == "mlp":
-            n_features = data.select(vector_to_array("features").alias("x")).select(F.size("x")).first()[0]
-        n_classes = 0 if route.task == REGRESSION else len(class_labels(fitted))
-        model = estimator(route.task, route.family, LABEL, n_features, max(n_classes, 2), **route.params).fit(data)
-    finally:
-        data.unpersist()
+    extra = {c for r in (route, *also) for c in
+             ([r.params["censorCol"]] if "censorCol" in r.params else ["censor"] if r.family == "survival" else [])}
+    kept = fitted.transform(rows).select(LABEL, "features", *sorted(extra))
+    return fitted, kept.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_on(route: Route, fitted: PipelineModel, data: DataFrame) -> PipelineModel:
+    """The estimator of ``route`` fitted on a ``feature_table``."""
+    n_features = None
+    if route.family == "mlp":
+        n_features = data.select(vector_to_array("features").alias("x")).select(F.size("x")).first()[0]
+    n_classes = 0 if route.task == REGRESSION else len(class_labels(fitted))
+    model = estimator(route.task, route.family, LABEL, n_features, max(n_classes, 2), **route.params).fit(data)
     return PipelineModel(stages=[*fitted.stages, model])
 
 
@@ -265,47 +283,97 @@ def evaluate(pred: DataFrame, task: str, actual: str, metric: str, labels: Seque
     return r["accuracy"] if metric == "accuracy" else r["f1"]
 
 
+class _Stopped(Exception):
+    """A candidate that the sweep no longer needs."""
+
+
 def sweep(train: DataFrame, test: DataFrame, task: str, target: str, spec: FeatureSpec, metric: str,
           candidates: Sequence[tuple[str, dict]] | None = None, good_enough: float | None = None,
-          stagnation_limit: int = 5) -> tuple[PipelineModel | None, Route | None, DataFrame]:
+          stagnation_limit: int = 5, parallel: int = 1) -> tuple[PipelineModel | None, Route | None, DataFrame]:
     """M21 try candidate routes in order; keep a candidate when it beats the
     best so far, stop at the good-enough threshold or after
     ``stagnation_limit`` experiments without improvement.  Without ``candidates`` the
     list is chosen by task and size of the training table.  Returns (best model, its
-    route, log table)."""
+    route, log table).
+
+    The feature stages are fitted once and all candidates share their kept table.  Up to
+    ``parallel`` candidates are fitted at the same time, each in its own scheduler pool
+    and job group (``spark.scheduler.mode`` FAIR shares the executors among the pools);
+    they are judged in the given order whatever ends first, so the log but for its times
+    is the same, and at a stop the jobs of candidates still running are cancelled."""
     from quarry.operators.explog import LOWER_IS_BETTER
-    lower = metric in LOWER_IS_BETTER
-    cands = list(candidates or default_candidates(task, train.count()))
+    lower, sc = metric in LOWER_IS_BETTER, train.sparkSession.sparkContext
+    routes = [Route(task, target, spec, family, dict(params))
+              for family, params in candidates or default_candidates(task, train.count())]
+    group, stop = f"sweep-{uuid.uuid4().hex}", threading.Event()
+    log_columns = ("num int, model string, metric string, metric_value double, status string, error string, "
+                   "fit_seconds double, predict_seconds double")
+    if not routes:
+        return None, None, train.sparkSession.createDataFrame([], log_columns)
     best_val, best_model, best_route, stale, rows = None, None, None, 0, []
-    import time
-    for num, (family, params) in enumerate(cands, start=1):
-        route = Route(task, target, spec, family, dict(params))
+    shared: dict[str, tuple[PipelineModel, DataFrame]] = {}
+
+    def features() -> tuple[PipelineModel, DataFrame]:
+        if "table" not in shared:
+            shared["table"] = feature_table(routes[0], train, routes[1:])
+        return shared["table"]
+
+    def attempt(num: int, route: Route):
+        if parallel > 1:
+            sc.setLocalProperty("spark.scheduler.pool", f"{group}-{num % parallel}")
+            sc.setJobGroup(f"{group}-{num}", f"sweep candidate {num}: {route.family}")
+        if stop.is_set():
+            raise _Stopped
+        t0 = time.time()
+        model = fit_on(route, *features())
+        t1 = time.time()
+        if stop.is_set():
+            raise _Stopped
+        val = evaluate(predict(model, test, route, keep=[target]), task, target, metric,
+                       None if task == REGRESSION else class_labels(model))
+        return model, val, round(t1 - t0, 3), round(time.time() - t1, 3)
+
+    pool, running = None, {}
+    if parallel > 1:
+        pool = ThreadPoolExecutor(parallel)
         try:
-            t0 = time.time()
-            model = build_model(route, train)
-            t1 = time.time()
-            val = evaluate(predict(model, test, route, keep=[target]), task, target, metric,
-                           None if task == REGRESSION else class_labels(model))
-            t2 = time.time()
-            status = "discard"
-            if val is not None and not math.isnan(val) and (
-                    best_val is None or (val < best_val if lower else val > best_val)):
-                best_val, best_model, best_route, stale, status = val, model, route, 0, "keep"
-            else:
-                stale += 1
-            rows.append((num, family, metric, float(val) if val is not None else None, status, "",
-                         round(t1 - t0, 3), round(t2 - t1, 3)))
-        except Exception as e:  # noqa: BLE001 - a failed route is a crash row, the sweep goes on
-            rows.append((num, family, metric, None, "crash", str(e)[:220], None, None))
-        if best_val is not None and good_enough is not None and (
-                best_val <= good_enough if lower else best_val >= good_enough):
-            break
-        if stale >= stagnation_limit:
-            break
-    log = train.sparkSession.createDataFrame(
-        rows, "num int, model string, metric string, metric_value double, status string, error string, "
-              "fit_seconds double, predict_seconds double")
-    return best_model, best_route, log
+            features()  # before the threads, so that they share it
+        except Exception:  # noqa: BLE001 - every candidate reports it as its own crash
+            pass
+        # each candidate inherits the caller's local properties, not those of the one before it
+        running = {num: pool.submit(inheritable_thread_target(train.sparkSession)(attempt), num, route)
+                   for num, route in enumerate(routes, start=1)}
+    try:
+        for num, route in enumerate(routes, start=1):
+            try:
+                model, val, fit_s, predict_s = running[num].result() if pool else attempt(num, route)
+                status = "discard"
+                if val is not None and not math.isnan(val) and (
+                        best_val is None or (val < best_val if lower else val > best_val)):
+                    best_val, best_model, best_route, stale, status = val, model, route, 0, "keep"
+                else:
+                    stale += 1
+                rows.append((num, route.family, metric, float(val) if val is not None else None, status, "",
+                             fit_s, predict_s))
+            except Exception as e:  # noqa: BLE001 - a failed route is a crash row, the sweep goes on
+                rows.append((num, route.family, metric, None, "crash", str(e)[:220], None, None))
+            if best_val is not None and good_enough is not None and (
+                    best_val <= good_enough if lower else best_val >= good_enough):
+                break
+            if stale >= stagnation_limit:
+                break
+    finally:
+        stop.set()
+        if pool:
+            pool.shutdown(wait=False, cancel_futures=True)
+            while not all(f.done() for f in running.values()):
+                for num, f in running.items():  # an iterative fit may have begun another job
+                    if not f.done():
+                        sc.cancelJobGroup(f"{group}-{num}")
+                time.sleep(0.05)
+        if "table" in shared:
+            shared["table"][1].unpersist()
+    return best_model, best_route, train.sparkSession.createDataFrame(rows, log_columns)
 
 
 def candidate_leaderboard(log: DataFrame, metric: str, k: int = 20) -> DataFrame:

@@ -3,6 +3,7 @@ changes nothing; the streaming leaderboard ends where the batch one does."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import explain as XP
@@ -38,6 +39,26 @@ def test_sweep_logs_and_stops(spark):
     assert rows[0]["status"] == "keep" and route.family == "linear" and len(rows) == 1
 
 
+@pytest.mark.parametrize("good_enough,limit", [(None, 5), (1e-6, 5), (None, 1)])
+def test_parallel_sweep_logs_as_in_order(spark, good_enough, limit):
+    d = _data(spark)
+    cands = [("decision_tree", {"maxDepth": 1}), ("no_such_family", {}), ("linear", {}), ("ridge", {}),
+             ("gbt", {"maxIter": 40}), ("random_forest", {"numTrees": 40})]
+    logs = []
+    for parallel in (1, 3):
+        model, route, log = M.sweep(d, d, M.REGRESSION, "y", M.FeatureSpec(numeric=["a"], categorical=["c"]), "rmse",
+                                    candidates=cands, good_enough=good_enough, stagnation_limit=limit, parallel=parallel)
+        assert model is not None
+        logs.append((route.family, [(r["num"], r["model"], r["status"], r["error"], r["metric_value"] and
+                                     round(r["metric_value"], 6)) for r in log.orderBy("num").collect()]))
+    assert logs[0] == logs[1]
+    assert [r[2] for r in logs[0][1]][:3] == ["keep", "crash", "keep"]
+    if good_enough:
+        assert len(logs[0][1]) == 3
+    # nothing is left running, and the caller's own jobs are not cancelled with the candidates
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds() and d.count() > 0
+
+
 def test_constant_feature_has_no_permutation_importance(spark):
     d = _data(spark)
     route = M.Route(M.REGRESSION, "y", M.FeatureSpec(numeric=["a", "const"]), "linear")
