@@ -172,9 +172,7 @@ def m11_stacking(spark, sf):
 def m21_experiment_sweep(spark, sf):
     d = _orders_features(spark, sf)
     _model, _route, log = M.sweep(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"),
-                                  M.REGRESSION, "o_totalprice", REG_SPEC, "rmse",
-                                  candidates=[("ridge", {}), ("decision_tree", {}), ("gbt", {"maxIter": 10})],
-                                  stagnation_limit=2)
+                                  M.REGRESSION, "o_totalprice", REG_SPEC, "rmse", parallel=4)
     return log
 
 
@@ -359,8 +357,7 @@ def x6_factorize_first_appearance(spark, sf):
 def k2_candidate_leaderboard(spark, sf):
     d = _orders_features(spark, sf)
     _m, _r, log = M.sweep(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), M.REGRESSION,
-                          "o_totalprice", REG_SPEC, "rmse", candidates=[("ridge", {}), ("decision_tree", {}),
-                                                                        ("lasso", {})])
+                          "o_totalprice", REG_SPEC, "rmse", parallel=4)
     return M.candidate_leaderboard(log, "rmse", 20)
 
 
