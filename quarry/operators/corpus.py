@@ -4,8 +4,8 @@
   pattern; Java regex supports its possessive quantifiers).
 * BPE training works on the table of distinct pre-tokens with their counts
   (map-side combined), held as packed arrays of token ids.
-  A round counts adjacent pairs (one aggregation), brings the best pairs to the
-  driver, and rewrites the words with the leading ones that do not touch each other.
+  A round counts adjacent pairs (one aggregation), brings the stretches of leading pairs
+  (a bounded number) to the driver, and rewrites the words with all merges they tell.
   The table is checkpointed every few rounds to cut lineage.
 * Encoding, decoding and packing run per partition on Arrow batches with a
   small Python helper (rank-ordered byte-pair merging, cached per pre-token).
@@ -124,26 +124,135 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
             yield ids, sizes, np.frombuffer(n, np.int64), keys
 
 
+def _by_rank(ids: Sequence[int], ranks: dict[tuple[int, int], int], first: int) -> list[int]:
+    """Merge by rank, leftmost first (pair of rank r becomes token ``first + r``): the pairs wait
+    in a heap, the ids are a linked list, so n ids take O(n log n).  A merge's own pairs always
+    rank behind it."""
+    ids = list(ids)
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = after[i]
+        # a pair that a merge beside it has changed is no longer there
+        if ids[i] < 0 or j >= n or ranks.get((ids[i], ids[j])) != r:
+            continue
+        ids[i], ids[j] = first + r, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (x := ranks.get((ids[i], ids[k]))) is not None:
+                heapq.heappush(heap, (x, i))
+        h = before[i]
+        if h >= 0 and (x := ranks.get((ids[h], ids[i]))) is not None:
+            heapq.heappush(heap, (x, h))
+    return [i for i in ids if i >= 0]
+
+
 def _merge_step(pairs: Sequence[tuple[int, int]], first: int):
-    """Task function: pair i becomes token ``first + i`` in every word."""
+    """Task function: the pairs, one after the other, become tokens ``first + i`` in every word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.array([(a << 32) | b for a, b in pairs], np.int64)
-        order = np.argsort(keys)
+        ranks = {p: i for i, p in enumerate(pairs)}
         for ids, sizes, n, at in _unpacked(batches):
-            found = np.minimum(np.searchsorted(keys[order], at), len(keys) - 1)
-            hit = np.flatnonzero(keys[order][found] == at)
-            if len(hit) and pairs[0][0] == pairs[0][1]:     # a a a: every second one from the left
-                start = np.append(True, np.diff(hit) != 1)
-                hit = hit[(hit - hit[start][np.cumsum(start) - 1]) % 2 == 0]
-            ids[hit] = first + order[found[hit]]
-            gone = np.zeros(len(ids) + 1, np.int64)
-            gone[hit + 1] = 1
+            word = np.repeat(np.arange(len(sizes)), sizes)
+            changed = np.zeros(len(sizes), bool)
+            changed[word[np.isin(at, keys)]] = True
+            some = np.flatnonzero(changed)
             ends = np.cumsum(sizes)
-            upto = np.concatenate([[0], np.cumsum(gone[:-1])])
-            yield _block(ids[gone[:-1] == 0], sizes - (upto[ends] - upto[ends - sizes]), n)
+            parts = [_by_rank(ids[ends[w] - sizes[w]:ends[w]].tolist(), ranks, first) for w in some.tolist()]
+            # unchanged words first: their order within a block has no meaning
+            yield _block(np.concatenate([ids[~changed[word]], np.fromiter(itertools.chain.from_iterable(parts), np.int64)]),
+                         np.concatenate([sizes[~changed], np.array([len(x) for x in parts], np.int64)]),
+                         np.concatenate([n[~changed], n[changed]]))
+    return run
+
+
+def _hot_runs(pairs: Sequence[tuple[int, int]]):
+    """Task function: (run, n) of the longest stretches of words whose adjacent pairs are all among
+    ``pairs``, with the counts of equal ones in a block added."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.array([(a << 32) | b for a, b in pairs], np.int64)
+        for ids, sizes, n, at in _unpacked(batches):
+            hot = np.isin(at, keys)
+            edge = np.diff(np.concatenate([[0], hot.astype(np.int8), [0]]))
+            starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            weight = np.repeat(n, sizes)[starts]
+            small = ids.astype(np.int32)
+            total: dict[bytes, int] = {}
+            for s, e, w in zip(starts.tolist(), stops.tolist(), weight.tolist()):
+                x = small[s:e + 1].tobytes()
+                total[x] = total.get(x, 0) + w
+            for some in itertools.batched(total.items(), 1 << 14):
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.binary()),
+                                                  pa.array([w for _, w in some], pa.int64())], names=["run", "n"])
     return run
 
 
+def _merges_of_runs(runs: Sequence[tuple[bytes, int]], line: int, first: int, most: int) -> list[tuple[int, int]]:
+    """The next merges, as long as the best pair is counted ``line`` times or more.
+
+    The runs lie one after the other in one linked list; a pair knows the places where it was
+    seen (looked at again when it is merged), so all merges together take about as many steps as there are ids."""
+    ids = np.frombuffer(b"".join(r for r, _ in runs), np.int32).tolist()
+    sizes = [len(r) // 4 for r, _ in runs]
+    n = len(ids)
+    weight = np.repeat(np.array([w for _, w in runs], np.int64), sizes).tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    at = 0
+    for size in sizes:
+        before[at], after[at + size - 1] = -1, -1
+        at += size
+    count: dict[tuple[int, int], int] = {}
+    places: dict[tuple[int, int], list[int]] = {}
+
+    def seen(i: int, pair: tuple[int, int]) -> None:
+        count[pair] = count.get(pair, 0) + weight[i]
+        places.setdefault(pair, []).append(i)
+
+    for i in range(n):
+        if after[i] >= 0:
+            seen(i, (ids[i], ids[after[i]]))
+    heap = [(-c, pair) for pair, c in count.items() if c >= line]
+    heapq.heapify(heap)
+    merges: list[tuple[int, int]] = []
+    while heap and len(merges) < most:
+        c, pair = heapq.heappop(heap)
+        now = count[pair]
+        if now != -c:
+            # other merges took some of its places
+            if now >= line:
+                heapq.heappush(heap, (-now, pair))
+            continue
+        new = first + len(merges)
+        merges.append(pair)
+        made: set[tuple[int, int]] = set()
+        for i in sorted(places.pop(pair)):
+            j = after[i]
+            if j < 0 or (ids[i], ids[j]) != pair:
+                continue
+            h, k, w = before[i], after[j], weight[i]
+            count[pair] -= w
+            if h >= 0:
+                count[ids[h], ids[i]] -= w
+            if k >= 0:
+                count[ids[j], ids[k]] -= w
+                before[k] = i
+            ids[i], ids[j], after[i], after[j] = new, -1, k, -1
+            if h >= 0:
+                seen(h, (ids[h], new))
+                made.add((ids[h], new))
+            if k >= 0:
+                seen(i, (new, ids[k]))
+                made.add((new, ids[k]))
+        for p in made:
+            if count[p] >= line:
+                heapq.heappush(heap, (-count[p], p))
+    return merges
+
+
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, sizes, n, keys in _unpacked(batches):
         inside = keys >= 0
@@ -173,15 +282,25 @@ def _together(best: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: Ids that the runs of one round may have together: they are what the driver gets.
+RUN_IDS = 1 << 19
+
+
 def train_bpe(counts: DataFrame, vocab_size: int, checkpoint_every: int = 32,
-              specials: Sequence[str] = SPECIAL_TOKENS, most: int = 1024) -> list[tuple[int, int]]:
+              specials: Sequence[str] = SPECIAL_TOKENS, most: int = 1024, run_ids: int = RUN_IDS) -> list[tuple[int, int]]:
     """B3 learn ``vocab_size - len(specials) - 256`` merges over the byte
     sequences of the distinct pre-tokens, weighted by their counts.  Returns
     the merges in order; merge i creates token 256 + i.  Ties between pair
-    counts go to the smaller (left id, right id).  Each round counts the
-    adjacent pairs of all distinct pre-tokens (packed arrays, one aggregation),
-    takes the leading pairs that do not touch each other (out of the ``most`` best)
-    and rewrites the words; the merges are those of one pair a round."""
+    counts go to the smaller (left id, right id); the merges are those of one pair a round.
+
+    A round counts the adjacent pairs of all distinct pre-tokens (packed arrays, one
+    aggregation) and finds all merges of pairs counted at least ``line`` times, a line that
+    only the leading pairs reach (``most``, adapted from round to round).  Any such pair, also
+    of tokens made in the round, lies where every adjacent pair reaches the line now, since a
+    pair of larger tokens is no more frequent than the pair at its seam.  So the stretches of
+    leading pairs, summed over all words, tell these merges exactly.  The driver gets at most
+    ``run_ids`` ids of them; where there are more, a round takes fewer pairs.  The tasks then
+    rewrite their words."""
     n_merges = vocab_size - len(specials) - 256
     words = counts.select("piece", F.col("n").cast("long").alias("n")).mapInArrow(_blocks, _BLOCK)
     words = cut_lineage(words)
@@ -189,12 +308,32 @@ def train_bpe(counts: DataFrame, vocab_size: int, checkpoint_every: int = 32,
     held, rounds = None, 0
     while len(merges) < n_merges:
         best = (words.mapInArrow(_count_pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-                .orderBy(F.desc("c"), F.asc("pair")).limit(most).collect())
+                .orderBy(F.desc("c"), F.asc("pair")).limit(most + 1).collect())
         if held is not None:
             held.unpersist()
         if not best:
             break
-        pairs = _together([(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF) for r in best])[:n_merges - len(merges)]
+        top = [(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF) for r in best]
+        pairs: list[tuple[int, int]] = []
+        take, most = most, min(4 * most, 1 << 16)
+        while not pairs:
+            line = best[take]["c"] + 1 if len(best) > take else 1
+            hot = [p for p, r in zip(top, best) if r["c"] >= line]
+            if not hot:
+                # the leading pairs are equally frequent
+                pairs = _together(top[:-1] or top)
+                break
+            runs = words.mapInArrow(_hot_runs(hot), "run binary, n long").groupBy("run").agg(F.sum("n").alias("n")).persist()
+            size = runs.agg(F.sum(F.length("run") / 4)).first()[0]
+            if size <= run_ids:
+                got = [(bytes(r["run"]), r["n"]) for r in runs.collect()]
+                pairs = _merges_of_runs(got, line, 256 + len(merges), n_merges - len(merges))
+            elif take == 1:
+                pairs = top[:1]
+            else:
+                take = most = max(take // 4, 1)
+            runs.unpersist()
+        pairs = pairs[:n_merges - len(merges)]
         step = words.mapInArrow(_merge_step(pairs, 256 + len(merges)), _BLOCK)
         merges += pairs
         rounds += 1
@@ -395,29 +534,7 @@ class _Encoder:
         return self._cached(piece) if len(piece) <= 64 else self._encode_piece(piece)
 
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
-        """Merge by rank, leftmost first: the pairs wait in a heap, the ids are a linked list,
-        so a piece of n bytes takes O(n log n).  A merge's own pairs always rank behind it."""
-        ids = list(piece.encode("utf-8"))
-        n, ranks = len(ids), self.ranks
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i]
-            # a pair that a merge beside it has changed is no longer there
-            if ids[i] < 0 or j >= n or ranks.get((ids[i], ids[j])) != r:
-                continue
-            ids[i], ids[j] = 256 + r, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (x := ranks.get((ids[i], ids[k]))) is not None:
-                    heapq.heappush(heap, (x, i))
-            h = before[i]
-            if h >= 0 and (x := ranks.get((ids[h], ids[i]))) is not None:
-                heapq.heappush(heap, (x, h))
-        return tuple(i for i in ids if i >= 0)
+        return tuple(_by_rank(piece.encode("utf-8"), self.ranks, 256))
 
     def encode(self, pieces: Sequence[str] | None) -> list[int]:
         """Ids of a text's pre-tokens (a piece met before is looked up)."""

@@ -68,6 +68,21 @@ def test_merges_taken_together_equal_one_by_one(spark):
     assert C.train_bpe(C.pretoken_counts(df), 256 + 4 + 31, checkpoint_every=3) == expected[:31]
 
 
+def test_training_takes_many_merges_a_round(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(60)) for _ in range(12)]
+    texts += ["aaaaaaaaa aaaa", "", "abababab"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    expected = _ref_bpe(texts, 300)
+    rounds, step = [], C._merge_step
+    monkeypatch.setattr(C, "_merge_step", lambda pairs, first: rounds.append(len(pairs)) or step(pairs, first))
+    assert C.train_bpe(C.pretoken_counts(df), 256 + 4 + 300) == expected
+    assert sum(rounds) == len(expected) and len(rounds) <= 3
+    # small bounds (all runs, few runs, one pair a round) give the same merges
+    for most, run_ids in ((7, 1 << 19), (64, 300), (1, 2)):
+        assert C.train_bpe(C.pretoken_counts(df), 256 + 4 + 60, most=most, run_ids=run_ids) == expected[:60]
+
+
 def test_queries_train_the_whole_vocabulary_once(spark, monkeypatch, tmpdir_path):
     asked = []
     monkeypatch.setattr(q_corpus, "checkpoint_dir", lambda spark: tmpdir_path)
