@@ -49,3 +49,10 @@ def test_to_number_and_errors(spark):
     df = spark.createDataFrame([(10.0, 12.0), (0.0, 1.0)], "actual double, predicted double")
     r = df.select(*[c.alias(k) for k, c in S.error_cols().items()]).collect()
     assert (r[0]["error"], r[0]["pct_error"]) == (2.0, 20.0) and r[1]["pct_error"] is None
+
+
+def test_symmetric_overfit_of_zero_metrics(spark):
+    rows = [(0.0, 0.0), (1.0, 2.0), (0.0, 4.0), (None, 0.0), (None, None), (None, 3.0)]
+    got = one(spark, S.overfit_ratio_sym("a", "b") > 0.2, rows, "a double, b double")
+    # as the SQL has it: 0 / 0 is not a number, which is above any number
+    assert got == [True, True, True, None, None, None]
