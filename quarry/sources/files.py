@@ -29,17 +29,18 @@ SPARK_CHARSET = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "utf-8-sig": "UTF-8"
 
 
 def read_chunks(spark: SparkSession, path: str, size: int = CHUNK) -> Iterator[bytes]:
-    """The bytes of the first file under ``path`` piece by piece (Hadoop FS, any scheme)."""
+    """The bytes of the first file under ``path`` that has any, piece by piece (Hadoop FS, any
+    scheme); Spark leaves an empty first file where its first task had no rows."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
     if fs.getFileStatus(p).isDirectory():
-        files = sorted((s.getPath().toString() for s in fs.listStatus(p)
+        files = sorted(((s.getLen() == 0, s.getPath().toString()) for s in fs.listStatus(p)
                         if s.isFile() and not s.getPath().getName().startswith((".", "_"))))
         if not files:
             raise FileNotFoundError(path)
-        p = jvm.org.apache.hadoop.fs.Path(files[0])
+        p = jvm.org.apache.hadoop.fs.Path(files[0][1])
     stream = fs.open(p)
     try:
         while piece := bytes(stream.readNBytes(int(size))):  # a Java byte[] arrives as bytes

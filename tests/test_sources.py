@@ -155,3 +155,11 @@ def test_derby_jdbc_query_and_table(spark):
 def test_connector_urls():
     url, opts = DB.connection("postgresql", {"host": "h", "database": "d", "user": "u"})
     assert url == "jdbc:postgresql://h:5432/d" and opts["user"] == "u" and opts["queryTimeout"] == "30"
+
+
+def test_records_behind_an_empty_first_file(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "part.json")
+    _write(os.path.join(root, "part-00000.json"), b"")
+    _write(os.path.join(root, "part-00001.json"), b'{"k":1,"info":{"a":"x"}}\n{"k":2,"info":{"a":"y"}}\n')
+    got = IO.read_json_payload(spark, root).orderBy("k").collect()
+    assert [(r["k"], r["info.a"]) for r in got] == [(1, "x"), (2, "y")]
