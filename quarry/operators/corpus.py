@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.ordered import DEFAULT_BUCKET_ROWS, running
+from quarry.operators.ordered import DEFAULT_BUCKET_ROWS, row_index, running
 from quarry.session import cut_lineage, keep_table
 
 # Pre-tokenisation split pattern, special tokens and the beginning-of-sequence token.
@@ -63,11 +63,14 @@ def cap_corpus(df: DataFrame, order_by: Sequence, text: str = "text", doc_cap: i
     the budget is kept).  Neither limit holds unless it is given.  The running total is a
     skew-safe prefix sum; ``cap_report`` tells what the limits removed."""
     doc = F.substring(F.col(text), 1, doc_cap) if doc_cap else F.col(text)
-    x = df.withColumn("doc", doc).withColumn("_len", F.length("doc").cast("long"))
     if max_chars is None:
-        return x.drop("_len")
-    r = running(x, [], order_by, [("_before", "sum", "_len", False)], bucket_rows=bucket_rows)
-    return r.where(F.coalesce("_before", F.lit(0)) < max_chars).drop("_len", "_before")
+        return df.withColumn("doc", doc)
+    ix = row_index(df, order_by, name="_idx")
+    # the running total sees positions and lengths only; as it never falls, it ends at one position
+    sizes = ix.select("_idx", F.length(doc).cast("long").alias("_len"))
+    r = running(sizes, [], [], [("_before", "sum", "_len", False)], bucket_rows=bucket_rows, idx="_idx")
+    last = r.where(F.coalesce("_before", F.lit(0)) < max_chars).agg(F.max("_idx")).first()[0]
+    return ix.where(F.col("_idx") <= F.lit(last).cast("long")).drop("_idx").withColumn("doc", doc)
 
 
 def cap_report(df: DataFrame, capped: DataFrame, text: str = "text") -> DataFrame:

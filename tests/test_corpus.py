@@ -233,3 +233,19 @@ def test_incremental_training_equals_recounting(spark, monkeypatch):
 def test_saved_merges(spark, tmpdir_path):
     C.save_merges(spark, tmpdir_path + "/v", [(97, 98), (256, 99)])
     assert C.load_merges(spark, tmpdir_path + "/v") == [(97, 98), (256, 99)]
+
+
+def test_character_budget_keeps_texts_out_of_the_running_total(spark, monkeypatch):
+    seen, running = [], C.running
+    monkeypatch.setattr(C, "running", lambda df, *a, **k: seen.append(df.columns) or running(df, *a, **k))
+    rows = [(i // 2, None if i % 7 == 0 else "ab" * (i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    total, want = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "")):
+        if total < 50:
+            want.append((i, t, t and t[:5]))
+        total += len((t or "")[:5])
+    got = C.cap_corpus(df, ["doc_id"], doc_cap=5, max_chars=50, bucket_rows=4)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert C.cap_corpus(df, ["doc_id"], max_chars=0).count() == 0
+    assert len(seen) == 2 and all("text" not in c and "doc" not in c for c in seen)
