@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from quarry.operators.ordered import row_index
+from quarry.session import cut_lineage
 
 LABEL = "__label"
 REGRESSION = "regression"
@@ -463,7 +464,8 @@ def cross_validate(train: DataFrame, route: Route, metric: str, folds: int = 3,
     from quarry.operators.splits import kfold
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=gb.build(), evaluator=ev, numFolds=folds, seed=seed,
                         parallelism=2, foldCol="__fold")
-    model = cv.fit(prepare(kfold(train, list(key or train.columns), folds, seed, "__fold"), route.spec))
+    # every fold reads the table for each of its passes: what it is made of is joined once
+    model = cv.fit(prepare(cut_lineage(kfold(train, list(key or train.columns), folds, seed, "__fold")), route.spec))
     return model, list(model.avgMetrics)
 
 
@@ -472,6 +474,8 @@ def stacking(train: DataFrame, test: DataFrame, route: Route, bases: Sequence[st
     """M11 out-of-fold predictions of base routes (fold = hash of ``key``)
     become the features of a linear meta model; returns test predictions."""
     from quarry.operators.splits import kfold
+    # every route reads the tables for each of its passes: what they are made of is joined once
+    train, test = cut_lineage(train), cut_lineage(test)
     tr = kfold(train, [key], folds, name="_fold")
     oof_parts, test_feats = [], []
     for fam in bases:
@@ -494,7 +498,7 @@ def stacking(train: DataFrame, test: DataFrame, route: Route, bases: Sequence[st
         meta_test = meta_test.join(t, key)
     meta = Route(route.task, route.target, FeatureSpec(numeric=list(bases)),
                  "linear" if route.task == REGRESSION else "logistic")
-    mm = build_model(meta, meta_train)
+    mm = build_model(meta, cut_lineage(meta_train))
     return predict(mm, meta_test, meta, keep=[key, route.target])
 
 

@@ -232,3 +232,21 @@ def test_candidates_by_size():
         assert large == M.default_candidates(task) and large[0] == ("gbt", {})
         for family, params in small + medium + large:
             M.estimator(task, family, n_features=3, n_classes=2, **params)
+
+
+def test_folds_and_base_routes_read_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(i):
+        seen.add(1)
+        return float(i % 17)
+
+    d = spark.range(240).select(F.col("id").alias("k"), counted("id").alias("x"), (F.col("id") % 5).alias("z"))
+    d = d.withColumn("y", F.col("x") * 2.0 + F.col("z"))
+    route = M.Route(M.REGRESSION, "y", M.FeatureSpec(numeric=["x", "z"]), "ridge")
+    _, metrics = M.cross_validate(d, route, "rmse", folds=2, grid={"regParam": [0.01, 1.0]}, key=["k"])
+    assert len(metrics) == 2 and 240 <= seen.value <= 480
+    before = seen.value
+    out = M.stacking(d.where("k % 4 > 0"), d.where("k % 4 = 0"), route, ["ridge", "linear"], "k", folds=2)
+    assert out.count() == 60 and seen.value - before <= 960
