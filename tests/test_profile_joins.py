@@ -78,3 +78,20 @@ def test_approximate_profile_close_to_exact(spark):
         assert abs(ap[k]["unique"] - v["unique"]) <= 0.05 * max(v["unique"], 1)
         if v["p50"] is not None:
             assert abs(ap[k]["p50"] - v["p50"]) <= 0.02 * max(abs(v["p50"]), 1.0) + 1e-9
+
+
+def test_products_of_frequent_keys_are_made_in_blocks(spark, monkeypatch):
+    from collections import Counter
+    left = [(None if i % 2 else i % 5, f"l{i % 30}") for i in range(60)]
+    right = [(None if i % 3 else i % 7, i % 20) for i in range(90)]
+    l, r = spark.createDataFrame(left, "id long, a string"), spark.createDataFrame(right, "id long, b int")
+    keys = {k for k, _ in left}
+    want = Counter((k, a, b) for k, a in left for j, b in right if j == k)
+    want += Counter((k, a, None) for k, a in left if not any(j == k for j, _ in right))
+    want += Counter((j, None, b) for j, b in right if j not in keys)
+    heavy = {x["id"]: x["__a"] * x["__b"] for x in J.heavy_keys(l, r, "id", rows=50).collect()}
+    assert heavy[None] >= 30 * 60 / 50 and 0 < len(heavy) < len(keys)
+    monkeypatch.setattr(J, "PRODUCT_ROWS", 50)
+    out, _ = J.auto_join({"l.csv": l, "r.csv": r}, key="id")
+    assert Counter(map(tuple, out.collect())) == want
+    assert "__a" in out._jdf.queryExecution().optimizedPlan().toString()
