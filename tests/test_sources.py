@@ -163,3 +163,16 @@ def test_records_behind_an_empty_first_file(spark, tmpdir_path):
     _write(os.path.join(root, "part-00001.json"), b'{"k":1,"info":{"a":"x"}}\n{"k":2,"info":{"a":"y"}}\n')
     got = IO.read_json_payload(spark, root).orderBy("k").collect()
     assert [(r["k"], r["info.a"]) for r in got] == [(1, "x"), (2, "y")]
+
+
+def test_media_inventory_lists_its_files_once(spark, tmpdir_path):
+    for i in range(40):
+        _write(os.path.join(tmpdir_path, f"class{i % 3}", f"f{i}.PNG"), b"x")
+    _write(os.path.join(tmpdir_path, "top.png"), b"x")
+    _write(os.path.join(tmpdir_path, "_hidden", "f.png"), b"x")
+    inv = MD.media_inventory(spark, tmpdir_path)
+    assert (inv["media_type"], inv["total"]) == ("image", 41)
+    assert sorted(tuple(r) for r in inv["classes"].collect()) == [("class0", 14), ("class1", 13), ("class2", 13)]
+    assert [r["rel"] for r in inv["samples"].collect()][:2] == ["class0/f0.PNG", "class0/f12.PNG"]
+    for part in ("rows", "classes", "samples"):
+        assert "binaryfile" not in inv[part]._jdf.queryExecution().toString().lower()
