@@ -3,11 +3,14 @@
 The profile is built from a fixed number of distributed passes, whatever the
 number of rows:
 
-* one wide ``agg`` with per-column ratios and moments (pass A),
 * one value-count table ``groupBy(column, value).count()`` over the stacked
   columns (distinct counts, top values, class balance, samples), combined
   map-side so a dominant value costs nothing extra,
-* exact quantiles through ``stats.quantiles_df`` (a distributed sort).
+* the text columns' parse ratios from that table: every distinct value is
+  parsed once and weighs as often as it occurs; they settle the types,
+* one aggregation with the moments of the columns that hold numbers (pass A),
+* exact quantiles of those columns through ``stats.quantiles_df`` (bands
+  around the ranks).
 
 Results are small per-column tables (one row per column or per
 column x top-value) and stay lazy DataFrames; only decisions that pick
@@ -27,7 +30,7 @@ from pyspark.sql import types as T
 from quarry.functions.scalars import to_number, to_timestamp_safe
 from quarry.operators.ordered import lag_join, row_index
 from quarry.session import keep_table
-from quarry.operators.stats import quantiles_df
+from quarry.operators.stats import quantiles_df, stack
 
 # File extensions that make a column a file path.
 PATH_PATTERN = r"(?i)\.(jpg|jpeg|png|gif|bmp|tiff|webp|csv|json|txt)$"
@@ -72,48 +75,46 @@ def profileable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if _kind(f.dataType) != "other"]
 
 
-def _pass_a(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per-column statistics, one row per column (position, name, stats...).
-
-    The columns are stacked to (position, name, kind, flags, x) rows and
-    aggregated by column: one compact aggregate that whole-stage codegen
-    handles for any number of columns (a single aggregate holding a dozen
-    functions per column outgrows the generated-code limits on wide tables).
-    Derived values (numeric parse, date / path flags, text length) are
-    computed once per value."""
-    items = []
-    for pos, c in enumerate(cols):
+def _text_stats(vc: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per text column of a value-count table: (name, nr, dr, sl, pr, avg_len) shares of the
+    non-null rows that are numbers, dates, hold a date's separator or end like a path, and
+    their mean length.  Each distinct value is parsed once and counts ``n`` times."""
+    v, n = F.col("value"), F.col("n")
+    sep = v.contains("-") | v.contains("/")
+    rows = F.sum(n)
+    share = lambda flag: F.sum(F.when(flag, n).otherwise(F.lit(0))) / rows
+    # a date needs a '-' or '/' (bare numbers parse as years in Spark)
+    return vc.where(F.col("column").isin(*cols)).groupBy(F.col("column").alias("name")).agg(
+        share(to_number(v).isNotNull()).alias("nr"),
+        share(sep & to_timestamp_safe(v).isNotNull()).alias("dr"), share(sep).alias("sl"),
+        share(v.rlike(PATH_PATTERN)).alias("pr"), (F.sum(F.length(v) * n) / rows).alias("avg_len"))
+
+
+def _pass_a(df: DataFrame, numbers: Sequence[str], sketches: bool) -> DataFrame:
+    """(name, rows, seen, moments...) of the columns that hold numbers, one row per column;
+    ``seen`` counts the values but not-a-number, the moments leave infinite ones out.  With
+    ``sketches`` also approximate distinct counts and quartiles.
+
+    The columns are stacked and aggregated by name: one compact aggregate that whole-stage
+    codegen handles for any number of columns (a single aggregate holding a dozen functions
+    per column outgrows the generated-code limits on wide tables)."""
+    def value(c: str) -> Column:
         dt = df.schema[c].dataType
-        col, s = _q(c), _text(_q(c), dt)
-        nn = col.isNotNull()
         if isinstance(dt, (T.DoubleType, T.FloatType)):
-            nn = nn & ~F.isnan(col)
-        kind = _kind(dt)
-        if kind == "string":
-            sep = s.contains("-") | s.contains("/")
-            # a date needs a '-' or '/' (bare numbers parse as years in Spark)
-            flags = [(to_timestamp_safe(s).isNotNull() & sep), sep, s.rlike(PATH_PATTERN), F.length(s)]
-        else:
-            flags = [F.lit(None).cast("boolean")] * 3 + [F.lit(None).cast("int")]
-        items.append(F.struct(F.lit(pos).alias("position"), F.lit(c).alias("name"), F.lit(kind).alias("kind"),
-                              nn.alias("nn"), _num(col, dt).alias("x"), flags[0].alias("dt"),
-                              flags[1].alias("sep"), flags[2].alias("pa"), flags[3].alias("ln")))
-    long = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.*")
-    nn, x = F.col("nn"), F.col("x")
-    ratio = lambda flag: F.avg(F.when(nn, flag.cast("double")))
-    # one row per column even for an empty table (the name table is bounded by the column count)
-    names = df.sparkSession.createDataFrame([(i, c, _kind(df.schema[c].dataType)) for i, c in enumerate(cols)],
-                                            "position int, name string, kind string")
-    stats = long.groupBy("position", "name", "kind").agg(
-        F.count(F.lit(1)).alias("rows"), F.count(F.when(nn, 1)).alias("non_null"), ratio(x.isNotNull()).alias("nr"),
-        ratio(F.col("dt")).alias("dr"), ratio(F.col("sep")).alias("sl"), ratio(F.col("pa")).alias("pr"),
-        F.avg(F.when(nn, F.col("ln"))).cast("double").alias("avg_len"),
-        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.skewness(x).alias("skew_pop"), F.count(x).alias("n_num"),
-        F.approx_count_distinct(F.when(nn, x), rsd=0.01).alias("approx_unique"),
-        F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("approx_q"))
-    out = names.join(stats, ["position", "name", "kind"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("rows", "non_null", "n_num")})
+            return F.nanvl(_q(c).cast("double"), F.lit(None).cast("double"))
+        return _num(_q(c), dt)
+
+    v = F.col("v")
+    x = F.when(F.abs(v) != F.lit(float("inf")), v)
+    long = stack(df, numbers, [value(c) for c in numbers], value="v").select("column", "v", x.alias("x"))
+    x = F.col("x")
+    aggs = [F.count(F.lit(1)).alias("rows"), F.count(v).alias("seen"), F.avg(x).alias("mean"),
+            F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+            F.skewness(x).alias("skew_pop"), F.count(x).alias("n_num")]
+    if sketches:
+        aggs += [F.approx_count_distinct(x, rsd=0.01).alias("approx_unique"),
+                 F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("approx_q")]
+    return long.groupBy(F.col("column").alias("name")).agg(*aggs)
 
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -121,29 +122,29 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value, n) over non-null values, values as text.  Values are
-    grouped in their own type (integers, doubles, text) and only the distinct
-    survivors are formatted as text."""
-    items = []
+    grouped in their own type (integers, doubles, text: one stack of the
+    columns of a type each) and only the distinct survivors are formatted as text."""
+    groups: dict[str, list] = {"long": [], "double": [], "string": []}
     for c in cols:
-        dt = df.schema[c].dataType
-        col = _q(c)
-        none_l, none_d, none_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        dt, col = df.schema[c].dataType, _q(c)
         if isinstance(dt, _INTEGRAL):
-            parts = (col.cast("long"), none_d, none_s)
+            groups["long"].append((c, col.cast("long")))
         elif isinstance(dt, T.DecimalType):
             # a decimal's text tells all its digits apart; as double they would merge
-            parts = (none_l, none_d, col.cast("string"))
+            groups["string"].append((c, col.cast("string")))
         elif isinstance(dt, (T.DoubleType, T.FloatType)):
-            parts = (none_l, F.when(~F.isnan(col.cast("double")), col.cast("double")), none_s)
+            d = col.cast("double")
+            groups["double"].append((c, F.when(~F.isnan(d), d)))
         else:
-            parts = (none_l, none_d, _text(col, dt))
-        items.append(F.struct(F.lit(c).alias("column"), parts[0].alias("i"), parts[1].alias("d"),
-                              parts[2].alias("s")))
-    long = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.*")
-    long = long.where(F.col("i").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
-    g = long.groupBy("column", "i", "d", "s").agg(F.count(F.lit(1)).alias("n"))
-    text = F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string"))
-    return g.select("column", text.alias("value"), "n")
+            groups["string"].append((c, _text(col, dt)))
+    out = None
+    for made in groups.values():
+        if made or (out is None and made is groups["string"]):
+            long = stack(df, [c for c, _ in made], [v for _, v in made], value="v").where(F.col("v").isNotNull())
+            g = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")).select(
+                "column", F.col("v").cast("string").alias("value"), "n")
+            out = g if out is None else out.unionAll(g)
+    return out
 
 
 def _semantic_type(c=F.col) -> Column:
@@ -177,33 +178,55 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, order_by:
     the single statistics pass; only text and datetime columns go through the
     value-count table."""
     cols = list(cols or profileable(df))
-    a = _pass_a(df, cols)
-    vc_cols = cols if exact else [c for c in cols if _kind(df.schema[c].dataType) != "numeric"]
+    spark = df.sparkSession
+    kinds = {c: _kind(df.schema[c].dataType) for c in cols}
+    vc_cols = cols if exact else [c for c in cols if kinds[c] != "numeric"]
     if vc is None:
         # counted once: distinct counts, top values and samples all read the kept table
-        vc = keep_table(value_counts(df, vc_cols), "value-counts") if vc_cols else df.sparkSession.createDataFrame(
+        vc = keep_table(value_counts(df, vc_cols), "value-counts") if vc_cols else spark.createDataFrame(
             [], "column string, value string, n long")
-    uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique")).withColumnRenamed("column", "name")
-    prof = a.join(uniq, "name", "left")
-    fallback = F.lit(0) if exact else F.col("approx_unique")
+    # one row per column, whatever the table holds (bounded by the column count)
+    names = spark.createDataFrame([(i, c, kinds[c]) for i, c in enumerate(cols)],
+                                  "position int, name string, kind string")
+    text_cols = [c for c in cols if kinds[c] == "string"]
+    typed = names.join(vc.groupBy(F.col("column").alias("name")).agg(
+        F.count(F.lit(1)).alias("unique"), F.sum("n").alias("non_null")), "name", "left")
+    ratios = ("nr", "dr", "sl", "pr", "avg_len")
+    if text_cols:
+        typed = typed.join(_text_stats(vc, text_cols), "name", "left")
+    else:
+        typed = typed.withColumns({c: F.lit(None).cast("double") for c in ratios})
+    typed = spark.createDataFrame(
+        typed.select("position", "name", "kind", "unique", "non_null", *ratios).collect(),
+        "position int, name string, kind string, unique long, non_null long, " + ", ".join(f"{c} double" for c in ratios))
+    # a text column's type is settled by its values; only numeric ones have moments and quartiles
+    settled = typed.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("unique", "non_null")})
+    parsed = {r["name"] for r in settled.where((F.col("kind") == "string") & (_semantic_type() == "numeric")).collect()}
+    numbers = [c for c in cols if kinds[c] == "numeric" or c in parsed]
+    # the table is read once for it; the joins below take its one row per column
+    a = _pass_a(df, numbers, sketches=not exact)
+    found = a.collect()
+    rows = found[0]["rows"] if found else df.count()
+    prof = typed.join(spark.createDataFrame(found, a.schema).drop("rows"), "name", "left").withColumn("rows", F.lit(rows))
+    counted = F.when(F.col("kind") == "numeric", F.col("seen")).otherwise(F.col("non_null"))
+    prof = prof.withColumn("non_null", counted).withColumns(
+        {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("non_null", "n_num")})
+    fallback = F.lit(0) if exact else F.coalesce("approx_unique", F.lit(0))
     prof = prof.withColumn("unique", F.coalesce("unique", fallback))
     prof = prof.withColumn("type", _semantic_type())
     if quantiles and not exact:
         prof = prof.withColumns({k: F.col("approx_q")[i] for i, k in enumerate(("p25", "p50", "p75"))})
-    elif quantiles:
-        num_cols = [c for c in cols if _kind(df.schema[c].dataType) in ("numeric", "string")]
-        q = quantiles_df(df, num_cols, [0.25, 0.5, 0.75]) if num_cols else None
-        if q is not None:
-            qp = q.groupBy(F.col("column").alias("name")).agg(
-                *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(a_)
-                  for p, a_ in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-            prof = prof.join(qp, "name", "left")
+    elif quantiles and numbers:
+        q = quantiles_df(df, numbers, [0.25, 0.5, 0.75])
+        qp = q.groupBy(F.col("column").alias("name")).agg(
+            *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(a_)
+              for p, a_ in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+        prof = prof.join(qp, "name", "left")
     else:
         prof = prof.withColumns({k: F.lit(None).cast("double") for k in ("p25", "p50", "p75")})
     # top values and samples: bounded per column
     # top values are reported for categorical / high-cardinality types, which
     # only text columns can have: numeric value counts are not ranked
-    text_cols = [c for c in cols if _kind(df.schema[c].dataType) == "string"]
     text_vc = vc.where(F.col("column").isin(*text_cols)) if text_cols else vc.limit(0)
     topagg = smallest_per_column(text_vc, F.struct((-F.col("n")).alias("m"), "value"), top).select(
         F.col("column").alias("name"),
@@ -521,7 +544,7 @@ def notable_trait(profile: DataFrame, balance: DataFrame, sig: DataFrame, target
 def profile(df: DataFrame, order_by: Sequence | None = None) -> dict:
     """P1 the full profile as a dict of small DataFrames (lazy)."""
     cols = profileable(df)
-    vc = value_counts(df, cols)
+    vc = keep_table(value_counts(df, cols), "value-counts")
     prof = profile_columns(df, cols, order_by=order_by, vc=vc)
     bal = class_balance(df, cols, vc=vc)
     return {"columns": prof, "class_balance": bal}

@@ -38,19 +38,26 @@ def _as_double(df: DataFrame, c: str, coerce: bool) -> Column:
     return to_number(_q(c)) if (coerce and is_text) else _q(c).cast("double")
 
 
+def stack(df: DataFrame, names: Sequence[str], values: Sequence[Column], by: Sequence[str] = (),
+          value: str = "x") -> DataFrame:
+    """(by..., column, value) one row per row of ``df`` and name.
+
+    The values, all of one type, go into one plain array: a struct with the name for every
+    value makes generated methods that the JVM no longer compiles on a dozen columns."""
+    if not names:
+        return df.select(*[_q(b) for b in by], F.lit("").alias("column"), F.lit(None).cast("double").alias(value)).limit(0)
+    long = df.select(*[_q(b) for b in by], F.posexplode(F.array(*values)).alias("_pos", value))
+    name = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("_pos") + 1)
+    return long.select(*[_q(b) for b in by], name.alias("column"), value)
+
+
 def stack_numeric(df: DataFrame, cols: Sequence[str], coerce: bool = True) -> DataFrame:
     """(column, x) rows for every non-null numeric value of ``cols``."""
-    items = [F.struct(F.lit(c).alias("column"), _as_double(df, c, coerce).alias("x")) for c in cols]
-    long = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.column", "_s.x")
-    return long.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    return _stack(df, cols, coerce, ())
 
 
 def _stack(df: DataFrame, cols: Sequence[str], coerce: bool, by: Sequence[str]) -> DataFrame:
-    if not by:
-        return stack_numeric(df, cols, coerce)
-    items = [F.struct(*[_q(b).alias(b) for b in by], F.lit(c).alias("column"),
-                      _as_double(df, c, coerce).alias("x")) for c in cols]
-    long = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.*")
+    long = stack(df, cols, [_as_double(df, c, coerce) for c in cols], by)
     return long.where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
@@ -145,7 +152,6 @@ def quantiles_df(df: DataFrame, cols: Sequence[str], probs: Sequence[float], coe
 
 
 MAX_SMALL_ROWS = 200_000
-MAX_LITERAL_GROUPS = 64
 
 
 def _quantiles_small_band(long: DataFrame, keys, probs, accuracy: int):
@@ -154,6 +160,7 @@ def _quantiles_small_band(long: DataFrame, keys, probs, accuracy: int):
     MAX_SMALL_ROWS: both are counted first and only then collected, so the
     driver never receives more than that bound.  Returns None otherwise."""
     import math
+    probs = sorted({float(p) for p in probs})
     d = 3.0 / accuracy
     lo_p = [max(0.0, p - d) for p in probs]
     hi_p = [min(1.0, p + d) for p in probs]
@@ -165,65 +172,40 @@ def _quantiles_small_band(long: DataFrame, keys, probs, accuracy: int):
         return None
     k = len(probs)
     spark = long.sparkSession
-    tgt = []
+    bands = []
     for g in groups:
-        key = tuple(g[c] for c in keys)
-        for i, p in enumerate(probs):
-            lo = g["_min"] if lo_p[i] == 0.0 else g["_a"][i]
-            hi = g["_max"] if hi_p[i] == 1.0 else g["_a"][k + i]
-            tgt.append((*key, float(p), float(lo), float(hi)))
-    if not tgt:
+        los = [float(g["_min"] if lo_p[i] == 0.0 else g["_a"][i]) for i in range(k)]
+        his = [float(g["_max"] if hi_p[i] == 1.0 else g["_a"][k + i]) for i in range(k)]
+        bands.append((*[g[c] for c in keys], *los, *his))
+    if not bands or not k:
         return spark.createDataFrame([], long.select(*keys).schema.add("p", "double").add("value", "double"))
+    # one pass, one output row per value: a value falls into interval i = #(lo <= x) of its
+    # group; the rows below band j are those with i < j, and a value inside any band keeps
+    # its own cell.  The bounds are joined to the rows (one row per group, bounded by the
+    # check above), so the expressions are the same few for any number of groups
+    bschema = long.select(*keys).schema
+    for c in [f"_lo{i}" for i in range(k)] + [f"_hi{i}" for i in range(k)]:
+        bschema = bschema.add(c, "double")
+    j = join_null_safe(long, F.broadcast(spark.createDataFrame(bands, bschema)), keys)
+    x, interval, inband = F.col("x"), F.lit(0), F.lit(False)
+    for i in range(k):
+        interval = interval + (x >= F.col(f"_lo{i}")).cast("int")
+        inband = inband | ((x >= F.col(f"_lo{i}")) & (x <= F.col(f"_hi{i}")))
+    agg = (j.select(*keys, interval.alias("_i"), F.when(inband, x).alias("bx"))
+           .groupBy(*keys, "_i", "bx").agg(F.count(F.lit(1)).alias("_c")))
+    band_rows = agg.limit(MAX_SMALL_ROWS + 1).collect()
+    if len(band_rows) > MAX_SMALL_ROWS:
+        return None
+    per_key: dict = {}
+    for r in band_rows:
+        per_key.setdefault(tuple(r[c] for c in keys), []).append((r["_i"], r["bx"], r["_c"]))
     cells: dict = {}
-    if len(groups) <= MAX_LITERAL_GROUPS:
-        # one pass, one output row per value: with the band bounds of each
-        # column as literals, a value falls into interval i = #(lo <= x); the
-        # rows below band j are those with i < j, and a value inside any band
-        # keeps its own cell
-        by_key: dict = {}
-        for row in tgt:
-            by_key.setdefault(row[:len(keys)], []).append(row[len(keys):])
-        interval, inband = None, None
-        for key, bands in by_key.items():
-            match = None
-            for kc, kv in zip(keys, key):
-                e = F.col(kc).eqNullSafe(F.lit(kv))
-                match = e if match is None else match & e
-            los = [b[1] for b in bands]
-            i_expr = sum((F.when(F.col("x") >= F.lit(lo), 1).otherwise(0) for lo in los), F.lit(0))
-            in_expr = None
-            for _, lo, hi in bands:
-                e = (F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))
-                in_expr = e if in_expr is None else in_expr | e
-            interval = F.when(match, i_expr) if interval is None else interval.when(match, i_expr)
-            inband = F.when(match, in_expr) if inband is None else inband.when(match, in_expr)
-        agg = (long.select(*keys, interval.alias("_i"), F.when(inband, F.col("x")).alias("bx"))
-               .groupBy(*keys, "_i", "bx").agg(F.count(F.lit(1)).alias("_c")))
-        band_rows = agg.limit(MAX_SMALL_ROWS + 1).collect()
-        if len(band_rows) > MAX_SMALL_ROWS:
-            return None
-        per_key: dict = {}
-        for r in band_rows:
-            per_key.setdefault(tuple(r[c] for c in keys), []).append((r["_i"], r["bx"], r["_c"]))
-        for key, bands in by_key.items():
-            rows_k = per_key.get(key, [])
-            for j, (p, lo, hi) in enumerate(bands, start=1):
-                below = sum(c for i, _, c in rows_k if i < j)
-                vals = [(None, below)] + [(v, c) for i, v, c in rows_k if v is not None and lo <= v <= hi]
-                cells[key + (p,)] = vals
-    else:
-        tschema = long.select(*keys).schema.add("p", "double").add("_blo", "double").add("_bhi", "double")
-        # groups x probabilities rows, bounded by the check above
-        t = F.broadcast(spark.createDataFrame(tgt, tschema))
-        j = join_null_safe(long, t, keys)
-        cell = F.when(F.col("x") < F.col("_blo"), F.lit(None)).otherwise(F.col("x"))
-        agg = (j.where(F.col("x") <= F.col("_bhi")).groupBy(*keys, "p", cell.alias("bx"))
-               .agg(F.count(F.lit(1)).alias("_c")))
-        band_rows = agg.limit(MAX_SMALL_ROWS + 1).collect()
-        if len(band_rows) > MAX_SMALL_ROWS:
-            return None
-        for r in band_rows:
-            cells.setdefault(tuple(r[c] for c in keys) + (r["p"],), []).append((r["bx"], r["_c"]))
+    for band in bands:
+        key, los, his = band[:len(keys)], band[len(keys):len(keys) + k], band[len(keys) + k:]
+        rows_k = per_key.get(key, [])
+        for j_, (p, lo, hi) in enumerate(zip(probs, los, his), start=1):
+            below = sum(c for i, _, c in rows_k if i < j_)
+            cells[(*key, p)] = [(None, below)] + [(v, c) for _, v, c in rows_k if v is not None and lo <= v <= hi]
     n_of = {tuple(g[c] for c in keys): g["_n"] for g in groups}
     out = []
     for key, items in cells.items():

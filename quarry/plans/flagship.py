@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators.joins import auto_join
 from quarry.operators.profile import profile_columns
-from quarry.session import cut_lineage, read_table
+from quarry.session import keep_table, read_table
 
 FLAT = ["position", "name", "type", "unique", "nulls", "null_pct", "mean", "std", "min", "max",
         "p25", "p50", "p75", "skew", "majority_pct", "avg_len"]
@@ -21,6 +21,7 @@ def joined(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     df, _info = joined(spark, sf)
-    # the profile reads its input several times: materialise the join once
-    df = cut_lineage(df)
+    # the profile reads its input several times, each time the columns it needs: the join is
+    # written once as a columnar table
+    df = keep_table(df, "flagship")
     return profile_columns(df).select(*FLAT)

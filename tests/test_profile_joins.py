@@ -95,3 +95,41 @@ def test_products_of_frequent_keys_are_made_in_blocks(spark, monkeypatch):
     out, _ = J.auto_join({"l.csv": l, "r.csv": r}, key="id")
     assert Counter(map(tuple, out.collect())) == want
     assert "__a" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_parses_each_text_value_once_and_ranks_numbers_only(spark, monkeypatch):
+    # texts weigh as often as they occur: 9 of 10 rows are numbers in two distinct values
+    rows = [("1.5" if i % 2 else "4", f"word {i % 7}", float(i), "2024-01-0%d" % (i % 9 + 1)) for i in range(90)]
+    rows += [("n/a", None, float("nan"), "x"), (None, "word 0", float("inf"), None)] * 5
+    df = spark.createDataFrame(rows, "t string, w string, x double, d string")
+    ranked = []
+
+    def quantiles(frame, cols, *a, **k):
+        ranked.extend(cols)
+        return quantiles_df(frame, cols, *a, **k)
+
+    from quarry.operators.stats import quantiles_df
+    monkeypatch.setattr(P, "quantiles_df", quantiles)
+    r = {x["name"]: x for x in P.profile_columns(df).collect()}
+    assert ranked == ["t", "x"]     # words and dates have no quartiles
+    assert {n: x["type"] for n, x in r.items()} == {"t": "numeric", "w": "high_cardinality", "x": "numeric", "d": "datetime"}
+    assert (r["t"]["mean"], r["t"]["p50"], r["t"]["nulls"], r["t"]["unique"]) == (2.75, 2.75, 5, 3)
+    assert (r["x"]["nulls"], r["x"]["unique"], r["x"]["max"], r["x"]["p50"]) == (5, 91, 89.0, 46.75 + 0.25)
+    assert (r["w"]["majority_pct"], r["w"]["nulls"], r["d"]["nulls"], r["d"]["unique"]) == (18.9, 5, 5, 10)
+
+
+def test_flagship_profiles_a_columnar_copy_of_the_join(spark, tmp_path, monkeypatch):
+    from quarry.plans import flagship as FL
+    spark.createDataFrame([(1, 2.0), (1, 3.0), (None, 4.0)], "l_orderkey long, l_quantity double").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "a"), (None, "b"), (7, "c")], "o_orderkey long, o_orderstatus string").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    seen = []
+    monkeypatch.setattr(FL, "profile_columns", lambda df: seen.append(df) or P.profile_columns(df))
+    r = {x["name"]: x for x in FL.flagship(spark, str(tmp_path)).collect()}
+    # each pass reads the columns it needs from files, not whole rows
+    assert seen[0].inputFiles() and all(f.endswith(".parquet") for f in seen[0].inputFiles())
+    assert sorted(map(str, seen[0].collect())) == sorted(map(str, spark.createDataFrame(
+        [(1, 2.0, "a"), (1, 3.0, "a"), (None, 4.0, "b"), (7, None, "c")],
+        "orderkey long, l_quantity double, o_orderstatus string").collect()))
+    assert (r["orderkey"]["nulls"], r["l_quantity"]["p50"], r["o_orderstatus"]["unique"]) == (1, 3.0, 3)

@@ -48,3 +48,10 @@ def test_top_k_per_group(spark, data):
     for g, part in pdf.groupby("g"):
         exp = part.sort_values(["b", "a"], ascending=[False, True]).head(3)["b"].tolist()
         assert [r["b"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["r"])] == exp
+
+
+def test_quantiles_of_many_columns_in_any_order_of_shares(spark):
+    # more columns than one generated method takes, shares not ascending
+    df = spark.range(200).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(70)])
+    got = {(r["column"], r["p"]): r["value"] for r in S.quantiles_df(df, df.columns, [0.75, 0.25]).collect()}
+    assert got == {(f"c{i}", p): 199 * p * (i + 1) for i in range(70) for p in (0.75, 0.25)}
