@@ -173,6 +173,12 @@ def build_model(route: Route, train: DataFrame) -> PipelineModel:
         data.unpersist()
 
 
+def inputs(spec: FeatureSpec, df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """The columns of ``df`` that the features of ``spec`` are made of, and ``also``."""
+    named = [*spec.numeric, *spec.categorical, *spec.datetime, spec.text, spec.vector, "__vec", *also]
+    return df.select(*[F.col(_q(c)) for c in dict.fromkeys(named) if c in df.columns])
+
+
 def feature_table(route: Route, train: DataFrame, also: Sequence[Route] = ()) -> tuple[PipelineModel, DataFrame]:
     """The fitted feature stages of ``route`` and the kept table (label, features and the
     censor columns of ``route`` and ``also``) that its estimator is fitted on.  Routes with
@@ -188,11 +194,21 @@ def feature_table(route: Route, train: DataFrame, also: Sequence[Route] = ()) ->
     else:
         stages.append(FT.StringIndexer(inputCol=route.target, outputCol=LABEL, stringOrderType="alphabetAsc",
                                        handleInvalid="skip"))
-    fitted = Pipeline(stages=stages).fit(rows)
     extra = {c for r in (route, *also) for c in
              ([r.params["censorCol"]] if "censorCol" in r.params else ["censor"] if r.family == "survival" else [])}
-    kept = fitted.transform(rows).select(LABEL, "features", *sorted(extra))
-    return fitted, kept.persist(StorageLevel.MEMORY_AND_DISK)
+    # every stage is fitted in a pass of its own: what the table is made of is joined once.
+    # Texts are large and their features' stages few: they are read again
+    source = rows if route.spec.text else inputs(
+        route.spec, rows, [LABEL, route.target, *sorted(extra)]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = Pipeline(stages=stages).fit(source)
+        kept = fitted.transform(source).select(LABEL, "features", *sorted(extra)).persist(StorageLevel.MEMORY_AND_DISK)
+        if source is not rows:
+            kept.count()  # made while its source is kept
+        return fitted, kept
+    finally:
+        if source is not rows:
+            source.unpersist()
 
 
 def fit_on(route: Route, fitted: PipelineModel, data: DataFrame) -> PipelineModel:
@@ -297,7 +313,8 @@ def sweep(train: DataFrame, test: DataFrame, task: str, target: str, spec: Featu
     list is chosen by task and size of the training table.  Returns (best model, its
     route, log table).
 
-    The feature stages are fitted once and all candidates share their kept table.  Up to
+    The feature stages are fitted once and all candidates share their kept table and the
+    kept test rows.  Up to
     ``parallel`` candidates are fitted at the same time, each in its own scheduler pool
     and job group (``spark.scheduler.mode`` FAIR shares the executors among the pools);
     they are judged in the given order whatever ends first, so the log but for its times
@@ -313,12 +330,18 @@ def sweep(train: DataFrame, test: DataFrame, task: str, target: str, spec: Featu
         return None, None, train.sparkSession.createDataFrame([], log_columns)
     best_val, best_model, best_route, stale, rows = None, None, None, 0, []
     shared: dict[str, tuple[PipelineModel, DataFrame]] = {}
+    tested: dict[str, DataFrame] = {}
 
     def features() -> tuple[PipelineModel, DataFrame]:
         if "table" not in shared:
             shared["table"] = feature_table(routes[0], train, routes[1:])
         return shared["table"]
 
+    def held_out() -> DataFrame:
+        if "test" not in tested:
+            tested["test"] = inputs(spec, test, [target]).persist(StorageLevel.MEMORY_AND_DISK)
+        return tested["test"]
+
     def attempt(num: int, route: Route):
         if parallel > 1:
             sc.setLocalProperty("spark.scheduler.pool", f"{group}-{num % parallel}")
@@ -330,7 +353,7 @@ def sweep(train: DataFrame, test: DataFrame, task: str, target: str, spec: Featu
         t1 = time.time()
         if stop.is_set():
             raise _Stopped
-        val = evaluate(predict(model, test, route, keep=[target]), task, target, metric,
+        val = evaluate(predict(model, held_out(), route, keep=[target]), task, target, metric,
                        None if task == REGRESSION else class_labels(model))
         return model, val, round(t1 - t0, 3), round(time.time() - t1, 3)
 
@@ -339,6 +362,7 @@ def sweep(train: DataFrame, test: DataFrame, task: str, target: str, spec: Featu
         pool = ThreadPoolExecutor(parallel)
         try:
             features()  # before the threads, so that they share it
+            held_out()
         except Exception:  # noqa: BLE001 - every candidate reports it as its own crash
             pass
         # each candidate inherits the caller's local properties, not those of the one before it
@@ -374,6 +398,8 @@ def sweep(train: DataFrame, test: DataFrame, task: str, target: str, spec: Featu
                 time.sleep(0.05)
         if "table" in shared:
             shared["table"][1].unpersist()
+        if "test" in tested:
+            tested["test"].unpersist()
     return best_model, best_route, train.sparkSession.createDataFrame(rows, log_columns)
 
 

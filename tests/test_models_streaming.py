@@ -79,3 +79,20 @@ def test_stream_leaderboard_equals_batch(spark):
     got = {(r["run_id"], r["model"]): (r["best_value"], r["n"]) for r in spark.table(q.name).collect()}
     batch = ST.leaderboard_aggregate(log).collect()
     assert got == {(r["run_id"], r["model"]): (r["best_value"], r["n"]) for r in batch}
+
+
+def test_sweep_makes_its_tables_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    d = _data(spark).coalesce(1).mapInPandas(read, "id long, a double, c string, const double, y double")
+    _, _, log = M.sweep(d, d, M.REGRESSION, "y", M.FeatureSpec(numeric=["a"], categorical=["c"]), "rmse",
+                        candidates=[("ridge", {}), ("linear", {}), ("decision_tree", {}), ("lasso", {})], parallel=2)
+    assert log.where("status = 'crash'").count() == 0 and log.count() == 4
+    # once for the features, once for the test rows, whatever the number of stages and candidates
+    assert made.value == 2 * 400
+    assert not spark.sparkContext._jsc.getPersistentRDDs().size()
