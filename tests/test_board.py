@@ -15,7 +15,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def log(spark):
-    return X.explog(spark, SF).select("run_id", "num", "model", "metric_val", "status").persist()
+    kept = X.explog(spark, SF).select("run_id", "num", "model", "metric_val", "status").persist()
+    yield kept
+    kept.unpersist()
 
 
 def _slices(log, n):
