@@ -24,14 +24,15 @@ def read_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back (``options``:
+    of the writer).
 
     Cuts lineage with data that every executor can reach, so a lost executor
     costs one re-read; each call takes a new folder."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/quarry-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -402,6 +402,36 @@ def test_embeddings_without_an_id_of_their_own(spark):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+def test_embedding_strips_meet_without_a_shuffle(spark, monkeypatch):
+    """Singles and doubles, many strips, a vector that half of the rows hold, ties on the first axis:
+    the links of brute force, from pairs of strips that are read and not shuffled."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 20))
+    vec = [base[i % 12] + (0.2 if i % 2 else 0.05) * rng.normal(size=20) for i in range(90)] + [base[0]] * 90
+    vec += [np.array([float(k)]) for k in (1, -2, 3, 5, 6, -7, 9, 11)]      # one axis: all of them are 1 or -1 on it
+    vec = [v.astype(np.float32) for v in vec]
+    unit = [v.astype(float) / np.linalg.norm(v.astype(float)) for v in vec]
+    links = [(x, y) for x, y in brute.pairs(len(vec)) if len(vec[x]) == len(vec[y]) and unit[x] @ unit[y] >= 0.95]
+    n, comp = Counter(x for ab in links for x in ab), brute.components(range(len(vec)), links)
+    want = [(i, n[i], min(k for k in range(len(vec)) if comp[k] == comp[i])) for i in range(len(vec))]
+    monkeypatch.setattr(embedding_dedup, "STRIP", 8)
+    monkeypatch.setattr(embedding_dedup, "TILE", 3)
+    plans, strip_links = [], embedding_dedup.strip_links
+
+    def noted(*args):
+        out = strip_links(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "strip_links", noted)
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vec)],
+                                   f"vec_id long, embedding array<{kind}>")
+        got = embedding_dedup.near_duplicates(df).collect()
+        _same([(r.vec_id, r.n_links, r.component_id) for r in got], want)
+    assert len(plans) == 2 and all("CartesianProduct" in p and "Exchange" not in p for p in plans)
+
+
 def test_tiles_follow_reordered_passages(spark):
     rng = random.Random(8)
     item = [f"t{i}" for i in range(40)]
