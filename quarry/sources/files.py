@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import csv
 import io
+import os
+import re
+import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import closing
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -229,3 +233,50 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         w.option("header", True).option("sep", "\t" if fmt == "tsv" else sep).option("quote", '"').option("escape", '"').csv(path)
     else:
         raise ValueError(fmt)
+
+
+#: What Hive's layout writes as %XX in a folder name, and the folder of rows without a value.
+FOLDER_ESCAPES = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_text_files(df: DataFrame, root: str, label: str, text: str) -> None:
+    """One text file a row below a folder ``label=value``, as Spark's text writer with one record
+    a file leaves them, but in a folder a task.
+
+    Hadoop's local file system starts two processes for each file (the mode of the file and of
+    its checksums), so on a shared local folder the tasks write the files themselves: into a
+    hidden folder of the attempt, whose labels are moved into place once Spark has reported the
+    attempt as the one that counts.  Any other store gets Spark's writer."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = df.select(F.col(f"`{label}`").cast("string").alias(label), F.col(f"`{text}`").alias("value"))
+    if store.getUri().getScheme() != "file":
+        # tasks move their files into place themselves, which the driver would do one by one
+        rows.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2) \
+            .partitionBy(label).text(root)
+        return
+    top = store.makeQualified(path).toUri().getPath()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt, n, made = uuid.uuid4().hex, 0, {}
+        for b in batches:
+            for value, content in zip(b.column(0).to_pylist(), b.column(1)):
+                if value not in made:
+                    name = FOLDER_ESCAPES.sub(lambda c: f"%{ord(c[0]):02X}", value or "") or NO_VALUE
+                    made[value] = f"{label}={name}"
+                    os.makedirs(f"{top}/_attempts/{attempt}/{made[value]}", exist_ok=True)
+                with open(f"{top}/_attempts/{attempt}/{made[value]}/part-{n:07d}.txt", "wb", 0) as f:
+                    f.write((content.as_py() or b"") + b"\n")
+                n += 1
+        folders = sorted(set(made.values()))
+        yield pa.RecordBatch.from_arrays([pa.array([attempt] * len(folders), pa.string()), pa.array(folders, pa.string())],
+                                         names=["attempt", "folder"])
+
+    rows = rows.withColumn("value", F.col("value").cast("binary"))
+    os.makedirs(top, exist_ok=True)
+    # a row a task and label
+    for r in rows.mapInArrow(run, "attempt string, folder string").collect():
+        os.makedirs(f"{top}/{r['folder']}", exist_ok=True)
+        os.rename(f"{top}/_attempts/{r['attempt']}/{r['folder']}", f"{top}/{r['folder']}/{r['attempt']}")

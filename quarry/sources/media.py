@@ -1,14 +1,16 @@
 """File-collection sources (IO10-IO13): media inventory, multi-file bundles,
 companion tables and sample-submission layouts.  Listings come from Spark's
 ``binaryFile`` source with the ``content`` column pruned, so only paths and
-sizes are read."""
+sizes are read; the kept listing of a shared local folder is made by the tasks,
+which the driver tells the folders only."""
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,19 @@ IMAGE_EXTS = ("jpg", "jpeg", "png", "gif", "bmp", "webp", "tiff", "tif")
 AUDIO_EXTS = ("mp3", "wav", "ogg", "flac", "m4a", "aac", "wma")
 #: What a file's opening counts for, in bytes, where files are dealt to tasks: a listing opens none.
 LISTING_COST = 1 << 16
+#: Files that a task lists at a time.
+LISTED_FILES = 1 << 14
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, rel, name, ext, length) of every non-hidden file under root."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path", "length"))
+    return _described(files, root)
+
+
+def _described(files: DataFrame, root: str) -> DataFrame:
+    """(path, rel, name, ext, length) of the non-hidden ones of (path, length)."""
     base = root.rstrip("/")
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _escape(base.split("://")[-1]) + "/", "")
     name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
@@ -34,14 +43,60 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return out.where(~hidden)
 
 
+def local_folder(spark: SparkSession, root: str) -> str | None:
+    """The path of ``root`` where it is a folder of the (shared) local file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = store.makeQualified(path).toUri().getPath()
+    return top if store.getUri().getScheme() == "file" and os.path.isdir(top) else None
+
+
+def list_local_files(spark: SparkSession, top: str) -> DataFrame:
+    """(path, length) of the files below the local folder ``top``: the driver looks for folders,
+    the tasks list them, each folder in pieces of a bounded number of files."""
+    def shown(name: str) -> bool:
+        return not name.startswith((".", "_")) and not name.endswith("._COPYING_")
+
+    folders, open_ = [], [top]
+    while open_:
+        folders.append(open_.pop())
+        with os.scandir(folders[-1]) as entries:
+            open_ += [e.path for e in entries if shown(e.name) and e.is_dir()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f"file:{p}" for p, _ in found], pa.string()),
+                                               pa.array([n for _, n in found], pa.int64())], names=["path", "length"])
+
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = []
+                with os.scandir(folder) as entries:
+                    for e in entries:
+                        if shown(e.name) and e.is_file():
+                            found.append((e.path, e.stat().st_size))
+                            if len(found) == LISTED_FILES:
+                                yield batch(found)
+                                found = []
+                yield batch(found)
+
+    tasks = min(len(folders), 4 * spark.sparkContext.defaultParallelism)
+    return (spark.createDataFrame([(f,) for f in folders], "folder string").repartition(tasks)
+            .mapInArrow(run, "path string, length long"))
+
+
 def kept_listing(spark: SparkSession, root: str) -> DataFrame:
-    """``list_files`` written once as a table below the shared checkpoint folder.
+    """``list_files`` written once as a table below the shared checkpoint folder; what is asked
+    of the listing reads the table.
 
-    A session of its own makes it, with about two thousand small files a task (32 at the
-    usual cost of opening); what is asked of the listing reads the table."""
-    lister = spark.newSession()
-    lister.conf.set("spark.sql.files.openCostInBytes", str(LISTING_COST))
-    files = list_files(lister, root)
+    The files of a local folder are listed by the tasks.  For other stores a session of its own
+    makes the listing, with about two thousand small files a task (32 at the usual cost of opening)."""
+    if top := local_folder(spark, root):
+        files = _described(list_local_files(spark, top), root)
+    else:
+        lister = spark.newSession()
+        lister.conf.set("spark.sql.files.openCostInBytes", str(LISTING_COST))
+        files = list_files(lister, root)
     path = os.path.join(checkpoint_dir(spark), f"listing-{uuid.uuid4().hex}")
     files.write.parquet(path)
     return spark.read.schema(files.schema).parquet(path)

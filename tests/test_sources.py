@@ -176,3 +176,25 @@ def test_media_inventory_lists_its_files_once(spark, tmpdir_path):
     assert [r["rel"] for r in inv["samples"].collect()][:2] == ["class0/f0.PNG", "class0/f12.PNG"]
     for part in ("rows", "classes", "samples"):
         assert "binaryfile" not in inv[part]._jdf.queryExecution().toString().lower()
+
+
+def test_text_files_are_written_and_listed_by_tasks(spark, tmpdir_path):
+    rows = [("en", "a"), ("en", "b\nc"), ("a/b:c", "ä"), (None, "x"), ("", None), ("_d", "y")] * 3
+    df = spark.createDataFrame(rows, "lang string, text string")
+    import glob
+    ours, spark_s = os.path.join(tmpdir_path, "ours"), os.path.join(tmpdir_path, "sparks")
+    IO.write_text_files(df.repartition(3), ours, "lang", "text")
+    df.write.option("maxRecordsPerFile", 1).partitionBy("lang").text(spark_s)
+
+    def found(root):
+        files = [f for f in glob.glob(root + "/lang=*/**/*.txt", recursive=True) if os.path.isfile(f)]
+        return sorted((os.path.relpath(f, root).split("/")[0], open(f, "rb").read()) for f in files)
+
+    assert found(ours) == found(spark_s) and len(found(ours)) == 18
+    assert not glob.glob(ours + "/**/.*.crc", recursive=True)      # no second file a text
+    _write(os.path.join(ours, "lang=en", ".hidden.txt"), b"x")
+    _write(os.path.join(ours, "_gone", "x.txt"), b"x")
+    listed = MD.kept_listing(spark, ours).collect()
+    assert sorted(map(tuple, listed)) == sorted(map(tuple, MD.list_files(spark, ours).collect())) and len(listed) == 18
+    plan = MD.list_local_files(spark, ours)._jdf.queryExecution().toString().lower()
+    assert "binaryfile" not in plan     # the driver holds folders, not files
