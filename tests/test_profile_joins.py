@@ -97,6 +97,34 @@ def test_products_of_frequent_keys_are_made_in_blocks(spark, monkeypatch):
     assert "__a" in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_large_products_of_three_tables_are_not_kept(spark, monkeypatch):
+    """Keys that are large, that a table lacks, or that only the last has; key columns of two types."""
+    from collections import Counter
+    t = [[(None if i % 2 else i % 4, f"a{i % 9}") for i in range(40)],
+         [(None if i % 3 else i % 5, i % 11) for i in range(60)] + [(77, i) for i in range(9)],
+         [(None if i % 4 else i % 6, float(i)) for i in range(30)] + [(77, 1.0)] * 8 + [(2, 5.0)] * 30 + [(88, 2.0)]]
+    keys = {k for x in t for k, _ in x}
+    want = Counter()
+    for k in keys:
+        a, b, c = ([v for j, v in x if j == k] or [None] for x in t)
+        want += Counter((k, x, y, z) for x in a for y in b for z in c)
+    made = []
+    for name in ("cut_lineage", "keep_table"):
+        keep = getattr(J, name)
+        monkeypatch.setattr(J, name, lambda df, *a, keep=keep: made.append(df.count()) or keep(df, *a))
+    for rows, blocks in ((1 << 24, 64), (40, 64), (40, 1)):
+        monkeypatch.setattr(J, "PRODUCT_ROWS", rows)
+        monkeypatch.setattr(J, "CORE_BLOCKS", blocks, raising=False)
+        made.clear()
+        tables = {n: spark.createDataFrame(x, f"id {kind}, v {v}") for n, x, kind, v in
+                  zip(("a.csv", "b.csv", "c.csv"), t, ("int", "long", "int"), ("string", "long", "double"))}
+        out, info = J.auto_join(tables, key="id")
+        assert Counter(map(tuple, out.collect())) == want and out.columns == ["id", "v", "v_b", "v_c"]
+        assert [w.split(" grows")[0] for w in info["warnings"]] == ["joining 'b.csv'", "joining 'c.csv'"]
+        # the product of the first two tables' null keys has 800 rows
+        assert rows > 40 or made and max(made) < 100
+
+
 def test_profile_parses_each_text_value_once_and_ranks_numbers_only(spark, monkeypatch):
     # texts weigh as often as they occur: 9 of 10 rows are numbers in two distinct values
     rows = [("1.5" if i % 2 else "4", f"word {i % 7}", float(i), "2024-01-0%d" % (i % 9 + 1)) for i in range(90)]
